@@ -77,23 +77,11 @@ def strip_marks(col: Column) -> Column:
 def marks_to_number(syllable: Column) -> Column:
     """One marked syllable to its numbered form; unmarked counts as tone 1."""
     low = F.lower(F.trim(syllable))
-    marks = F.regexp_extract_all(low, F.lit(f"([{MARKED_VOWELS}])"), 1)
-    last = F.get(marks, F.size(marks) - 1)
-    tone = F.coalesce(F.translate(last, MARKED_VOWELS, MARK_TONES), F.lit("1"))
+    mark = F.regexp_extract(low, f"^.*([{MARKED_VOWELS}])", 1)
+    tone = F.when(mark == "", "1").otherwise(F.translate(mark, MARKED_VOWELS, MARK_TONES))
     return F.concat(F.translate(low, MARKED_VOWELS + "ü", PLAIN_VOWELS + "v"), tone)
 
 
-def syllable_base(numbered: Column) -> Column:
-    """Numbered syllable without its tone, u: and ü written v."""
-    low = F.translate(F.regexp_replace(F.lower(F.trim(numbered)), "u:", "v"), "ü", "v")
-    return F.regexp_replace(low, "[1-5]$", "")
-
-
-def syllable_tone(numbered: Column) -> Column:
-    digit = F.regexp_extract(F.trim(numbered), "([1-5])$", 1)
-    return F.when(digit == "", F.lit(1)).otherwise(digit.cast("int"))
-
-
 def repair_spelling(token: Column) -> Column:
     for pattern, replacement in SPELLING_REPAIRS:
         token = F.regexp_replace(token, pattern, replacement)
@@ -102,14 +90,7 @@ def repair_spelling(token: Column) -> Column:
 
 def tone_list(py_num: Column) -> Column:
     """Tone per syllable of a numbered reading, 0 where it has none."""
-    return F.transform(
-        words_of(py_num),
-        lambda s: F.coalesce(F.try_to_number(F.regexp_replace(s, "[^1-5]", ""), F.lit("9")).cast("int"), F.lit(0)),
-    )
-
-
-def code_points_length(col: Column) -> Column:
-    return F.length(col)
+    return F.transform(words_of(py_num), lambda s: F.instr(F.lit("12345"), F.right(s, F.lit(1))))
 
 
 def shared_units(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inkstone.functions.syllables import bopomofo, marked
+from inkstone.functions.syllables import spell
 from inkstone.functions.text import (
     HAN,
     MARKED_VOWELS,
@@ -13,8 +13,6 @@ from inkstone.functions.text import (
     has_han,
     marks_to_number,
     repair_spelling,
-    syllable_base,
-    syllable_tone,
     tone_list,
     words_of,
 )
@@ -30,22 +28,22 @@ PHRASE_SYLLABLES = 24
 def syllable_dim(inventory: DataFrame) -> DataFrame:
     """One row per toneless syllable and tone, with Bopomofo and marked spelling."""
     rows = inventory.select(F.col("syllable").alias("base"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tone"))
-    return rows.select(
-        F.concat("base", F.col("tone").cast("string")).alias("numbered"),
-        "base",
-        "tone",
-        bopomofo(F.col("base"), F.col("tone")).alias("bopomofo"),
-        marked(F.col("base"), F.col("tone")).alias("marked"),
-    )
+    numbered = F.concat("base", F.col("tone").cast("string"))
+    written = F.get(spell(F.array(numbered)), F.lit(0))
+    rows = rows.select(numbered.alias("numbered"), "base", "tone", written.alias("w"))
+    return rows.select("numbered", "base", "tone", "w.bopomofo", "w.marked")
 
 
 def phrase_marks(py_num: Column) -> Column:
-    return F.array_join(F.transform(words_of(py_num), lambda s: marked(syllable_base(s), syllable_tone(s))), " ")
+    return F.array_join(F.transform(spell(words_of(py_num)), lambda c: c.marked), " ")
 
 
 def phrase_bopomofo(py_num: Column) -> Column:
-    cells = F.transform(words_of(py_num), lambda s: bopomofo(syllable_base(s), syllable_tone(s)))
-    return F.array_join(F.filter(cells, lambda c: c != ""), " ")
+    return _joined_bopomofo(spell(words_of(py_num)))
+
+
+def _joined_bopomofo(cells: Column) -> Column:
+    return F.array_join(F.filter(F.transform(cells, lambda c: c.bopomofo), lambda c: c != ""), " ")
 
 
 def normalize_phonetic(queries: DataFrame, key: str = "query_id", column: str = "text") -> DataFrame:
@@ -120,7 +118,8 @@ def split_syllables(tokens: DataFrame, inventory: DataFrame, column: str = "flat
 
     tail = F.struct(F.length("token").alias("at"), F.array().cast("array<string>").alias("pieces"))
     pieces = F.aggregate(F.reverse(positions), tail, back, lambda s: s.pieces)
-    split = solved.filter("whole").select("token", pieces.alias("syllables"))
+    # no filter on ``whole``: it would be pushed down and fold the chain twice
+    split = solved.select("token", F.when(F.col("whole"), pieces).alias("syllables"))
     return unique.join(split, "token", "left").withColumnRenamed("token", column)
 
 
@@ -238,11 +237,10 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
     """
     edges = _span_edges(phrases, lexicon, key)
     word = F.struct("traditional", "simplified", "py_num", "english")
-    lattice = edges.groupBy(key).agg(
-        F.collect_list(
-            F.struct("end", "start", "gain", "wrong", F.col("entry_rank").alias("rank"), word.alias("word"))
-        ).alias("edges")
-    )
+    edge = F.struct("start", "gain", "wrong", F.col("entry_rank").alias("rank"), word.alias("word"))
+    # one shuffle on the query serves both groupings
+    by_end = edges.repartition(key).groupBy(key, "end").agg(F.collect_list(edge).alias("into"))
+    lattice = by_end.groupBy(key).agg(F.collect_list(F.struct("end", "into")).alias("ends"))
     lattice = lattice.join(phrases.select(key, F.size("syllables").alias("size")), key)
     word_type = "struct<traditional:string,simplified:string,py_num:string,english:string>"
     path_type = f"struct<cost:int,start:int,prefix:int,rank:int,wrong:int,words:array<{word_type}>>"
@@ -259,11 +257,13 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
         )
     )
 
+    none = F.filter(F.get("ends", F.lit(0)).into, lambda e: F.lit(False))
+
     def step(state: Column, j: Column) -> Column:
-        into = F.filter(F.col("edges"), lambda e: e.end == j)
+        here = F.get(F.filter(F.col("ends"), lambda x: x.end == j), F.lit(0))
         offers = F.flatten(
             F.transform(
-                into,
+                F.coalesce(here.into, none),
                 lambda e: F.transform(
                     F.get(state, e.start),
                     lambda p, i: F.struct(
@@ -296,7 +296,7 @@ def rank_interpretations(paths: DataFrame, key: str = "query_id") -> DataFrame:
         [F.col("wrong"), -F.col("score"), F.col("path_no")],
     )
     ranked = top_per_key(kept, [key], [F.col("wrong"), F.col("score").desc(), F.col("path_no")], KEEP)
-    py_num = F.array_join(F.transform("words", lambda w: w.py_num), " ")
+    ranked = ranked.withColumn("cells", spell(F.flatten(F.transform("words", lambda w: words_of(w.py_num)))))
     exact = F.size("words") == 1
     glosses = F.transform("words", lambda w: F.get(F.split(w.english, " / "), F.lit(0)))
     english = F.when(exact, F.get("words", F.lit(0)).english).otherwise(F.array_join(glosses, "; "))
@@ -305,8 +305,8 @@ def rank_interpretations(paths: DataFrame, key: str = "query_id") -> DataFrame:
         "rank",
         F.array_join(F.transform("words", lambda w: w.traditional), "").alias("traditional"),
         F.array_join(F.transform("words", lambda w: w.simplified), "").alias("simplified"),
-        phrase_marks(py_num).alias("pinyin"),
-        phrase_bopomofo(py_num).alias("bopomofo"),
+        F.array_join(F.transform("cells", lambda c: c.marked), " ").alias("pinyin"),
+        _joined_bopomofo(F.col("cells")).alias("bopomofo"),
         english.alias("english"),
         "score",
         "wrong",
@@ -409,21 +409,25 @@ def annotate_readings(variants: DataFrame, lexicon: DataFrame, key: str) -> Data
     joined = rows.withColumn("_count", F.size("chars")).join(fitting, ["word", "_count"], "left")
     raw = F.transform("chars", lambda c, i: F.get(F.col("given"), F.col("offset") + i))
     own = F.transform(raw, lambda s: F.when(s.isNull(), None).otherwise(marks_to_number(s)))
-    numbered = F.when(F.col("entry").isNotNull(), F.split("entry", r"\s+")).otherwise(own)
-
-    def cell(c: Column, n: Column) -> Column:
-        b, t = syllable_base(n), syllable_tone(n)
-        return F.struct(
-            c.alias("h"), F.coalesce(marked(b, t), F.lit("")).alias("py"), bopomofo(b, t).alias("bpmf")
-        )
-
-    own_bad = F.exists(own, lambda n: n.isNull() | (bopomofo(syllable_base(n), syllable_tone(n)) == ""))
+    joined = joined.withColumn("own", own)
+    joined = joined.withColumn("own_cells", spell(F.transform("own", lambda n: F.coalesce(n, F.lit("")))))
+    blank = F.struct(F.lit("").alias("py"), F.lit("").alias("bpmf"))
+    given_cells = F.zip_with(
+        "own",
+        "own_cells",
+        lambda n, c: F.when(n.isNull(), blank).otherwise(F.struct(c.marked.alias("py"), c.bopomofo.alias("bpmf"))),
+    )
+    entry_cells = F.transform(
+        spell(F.split("entry", r"\s+")), lambda c: F.struct(c.marked.alias("py"), c.bopomofo.alias("bpmf"))
+    )
+    joined = joined.withColumn("read", F.when(F.col("entry").isNotNull(), entry_cells).otherwise(given_cells))
+    own_bad = F.exists("own_cells", lambda c: c.bopomofo == "")
     return joined.select(
         key,
         "word_no",
         "word",
-        F.zip_with("chars", numbered, cell).alias("cells"),
-        (F.coalesce(own_bad, F.lit(False)) | (F.size("given") != F.col("total"))).alias("low"),
+        F.zip_with("chars", "read", lambda h, r: F.struct(h.alias("h"), r.py.alias("py"), r.bpmf.alias("bpmf"))).alias("cells"),
+        (own_bad | (F.size("given") != F.col("total"))).alias("low"),
     )
 
 
@@ -434,12 +438,12 @@ def low_confidence(annotated: DataFrame, key: str) -> DataFrame:
 
 def complete_variant(raw: DataFrame) -> DataFrame:
     """Fill simplified, marked and Bopomofo readings of (traditional, simplified, pinyin, variety)."""
-    numbered = F.transform(words_of(F.col("pinyin")), marks_to_number)
-    marks = F.array_join(F.transform(numbered, lambda s: marked(syllable_base(s), syllable_tone(s))), " ")
-    symbols = F.array_join(F.transform(numbered, lambda s: bopomofo(syllable_base(s), syllable_tone(s))), " ")
+    raw = raw.withColumn("_cells", spell(F.transform(words_of(F.col("pinyin")), marks_to_number)))
+    marks = F.array_join(F.transform("_cells", lambda c: c.marked), " ")
+    symbols = F.array_join(F.transform("_cells", lambda c: c.bopomofo), " ")
     canto = F.col("variety") == "zh-HK"
     return raw.select(
-        *[c for c in raw.columns if c not in ("simplified", "pinyin")],
+        *[c for c in raw.columns if c not in ("simplified", "pinyin", "_cells")],
         F.when(F.coalesce("simplified", F.lit("")) == "", F.col("traditional")).otherwise(F.col("simplified")).alias("simplified"),
         F.when(canto, F.col("pinyin")).otherwise(marks).alias("pinyin"),
         F.when(canto, "").otherwise(symbols).alias("bopomofo"),
@@ -463,10 +467,7 @@ def validate_variant(variants: DataFrame, inventory: DataFrame | None = None) ->
     """``valid``: Han count equals syllable count and each syllable can be written."""
     syllables = words_of(F.col("pinyin"))
     han = F.regexp_count("traditional", F.lit(HAN))
-    writable = F.forall(
-        syllables,
-        lambda s: bopomofo(syllable_base(marks_to_number(s)), syllable_tone(marks_to_number(s))) != "",
-    )
+    writable = F.forall(spell(F.transform(syllables, marks_to_number)), lambda c: c.bopomofo != "")
     return variants.withColumn(
         "valid",
         F.when(F.col("variety") == "zh-HK", han > 0).otherwise((F.size(syllables) == han) & writable),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inkstone.functions.text import HAN, characters, words_of
 from inkstone.operators.lexicon import lexicon_lookup
@@ -30,68 +30,79 @@ def _walk(longest: Column, entry: Column) -> Column:
 
 
 def segment_runs(runs: DataFrame, words: DataFrame, max_len: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """Distinct Han runs (column run) to (run, chunk_no, tokens).
+    """Distinct Han runs (column run) to (run, tokens).
 
-    The walk is a chain, but over a chunk it only depends on where it enters, and
-    it can enter at no more than ``max_len`` places. Long runs are cut into
-    chunks that are looked up and walked in parallel for every entry; composing
-    the small exit tables gives each chunk its true entry.
+    All n-grams of the runs meet the word list in one join; only hits come back.
+    The walk is a chain, but over a chunk it depends only on where it enters, one
+    of ``max_len`` places. A long run is therefore walked chunk by chunk for every
+    entry, and composing the exit tables gives each chunk its true entry.
     """
-    pieces = runs.select("run", F.md5("run").alias("run_id")).withColumn(
-        "chunk_no", F.explode(F.sequence(F.lit(0), F.floor((F.length("run") - 1) / chunk).cast("int")))
+    keyed = runs.select("run", F.md5("run").alias("run_id"), F.ceil(F.length("run") / chunk).cast("int").alias("chunks"))
+    pieces = keyed.select("run_id", "run", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"))
+    pieces = pieces.select(
+        "run_id", "chunk_no", F.substring("run", F.col("chunk_no") * chunk + 1, F.lit(chunk + max_len - 1)).alias("body")
     )
-    pieces = pieces.withColumn("body", F.substring("run", F.col("chunk_no") * chunk + 1, F.lit(chunk + max_len - 1)))
-    pieces = pieces.withColumn("size", F.least(F.lit(chunk), F.length("run") - F.col("chunk_no") * chunk))
     grams = (
-        pieces.select("run_id", "chunk_no", "body", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"))
+        pieces.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(chunk), F.length("body")) - 1)).alias("at"))
         .select("*", F.explode(F.sequence(F.lit(2), F.lit(max_len))).alias("n"))
         .filter(F.col("at") + F.col("n") <= F.length("body"))
         .select("run_id", "chunk_no", "at", "n", F.substring("body", F.col("at") + 1, F.col("n")).alias("gram"))
     )
     lexicon = words.select(F.col("word").alias("gram")).filter(F.length("gram").between(2, max_len)).distinct()
     base = max_len + 1
+    # one shuffle on the run serves both groupings; a run is a cell of its text, so its hits fit a row
     hits = (
         grams.join(lexicon, "gram", "left_semi")
+        .select("run_id", "chunk_no", (F.col("at") * base + F.col("n")).cast("int").alias("hit"))
+        .repartition("run_id")
         .groupBy("run_id", "chunk_no")
-        .agg(F.collect_list((F.col("at") * base + F.col("n")).cast("int")).alias("hits"))
-    )
-    no_hits = F.array().cast("array<int>")
-    longest = F.transform(
-        F.sequence(F.lit(0), F.col("size") - 1),
-        lambda i: F.coalesce(
-            F.array_max(F.transform(F.filter("hits", lambda h: F.floor(h / base) == i), lambda h: h % base)), F.lit(1)
-        ).cast("int"),
+        .agg(F.collect_list("hit").alias("hits"))
+        .groupBy("run_id")
+        .agg(F.collect_list(F.struct("chunk_no", "hits")).alias("found"))
     )
-    matched = pieces.join(hits, ["run_id", "chunk_no"], "left").withColumn("hits", F.coalesce("hits", no_hits))
-    matched = matched.withColumn("longest", longest)
+    rows = keyed.join(hits, "run_id", "left")
 
-    several = F.length("run") > chunk
-    exits = F.array(*[_walk(F.col("longest"), F.lit(e)).next - F.col("size") for e in range(max_len)])
-    tables = (
-        matched.filter(several)
-        .groupBy("run_id")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_no", exits.alias("exits")))).alias("tables"))
+    def with_hits(c: Column) -> Column:
+        mine = F.get(F.filter("found", lambda f: f.chunk_no == c), F.lit(0)).hits
+        body = F.substring(F.col("run"), c * chunk + 1, F.lit(chunk + max_len - 1))
+        return F.struct(
+            body.alias("body"), F.least(F.lit(chunk), F.length("run") - c * chunk).alias("size"), mine.alias("hits")
+        )
+
+    def with_longest(x: Column) -> Column:
+        longest = F.transform(
+            F.sequence(F.lit(0), x.size - 1),
+            lambda i: F.coalesce(F.array_max(F.filter(x.hits, lambda h: (h >= i * base) & (h < i * base + base))) % base, F.lit(1)),
+        )
+        plain = F.transform(F.sequence(F.lit(0), x.size - 1), lambda i: F.lit(1))
+        return F.struct(
+            x.body.alias("body"), x.size.alias("size"), F.when(x.hits.isNull(), plain).otherwise(longest).alias("longest")
+        )
+
+    cut = F.transform(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), with_hits), with_longest)
+    rows = rows.withColumn("cut", cut)
+    exits = F.transform(
+        "cut",
+        lambda x: F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)), lambda e: _walk(x.longest, e).next - x.size),
     )
     seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("entries"))
     folded = F.aggregate(
-        "tables",
+        exits,
         seed,
-        lambda s, t: F.struct(F.get(t.exits, s.at).alias("at"), F.concat(s.entries, F.array(s.at)).alias("entries")),
+        lambda s, t: F.struct(F.get(t, s["at"]).alias("at"), F.concat(s.entries, F.array(s["at"])).alias("entries")),
         lambda s: s.entries,
     )
-    entries = tables.select("run_id", F.posexplode(folded).alias("chunk_no", "entry"))
-    placed = (
-        matched.filter(~several)
-        .withColumn("entry", F.lit(0))
-        .unionByName(matched.filter(several).join(entries, ["run_id", "chunk_no"]))
+    rows = rows.withColumn("entries", F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(folded))
+    tokens = F.zip_with(
+        "cut",
+        "entries",
+        lambda x, e: F.transform(_walk(x.longest, e).starts, lambda i: F.substring(x.body, i + 1, F.get(x.longest, i))),
     )
-    starts = _walk(F.col("longest"), F.col("entry")).starts
-    tokens = F.transform(starts, lambda i: F.substring(F.col("body"), i + 1, F.get(F.col("longest"), i)))
-    return placed.select("run", "chunk_no", tokens.alias("tokens"))
+    return rows.select("run", F.flatten(tokens).alias("tokens"))
 
 
 def segment(texts: DataFrame, words: DataFrame, key: str, column: str, max_len: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(key, run_no, chunk_no, token_no, token, han): forward longest match of whole texts.
+    """(key, run_no, token_no, token, han): forward longest match of whole texts.
 
     ``words`` has one column, ``word``. The match state resets at every non-Han
     run, so runs are independent; equal runs are segmented once.
@@ -101,10 +112,10 @@ def segment(texts: DataFrame, words: DataFrame, key: str, column: str, max_len:
     han = (
         runs.filter("han")
         .join(done, "run")
-        .select(key, "run_no", "chunk_no", F.posexplode("tokens").alias("token_no", "token"), F.lit(True).alias("han"))
+        .select(key, "run_no", F.posexplode("tokens").alias("token_no", "token"), F.lit(True).alias("han"))
     )
     other = runs.filter("not han").select(
-        key, "run_no", F.lit(0).alias("chunk_no"), F.lit(0).alias("token_no"), F.col("run").alias("token"), F.lit(False).alias("han")
+        key, "run_no", F.lit(0).alias("token_no"), F.col("run").alias("token"), F.lit(False).alias("han")
     )
     return han.unionByName(other)
 
