@@ -244,7 +244,7 @@ def with_frame(quads: DataFrame, angle: str) -> DataFrame:
 def dedupe_quads(quads: DataFrame, floor: float = 0.6) -> DataFrame:
     """Detector double reads removed: largest first, IoU in the page's text frame."""
     measured = quad_measures(quads) if "angle" not in quads.columns else quads
-    framed = with_frame(measured, "angle").withColumn("order_area", -box_area())
+    framed = with_frame(measured, "angle").withColumn("order_area", -F.round(box_area(), 6))
     kept = greedy_keep(
         framed, "page_id", ["order_area", "item"], lambda k, x: struct_iou(k, x) >= floor, ["x1", "y1", "x2", "y2"]
     )

@@ -12,7 +12,8 @@ ENGLISH_HINTS = (
     "can|will|would|should|could|please|thanks?|hello|hi|goodbye|want|needs?|likes?|time|eat|sleep|school|bath|"
     "water|milk|home|now|here|there|what|where|why|how|who|when|let'?s"
 )
-ENGLISH_HINT = rf"(?i)\b({ENGLISH_HINTS})\b"
+# ASCII word edges, whatever the regex engine takes for a word character
+ENGLISH_HINT = rf"(?i)(?<![A-Za-z0-9_])({ENGLISH_HINTS})(?![A-Za-z0-9_])"
 META_QUESTION = "(?i)(英文|english|怎麼說|怎麼講|什麼意思|甚麼意思|意思是|怎麼寫)"
 TAG_LABEL = r"^(topic|situation|function|people|things|related):\s*"
 TAG_SHAPE = "^[a-z][a-z -]{1,24}$"

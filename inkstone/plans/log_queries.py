@@ -303,7 +303,7 @@ def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
 MIXED = f"""mixed as (
   select concat_ws('-', conv_id, turn) as id, conv_id, turn, role,
          case when conv_id % 3 = 0 then {sql_han('text')} when conv_id % 3 = 1 and turn % 2 = 0 then text || ' the end' else text end as text from conversations)"""
-HINT = rules.ENGLISH_HINT.replace("'", "''").replace("(?i)", "")
+HINT = rf"\b({rules.ENGLISH_HINTS})\b".replace("'", "''")
 
 
 def mixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,16 +344,18 @@ def route_transcript(spark: SparkSession, sf: str) -> DataFrame:
 def question_language(spark: SparkSession, sf: str) -> DataFrame:
     from inkstone.functions.text import count_han
 
-    half = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.col("text"))
-    return mixed(spark, sf).select("id", count_han(half).alias("han"), rules.question_is_chinese(half).alias("chinese"))
+    text = F.col("text")
+    return mixed(spark, sf).select("id", count_han(text).alias("han"), rules.question_is_chinese(text).alias("chinese"))
 
 
 @query(
     "text_guards",
-    f"""with docs as (select doc_id, text from documents)
+    """with chars as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(length(text))) as i from documents),
+    islands as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) as g from chars where c not in (chr(10), chr(13))),
+    loops as (select distinct doc_id from (select doc_id from islands group by doc_id, c, g having count(*) >= 5))
     select doc_id, regexp_matches(lower(text), 'english|英文|怎麼說|怎麼講|什麼意思|甚麼意思|意思是|怎麼寫') as meta_question,
-           list_contains(list_transform(range(greatest(length(text) - 4, 0)), lambda i: substring(text, i + 1, 1) <> chr(10) and replace(substring(text, i + 1, 5), substring(text, i + 1, 1), '') = '' ), true) as degenerate
-    from docs""",
+           doc_id in (select doc_id from loops) as degenerate
+    from documents""",
 )
 def text_guards(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(

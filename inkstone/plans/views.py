@@ -194,9 +194,16 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("substring(p_name, 1, cast(1 + (l_partkey % 12) as int))").alias("text"),
         "l_linenumber",
         "l_partkey",
+        F.col("p_name").alias("name"),
     )
 
 
+def sheet_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The same items on fuller pages: forty orders to a sheet."""
+    p = page_items(spark, sf)
+    return p.withColumn("item", F.concat_ws("-", "page_id", "item")).withColumn("page_id", F.floor(F.col("page_id") / 40))
+
+
 SQL_PAGE_ITEMS = """
 page_items as (
   select l_orderkey as page_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as item,
@@ -204,9 +211,13 @@ page_items as (
          (l_partkey * 37) % 240 + 20 + 4 * cast(l_quantity as bigint) as x2,
          (l_suppkey * 53 + l_linenumber * 41) % 120 + 24 + 4 * (l_partkey % 5) as y2,
          1 - 3 * l_discount as score, substring(p_name, 1, cast(1 + (l_partkey % 12) as int)) as text,
-         l_linenumber, l_partkey
+         l_linenumber, l_partkey, p_name as name
   from lineitem join part on p_partkey = l_partkey)"""
 
+SQL_SHEET_ITEMS = f"""{SQL_PAGE_ITEMS},
+sheet_items as (
+  select page_id // 40 as page_id, concat_ws('-', page_id, item) as item, x1, y1, x2, y2, score, text, l_linenumber, l_partkey, name from page_items)"""
+
 
 def page_quads(spark: SparkSession, sf: str) -> DataFrame:
     """Page items as quads: every third page is turned upright, corners start anywhere."""
