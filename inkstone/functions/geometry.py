@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``; keeps nested measures from being substituted over and over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_up(col: Column) -> Column:
     """Round half towards plus infinity; Spark's round goes away from zero."""
     return F.floor(col + F.lit(0.5))
@@ -74,12 +79,6 @@ def edge_lengths(pts: Column) -> Column:
     )
 
 
-def longest_edge(pts: Column) -> Column:
-    """0-based index of the first longest edge."""
-    edges = edge_lengths(pts)
-    return F.array_position(edges, F.array_max(edges)).cast("int") - 1
-
-
 def corner(pts: Column, index: Column) -> Column:
     return F.get(pts, F.pmod(index, F.lit(4)).cast("int"))
 

@@ -19,7 +19,7 @@ from inkstone.functions.geometry import (
     half_up,
     intersection,
     is_tall,
-    longest_edge,
+    let,
     quad_angle,
     quad_of_box,
     struct_iou,
@@ -38,7 +38,7 @@ def overlap_pairs(items: DataFrame, measure: str = "iou", floor: float = 0.6, ce
     pairs = grid_pairs(items.select("page_id", "item", "x1", "y1", "x2", "y2"), cell=cell)
     value = box_iou() if measure == "iou" else box_overlap_smaller()
     return pairs.withColumn("overlap", value).filter(F.col("overlap") >= floor).select(
-        "page_id", "a_item", "b_item", F.round("overlap", 6).alias("overlap")
+        "page_id", "a_item", "b_item", "overlap"
     )
 
 
@@ -159,7 +159,7 @@ def lattice_degenerate(fragments: DataFrame, unmatched: DataFrame) -> DataFrame:
     lines = unmatched.groupBy("page_id").agg(F.count("*").alias("unmatched"))
     joined = counts.join(lines, "page_id", "left").join(worst, "page_id", "left")
     joined = joined.withColumn("unmatched", F.coalesce("unmatched", F.lit(0))).withColumn(
-        "max_overlap", F.round(F.coalesce("max_overlap", F.lit(0.0)), 6)
+        "max_overlap", F.coalesce("max_overlap", F.lit(0.0))
     )
     return joined.withColumn("degenerate", (F.col("unmatched") > F.col("fragments")) & (F.col("max_overlap") >= 0.6))
 
@@ -220,18 +220,43 @@ def pitch_spread(lines: DataFrame) -> DataFrame:
 
 # ---- quads --------------------------------------------------------------
 
+def _measures(pts: Column) -> Column:
+    """Struct (edge, angle, axis, flip, expected_chars) of one quad."""
+
+    def turned(m: Column) -> Column:
+        axis = axis_angle(m.angle)
+        flip = F.when(F.abs(axis) < 45, m.dx < 0).otherwise(m.dy < 0)
+        return F.struct(
+            m.edge.alias("edge"), m.angle.alias("angle"), axis.alias("axis"), flip.alias("flip"), m.chars.alias("expected_chars")
+        )
+
+    def edged(m: Column) -> Column:
+        a, b = corner(m.pts, m.edge), corner(m.pts, m.edge + 1)
+        ratio = F.array_max(m.lengths) / F.greatest(F.lit(1.0), F.array_min(m.lengths))
+        return F.struct(
+            m.edge.alias("edge"),
+            quad_angle(m.pts, m.edge).alias("angle"),
+            (b.x - a.x).alias("dx"),
+            (b.y - a.y).alias("dy"),
+            F.greatest(F.lit(2), half_up(ratio)).cast("int").alias("chars"),
+        )
+
+    def found(m: Column) -> Column:
+        edge = F.array_position(m.lengths, F.array_max(m.lengths)).cast("int") - 1
+        return F.struct(m.pts.alias("pts"), m.lengths.alias("lengths"), edge.alias("edge"))
+
+    def measured(p: Column) -> Column:
+        return F.struct(p.alias("pts"), edge_lengths(p).alias("lengths"))
+
+    m = F.transform(F.array(pts), measured)
+    for stage in (found, edged, turned):
+        m = F.transform(m, stage)
+    return F.get(m, F.lit(0))
+
+
 def quad_measures(quads: DataFrame) -> DataFrame:
-    """Edge, angle, flip, extent and expected characters of each quad."""
-    pts = F.col("pts")
-    out = quads.withColumn("edge", longest_edge(pts)).withColumn("angle", quad_angle(pts, F.col("edge")))
-    out = out.withColumn("axis", axis_angle(F.col("angle")))
-    a, b = corner(pts, F.col("edge")), corner(pts, F.col("edge") + 1)
-    flip = F.when(F.abs("axis") < 45, b.x < a.x).otherwise(b.y < a.y)
-    edges = edge_lengths(pts)
-    ratio = F.array_max(edges) / F.greatest(F.lit(1.0), F.array_min(edges))
-    return out.withColumn("flip", flip).withColumn(
-        "expected_chars", F.greatest(F.lit(2), half_up(ratio)).cast("int")
-    )
+    """Edge, angle, axis, flip and expected characters of each quad."""
+    return quads.withColumn("_m", _measures(F.col("pts"))).select("*", "_m.*").drop("_m")
 
 
 def with_frame(quads: DataFrame, angle: str) -> DataFrame:
@@ -365,30 +390,40 @@ def fill_column_gaps(quads: DataFrame) -> DataFrame:
 def char_cells(quads: DataFrame, n: str = "n") -> DataFrame:
     """``n`` equal square cells along each quad's axis, in reading direction, at least 4 px."""
     q = quad_measures(quads)
-    pts, e = F.col("pts"), F.col("edge")
 
-    def middle(i: Column, j: Column) -> Column:
-        a, b = corner(pts, i), corner(pts, j)
-        return F.struct(((a.x + b.x) / 2).alias("x"), ((a.y + b.y) / 2).alias("y"))
-
-    q = q.withColumn("p", middle(e + 3, e)).withColumn("q", middle(e + 1, e + 2))
-    swap = F.when(F.abs("axis") < 45, F.col("q.x") < F.col("p.x")).otherwise(F.col("q.y") < F.col("p.y"))
-    q = q.withColumn("s", F.when(swap, F.col("q")).otherwise(F.col("p"))).withColumn("t", F.when(swap, F.col("p")).otherwise(F.col("q")))
-    dx, dy = F.col("t.x") - F.col("s.x"), F.col("t.y") - F.col("s.y")
-    q = q.withColumn("len", F.sqrt(dx * dx + dy * dy)).filter((F.col("len") >= 1) & (F.col(n) >= 1))
-    q = q.withColumn("cell_no", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    at = (F.col("cell_no") + 0.5) / F.col(n)
-    cx, cy = F.col("s.x") + dx * at, F.col("s.y") + dy * at
-    half = F.greatest(F.lit(4.0), F.col("len") / F.col(n)) / 2
-    return q.select(
-        "page_id",
-        "item",
-        "cell_no",
-        half_up(cx - half).cast("long").alias("x1"),
-        half_up(cy - half).cast("long").alias("y1"),
-        half_up(cx + half).cast("long").alias("x2"),
-        half_up(cy + half).cast("long").alias("y2"),
-    )
+    def ends(p: Column) -> Column:
+        e = F.col("edge")
+
+        def middle(i: Column, j: Column) -> Column:
+            a, b = corner(p, i), corner(p, j)
+            return F.struct(((a.x + b.x) / 2).alias("x"), ((a.y + b.y) / 2).alias("y"))
+
+        return F.struct(middle(e + 3, e).alias("s"), middle(e + 1, e + 2).alias("t"))
+
+    def directed(v: Column) -> Column:
+        swap = F.when(F.abs("axis") < 45, v.t.x < v.s.x).otherwise(v.t.y < v.s.y)
+        start, end = F.when(swap, v.t).otherwise(v.s), F.when(swap, v.s).otherwise(v.t)
+        return F.struct(start.alias("s"), (end.x - start.x).alias("dx"), (end.y - start.y).alias("dy"))
+
+    def cells(v: Column) -> Column:
+        length = F.sqrt(v.dx * v.dx + v.dy * v.dy)
+
+        def cell(i: Column) -> Column:
+            along = (i + 0.5) / F.col(n)
+            half = F.greatest(F.lit(4.0), length / F.col(n)) / 2
+            cx, cy = v.s.x + v.dx * along, v.s.y + v.dy * along
+            return F.struct(
+                half_up(cx - half).cast("long").alias("x1"),
+                half_up(cy - half).cast("long").alias("y1"),
+                half_up(cx + half).cast("long").alias("x2"),
+                half_up(cy + half).cast("long").alias("y2"),
+            )
+
+        return F.when((length >= 1) & (F.col(n) >= 1), F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell))
+
+    made = let(let(let(F.col("pts"), ends), directed), cells)
+    # explode drops quads without cells; a filter here would repeat the whole measure
+    return q.select("page_id", "item", F.posexplode(made).alias("cell_no", "_c")).select("page_id", "item", "cell_no", "_c.*")
 
 
 def flag_read_length(length: Column, expected: Column) -> Column:
@@ -406,7 +441,7 @@ def split_multiline(reads: DataFrame) -> DataFrame:
         return F.struct((a.x + (b.x - a.x) * f).alias("x"), (a.y + (b.y - a.y) * f).alias("y"))
 
     f0, f1 = F.col("strip") / F.col("k"), (F.col("strip") + 1) / F.col("k")
-    strips = F.array(lerp(e, e + 2, f0), lerp(e + 1, e + 3, f0), lerp(e + 1, e + 3, f1), lerp(e, e + 2, f1))
+    strips = F.array(lerp(e, e + 3, f0), lerp(e + 1, e + 2, f0), lerp(e + 1, e + 2, f1), lerp(e, e + 3, f1))
     return rows.select("page_id", "item", "strip", F.col("line").alias("text"), F.when(F.col("k") < 2, pts).otherwise(strips).alias("pts"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkstone.functions.geometry import let
 from inkstone.operators.common import PAGE_ROWS, connected_components, first_independent, first_per_key, grid_join, split_by_size
 
 Conflict = Callable[[Column, Column], Column]
@@ -76,9 +77,11 @@ def greedy_replace(
         arrays = _page_arrays(df, group, order)
 
         def step(acc: Column, x: Column) -> Column:
-            at = F.array_position(F.transform(acc, lambda k: same(k, x)), True)
-            swapped = F.transform(acc, lambda k, i: F.when((i + 1 == at) & better(x, k), x).otherwise(k))
-            return F.when(at == 0, F.concat(acc, F.array(x))).otherwise(swapped)
+            def place(at: Column) -> Column:
+                swapped = F.transform(acc, lambda k, i: F.when((i + 1 == at) & better(x, k), x).otherwise(k))
+                return F.when(at == 0, F.concat(acc, F.array(x))).otherwise(swapped)
+
+            return let(F.array_position(F.transform(acc, lambda k: same(k, x)), True), place)
 
         kept = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step)
         return _explode_kept(arrays, group, kept, df.columns)

@@ -64,21 +64,22 @@ def sql_greedy(name: str, ranked: str, condition: str) -> str:
 
 @query(
     "overlap_pairs",
-    f"""with {SQL_PAGE_ITEMS} select a.page_id, a.item as a_item, b.item as b_item, round({sql_iou()}, 6) as overlap
+    f"""with {SQL_PAGE_ITEMS} select a.page_id, a.item as a_item, b.item as b_item, cast(floor(({sql_iou()}) * 1000000) as bigint) as overlap_ppm
     from page_items a join page_items b on a.page_id = b.page_id and a.item < b.item where {sql_iou()} >= 0.6""",
 )
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return bx.overlap_pairs(page_items(spark, sf))
+    ppm = F.floor(F.col("overlap") * 1000000).alias("overlap_ppm")
+    return bx.overlap_pairs(page_items(spark, sf)).select("page_id", "a_item", "b_item", ppm)
 
 
 @query(
     "overlap_pairs_smaller",
-    f"""with {SQL_SHEET_ITEMS} select a.page_id, count(*) as pairs, round(sum({sql_overlap()}), 3) as total
+    f"""with {SQL_SHEET_ITEMS} select a.page_id, count(*) as pairs, cast(sum(cast(floor(({sql_overlap()}) * 1000000) as bigint)) as bigint) as total_ppm
     from sheet_items a join sheet_items b on a.page_id = b.page_id and a.item < b.item where {sql_overlap()} >= 0.6 group by 1""",
 )
 def overlap_pairs_smaller(spark: SparkSession, sf: str) -> DataFrame:
     pairs = bx.overlap_pairs(sheet_items(spark, sf), "smaller")
-    return pairs.groupBy("page_id").agg(F.count("*").alias("pairs"), F.round(F.sum("overlap"), 3).alias("total"))
+    return pairs.groupBy("page_id").agg(F.count("*").alias("pairs"), F.sum(F.floor(F.col("overlap") * 1000000)).alias("total_ppm"))
 
 
 @query(
@@ -178,13 +179,15 @@ def page_serve_gate(spark: SparkSession, sf: str) -> DataFrame:
     f"""with {SQL_PAGE_ITEMS}, f as (select * from page_items where l_partkey % 3 <> 0), u as (select page_id, count(*) as unmatched from page_items where l_partkey % 3 = 0 group by 1),
     worst as (select a.page_id, max({sql_overlap()}) as m from f a join f b on a.page_id = b.page_id and a.item < b.item group by 1),
     c as (select page_id, count(*) as fragments from f group by 1)
-    select page_id, fragments, coalesce(unmatched, 0) as unmatched, round(coalesce(m, 0.0), 6) as max_overlap,
-           coalesce(unmatched, 0) > fragments and round(coalesce(m, 0.0), 6) >= 0.6 as degenerate
+    select page_id, fragments, coalesce(unmatched, 0) as unmatched, cast(floor(coalesce(m, 0.0) * 1000000) as bigint) as max_overlap_ppm,
+           coalesce(unmatched, 0) > fragments and coalesce(m, 0.0) >= 0.6 as degenerate
     from c left join u using (page_id) left join worst using (page_id)""",
 )
 def lattice_degenerate(spark: SparkSession, sf: str) -> DataFrame:
     p = page_items(spark, sf)
-    return bx.lattice_degenerate(p.filter("l_partkey % 3 <> 0"), p.filter("l_partkey % 3 = 0"))
+    rows = bx.lattice_degenerate(p.filter("l_partkey % 3 <> 0"), p.filter("l_partkey % 3 = 0"))
+    ppm = F.floor(F.col("max_overlap") * 1000000).alias("max_overlap_ppm")
+    return rows.select("page_id", "fragments", "unmatched", ppm, "degenerate")
 
 
 WORDS = """words as (
@@ -336,7 +339,7 @@ def column_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "char_cells",
-    f"""with {SQL_PAGE_QUADS}, q as (select *, r - l >= b - t as across, length(text) as n from page_quads),
+    f"""with {SQL_PAGE_QUADS}, q as (select *, r - l > b - t or (r - l = b - t and turn % 2 = 0) as across, length(text) as n from page_quads),
     c as (select *, unnest(range(n)) as i, case when across then r - l else b - t end as len, greatest(4.0, (case when across then r - l else b - t end) / n) / 2 as half from q),
     p as (select *, case when across then l + len * ((i + 0.5) / n) else (l + r) / 2.0 end as cx, case when across then (t + b) / 2.0 else t + len * ((i + 0.5) / n) end as cy from c)
     select page_id, item, i as cell_no, cast(floor(cx - half + 0.5) as bigint) as x1, cast(floor(cy - half + 0.5) as bigint) as y1,
@@ -380,7 +383,7 @@ def dedupe_items(spark: SparkSession, sf: str) -> DataFrame:
     "page_reading_order",
     f"""with {SQL_SHEET_ITEMS}, i as (select *, (y2 - y1) > (x2 - x1) * 1.3 and length(text) > 1 as tall from sheet_items),
     m as (select page_id, tall, percentile_disc(0.5) within group (order by case when tall then x2 - x1 else y2 - y1 end desc) as ext from i group by 1, 2),
-    b as (select i.*, floor((case when tall then x1 + x2 else y1 + y2 end) / 2.0 / greatest(4.0, 0.3 * ext) + 0.5) as band from i join m using (page_id, tall))
+    b as (select i.*, floor((case when tall then x1 + x2 else y1 + y2 end) / 2.0 / greatest(4.0::double, 0.3::double * ext) + 0.5) as band from i join m using (page_id, tall))
     select page_id, item, tall, row_number() over (partition by page_id order by tall, case when tall then -band else band end, case when tall then y1 else x1 end, item) as position from b""",
 )
 def page_reading_order(spark: SparkSession, sf: str) -> DataFrame:
