@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.alignment import local_alignment
-from inkstone.functions.geometry import half_up, is_tall, upper_median
+from inkstone.functions.geometry import half_up, is_tall, let, upper_median
 from inkstone.functions.text import char_overlap, characters, no_space
 from inkstone.operators.boxes import dedupe_items, lattice_degenerate, page_gate, page_serve_gate, reading_order_items
 from inkstone.operators.common import first_per_key, top_per_key
 from inkstone.operators.greedy import greedy_keep
 from inkstone.operators.lexicon import map_characters
+from inkstone.session import cut_lineage
 
 GAP_MARK = "⟪[0-9]+(?:[.][0-9]+)?⟫"
 BOX_TYPE = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
@@ -154,28 +155,38 @@ def fragment_chars(items: DataFrame, dir_: Column | None = None) -> DataFrame:
     w, h = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
     m = F.greatest(F.lit(1), F.length("text"))
     mm = F.greatest(F.lit(2), m)
-    gx, gy = w / mm, h / mm
-    g = F.sqrt(w * w + h * h) / (mm + F.sqrt(F.lit(2.0)))
-    lean = F.least(F.lit(0.999), F.greatest(F.lit(0.05), (h - g) / (mm * g)))
-    column = gy >= gx * 1.3
-    clean = column & (w <= gy * 1.8)
-    leans = ~clean & (column | ((h > gx * 2.5) & (dir_ == "v")))
-    uy = F.when(clean, 1.0).when(leans, lean).otherwise(0.0)
-    ux = F.when(clean, 0.0).when(leans, F.sqrt(1 - lean * lean)).otherwise(1.0)
-    out = items.withColumn("_ux", ux).withColumn("_uy", uy)
-    out = out.withColumn("_pitch", (w * F.col("_ux") + h * F.col("_uy")) / m)
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
 
-    def cell(c: Column, k: Column) -> Column:
-        off = (k - (m - 1) / 2) * F.col("_pitch")
-        px, py, half = cx + F.col("_ux") * off, cy + F.col("_uy") * off, F.col("_pitch") / 2
-        return F.struct(c.alias("char"), _square(px, py, half).alias("box"), F.lit(True).alias("anchored"))
-
-    return (
-        out.withColumn("chars", F.transform(characters(F.col("text")), cell).cast(CHAR_TYPE))
-        .withColumn("angle", half_up(F.degrees(F.atan2("_uy", "_ux"))).cast("int"))
-        .drop("_ux", "_uy", "_pitch")
-    )
+    def shaped(g: Column) -> Column:
+        lean = F.least(F.lit(0.999), F.greatest(F.lit(0.05), (h - g) / (mm * g)))
+        column = h / mm >= w / mm * 1.3
+        clean = column & (w <= h / mm * 1.8)
+        leans = column | ((h > w / mm * 2.5) & (dir_ == "v"))
+        return F.struct(F.when(clean, "down").when(leans, "lean").otherwise("row").alias("shape"), lean.alias("lean"))
+
+    def axes(v: Column) -> Column:
+        ux = F.when(v.shape == "down", 0.0).when(v.shape == "lean", F.sqrt(1 - v.lean * v.lean)).otherwise(1.0)
+        uy = F.when(v.shape == "down", 1.0).when(v.shape == "lean", v.lean).otherwise(0.0)
+        return F.struct(ux.alias("ux"), uy.alias("uy"))
+
+    def pitched(v: Column) -> Column:
+        return F.struct(v.ux.alias("ux"), v.uy.alias("uy"), ((w * v.ux + h * v.uy) / m).alias("pitch"))
+
+    def placed(v: Column) -> Column:
+        def cell(c: Column, k: Column) -> Column:
+            off = (k - (m - 1) / 2) * v.pitch
+            box = _square(cx + v.ux * off, cy + v.uy * off, v.pitch / 2)
+            return F.struct(c.alias("char"), box.alias("box"), F.lit(True).alias("anchored"))
+
+        return F.struct(
+            F.transform(characters(F.col("text")), cell).cast(CHAR_TYPE).alias("chars"),
+            half_up(F.degrees(F.atan2(v.uy, v.ux))).cast("int").alias("angle"),
+        )
+
+    value = F.sqrt(w * w + h * h) / (mm + F.sqrt(F.lit(2.0)))
+    for stage in (shaped, axes, pitched, placed):
+        value = let(value, stage)
+    return items.withColumn("_f", value).select("*", "_f.chars", "_f.angle").drop("_f")
 
 
 def _square(px: Column, py: Column, half: Column) -> Column:
@@ -307,9 +318,10 @@ def place_lines(groups: DataFrame, seats: DataFrame) -> DataFrame:
 
 def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map: DataFrame | None = None) -> dict[str, DataFrame]:
     """``lines`` (fragment lines, then seated and loose lines), ``dropped`` and ``degenerate`` pages."""
-    keep = dedupe_items(with_norm(items, "text", script_map))
+    # kept fragments, windows and fragment lines are each read several times below
+    keep = cut_lineage(dedupe_items(with_norm(items, "text", script_map)))
     lines = with_norm(read_answers(answers), "clean", script_map)
-    windows = align_pairs(keep, lines)
+    windows = cut_lineage(align_pairs(keep, lines))
     improved = improve_fragments(keep, lines, windows)
     ordered = reading_order_items(keep, single_tall=True).join(improved, ["page_id", "item"], "left")
     ordered = ordered.withColumn("text", F.coalesce("improved", "text"))
@@ -325,12 +337,13 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
         F.lit(False).alias("inferred"),
         F.array().cast("array<struct<at_char:int,widths:double>>").alias("gaps"),
     )
+    fragments = cut_lineage(fragments)
     missing = unmatched_lines(lines, windows)
     lattice = lattice_degenerate(keep, missing)
     usable = missing.join(lattice.filter("not degenerate").select("page_id"), "page_id", "left_semi")
     grouped = group_variant_lines(usable)
     w = Window.partitionBy("page_id").orderBy("line")
-    groups = grouped.filter("first").withColumn("group", F.row_number().over(w))
+    groups = cut_lineage(grouped.filter("first").withColumn("group", F.row_number().over(w)))
     placed = place_lines(groups, seat_in_gaps(fragments, groups, dims))
     return {
         "lines": fragments.unionByName(placed),

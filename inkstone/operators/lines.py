@@ -20,6 +20,7 @@ from inkstone.functions.geometry import (
 from inkstone.functions.text import char_overlap, characters, has_han, no_space
 from inkstone.operators.common import connected_components, split_by_size, top_per_key
 from inkstone.operators.greedy import greedy_keep
+from inkstone.session import cut_lineage
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -172,6 +173,33 @@ def _chain_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=pdf.columns)
 
 
+def _pages_with_tail(vectors: DataFrame, cell: int = 64) -> DataFrame:
+    """Pages where some line already continues another; on the others nothing ever merges."""
+    dx, dy = F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy")
+    rows = vectors.select(
+        "page_id", "item", "fx", "fy", "tx", "ty", F.atan2(dy, dx).alias("turn"),
+        (0.8 * F.sqrt(dx * dx + dy * dy) / F.greatest(F.lit(1), F.length("text"))).alias("reach"),
+    )
+
+    def span(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / cell), F.floor((F.col(c) + F.col("reach")) / cell)))
+
+    ends = rows.withColumn("cx", span("tx")).withColumn("cy", span("ty"))
+    starts = rows.select(
+        "page_id", F.col("item").alias("b"), F.col("fx").alias("bx"), F.col("fy").alias("by"), F.col("turn").alias("b_turn"),
+        F.floor(F.col("fx") / cell).alias("cx"), F.floor(F.col("fy") / cell).alias("cy"),
+    )
+    off = F.abs(F.degrees(F.col("turn") - F.col("b_turn")))
+    return (
+        ends.join(starts, ["page_id", "cx", "cy"])
+        .filter(F.col("item") != F.col("b"))
+        .filter(F.sqrt(F.pow(F.col("bx") - F.col("tx"), 2) + F.pow(F.col("by") - F.col("ty"), 2)) <= F.col("reach"))
+        .filter(F.least(off, 360 - off) <= 15)
+        .select("page_id")
+        .distinct()
+    )
+
+
 def chain_continuations(lines: DataFrame) -> DataFrame:
     """Tails that start where a line ends, in its direction, are appended to it.
 
@@ -190,6 +218,7 @@ def chain_continuations(lines: DataFrame) -> DataFrame:
         cell = F.floor(F.col(c) / F.col("_r"))
         return F.explode(F.sequence(cell - 1, cell + 1))
 
+    placed = placed.join(_pages_with_tail(vectors), "page_id", "left_semi")
     ends = placed.select("page_id", F.col("item").alias("a"), "tx", "ty", "_r").withColumn("cx", around("tx")).withColumn("cy", around("ty"))
     starts = placed.select(
         "page_id", F.col("item").alias("b"), F.col("fx").alias("bx"), F.col("fy").alias("by"),
@@ -198,10 +227,11 @@ def chain_continuations(lines: DataFrame) -> DataFrame:
     near = ends.join(starts, ["page_id", "cx", "cy"]).filter("a <> b").filter(
         F.sqrt(F.pow(F.col("bx") - F.col("tx"), 2) + F.pow(F.col("by") - F.col("ty"), 2)) <= F.col("_r")
     )
-    edges = near.select("page_id", "a", "b")
+    edges = cut_lineage(near.select("page_id", "a", "b"))
     touched = edges.select("page_id", F.explode(F.array("a", "b")).alias("item")).distinct()
     apart = lines.join(touched, ["page_id", "item"], "left_anti").select("page_id", *_CHAIN)
     close = lines.join(touched, ["page_id", "item"], "left_semi").select("page_id", *_CHAIN)
+    close = cut_lineage(close)
     small, large = split_by_size(close, "page_id")
     fields = ", ".join(f"{c} {close.schema[c].dataType.simpleString()}" for c in ["page_id", *_CHAIN])
     merged = small.groupBy("page_id").applyInPandas(_chain_group, fields)

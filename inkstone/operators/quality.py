@@ -98,11 +98,10 @@ def regression_gate(lines: DataFrame, expected: DataFrame) -> DataFrame:
     ``lines`` has page_id, text and vector ends; ``expected`` has page_id, w, h,
     min_blocks, max_dupes and baseline (null when there is none).
     """
-    xs, ys = (F.greatest, F.least), ("x", "y")
     aggregates = [F.count("*").alias("blocks"), (F.count("*") - F.count_distinct("text")).alias("dupes")]
-    for axis in ys:
-        aggregates.append(F.max(xs[0](f"f{axis}", f"t{axis}")).alias(f"max_{axis}"))
-        aggregates.append(F.min(xs[1](f"f{axis}", f"t{axis}")).alias(f"min_{axis}"))
+    for axis in ("x", "y"):
+        aggregates.append(F.max(F.greatest(f"f{axis}", f"t{axis}")).alias(f"max_{axis}"))
+        aggregates.append(F.min(F.least(f"f{axis}", f"t{axis}")).alias(f"min_{axis}"))
     rows = expected.join(lines.groupBy("page_id").agg(*aggregates), "page_id", "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("dupes", F.coalesce("dupes", F.lit(0)))
     far = F.greatest("w", "h") * 1.1
@@ -114,7 +113,10 @@ def regression_gate(lines: DataFrame, expected: DataFrame) -> DataFrame:
             F.when(F.col("dupes") > F.col("max_dupes"), F.lit("duplicates")),
             F.when(out, F.lit("out of bounds")),
             F.when(cover < 0.25, F.lit("collapsed")),
-            F.when(F.col("blocks") < F.greatest("min_blocks", F.floor(F.col("baseline") * 0.7)), F.lit("below baseline")),
+            F.when(
+                F.col("baseline").isNotNull() & (F.col("blocks") < F.greatest("min_blocks", F.floor(F.col("baseline") * 0.7))),
+                F.lit("below baseline"),
+            ),
         )
     )
     return rows.select("page_id", "blocks", "dupes", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) == 0).alias("passes"))

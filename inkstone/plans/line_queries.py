@@ -12,8 +12,8 @@ from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, SQL_SHEET_ITEMS
 
 # Answers on the 0-1000 grid: all with a vector, some with a box as well, some with only a box.
 RAW = """raw as (
-  select page_id, item, text, l_partkey % 4 as kind, x1 * 3.0 - 40 as ax, y1 * 5.0 as ay, x2 * 3.0 - 40 as bx,
-         y1 * 5.0 + (l_partkey % 7) * 40 as by, x1 * 3.0 as c1, y1 * 5.0 as c2, x2 * 3.0 as c3, y2 * 5.0 as c4 from page_items)"""
+  select page_id, item, text, l_partkey % 4 as kind, x1 * 3.0 - 40 as gx0, y1 * 5.0 as gy0, x2 * 3.0 - 40 as gx1,
+         y1 * 5.0 + (l_partkey % 7) * 40 as gy1, x1 * 3.0 as c1, y1 * 5.0 as c2, x2 * 3.0 as c3, y2 * 5.0 as c4 from page_items)"""
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,20 +33,20 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "vector_lines",
     f"""with {SQL_PAGE_ITEMS}, {RAW},
-    v as (select *, kind < 3 and least(ax, ay, bx, by) >= -60 and greatest(ax, ay, bx, by) <= 1060 as vec, sqrt(power(bx - ax, 2) + power(by - ay, 2)) as len from raw),
-    k as (select *, floor(degrees(atan2(by - ay, bx - ax)) + 0.5) as raw_angle from v where (vec and len >= 3) or (not vec and kind > 0)),
+    v as (select *, kind < 3 and least(gx0, gy0, gx1, gy1) >= -60 and greatest(gx0, gy0, gx1, gy1) <= 1060 as vec, sqrt(power(gx1 - gx0, 2) + power(gy1 - gy0, 2)) as len from raw),
+    k as (select *, floor(degrees(atan2(gy1 - gy0, gx1 - gx0)) + 0.5) as raw_angle from v where (vec and len >= 3) or (not vec and kind > 0)),
     a as (select *, case when not vec then null when length(text) = 1 or abs(raw_angle) <= 20 then 0.0 when raw_angle between 70 and 110 then 90.0 when raw_angle between -110 and -70 then -90.0 else raw_angle end as angle from k where trim(text) <> '')
     select page_id, item, trim(text) as text, angle, vec and kind > 0 as fused,
-           cast(floor(case when not vec then c1 when kind > 0 then c1 * 0.9 else floor(least(ax, bx) * 0.9 - pad + 0.5) end + 0.001) as bigint) as left_edge,
+           case when not (vec and kind = 0) then cast(floor(case when not vec then c1 else c1 * 0.9 end + 0.001) as bigint) end as left_edge,
            case when vec then case when abs(angle) > 45 then 'v' else 'h' end else 'v' end as dir
-    from (select *, sqrt(power((bx - ax) * 0.9, 2) + power((by - ay) * 0.7, 2)) / greatest(1, length(trim(text))) * 0.5 as pad from a)""",
+    from (select *, sqrt(power((gx1 - gx0) * 0.9, 2) + power((gy1 - gy0) * 0.7, 2)) / greatest(1, length(trim(text))) * 0.5 as pad from a)""",
 )
 def vector_lines(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw(spark, sf)
     lines = ln.vector_lines(raw).join(raw.select("page_id", "item", F.col("box").isNotNull().alias("_b")), ["page_id", "item"])
     return lines.select(
         "page_id", "item", "text", "angle", (F.col("angle").isNotNull() & F.col("_b")).alias("fused"),
-        F.floor(F.col("x1") + 0.001).alias("left_edge"), "dir",
+        F.when(F.col("_b"), F.floor(F.col("x1") + 0.001)).alias("left_edge"), "dir",
     )
 
 
@@ -191,7 +191,7 @@ def trend_insert(spark: SparkSession, sf: str) -> DataFrame:
        from page_items where l_partkey % 5 > 0 and length(text) >= 3 and l_partkey % 2 = 0),
     m as (select page_id, angle >= 45 as vertical, percentile_disc(0.5) within group (order by angle desc) as na, percentile_disc(0.5) within group (order by pitch desc) as np from l group by 1, 2),
     r as (select page_id, item as rec, x1, y1, x2, y2, length(text) as n, y2 - y1 >= x2 - x1 as vertical, case when y2 - y1 >= x2 - x1 then 90.0 else 0.0 end as axis from page_items where l_partkey % 2 = 1)
-    select page_id, rec, case when abs((na - axis + 540) % 360 - 180) <= 15 then na * 1.0 else axis end as angle,
+    select page_id, rec, case when abs((na - axis + 540) % 360 - 180) <= 15 then na * 1.0::double else axis::double end as angle,
            round(greatest(30.0, coalesce(np, case when vertical then y2 - y1 else x2 - x1 end / greatest(1, n))), 4) as pitch
     from r left join m using (page_id, vertical)""",
 )

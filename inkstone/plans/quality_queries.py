@@ -7,21 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkstone.operators import quality as ql
 from inkstone.plans.log_queries import MIXED, mixed
 from inkstone.plans.registry import query
-from inkstone.plans.text_queries import TURNS, turns
-from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, latin_words, page_items, page_lines, sql_han, spelled, sql_spelled, table, to_han
-
-# Two engines read the opening sentence of each turn: one swaps letters, one drops them.
-READS = f"""reads as (
-  select id, 'swap' as engine, {sql_han("replace(text, 'e', 'a')")} as got, {sql_han('text')} as truth, turn * 10.0 as ms from turns
-  union all select id, 'drop', {sql_han("replace(text, 'n', '')")}, {sql_han('text')}, turn * 7.0 from turns),
-rates as (select id, engine, ms, case when length(t) > 0 then round(levenshtein(g, t) / length(t), 6) else 1.0 end as cer from (
-  select *, regexp_replace(got, '[^㐀-鿿豈-﫿]', '', 'g') as g, regexp_replace(truth, '[^㐀-鿿豈-﫿]', '', 'g') as t from reads))"""
-
+from inkstone.plans.text_queries import turns
+from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, latin_words, page_items, page_lines, spelled, table, to_han
 
+# Two engines read each turn: one swaps letters, one drops them.
 def _rates(spark: SparkSession, sf: str) -> DataFrame:
     t = turns(spark, sf)
-    swap = t.select("id", F.lit("swap").alias("engine"), to_han(F.replace("text", F.lit("e"), F.lit("a"))).alias("got"), to_han(F.col("text")).alias("truth"), (F.col("turn") * 10.0).alias("ms"))
-    drop = t.select("id", F.lit("drop").alias("engine"), to_han(F.replace("text", F.lit("n"), F.lit(""))).alias("got"), to_han(F.col("text")).alias("truth"), (F.col("turn") * 7.0).alias("ms"))
+    swap = t.select("id", F.lit("swap").alias("engine"), to_han(F.replace(F.lower("text"), F.lit("e"), F.lit("a"))).alias("got"), to_han(F.col("text")).alias("truth"), (F.col("turn") * 10.0).alias("ms"))
+    drop = t.select("id", F.lit("drop").alias("engine"), to_han(F.replace(F.lower("text"), F.lit("n"), F.lit(""))).alias("got"), to_han(F.col("text")).alias("truth"), (F.col("turn") * 7.0).alias("ms"))
     return ql.cer(swap.unionByName(drop))
 
 
