@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from inkstone.plans.catalog import QUERIES
@@ -60,6 +61,7 @@ def main() -> None:
         # the noop sink runs the whole plan and keeps every output column
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": folder.rsplit("sf", 1)[-1]}))
     spark.stop()

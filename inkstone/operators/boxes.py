@@ -405,25 +405,23 @@ def char_cells(quads: DataFrame, n: str = "n") -> DataFrame:
         start, end = F.when(swap, v.t).otherwise(v.s), F.when(swap, v.s).otherwise(v.t)
         return F.struct(start.alias("s"), (end.x - start.x).alias("dx"), (end.y - start.y).alias("dy"))
 
-    def cells(v: Column) -> Column:
-        length = F.sqrt(v.dx * v.dx + v.dy * v.dy)
-
-        def cell(i: Column) -> Column:
-            along = (i + 0.5) / F.col(n)
-            half = F.greatest(F.lit(4.0), length / F.col(n)) / 2
-            cx, cy = v.s.x + v.dx * along, v.s.y + v.dy * along
-            return F.struct(
-                half_up(cx - half).cast("long").alias("x1"),
-                half_up(cy - half).cast("long").alias("y1"),
-                half_up(cx + half).cast("long").alias("x2"),
-                half_up(cy + half).cast("long").alias("y2"),
-            )
-
-        return F.when((length >= 1) & (F.col(n) >= 1), F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell))
-
-    made = let(let(let(F.col("pts"), ends), directed), cells)
+    q = q.withColumn("_v", let(let(F.col("pts"), ends), directed))
+    long_enough = F.pow("_v.dx", 2) + F.pow("_v.dy", 2) >= 1
     # explode drops quads without cells; a filter here would repeat the whole measure
-    return q.select("page_id", "item", F.posexplode(made).alias("cell_no", "_c")).select("page_id", "item", "cell_no", "_c.*")
+    numbers = F.when(long_enough & (F.col(n) >= 1), F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.select("page_id", "item", F.col(n).alias("_n"), "_v", F.explode(numbers).alias("cell_no"))
+    dx, dy, along = F.col("_v.dx"), F.col("_v.dy"), (F.col("cell_no") + 0.5) / F.col("_n")
+    half = F.greatest(F.lit(4.0), F.sqrt(dx * dx + dy * dy) / F.col("_n")) / 2
+    cx, cy = F.col("_v.s.x") + dx * along, F.col("_v.s.y") + dy * along
+    return q.select(
+        "page_id",
+        "item",
+        "cell_no",
+        half_up(cx - half).cast("long").alias("x1"),
+        half_up(cy - half).cast("long").alias("y1"),
+        half_up(cx + half).cast("long").alias("x2"),
+        half_up(cy + half).cast("long").alias("y2"),
+    )
 
 
 def flag_read_length(length: Column, expected: Column) -> Column:

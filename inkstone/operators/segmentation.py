@@ -16,6 +16,11 @@ def cut_runs(texts: DataFrame, key: str, column: str) -> DataFrame:
     return texts.select(key, F.posexplode(runs).alias("run_no", "run")).withColumn("han", F.col("run").rlike(HAN))
 
 
+def han_runs(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """The Han runs alone, one row each, where order and separators do not matter."""
+    return texts.select(key, F.explode(F.regexp_extract_all(column, F.lit(f"{HAN}+"), F.lit(0))).alias("run"))
+
+
 def _walk(longest: Column, entry: Column) -> Column:
     """Token starts inside one chunk when the walk enters at ``entry``, and where it leaves."""
     start = F.struct(entry.cast("int").alias("next"), F.array().cast("array<int>").alias("starts"))
@@ -108,7 +113,7 @@ def segment(texts: DataFrame, words: DataFrame, key: str, column: str, max_len:
     run, so runs are independent; equal runs are segmented once.
     """
     runs = cut_runs(texts, key, column)
-    done = segment_runs(runs.filter("han").select("run").distinct(), words, max_len, chunk)
+    done = segment_runs(han_runs(texts, key, column).select("run").distinct(), words, max_len, chunk)
     han = (
         runs.filter("han")
         .join(done, "run")

@@ -116,7 +116,7 @@ def to_traditional(spark: SparkSession, sf: str) -> DataFrame:
 )
 def segment_longest(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", to_han(F.col("text")).alias("text"))
-    runs = sg.cut_runs(docs, "doc_id", "text").filter("han").groupBy("run").agg(F.count("*").alias("n"))
+    runs = sg.han_runs(docs, "doc_id", "text").groupBy("run").agg(F.count("*").alias("n"))
     words = lexicon(spark, sf).select(F.col("traditional").alias("word"))
     done = sg.segment_runs(runs.select("run"), words)
     return done.join(runs, "run").select("run", F.array_join("tokens", "|").alias("tokens"), "n")
