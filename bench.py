@@ -23,9 +23,7 @@ HEADLINE = [
     "to_traditional",
     "segment_longest",
     "known_rate",
-    "annotate_readings",
     "split_syllables",
-    "resolve_queries",
     "keyword_tags",
     "page_gate",
     "overlap_pairs",

@@ -185,7 +185,7 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
     y1 = (F.col("l_suppkey") * 53 + F.col("l_linenumber") * 41) % 120
     return li.join(part, "l_partkey").select(
         F.col("l_orderkey").alias("page_id"),
-        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("item"),
+        F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")).alias("item"),
         x1.alias("x1"),
         y1.alias("y1"),
         (x1 + 20 + 4 * F.col("l_quantity").cast("bigint")).alias("x2"),
@@ -206,7 +206,7 @@ def sheet_items(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_PAGE_ITEMS = """
 page_items as (
-  select l_orderkey as page_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as item,
+  select l_orderkey as page_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint)) as item,
          (l_partkey * 37) % 240 as x1, (l_suppkey * 53 + l_linenumber * 41) % 120 as y1,
          (l_partkey * 37) % 240 + 20 + 4 * cast(l_quantity as bigint) as x2,
          (l_suppkey * 53 + l_linenumber * 41) % 120 + 24 + 4 * (l_partkey % 5) as y2,
