@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,27 @@ def session(master: str | None = None, app: str = "inkstone", **extra: str) -> S
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context.
+
+    Functions given to Spark refer to the package by name, and a worker need not see the folder
+    that the driver imported it from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_inkstone_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="inkstone-package-"), "inkstone.zip")
+    with zipfile.ZipFile(bundle, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("inkstone", os.path.relpath(path, top)))
+    context.addPyFile(bundle)
+    context._inkstone_shipped = True
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Point the context at the cluster's checkpoint folder.
 
