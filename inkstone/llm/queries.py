@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkstone.llm import bpe, packing, token_counts
+from inkstone.llm import bpe, embedding_dedup, packing, simhash, token_counts
 from inkstone.llm.common import table
 from inkstone.llm.registry import ORACLES, QUERIES, query
 
@@ -21,6 +21,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+SQL_EMBEDDINGS = """
+with recursive
+usable as (
+  select row_number() over (order by vec_id) as r, vec_id, label, cast(embedding as double[]) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.r as a, b.r as b, b.vec_id as other
+  from usable a join usable b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (
+  select r as a, r as b from usable
+  union
+  select reach.a, links.b from reach join links on links.a = reach.b),
+least as (select reach.a, min(u.vec_id) as component_id from reach join usable u on u.r = reach.b group by 1),
+counts as (select a, count(*) as n from links group by 1)
+select u.vec_id, coalesce(n, 0) as n_links, component_id, u.vec_id is not distinct from component_id as kept
+from usable u join least on least.a = u.r left join counts on counts.a = u.r
+union all
+select vec_id, 0, vec_id, true from embeddings e
+where label is null or embedding is null or len(list_filter(embedding, lambda x: x is null or not isfinite(x))) > 0
+   or len(list_filter(embedding, lambda x: x <> 0)) = 0
+"""
+
+
+@query("op1_embedding_dedup", SQL_EMBEDDINGS)
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
