@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkstone.llm import bpe, embedding_dedup, packing, simhash, token_counts
+from inkstone.llm import bpe, embedding_dedup, language_model, packing, simhash, token_counts
 from inkstone.llm.common import table
 from inkstone.llm.registry import ORACLES, QUERIES, query
 
@@ -62,6 +62,11 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score(table(spark, sf, "documents"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
