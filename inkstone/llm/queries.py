@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkstone.llm import bpe, embedding_dedup, language_model, packing, simhash, token_counts
+from inkstone.llm import bpe, embedding_dedup, language_model, packing, quality, sharding, simhash, token_counts, toxicity
 from inkstone.llm.common import table
 from inkstone.llm.registry import ORACLES, QUERIES, query
 
@@ -75,3 +75,32 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+SQL_SHARDS = """
+with h as (
+  select doc_id, strlen(coalesce(text, '')) as bytes,
+         lpad(bin(cast('0x' || left(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 15) as bigint)), 60, '0') as bits
+  from documents),
+spread as (select doc_id, bytes, bits, cast(d as int) as depth, left(bits, cast(d as int)) as shard from h, range(0, 61) t(d)),
+sums as (select depth, shard, sum(bytes) as shard_bytes, count(*) as n from spread group by 1, 2)
+select doc_id, bytes, depth, shard, cast(shard_bytes as bigint) as shard_bytes
+from spread join sums using (depth, shard)
+where shard_bytes <= 1048576 or n = 1
+qualify row_number() over (partition by doc_id, bits order by depth) = 1
+"""
+
+
+@query("op8_sharding", SQL_SHARDS)
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"), 1 << 20).drop("text_hash")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents")).select("doc_id", "quality.*")
