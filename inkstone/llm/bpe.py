@@ -24,7 +24,7 @@ from inkstone.llm.common import Cached, slices, whole_text
 #: Fixed value: the pre-token pattern of the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1 << 40)
-CRAMPED = re.compile(r"\s\s|^\s|\s$")
+CRAMPED = re.compile(r"\s\s")
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -36,17 +36,22 @@ def byte_letters() -> list[str]:
     return [letters[b] if b in letters else chr(next(spare)) for b in range(256)]
 
 
-def units_of(text: str) -> list[str]:
-    """Pieces of a text, each encoded by itself: cuts lie before a space between two other characters.
+def cuts_of(text: str) -> list[str]:
+    """Pieces of a text between the single spaces that no pre-token crosses; each but the first starts with that space.
 
-    The pattern never joins such a space to what precedes it, and what precedes ends in no space.
+    The space lies between two other characters. The pattern joins it to what follows, never to what
+    precedes, and what precedes ends in no space.
     """
+    if CRAMPED.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return INNER_SPACE.split(text)
+    return text.split(" ")
+
+
+def units_of(text: str) -> list[str]:
+    """The pieces with their spaces, each encoded by itself."""
     if not text:
         return []
-    if CRAMPED.search(text) is None:
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-    first, *rest = INNER_SPACE.split(text)
+    first, *rest = cuts_of(text)
     return [first, *map(" ".__add__, rest)]
 
 
@@ -78,6 +83,9 @@ class Encoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
 
+    def spelled(self, i: int) -> bytes:
+        return self.letters[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
+
     def rank(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Rank of the pair that starts at each symbol; NO_RANK at the end of a word or if it doesn't merge."""
         key = (symbols << 32) | np.append(symbols[1:], 0)

@@ -77,3 +77,23 @@ class Cached:
         if fresh:
             self.young.update(zip(fresh, self.compute(fresh)))
         return self.young
+
+
+class Memo(dict):
+    """A table that computes what it lacks, kept in two generations of bounded size."""
+
+    def __init__(self, compute: Callable[[str], object], limit: int = 600_000, fixed: dict | None = None):
+        super().__init__(fixed or {})
+        self.compute, self.fixed, self.old = compute, fixed or {}, {}
+        self.limit = limit + len(self.fixed)
+
+    def __missing__(self, key: str):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.fixed)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value

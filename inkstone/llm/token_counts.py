@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inkstone.llm.common import Cached, slices, whole_text
+from inkstone.llm.common import Memo, slices, whole_text
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -44,24 +44,21 @@ def model_of(path: str):
     return model
 
 
-def lengths_of(path: str, keys: list[str]) -> list[int]:
-    """Number of tokens of each pre-token; the empty one is a lone mark."""
-    model = model_of(path)
-    return [len(ids) if key else 1 for key, ids in zip(keys, model.encode(keys, num_threads=1))]
+def length_of(path: str, key: str) -> int:
+    """Number of tokens of a pre-token; the empty one is a lone mark."""
+    return len(model_of(path).encode(key)) if key else 1
 
 
-_caches: dict = {}
+_held: dict = {}
 
 
-def cache_of(path: str, frequent) -> Cached:
-    """The worker's cache, kept between the tasks of one query."""
-    if frequent is None:
-        return Cached(lambda keys: lengths_of(path, keys))
-    if _caches.get("of") != (path, frequent.id):
+def lookup_of(path: str, frequent: Frequent) -> Memo:
+    """The worker's two tiers, kept between the tasks of one query."""
+    if _held.get("of") != (path, frequent.id):
         packed, sizes = frequent.value
         fixed = dict(zip(packed.split(MARK), sizes)) if sizes else {}
-        _caches.update(of=(path, frequent.id), cache=Cached(lambda keys: lengths_of(path, keys), fixed=fixed))
-    return _caches["cache"]
+        _held.update(of=(path, frequent.id), table=Memo(lambda key: length_of(path, key), fixed=fixed))
+    return _held["table"]
 
 
 class Frequent:
@@ -100,7 +97,7 @@ def frequent_lengths(docs: DataFrame, path: str, per_task: int = 4096, kept: int
             if len(seen) > most:
                 seen = Counter(dict(seen.most_common(4 * per_task)))
         top = [(k, n) for k, n in seen.most_common(per_task) if len(k) <= 64]
-        sizes = lengths_of(path, [k for k, _ in top]) if top else []
+        sizes = [length_of(path, k) for k, _ in top]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in top], type=pa.string()), pa.array([n for _, n in top], type=pa.int64()), pa.array(sizes, type=pa.int64())],
             names=["key", "n", "size"],
@@ -122,11 +119,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     frequent = frequent_lengths(docs, path, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_of(path, frequent)
+        size = lookup_of(path, frequent).__getitem__
         for batch in slices(batches):
-            keys = [pretokens(t) for t in batch.column(1).to_pylist()]
-            known = cache.ready(keys)
-            counts = [sum(map(known.__getitem__, ks)) for ks in keys]
+            counts = [sum(map(size, pretokens(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, type=pa.int64())], names=["id", "n_bytes", "n_tokens"]
             )
