@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkstone.llm import bpe, embedding_dedup, language_model, packing, quality, sharding, simhash, token_counts, toxicity
+from inkstone.llm import bpe, embedding_dedup, language_model, packing, pii, quality, sharding, simhash, token_counts, toxicity
 from inkstone.llm.common import table
 from inkstone.llm.registry import ORACLES, QUERIES, query
 
@@ -51,6 +51,12 @@ def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pii.find(docs, pii.detector_for(docs))
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
