@@ -79,30 +79,30 @@ def common_counts(words: Column, lang: Column) -> Column:
     return let(some, lambda s: F.transform(common_list(lang), lambda c: F.size(F.filter(s, lambda x: x == c)).cast("bigint")))
 
 
-def measures(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
-    """``docs`` with a column ``m``, or that with underscores: the counts of each text and its two histograms."""
+def measures(docs: DataFrame, text: Column, lang: Column, repeats: bool = True) -> DataFrame:
+    """``docs`` with a column ``m``, or that with underscores: the counts of each text; without ``repeats`` those for its histograms."""
     name = free_name(docs, "m")
+    none = F.lit(0).cast("bigint")
 
     def counts(w: Column) -> Column:
         chars = F.length(F.array_join(w, ""))
         return F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             chars.cast("bigint").alias("word_chars"),
-            repeat_words(w).alias("n_repeat_words"),
+            (repeat_words(w) if repeats else none).alias("n_repeat_words"),
             common_counts(w, lang).alias("common"),
         )
 
-    first = docs.withColumn(
+    return docs.withColumn(
         name,
         F.struct(
             let(words_of(text), counts).alias("w"),
             F.length(text).cast("bigint").alias("n_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-            duplicate_lines(text).alias("n_dup_lines"),
+            (duplicate_lines(text) if repeats else none).alias("n_dup_lines"),
             F.array(*[F.regexp_count(text, F.lit(p)).cast("bigint") for p in CLASSES.values()]).alias("classes"),
         ),
     )
-    return first
 
 
 def histogram(counts: Column, total: Column) -> Column:
@@ -128,20 +128,22 @@ def histograms(m: Column) -> tuple[Column, Column]:
 
 
 def references(docs: DataFrame, text: Column, lang: Column, min_words: int) -> DataFrame:
-    """(ref_lang, ref_chars, ref_words): mean histograms of the sound texts of each language, over the whole table.
+    """(ref_lang, ref_chars, ref_words): mean histograms of the texts of each language, over the whole table.
 
-    Texts that fail the base rules or have under ``min_words`` words take no part.
+    Texts of under ``min_words`` words take no part.
     """
-    measured = measures(docs.select(text.alias("text"), lang.alias("lang")), F.col("text"), F.col("lang"))
+    measured = measures(docs.select(text.alias("text"), lang.alias("lang")), F.col("text"), F.col("lang"), repeats=False)
     m = F.col("m")
     chars, words = histograms(m)
-    sound = measured.filter(~base_failed(m) & (m["w"]["n_words"] >= min_words)).select("lang", chars.alias("c"), words.alias("w"))
+    # no filter: Spark would move it below the counting and count twice
+    long_enough = m["w"]["n_words"] >= min_words
+    each = measured.select("lang", F.when(long_enough, chars).alias("c"), F.when(long_enough, words).alias("w"))
     n_chars, n_words = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
     means = [F.avg(F.get(F.col("c"), F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.avg(F.get(F.col("w"), F.lit(k))).alias(f"w{k}") for k in range(n_words)]
-    grouped = sound.groupBy("lang").agg(*means)
+    grouped = each.groupBy("lang").agg(*means)
     return grouped.select(
         F.col("lang").alias("ref_lang"),
-        F.array(*[F.col(f"c{k}") for k in range(n_chars)]).alias("ref_chars"),
+        F.array_compact(F.array(*[F.col(f"c{k}") for k in range(n_chars)])).alias("ref_chars"),
         F.array_compact(F.array(*[F.col(f"w{k}") for k in range(n_words)])).alias("ref_words"),
     )
 
@@ -185,7 +187,8 @@ def judge(
         base_failed(m).alias("base_failed"),
         far_chars.alias("char_distance"),
         far_words.alias("word_distance"),
-        (~base_failed(m) & near).alias("kept"),
+        # one case, so that no part of it is tested below the join and counted twice
+        F.when(base_failed(m), F.lit(False)).otherwise(near).alias("kept"),
     )
     out = free_name(docs, "quality")
     return joined.withColumn(out, verdict).select(*docs.columns, out)
