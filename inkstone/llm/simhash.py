@@ -145,8 +145,9 @@ def near_links(prints: DataFrame, most: int = 4, limit: int = 4096) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, fp, component_id) of every row; the component is the smallest id reachable.
+    """(id, text_hash, fp, component_id, group) of every row; the component is the smallest id reachable.
 
+    ``group`` is the smallest fingerprint reachable, which tells groups apart whatever their ids.
     Texts without words have fingerprint zero and link like any other; a null text is such a text.
     Rows that repeat an id get a row each. A null id is never the smallest; a group of null ids has a
     null component. Copies share a fingerprint, which takes part once.
@@ -156,8 +157,8 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: st
     found = components(near_links(groups, most))
     labelled = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_print = labelled.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id")
+    of_print = labelled.select("fp", "component").join(named, "component").select("fp", "component_id", F.col("component").alias("group"))
+    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id", "group")
 
 
 def keep_first(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,9 +167,8 @@ def keep_first(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: str = "
     All columns stay as they are, whatever their names; a repeated row is kept once.
     """
     found = near_duplicates(docs, most, shingle, id_col, text_col)
-    # groups of unnamed rows differ by fingerprint only
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    first = found.groupBy("component_id", group.alias("_fp")).agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("_first"))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h")))
+    first = found.groupBy("group").agg(least.alias("_first"))
     copies = found.groupBy(F.col(id_col).alias("i"), F.col("text_hash").alias("h")).agg(F.count("*").alias("_n"))
     chosen = first.select("_first.i", "_first.h").join(copies.withColumnsRenamed({"i": "ci", "h": "ch"}), F.col("i").eqNullSafe(F.col("ci")) & (F.col("h") == F.col("ch")))
     i, h, n, text_hash = (free_name(docs, x) for x in ("chosen_id", "chosen_hash", "chosen_copies", "row_hash"))
