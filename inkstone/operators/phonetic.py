@@ -19,10 +19,9 @@ from inkstone.functions.text import (
 from inkstone.operators.common import first_per_key, top_per_key
 from inkstone.operators.lexicon import IDIOM_TAG, syllable_inventory, top_chars_by_syllable, top_entries_by_headword, top_entries_by_key
 
-# Longest word in syllables, phrases kept, longest phrase.
+# Longest word in syllables, phrases kept.
 WORD_SYLLABLES = 8
 KEEP = 3
-PHRASE_SYLLABLES = 24
 
 
 def syllable_dim(inventory: DataFrame) -> DataFrame:
@@ -182,7 +181,7 @@ def _span_edges(phrases: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """Scored lattice edges: every span of up to eight syllables joined to its entries."""
     size = F.size("syllables")
     spans = (
-        phrases.filter((size > 0) & (size <= PHRASE_SYLLABLES))
+        phrases.filter(size > 0)
         .select(key, "syllables", "tones", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
         .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(WORD_SYLLABLES), size - F.col("start")))).alias("n"))
         .select(
@@ -231,9 +230,8 @@ def _span_edges(phrases: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
 def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") -> DataFrame:
     """The best chains of entries over each phrase, as (key, score, wrong, words).
 
-    A phrase has at most 24 syllables, eight spans per position and eight entries
-    per span, so its lattice fits one row; the frontier keeps three chains per
-    position. Ties: earlier start, then rank of the prefix, then entry order.
+    Eight spans per position and eight entries per span bound the lattice of a typed
+    phrase to one row; the frontier keeps three chains per position. Ties: earlier start, then rank of the prefix, then entry order.
     """
     edges = _span_edges(phrases, lexicon, key)
     word = F.struct("traditional", "simplified", "py_num", "english")

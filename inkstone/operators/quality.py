@@ -79,9 +79,12 @@ def register_leak(df: DataFrame) -> DataFrame:
 
 
 def known_phrase_recall(texts: DataFrame, phrases: DataFrame, key: str, floor: Column | None = None) -> DataFrame:
-    """Phrases (key, phrase) found in the text of the same key, against the floor of all but one."""
-    hits = phrases.join(texts, key).groupBy(key).agg(
-        F.count("*").alias("phrases"), F.count_if(F.contains("text", "phrase")).alias("found")
+    """Phrases (key, phrase) found in the text of the same key, against the floor of all but one.
+
+    A key without a text has found none of its phrases.
+    """
+    hits = phrases.join(texts, key, "left").groupBy(key).agg(
+        F.count("*").alias("phrases"), F.count_if(F.coalesce(F.contains("text", "phrase"), F.lit(False))).alias("found")
     )
     least = floor if floor is not None else F.col("phrases") - 1
     return hits.withColumn("passes", F.col("found") >= least)

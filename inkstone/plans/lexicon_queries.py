@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkstone.operators import lexicon as lx, phonetic as ph
 from inkstone.plans.registry import query
 from inkstone.plans.views import (
+    PLACE,
     SIMPLIFIED,
     SQL_DOCUMENT_WORDS,
     SQL_LEXICON,
     SQL_SENSES,
+    SQL_WORDS,
     benchmark_words,
     document_words,
     latin_words,
@@ -48,15 +50,13 @@ def lexicon_tiers(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "lexicon_union",
     f"""with {SQL_LEXICON},
-    extra as (select item_id as ord, {sql_han("regexp_extract(lower(text), '[a-z]+')")} as traditional from benchmark)
+    extra as (select item_id * {PLACE} + pos as ord, {sql_han("w")} as traditional from bench_words)
     select 0 as source, cast(ord as bigint) as ord, traditional from lexicon
     union all select 1, cast(ord as bigint), traditional from extra""",
 )
 def lexicon_union(spark: SparkSession, sf: str) -> DataFrame:
     main = lexicon(spark, sf).select("ord", "traditional")
-    extra = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("ord"), to_han(F.regexp_extract(F.lower("text"), "[a-z]+", 0)).alias("traditional")
-    )
+    extra = benchmark_words(spark, sf).select((F.col("item_id") * PLACE + F.col("pos")).alias("ord"), to_han(F.col("w")).alias("traditional"))
     return lx.union_sources(main, extra).select("ord.source", "ord.ord", "traditional")
 
 
@@ -135,7 +135,7 @@ def remap_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 # Readings per character: a letter is read after its neighbour in the word.
 READINGS = f"""letters as (
-  select item_id * 100000 + pos * 10 + i as ord, substring(w, i + 1, 1) as c, substring(w, i + 2, 1) as next from (
+  select (item_id, pos, i) as ord, substring(w, i + 1, 1) as c, substring(w, i + 2, 1) as next from (
     select item_id, pos, w, unnest(range(length(w))) as i from bench_words)),
 readings as (
   select {sql_han('c')} as char, case when next = '' then c || '0' else c || next || cast(ascii(next) % 6 + 1 as varchar) end as reading,
@@ -147,7 +147,7 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
         "item_id", "pos", "w", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i")
     )
     letters = letters.select(
-        (F.col("item_id") * 100000 + F.col("pos") * 10 + F.col("i")).alias("ord"),
+        F.struct("item_id", "pos", "i").alias("ord"),
         F.substring("w", F.col("i") + 1, F.lit(1)).alias("c"),
         F.substring("w", F.col("i") + 2, F.lit(1)).alias("next"),
     )
@@ -286,14 +286,14 @@ def idiom_verify(spark: SparkSession, sf: str) -> DataFrame:
     return lx.idiom_verify(proposals, lexicon(spark, sf), "doc_id").select("doc_id", "position", "traditional", "english", "rank")
 
 
-# Proposed definitions: the opening words of conversation turns, some of them malformed.
+# Proposed definitions: the words of conversation turns, some of them malformed.
 PROPOSED = f"""proposed as (
-  select conv_id * 1000 + turn as ord, {sql_han('w')} as word,
+  select (conv_id * 1000 + turn) * {PLACE} + pos as ord, {sql_han('w')} as word,
          case when turn % 5 = 1 then {sql_han("w || 'a'")} else {sql_han('w')} end as traditional,
          case when turn % 5 = 1 then {sql_han("w || 'a'", SIMPLIFIED)} else {sql_han('w', SIMPLIFIED)} end as simplified,
          case when conv_id % 7 = 2 then 'ni3' when conv_id % 7 = 3 then regexp_replace(SPELL, '[0-9]', '', 'g') else SPELL end as pinyin,
          case when conv_id % 11 = 4 then 'no' else 'said ' || w end as english
-  from (select conv_id, turn, regexp_extract(lower(text), '[a-z]+') as w from conversations) where w <> '')""".replace(
+  from (select conv_id, turn, unnest(ws) as w, unnest(range(len(ws))) as pos from (select conv_id, turn, {SQL_WORDS} as ws from conversations)))""".replace(
     "SPELL", "(" + __import__("inkstone.plans.views", fromlist=["sql_spelled"]).sql_spelled("w", "0") + ")"
 )
 REASON = """case when traditional <> word and simplified <> word then 'other characters'
@@ -306,13 +306,13 @@ def proposed(spark: SparkSession, sf: str) -> DataFrame:
     from inkstone.plans.views import spelled
 
     rows = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("w")
-    ).filter("w <> ''")
+        "conv_id", "turn", F.posexplode(latin_words("text")).alias("pos", "w")
+    )
     odd = F.col("turn") % 5 == 1
     longer = F.concat("w", F.lit("a"))
     spelling = spelled(F.col("w"), F.lit(0))
     return rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
+        ((F.col("conv_id") * 1000 + F.col("turn")) * PLACE + F.col("pos")).alias("ord"),
         to_han(F.col("w")).alias("word"),
         F.when(odd, to_han(longer)).otherwise(to_han(F.col("w"))).alias("traditional"),
         F.when(odd, to_han(longer, SIMPLIFIED)).otherwise(to_han(F.col("w"), SIMPLIFIED)).alias("simplified"),
@@ -343,33 +343,32 @@ def definition_merge(spark: SparkSession, sf: str) -> DataFrame:
     return lx.definition_merge(lexicon(spark, sf), proposed(spark, sf))
 
 
-UNKNOWN = """unknown as (
-  select distinct w as syllable from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents)
-  where length(w) between 3 and 6)"""
+UNKNOWN = f"""unknown as (
+  select distinct w as syllable from (select unnest({SQL_WORDS}) as w from documents))"""
 
 
 @query(
     "fuzzy_join",
     f"""with {UNKNOWN},
-    inv as (select distinct w as near from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark))
+    inv as (select distinct w as near from (select unnest({SQL_WORDS}) as w from benchmark))
     select syllable, near from unknown join inv on abs(length(syllable) - length(near)) <= 1 and levenshtein(syllable, near) <= 1
     where syllable not in (select near from inv)""",
 )
 def fuzzy_join(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(latin_words("text")).alias("syllable")).filter(F.length("syllable").between(3, 6))
+    words = table(spark, sf, "documents").select(F.explode(latin_words("text")).alias("syllable"))
     inventory = table(spark, sf, "benchmark").select(F.explode(latin_words("text")).alias("syllable")).distinct()
     unknown = words.distinct().join(inventory, "syllable", "left_anti")
     return ph.fuzzy_syllable_join(unknown, inventory)
 
 
-# Chips for each turn of a conversation: its opening word's letters are the syllables.
+# Chips for each word of a conversation: its letters are the syllables.
 @query("candidates")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     from inkstone.plans.views import spelled
 
     words = table(spark, sf, "conversations").select(
-        F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("w")
-    ).filter("w <> ''")
+        "conv_id", "turn", F.posexplode(latin_words("text")).alias("pos", "w")
+    ).select(F.concat_ws("-", "conv_id", "turn", "pos").alias("query_id"), "w")
     reading = F.regexp_replace(spelled(F.col("w"), F.lit(0)), "[0-9]", "")
     # every second syllable loses its last letter and must be found by a near spelling
     typed = F.transform(

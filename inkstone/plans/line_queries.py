@@ -52,7 +52,7 @@ def vector_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 # Repeats: short texts recur on a sheet; every fifth line has no box.
 REP = """rep as (
-  select page_id, item, substring(text, 1, 3) as text, case when l_partkey % 5 > 0 then x1 // 8 * 8 end as x1, case when l_partkey % 5 > 0 then y1 // 8 * 8 end as y1,
+  select page_id, item, text, case when l_partkey % 5 > 0 then x1 // 8 * 8 end as x1, case when l_partkey % 5 > 0 then y1 // 8 * 8 end as y1,
          case when l_partkey % 5 > 0 then x1 // 8 * 8 + 60 end as x2, case when l_partkey % 5 > 0 then y1 // 8 * 8 + 24 end as y2 from sheet_items)"""
 
 
@@ -60,7 +60,7 @@ def _repeats(spark: SparkSession, sf: str) -> DataFrame:
     boxed = F.col("l_partkey") % 5 > 0
     x, y = F.floor(F.col("x1") / 8) * 8, F.floor(F.col("y1") / 8) * 8
     return sheet_items(spark, sf).select(
-        "page_id", "item", F.substring("text", 1, 3).alias("text"),
+        "page_id", "item", "text",
         F.when(boxed, x).alias("x1"), F.when(boxed, y).alias("y1"), F.when(boxed, x + 60).alias("x2"), F.when(boxed, y + 24).alias("y2"),
     )
 

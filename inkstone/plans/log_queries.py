@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkstone.operators import log, reviews as rv, rules
 from inkstone.plans.registry import query
 from inkstone.plans.text_queries import TURNS, turns
-from inkstone.plans.views import SQL_REPLAY, latin_words, reviews, sql_han, table, to_han
+from inkstone.plans.views import SQL_REPLAY, SQL_WORDS, latin_words, reviews, sql_han, table, to_han
 
 NOW = "2024-01-20 00:00:00"
 
@@ -80,10 +80,10 @@ def owner_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "owner_join",
-    """select o_orderkey as id, c_name as user_name from orders join customer on c_custkey = o_custkey where o_orderstatus = 'P'""",
+    """select o_orderkey as id, c_name as user_name from orders join customer on c_custkey = o_custkey""",
 )
 def owner_join(spark: SparkSession, sf: str) -> DataFrame:
-    entries = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
+    entries = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
     return log.owner_join(entries, users).select("id", "user_name")
 
@@ -242,11 +242,11 @@ def append_history(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("id", "input", "result", "photo_path", "photo_w", "day")
 
 
-CLIPS = """clips as (
+CLIPS = f"""clips as (
   select trim(w) as text, case when length(w) % 2 = 0 then '1' else '0.75' end as speed, case when length(w) % 3 = 0 then 'zh-HK' else 'zh-Hant' end as voice
-  from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations)),
+  from (select unnest({SQL_WORDS}) as w from conversations)),
 keyed as (select sha256(concat_ws('|', text, speed, voice))[1:40] as key, text, speed, voice, count(*) as requests from clips group by all),
-cached as (select distinct sha256(concat_ws('|', w, '1', 'zh-Hant'))[1:40] as key from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark)),
+cached as (select distinct sha256(concat_ws('|', w, '1', 'zh-Hant'))[1:40] as key from (select unnest({SQL_WORDS}) as w from benchmark)),
 work as (select keyed.*, c.key is not null as hit from keyed left join cached c using (key))"""
 
 

@@ -8,7 +8,7 @@ from inkstone.operators import quality as ql
 from inkstone.plans.log_queries import MIXED, mixed
 from inkstone.plans.registry import query
 from inkstone.plans.text_queries import turns
-from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, latin_words, page_items, page_lines, spelled, table, to_han
+from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, SQL_LOWER, SQL_WORDS, latin_words, lowered, page_items, page_lines, spelled, table, to_han
 
 # Two engines read each turn: one swaps letters, one drops them.
 def _rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +37,7 @@ def cer_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "syllable_error",
-    f"""with w as (select distinct w from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations)),
+    f"""with w as (select distinct w from (select unnest({SQL_WORDS}) as w from conversations)),
     p as (select w, replace(w, 'e', 'a') as g from w)
     select w, round(levenshtein(g, w) / length(w), 6) as error from p""",
 )
@@ -54,7 +54,7 @@ def syllable_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "reading_accuracy",
-    f"""with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations)
+    f"""with w as (select unnest({SQL_WORDS}) as w from conversations)
     select count(*) as words, round(avg(case when length(w) % 3 = 0 or length(w) % 5 = 1 then 1 else 0 end), 6) as accuracy from w""",
 )
 def reading_accuracy(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,18 +76,21 @@ def register_leak(spark: SparkSession, sf: str) -> DataFrame:
     return ql.register_leak(turns(spark, sf).select(F.translate(F.lower("text"), "qy", "唔嘅").alias("formal"), F.translate(F.lower("text"), "xz", "啦啲").alias("casual")))
 
 
-# Phrases: the first two words of every later turn, looked for in the conversation's opening turn.
+# Phrases: every word of every later turn, looked for in the conversation's even turns.
 @query(
     "known_recall",
-    """with p as (select conv_id, regexp_extract(lower(text), '[a-z]+') as phrase from conversations where turn > 0),
-    o as (select conv_id, lower(text) as text from conversations where turn = 0)
-    select conv_id, count(*) as phrases, count(*) filter (contains(text, phrase)) as found, count(*) filter (contains(text, phrase)) >= count(*) - 1 as passes
-    from p join o using (conv_id) group by 1""",
+    f"""with p as (select conv_id, unnest({SQL_WORDS}) as phrase from conversations where turn > 0),
+    o as (select conv_id, string_agg({SQL_LOWER}, ' ' order by turn) as text from conversations where turn % 2 = 0 and conv_id % 7 <> 3 group by 1)
+    select conv_id, count(*) as phrases, count(*) filter (coalesce(contains(text, phrase), false)) as found,
+           count(*) filter (coalesce(contains(text, phrase), false)) >= count(*) - 1 as passes
+    from p left join o using (conv_id) group by 1""",
 )
 def known_recall(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations")
-    phrases = conv.filter("turn > 0").select("conv_id", F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("phrase"))
-    texts = conv.filter("turn = 0").select("conv_id", F.lower("text").alias("text"))
+    phrases = conv.filter("turn > 0").select("conv_id", F.explode(latin_words("text")).alias("phrase"))
+    said = F.array_sort(F.collect_list(F.struct("turn", lowered("text").alias("text"))))
+    # a conversation is as short as its readers' patience; every seventh has no text at all
+    texts = conv.filter("turn % 2 = 0 and conv_id % 7 <> 3").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda s: s.text), " ").alias("text"))
     return ql.known_phrase_recall(texts, phrases, "conv_id")
 
 

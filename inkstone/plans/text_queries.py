@@ -14,10 +14,13 @@ from inkstone.plans.views import (
     LETTERS,
     SIMPLIFIED,
     SQL_LEXICON,
+    SQL_LOWER,
     SQL_SENSES,
+    SQL_WORDS,
     TRADITIONAL,
     latin_words,
     lexicon,
+    lowered,
     spelled,
     sql_han,
     sql_spelled,
@@ -68,7 +71,7 @@ def turn_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TURNS = "turns as (select concat_ws('-', conv_id, turn) as id, conv_id, turn, role, text from conversations)"
-TURN_WORDS = "turn_words as (select distinct w from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations))"
+TURN_WORDS = f"turn_words as (select distinct w from (select unnest({SQL_WORDS}) as w from conversations))"
 
 
 def sql_walk(name: str, runs: str, words: str, max_len: int) -> str:
@@ -109,57 +112,58 @@ def to_traditional(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "segment_longest",
     f"""with recursive {SQL_LEXICON}, {sql_lex_words(4)},
-    counted as (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by 1),
+    counted as (select w, count(*) as n from (select unnest({SQL_WORDS}) as w from documents) group by 1),
     {sql_walk('walk', 'counted', 'lexw', 4)}
     select {sql_han('k.w')} as run, {sql_han("array_to_string(toks, '|')")} as tokens, n
     from walk k join counted using (w) where loc = length(k.w)""",
 )
 def segment_longest(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", to_han(F.col("text")).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", to_han(lowered("text")).alias("text"))
     runs = sg.han_runs(docs, "doc_id", "text").groupBy("run").agg(F.count("*").alias("n"))
     words = lexicon(spark, sf).select(F.col("traditional").alias("word"))
     done = sg.segment_runs(runs.select("run"), words)
     return done.join(runs, "run").select("run", F.array_join("tokens", "|").alias("tokens"), "n")
 
 
-def _turn_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    texts = turns(spark, sf).select("id", to_han(F.col("text")).alias("text"))
+def _doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), to_han(lowered("text")).alias("text"))
     return sg.segment_words(texts, lexicon(spark, sf), "id", "text")
 
 
-TURN_TOKENS = f"""{SQL_LEXICON}, {sql_lex_words(8)}, {TURNS}, {TURN_WORDS}, {sql_walk('walk', 'turn_words', 'lexw', 8)},
+DOC_WORDS = f"doc_words as (select distinct w from (select unnest({SQL_WORDS}) as w from documents))"
+DOC_TOKENS = f"""{SQL_LEXICON}, {sql_lex_words(8)}, {DOC_WORDS}, {sql_walk('walk', 'doc_words', 'lexw', 8)},
 cut as (select w, toks from walk where loc = length(w)),
-runs as (select id, unnest(rs) as run, unnest(range(len(rs))) as run_no from (select id, regexp_extract_all(lower(text), '[a-z]+|[^a-z]+') as rs from turns)),
-turn_tokens as (
+runs as (select id, unnest(rs) as run, unnest(range(len(rs))) as run_no from (select cast(doc_id as varchar) as id, regexp_extract_all({SQL_LOWER}, '[a-z]+|[^a-z]+') as rs from documents)),
+doc_tokens as (
   select id, run_no, unnest(toks) as w, unnest(range(len(toks))) as token_no from runs join cut on cut.w = run)"""
 
 
 @query(
     "segment_words",
-    f"with recursive {TURN_TOKENS} select id, run_no, token_no, {sql_han('w')} as token from turn_tokens",
+    f"with recursive {DOC_TOKENS} select id, run_no, token_no, {sql_han('w')} as token from doc_tokens",
 )
 def segment_words(spark: SparkSession, sf: str) -> DataFrame:
-    return _turn_tokens(spark, sf).select("id", "run_no", "token_no", "token")
+    return _doc_tokens(spark, sf).select("id", "run_no", "token_no", "token")
 
 
 CARDS = f"""cards as (
   select id, run_no, token_no, 0 as char_no, {sql_han('w')} as token, s.traditional, s.simplified, s.py_num, s.english, true as known
-  from turn_tokens join senses s on s.key = {sql_han('w')}
+  from doc_tokens join senses s on s.key = {sql_han('w')}
   union all
   select id, run_no, token_no, 0, {sql_han('w')}, coalesce(s.traditional, {sql_han('w')}), coalesce(s.simplified, {sql_han('w')}),
          coalesce(s.py_num, ''), coalesce(s.english, ''), false
-  from turn_tokens left join senses s on s.key = {sql_han('w')} where s.key is null)"""
+  from doc_tokens left join senses s on s.key = {sql_han('w')} where s.key is null)"""
 
 
 def _cards(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _turn_tokens(spark, sf).select("id", "run_no", "token_no", "token")
+    tokens = _doc_tokens(spark, sf).select("id", "run_no", "token_no", "token")
     return sg.word_cards(tokens, lexicon(spark, sf))
 
 
 # After longest match with the lexicon itself, only single characters can be unknown.
 @query(
     "word_cards",
-    f"with recursive {TURN_TOKENS}, {SQL_SENSES}, {CARDS} select id, run_no, token_no, char_no, traditional, py_num, english, known from cards",
+    f"with recursive {DOC_TOKENS}, {SQL_SENSES}, {CARDS} select id, run_no, token_no, char_no, traditional, py_num, english, known from cards",
 )
 def word_cards(spark: SparkSession, sf: str) -> DataFrame:
     return _cards(spark, sf).select("id", "run_no", "token_no", "char_no", "traditional", "py_num", "english", "known")
@@ -168,22 +172,23 @@ def word_cards(spark: SparkSession, sf: str) -> DataFrame:
 # Whole words as tokens: those the lexicon lacks fall apart into characters.
 @query(
     "word_cards_apart",
-    f"""with {SQL_LEXICON}, {SQL_SENSES}, {TURN_WORDS},
-    hits as (select {sql_han('w')} as token, 0 as char_no, s.traditional, s.py_num, true as known from turn_words join senses s on s.key = {sql_han('w')}),
+    f"""with {SQL_LEXICON}, {SQL_SENSES}, {DOC_WORDS},
+    hits as (select {sql_han('w')} as token, 0 as char_no, s.traditional, s.py_num, true as known from doc_words join senses s on s.key = {sql_han('w')}),
     apart as (select w, unnest(string_split({sql_han('w')}, '')) as c, unnest(range(length(w))) as char_no
-              from turn_words where {sql_han('w')} not in (select key from senses))
+              from doc_words where {sql_han('w')} not in (select key from senses))
     select token, char_no, traditional, py_num, known from hits
     union all
     select c, char_no, coalesce(s.traditional, c), coalesce(s.py_num, ''), s.key is not null from apart left join senses s on s.key = c""",
 )
 def word_cards_apart(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = turn_words(spark, sf).select("w", to_han(F.col("w")).alias("token"))
+    words = table(spark, sf, "documents").select(F.explode(latin_words("text")).alias("w")).distinct()
+    tokens = words.select("w", to_han(F.col("w")).alias("token"))
     return sg.word_cards(tokens, lexicon(spark, sf)).select("token", "char_no", "traditional", "py_num", "known")
 
 
 @query(
     "known_rate",
-    f"""with recursive {TURN_TOKENS}, {SQL_SENSES}, {CARDS}
+    f"""with recursive {DOC_TOKENS}, {SQL_SENSES}, {CARDS}
     select id, count(*) as tokens, count(*) filter (known) as known, round(avg(cast(known as int)), 6) as known_rate from cards group by 1""",
 )
 def known_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +197,7 @@ def known_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "phrase_rows",
-    f"""with recursive {TURN_TOKENS}, {SQL_SENSES}, {CARDS}
+    f"""with recursive {DOC_TOKENS}, {SQL_SENSES}, {CARDS}
     select id || '/' || cast(run_no as varchar) as utterance, string_agg(traditional, '' order by token_no, char_no) as traditional,
            string_agg(simplified, '' order by token_no, char_no) as simplified,
            coalesce(string_agg(nullif(py_num, ''), ' ' order by token_no, char_no), '') as py_num, count(*) as words
@@ -279,23 +284,23 @@ def annotate_cantonese(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "syllable_dim",
-    f"""with {TURN_WORDS}, dim as (select w as base, tone from turn_words, range(1, 6) t(tone) where length(w) <= 6)
+    f"""with {TURN_WORDS}, dim as (select w as base, tone from turn_words, range(1, 6) t(tone))
     select base || cast(tone as varchar) as numbered, base, tone, {sql_bopomofo('base', 'tone')} as bopomofo, {sql_marked('base', 'tone')} as marked from dim""",
 )
 def syllable_dim(spark: SparkSession, sf: str) -> DataFrame:
-    return ph.syllable_dim(turn_words(spark, sf).filter(F.length("w") <= 6).withColumnRenamed("w", "syllable"))
+    return ph.syllable_dim(turn_words(spark, sf).withColumnRenamed("w", "syllable"))
 
 
 @query(
     "bpmf_layout",
-    f"""with {TURN_WORDS}, dim as (select w as base, tone from turn_words, range(1, 6) t(tone) where length(w) <= 4),
+    f"""with {TURN_WORDS}, dim as (select w as base, tone from turn_words, range(1, 6) t(tone)),
     b as (select base, tone, {sql_bopomofo('base', 'tone')} as bopomofo from dim)
     select base, tone, bopomofo, case when bopomofo like '˙%' then '˙' else '' end as dot,
            rtrim(ltrim(bopomofo, '˙'), 'ˊˇˋ') as symbols, case when right(bopomofo, 1) in ('ˊ', 'ˇ', 'ˋ') then right(bopomofo, 1) else '' end as tone_mark
     from b""",
 )
 def bpmf_layout_query(spark: SparkSession, sf: str) -> DataFrame:
-    dim = ph.syllable_dim(turn_words(spark, sf).filter(F.length("w") <= 4).withColumnRenamed("w", "syllable"))
+    dim = ph.syllable_dim(turn_words(spark, sf).withColumnRenamed("w", "syllable"))
     return bpmf_layout(dim.select("base", "tone", "bopomofo"))
 
 
@@ -344,7 +349,7 @@ def normalize_phonetic(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "split_syllables",
     f"""with recursive {SQL_LEXICON}, {TURN_WORDS},
-    inv as (select list(distinct w) as inv from bench_words where length(w) <= 5),
+    inv as (select list(distinct w) as inv from bench_words),
     walk as (
       select w, 0 as j, [0] as cnts, [0] as starts from turn_words
       union all
@@ -364,14 +369,14 @@ def normalize_phonetic(spark: SparkSession, sf: str) -> DataFrame:
 def split_syllables(spark: SparkSession, sf: str) -> DataFrame:
     from inkstone.plans.views import benchmark_words
 
-    inventory = benchmark_words(spark, sf).filter(F.length("w") <= 5).select(F.col("w").alias("syllable")).distinct()
+    inventory = benchmark_words(spark, sf).select(F.col("w").alias("syllable")).distinct()
     split = ph.split_syllables(turn_words(spark, sf).withColumnRenamed("w", "flat"), inventory)
     return split.select("flat", F.array_join("syllables", "|").alias("syllables"))
 
 
-# Each turn's opening words up to eight letters, spelled out; odd turns type their tones.
+# Each turn's words, spelled out; odd turns type their tones.
 def phonetic_queries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = turns(spark, sf).select("id", "turn", F.explode(F.array_distinct(latin_words("text"))).alias("w")).filter(F.length("w") <= 8)
+    rows = turns(spark, sf).select("id", "turn", F.explode(F.array_distinct(latin_words("text"))).alias("w"))
     reading = spelled(F.col("w"), F.lit(1))
     typed = F.when(F.col("turn") % 2 == 1, F.replace(reading, F.lit(" "), F.lit(""))).otherwise(
         F.regexp_replace(reading, "[0-9 ]", "")

@@ -19,7 +19,13 @@ SIMPLIFIED = "爱笔车东儿飞国好一见开来们你我片钱人是天无万
 SYLLABLES = (
     "ai bi che dong er fei guo hao yi jian kai lai men ni wo pian qian ren shi tian wu wan wen xue yue zhong".split()
 )
-WORD_LIMIT = 8
+# Accented letters count as the letter below the accent, so that no word is cut at one.
+ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçß"
+UNACCENTED = "aaaaaaeeeeiiiiooooouuuuncs"
+SQL_LOWER = f"translate(lower(text), '{ACCENTED}', '{UNACCENTED}')"
+SQL_WORDS = f"regexp_extract_all({SQL_LOWER}, '[a-z]+')"
+# an entry's place: text number and word number, which never collide
+PLACE = 1 << 32
 
 SQL_SYLLABLES = "[" + ",".join(f"'{s}'" for s in SYLLABLES) + "]"
 
@@ -36,8 +42,12 @@ def sql_han(col: str, script: str = TRADITIONAL) -> str:
     return f"translate(lower({col}), '{LETTERS}', '{script}')"
 
 
+def lowered(col: str) -> Column:
+    return F.translate(F.lower(col), ACCENTED, UNACCENTED)
+
+
 def latin_words(col: str) -> Column:
-    return F.regexp_extract_all(F.lower(col), F.lit("[a-z]+"), F.lit(0))
+    return F.regexp_extract_all(lowered(col), F.lit("[a-z]+"), F.lit(0))
 
 
 def spelled(word: Column, shift: Column) -> Column:
@@ -60,8 +70,7 @@ def sql_spelled(word: str, shift: str) -> str:
 
 
 def benchmark_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(latin_words("text")).alias("pos", "w"))
-    return rows.filter(F.length("w") <= WORD_LIMIT)
+    return table(spark, sf, "benchmark").select("item_id", F.posexplode(latin_words("text")).alias("pos", "w"))
 
 
 def lexicon_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +78,7 @@ def lexicon_source(spark: SparkSession, sf: str) -> DataFrame:
     entries = (
         benchmark_words(spark, sf)
         .groupBy("w", (F.col("item_id") % 3).cast("int").alias("s"))
-        .agg(F.min(F.col("item_id") * 100000 + F.col("pos")).alias("ord"), F.count("*").alias("n"))
+        .agg(F.min(F.col("item_id") * PLACE + F.col("pos")).alias("ord"), F.count("*").alias("n"))
     )
     first = (
         F.when((F.col("s") == 0) & (F.length("w") % 2 == 0), F.concat(F.lit("surname "), F.col("w")))
@@ -100,12 +109,10 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_LEXICON = f"""
 bench_words as (
-  select item_id, pos, w from (
-    select item_id, unnest(ws) as w, unnest(range(len(ws))) as pos
-    from (select item_id, regexp_extract_all(lower(text), '[a-z]+') as ws from benchmark))
-  where length(w) <= {WORD_LIMIT}),
+  select item_id, unnest(ws) as w, unnest(range(len(ws))) as pos
+  from (select item_id, {SQL_WORDS} as ws from benchmark)),
 lex_entries as (
-  select w, cast(item_id % 3 as int) as s, min(item_id * 100000 + pos) as ord, count(*) as n
+  select w, cast(item_id % 3 as int) as s, min(item_id * {PLACE} + pos) as ord, count(*) as n
   from bench_words group by 1, 2),
 lex_glossed as (
   select *, case when s = 0 and length(w) % 2 = 0 then 'surname ' || w
@@ -131,7 +138,7 @@ SQL_DOCUMENT_WORDS = f"""
 document_words as (
   select doc_id, position, {sql_han('w')} as token from (
     select doc_id, unnest(ws) as w, unnest(range(len(ws))) as position
-    from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as ws from documents)))"""
+    from (select doc_id, {SQL_WORDS} as ws from documents)))"""
 
 SQL_SENSES = """
 senses as (
