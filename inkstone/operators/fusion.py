@@ -389,6 +389,8 @@ def serve_decision(items: DataFrame, fusion: dict[str, DataFrame], use_fusion: b
     )
     gate = page_serve_gate(rows, fusion["degenerate"])
     classical = page_gate(items).select("page_id", F.col("passes").alias("classical"))
-    pages = items.select("page_id").distinct().join(gate, "page_id", "left").join(classical, "page_id", "left")
+    # pages without detector items are served from the vector rung
+    every = items.select("page_id").union(fusion["lines"].select("page_id")).distinct()
+    pages = every.join(gate, "page_id", "left").join(classical, "page_id", "left")
     by = F.when(F.lit(use_fusion) & F.col("serves"), "fusion").when(F.lit(not use_fusion) & F.col("classical"), "classical").otherwise("vector")
     return pages.withColumn("served_by", by)

@@ -146,9 +146,6 @@ def drop_duplicate_lines(lines: DataFrame, similar: float = 0.85, overlap: float
 
 # ---- continuations ------------------------------------------------------
 
-_CHAIN = ["item", "text", "fx", "fy", "tx", "ty", *BOX]
-
-
 def _chain_group(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = pdf.sort_values("item").to_dict("records")
 
@@ -229,11 +226,12 @@ def chain_continuations(lines: DataFrame) -> DataFrame:
     )
     edges = cut_lineage(near.select("page_id", "a", "b"))
     touched = edges.select("page_id", F.explode(F.array("a", "b")).alias("item")).distinct()
-    apart = lines.join(touched, ["page_id", "item"], "left_anti").select("page_id", *_CHAIN)
-    close = lines.join(touched, ["page_id", "item"], "left_semi").select("page_id", *_CHAIN)
+    columns = ["page_id", *[c for c in lines.columns if c != "page_id"]]
+    apart = lines.join(touched, ["page_id", "item"], "left_anti").select(*columns)
+    close = lines.join(touched, ["page_id", "item"], "left_semi").select(*columns)
     close = cut_lineage(close)
     small, large = split_by_size(close, "page_id")
-    fields = ", ".join(f"{c} {close.schema[c].dataType.simpleString()}" for c in ["page_id", *_CHAIN])
+    fields = ", ".join(f"{c} {close.schema[c].dataType.simpleString()}" for c in columns)
     merged = small.groupBy("page_id").applyInPandas(_chain_group, fields)
     if large is not None:
         pairs = edges.select(F.struct("page_id", F.col("a").alias("item")).alias("src"), F.struct("page_id", F.col("b").alias("item")).alias("dst"))

@@ -77,7 +77,8 @@ def save_entries(entries: DataFrame, incoming: DataFrame, keys: list[str] = SAVE
     firsts = incoming.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("_first"))
     known = [F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
     rows = incoming.alias("i").join(firsts.alias("f"), known).select("i.*", "_first")
-    rows = rows.join(old, keys, "left")
+    stored = old.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    rows = rows.join(stored, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "left").drop(*[f"_s_{k}" for k in keys])
     own = (F.col("_first.created_at") == F.col("created_at")) & (F.col("_first.id") == F.col("id"))
     rows = rows.withColumn("duplicate", F.coalesce("_old", F.lit(False)) | ~own).drop("_old", "_first")
     if "pinyin" in rows.columns:
@@ -183,7 +184,3 @@ def csv_lines(entries: DataFrame) -> DataFrame:
     """Export lines: every cell quoted, tags joined by spaces, nulls empty."""
     cells = [F.array_join("tags", " ") if c == "tags" else F.col(c) for c in EXPORT_COLUMNS]
     return entries.select("id", "created_at", F.concat_ws(",", *[quoted(c) for c in cells]).alias("line"))
-
-
-def query_tokens(col: Column) -> Column:
-    return words_of(F.lower(col))

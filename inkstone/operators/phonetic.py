@@ -37,10 +37,6 @@ def phrase_marks(py_num: Column) -> Column:
     return F.array_join(F.transform(spell(words_of(py_num)), lambda c: c.marked), " ")
 
 
-def phrase_bopomofo(py_num: Column) -> Column:
-    return _joined_bopomofo(spell(words_of(py_num)))
-
-
 def _joined_bopomofo(cells: Column) -> Column:
     return F.array_join(F.filter(F.transform(cells, lambda c: c.bopomofo), lambda c: c != ""), " ")
 
@@ -461,7 +457,7 @@ def alternatives_filter(alternatives: DataFrame, key: str, n: int = 3) -> DataFr
     return usable.filter(~F.col("casual_low") & ~F.col("formal_low"))
 
 
-def validate_variant(variants: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+def validate_variant(variants: DataFrame) -> DataFrame:
     """``valid``: Han count equals syllable count and each syllable can be written."""
     syllables = words_of(F.col("pinyin"))
     han = F.regexp_count("traditional", F.lit(HAN))

@@ -242,10 +242,6 @@ def bpmf_layout(df: DataFrame, column: str = "bopomofo") -> DataFrame:
     )
 
 
-def clean_transcript(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
-
-
 def structure_tokens(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row per character or gap marker, with how many characters stand before it."""
     pieces = F.regexp_extract_all(column, F.lit("⟪[0-9]+(?:[.][0-9]+)?⟫|[^⟪]"), F.lit(0))

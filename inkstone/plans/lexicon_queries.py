@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkstone.operators import lexicon as lx, phonetic as ph
+from inkstone.operators.overlap import shared_shingles
 from inkstone.plans.registry import query
 from inkstone.plans.views import (
     PLACE,
@@ -377,3 +378,25 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
     syllables = words.select("query_id", F.posexplode(typed).alias("position", "syllable"))
     return ph.candidates(syllables, lexicon(spark, sf)).select("query_id", "place", "syllable", "traditional", "turn", "position")
+
+
+RUNS = f"""
+runs as (
+  select side, id, unnest(case when len(ws) = 0 then [] else list_distinct(list_transform(range(greatest(len(ws) - 7, 1)), lambda i: array_to_string(ws[i + 1:i + 8], ' '))) end) as run
+  from (select 0 as side, doc_id as id, {SQL_WORDS} as ws from documents union all select 1, item_id, {SQL_WORDS} from benchmark)),
+totals as (select side, id, count(*) as n from runs group by 1, 2)"""
+
+
+# Benchmark passages in documents, by shared runs of eight words.
+@query(
+    "char_overlap_join",
+    f"""with {RUNS}
+    select a.id as doc_id, b.id as item_id, count(*) as shared, x.n as left_total, y.n as right_total, round(count(*) / least(x.n, y.n), 6) as score
+    from runs a join runs b on a.side = 0 and b.side = 1 and a.run = b.run
+    join totals x on x.side = 0 and x.id = a.id join totals y on y.side = 1 and y.id = b.id group by a.id, b.id, x.n, y.n""",
+)
+def char_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", latin_words("text").alias("words"))
+    items = table(spark, sf, "benchmark").select("item_id", latin_words("text").alias("words"))
+    joined = shared_shingles(docs, items, "doc_id", "item_id")
+    return joined.withColumn("left_total", F.col("left_total").cast("bigint")).withColumn("right_total", F.col("right_total").cast("bigint")).withColumn("score", F.round("score", 6))

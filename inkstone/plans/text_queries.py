@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkstone.functions.syllables import FINALS, INITIALS, STANDALONE, pairs_of
+from inkstone.functions.syllables import FINALS, INITIALS, STANDALONE
 from inkstone.functions.text import MARK_TONES, MARKED_VOWELS, PLAIN_VOWELS, SPELLING_REPAIRS, TONE_MARKS, marks_to_number, strip_marks
 from inkstone.operators import lexicon as lx, phonetic as ph, segmentation as sg
 from inkstone.operators.rules import bpmf_layout, entry_annotations, structure_tokens
@@ -29,8 +29,8 @@ from inkstone.plans.views import (
 )
 
 
-def sql_map(text: str) -> str:
-    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs_of(text).items()) + "}"
+def sql_map(table: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
 
 
 def sql_bopomofo(base: str, tone: str) -> str:

@@ -198,7 +198,7 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
         (x1 + 20 + 4 * F.col("l_quantity").cast("bigint")).alias("x2"),
         (y1 + 24 + 4 * (F.col("l_partkey") % 5)).alias("y2"),
         (1 - 3 * F.col("l_discount")).alias("score"),
-        F.expr("substring(p_name, 1, cast(1 + (l_partkey % 12) as int))").alias("text"),
+        F.expr("case l_partkey % 3 when 0 then split_part(p_name, ' ', 1) when 1 then split_part(p_name, ' ', 2) else p_name end").alias("text"),
         "l_linenumber",
         "l_partkey",
         F.col("p_name").alias("name"),
@@ -217,7 +217,7 @@ page_items as (
          (l_partkey * 37) % 240 as x1, (l_suppkey * 53 + l_linenumber * 41) % 120 as y1,
          (l_partkey * 37) % 240 + 20 + 4 * cast(l_quantity as bigint) as x2,
          (l_suppkey * 53 + l_linenumber * 41) % 120 + 24 + 4 * (l_partkey % 5) as y2,
-         1 - 3 * l_discount as score, substring(p_name, 1, cast(1 + (l_partkey % 12) as int)) as text,
+         1 - 3 * l_discount as score, case l_partkey % 3 when 0 then split_part(p_name, ' ', 1) when 1 then split_part(p_name, ' ', 2) else p_name end as text,
          l_linenumber, l_partkey, p_name as name
   from lineitem join part on p_partkey = l_partkey)"""
 

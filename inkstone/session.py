@@ -51,6 +51,12 @@ def ship_package(spark: SparkSession) -> None:
     context._inkstone_shipped = True
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the store that Spark reads the path from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Point the context at the cluster's checkpoint folder.
 

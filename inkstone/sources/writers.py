@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from inkstone.operators.common import first_per_key
 from inkstone.operators.log import EXPORT_COLUMNS, csv_lines
+from inkstone.session import path_exists
 
 
 def write_csv_export(entries: DataFrame, path: str) -> None:
@@ -38,10 +39,7 @@ def restore_snapshot(current: DataFrame, dump: DataFrame, path: str, key: str =
 def seed_table(words: DataFrame, path: str) -> bool:
     """Load the lexicon only if the table holds less than half of it; all or nothing."""
     spark = words.sparkSession
-    try:
-        have = spark.read.parquet(path).count()
-    except Exception:
-        have = 0
+    have = spark.read.parquet(path).count() if path_exists(spark, path) else 0
     if have >= words.count() / 2:
         return False
     words.write.mode("overwrite").parquet(path)

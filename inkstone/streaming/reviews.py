@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkstone.operators.log import SAVE_KEY, save_entries
 from inkstone.operators.reviews import INTERVALS, STEPS, outcome_code
+from inkstone.session import path_exists
 
 OUTPUT = "entry_id bigint, box int, due timestamp, streak bigint, review_count bigint"
 STATE = "box int, streak bigint, n bigint, last bigint, ts array<bigint>, ids array<bigint>, codes array<int>"
@@ -57,10 +58,7 @@ def dedupe_saves_stream(saves: DataFrame, table: str, checkpoint: str, delay: st
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table)
-        except Exception:
-            stored = batch.limit(0)
+        stored = spark.read.parquet(table) if path_exists(spark, table) else batch.limit(0)
         fresh = save_entries(stored, batch).filter("not duplicate").drop("duplicate")
         fresh.select(*batch.columns).write.mode("append").parquet(table)
 

@@ -83,3 +83,60 @@ def test_readers(spark, tmp_path):
     (tmp_path / "page.json").write_text('{"items":[{"box":[1,2,3,4],"text":"你","score":0.9}],"w":10,"h":20}')
     r = readers.read_page_items(spark, str(tmp_path / "page.json")).collect()[0]
     assert (r.x1, r.y2, r.text, r.w) == (1.0, 4.0, "你", 10)
+
+
+def test_save_with_a_null_reading_is_saved_once(spark):
+    schema = "id bigint, user_id bigint, traditional string, pinyin string, variety string, created_at timestamp"
+    import datetime
+
+    row = (1, 1, "詞", None, "zh-Hant", datetime.datetime(2024, 1, 1))
+    stored = spark.createDataFrame([row], schema)
+    again = spark.createDataFrame([(2, *row[1:])], schema)
+    from inkstone.operators.log import save_entries
+
+    assert [r.duplicate for r in save_entries(stored, again).collect()] == [True]
+
+
+def test_lexicon_files_of_lines_and_of_one_array(spark, tmp_path):
+    import json
+
+    entries = [{"traditional": f"字{k}", "simplified": f"字{k}", "pinyin": "zi4", "english": [f"sense {k}"]} for k in range(5)]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, entries)))
+    (tmp_path / "array.json").write_text(json.dumps(entries))
+    (tmp_path / "object.json").write_text(json.dumps({"entries": entries}))
+    for name, lines in (("lines", True), ("array", False), ("object", False)):
+        rows = readers.read_lexicon(spark, str(tmp_path / f"{name}.json"), lines=lines).orderBy("ord").collect()
+        assert [r.traditional for r in rows] == [e["traditional"] for e in entries]
+        assert [r.ord for r in rows] == [1, 2, 3, 4, 5]
+    flat = [{"traditional": "字", "simplified": "字", "pinyin": "Zi4", "english": str(k)} for k in range(3)]
+    (tmp_path / "extra.json").write_text("\n".join(map(json.dumps, flat)))
+    assert [r.english for r in readers.read_supplement(spark, str(tmp_path / "extra.json"), lines=True).orderBy("ord").collect()] == ["0", "1", "2"]
+    (tmp_path / "chars.json").write_text("\n".join(json.dumps({"ch": "字", "simp": "字", "pinyin": "zi4", "english": e}) for e in ("", "word")))
+    assert [r.english for r in readers.read_char_readings(spark, str(tmp_path / "chars.json"), lines=True).orderBy("ord").collect()] == ["(rare character)", "word"]
+
+
+def test_quads_keep_their_measures_and_lines_are_strings(spark, tmp_path):
+    import json
+
+    (tmp_path / "q.json").write_text(json.dumps({"w": 9, "h": 9, "quads": [{"pts": [[0, 0], [1, 0], [1, 1], [0, 1]], "aabb": [0, 0, 1, 1], "angle": 3.5, "score": 0.5}]}))
+    quad = readers.read_page_quads(spark, str(tmp_path / "q.json")).first()
+    assert quad.aabb == [0, 0, 1, 1] and quad.angle == 3.5
+    raw = [("a", '{"lines": [{"n": 1, "text": "一"}, {"n": 2, "text": 5}, {"n": 3, "text": null}]}'), ("b", '[{"text": "二", "dir": "v"}, 7]')]
+    rows = readers.read_model_lines(spark.createDataFrame(raw, "page_id string, raw string")).collect()
+    assert sorted((r.page_id, r.n, r.text, r.dir) for r in rows) == [("a", 1, "一", "h"), ("b", 1, "二", "v")]
+
+
+def test_a_key_without_a_text_has_found_nothing(spark):
+    from inkstone.operators.quality import known_phrase_recall
+
+    texts = spark.createDataFrame([(1, "a b")], "k int, text string")
+    phrases = spark.createDataFrame([(1, "a"), (1, "c"), (2, "a"), (2, "b")], "k int, phrase string")
+    rows = {r.k: (r.phrases, r.found, r.passes) for r in known_phrase_recall(texts, phrases, "k").collect()}
+    assert rows == {1: (2, 1, True), 2: (2, 0, False)}
+
+
+def test_seeding_looks_at_what_is_there(spark, tmp_path):
+    words = spark.range(10)
+    path = str(tmp_path / "seed")
+    assert writers.seed_table(words, path) and not writers.seed_table(words, path)
+    assert spark.read.parquet(path).count() == 10
