@@ -232,32 +232,25 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
     edges = _span_edges(phrases, lexicon, key)
     word = F.struct("traditional", "simplified", "py_num", "english")
     edge = F.struct("start", "gain", "wrong", F.col("entry_rank").alias("rank"), word.alias("word"))
-    # one shuffle on the query serves both groupings
-    by_end = edges.repartition(key).groupBy(key, "end").agg(F.collect_list(edge).alias("into"))
+    # one shuffle on the query serves all groupings; a fourth entry of a span never beats the first three
+    edges = top_per_key(edges.repartition(key), [key, "start", "end"], [F.col("gain").desc(), F.col("entry_rank")], KEEP, "_best")
+    by_end = edges.groupBy(key, "end").agg(F.collect_list(edge).alias("into"))
     lattice = by_end.groupBy(key).agg(F.collect_list(F.struct("end", "into")).alias("ends"))
     lattice = lattice.join(phrases.select(key, F.size("syllables").alias("size")), key)
     word_type = "struct<traditional:string,simplified:string,py_num:string,english:string>"
-    path_type = f"struct<cost:int,start:int,prefix:int,rank:int,wrong:int,words:array<{word_type}>>"
-    seed = F.array(
-        F.array(
-            F.struct(
-                F.lit(0).alias("cost"),
-                F.lit(0).alias("start"),
-                F.lit(0).alias("prefix"),
-                F.lit(0).alias("rank"),
-                F.lit(0).alias("wrong"),
-                F.array().cast(f"array<{word_type}>").alias("words"),
-            ).cast(path_type)
-        )
-    )
+    path_type = "struct<cost:int,start:int,prefix:int,rank:int,wrong:int>"
+    zeros = F.struct(*[F.lit(0).alias(n) for n in ("cost", "start", "prefix", "rank", "wrong")])
+    seed = F.array(F.array(zeros.cast(path_type)))
 
     none = F.filter(F.get("ends", F.lit(0)).into, lambda e: F.lit(False))
 
+    def into(j: Column) -> Column:
+        return F.coalesce(F.get(F.filter(F.col("ends"), lambda x: x.end == j), F.lit(0)).into, none)
+
     def step(state: Column, j: Column) -> Column:
-        here = F.get(F.filter(F.col("ends"), lambda x: x.end == j), F.lit(0))
         offers = F.flatten(
             F.transform(
-                F.coalesce(here.into, none),
+                into(j),
                 lambda e: F.transform(
                     F.get(state, e.start),
                     lambda p, i: F.struct(
@@ -266,14 +259,32 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
                         i.cast("int").alias("prefix"),
                         e["rank"].cast("int").alias("rank"),
                         (p.wrong + e.wrong).cast("int").alias("wrong"),
-                        F.concat(p.words, F.array(e.word)).alias("words"),
                     ).cast(path_type),
                 ),
             )
         )
         return F.concat(state, F.array(F.slice(F.array_sort(offers), 1, KEEP)))
 
-    chains = F.aggregate(F.sequence(F.lit(1), F.col("size")), seed, step, lambda s: F.get(s, F.size(s) - 1))
+    def walked(state: Column, last: Column) -> Column:
+        """The words of a chain, from its end back to the start by the places its parts came from."""
+
+        def back(at: Column, _: Column) -> Column:
+            chosen = F.filter(into(at.end), lambda e: (e.start == at.path.start) & (e["rank"] == at.path["rank"]))
+            before = F.get(F.get(state, at.path.start), at.path.prefix)
+            return F.when(at.end == 0, at).otherwise(
+                F.struct(at.path.start.alias("end"), before.alias("path"), F.concat(F.transform(chosen, lambda e: e.word), at.words).alias("words"))
+            )
+
+        first = F.struct(F.col("size").cast("int").alias("end"), last.alias("path"), F.array().cast(f"array<{word_type}>").alias("words"))
+        return F.aggregate(F.sequence(F.lit(1), F.col("size")), first, back, lambda at: at.words)
+
+    def finished(state: Column) -> Column:
+        return F.transform(
+            F.get(state, F.size(state) - 1),
+            lambda p: F.struct(p.cost.alias("cost"), p.wrong.alias("wrong"), walked(state, p).alias("words")),
+        )
+
+    chains = F.aggregate(F.sequence(F.lit(1), F.col("size")), seed, step, finished)
     paths = lattice.select(key, F.posexplode(chains).alias("path_no", "path"))
     return paths.select(key, "path_no", (-F.col("path.cost")).alias("score"), "path.wrong", "path.words")
 
@@ -281,11 +292,11 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
 def rank_interpretations(paths: DataFrame, key: str = "query_id") -> DataFrame:
     """Up to three phrases per query, tone-exact first; chains of single characters only as a last resort."""
     multi = F.exists("words", lambda w: F.length(w.traditional) > 1)
-    marked_paths = paths.withColumn("multi", multi)
-    best = marked_paths.groupBy(key).agg(F.max("multi").alias("any_multi"))
+    # a window, not an aggregate joined back: the chains are computed once
+    marked_paths = paths.withColumn("multi", multi).withColumn("any_multi", F.max("multi").over(Window.partitionBy(key)))
     forms = F.array_join(F.transform("words", lambda w: F.concat_ws("#", w.traditional, w.py_num)), "|")
     kept = first_per_key(
-        marked_paths.join(best, key).filter(F.col("multi") | ~F.col("any_multi")).withColumn("forms", forms),
+        marked_paths.filter(F.col("multi") | ~F.col("any_multi")).withColumn("forms", forms),
         [key, "forms"],
         [F.col("wrong"), -F.col("score"), F.col("path_no")],
     )
