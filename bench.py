@@ -35,6 +35,9 @@ HEADLINE = [
     "char_cells",
     "cer_report",
     "known_recall",
+    "char_overlap_join",
+    "annotate_readings",
+    "resolve_queries",
 ]
 
 

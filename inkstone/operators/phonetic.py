@@ -397,11 +397,18 @@ def annotate_readings(variants: DataFrame, lexicon: DataFrame, key: str) -> Data
     with as many syllables as characters overrides them. Returns one row per
     word with its cells and a ``low`` flag per row; see ``low_confidence``.
     """
-    given = words_of(F.col("pinyin"))
-    rows = variants.select(
+    cell = lambda c: F.struct(c.marked.alias("py"), c.bopomofo.alias("bpmf"))
+    # syllables are spelled once a text and once an entry, not once a word
+    texts = variants.select(
         key,
-        given.alias("given"),
+        "words",
+        F.transform(spell(F.transform(words_of(F.col("pinyin")), marks_to_number)), cell).alias("given"),
         F.aggregate("words", F.lit(0), lambda n, w: n + F.regexp_count(w, F.lit(HAN))).alias("total"),
+    )
+    rows = texts.select(
+        key,
+        "given",
+        "total",
         F.posexplode(F.arrays_zip(F.col("words").alias("word"), _word_offsets("words").alias("offset"))).alias("word_no", "w"),
     ).select(key, "given", "total", "word_no", "w.word", "w.offset")
     rows = rows.withColumn("chars", F.filter(characters(F.col("word")), lambda c: has_han(c)))
@@ -410,29 +417,16 @@ def annotate_readings(variants: DataFrame, lexicon: DataFrame, key: str) -> Data
         entries.withColumn("count", F.size(words_of(F.col("py_num")))).select("key", "count", "ord", "py_num"),
         ["key", "count"],
         [F.col("ord")],
-    ).select(F.col("key").alias("word"), F.col("count").alias("_count"), F.col("py_num").alias("entry"))
+    ).select(F.col("key").alias("word"), F.col("count").alias("_count"), F.transform(spell(F.split("py_num", r"\s+")), cell).alias("entry"))
     joined = rows.withColumn("_count", F.size("chars")).join(fitting, ["word", "_count"], "left")
-    raw = F.transform("chars", lambda c, i: F.get(F.col("given"), F.col("offset") + i))
-    own = F.transform(raw, lambda s: F.when(s.isNull(), None).otherwise(marks_to_number(s)))
-    joined = joined.withColumn("own", own)
-    joined = joined.withColumn("own_cells", spell(F.transform("own", lambda n: F.coalesce(n, F.lit("")))))
     blank = F.struct(F.lit("").alias("py"), F.lit("").alias("bpmf"))
-    given_cells = F.zip_with(
-        "own",
-        "own_cells",
-        lambda n, c: F.when(n.isNull(), blank).otherwise(F.struct(c.marked.alias("py"), c.bopomofo.alias("bpmf"))),
-    )
-    entry_cells = F.transform(
-        spell(F.split("entry", r"\s+")), lambda c: F.struct(c.marked.alias("py"), c.bopomofo.alias("bpmf"))
-    )
-    joined = joined.withColumn("read", F.when(F.col("entry").isNotNull(), entry_cells).otherwise(given_cells))
-    own_bad = F.exists("own_cells", lambda c: c.bopomofo == "")
+    joined = joined.withColumn("own", F.transform("chars", lambda c, i: F.coalesce(F.get(F.col("given"), F.col("offset") + i), blank)))
     return joined.select(
         key,
         "word_no",
         "word",
-        F.zip_with("chars", "read", lambda h, r: F.struct(h.alias("h"), r.py.alias("py"), r.bpmf.alias("bpmf"))).alias("cells"),
-        (own_bad | (F.size("given") != F.col("total"))).alias("low"),
+        F.zip_with("chars", F.coalesce("entry", "own"), lambda h, r: F.struct(h.alias("h"), r.py.alias("py"), r.bpmf.alias("bpmf"))).alias("cells"),
+        (F.exists("own", lambda c: c.bpmf == "") | (F.size("given") != F.col("total"))).alias("low"),
     )
 
 
