@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from inkstone.llm.common import Cached, slices, whole_text
+from inkstone.llm.common import Cached, map_arrow, slices, whole_text
 
 #: Fixed value: the pre-token pattern of the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, type=pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
+    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>")
     return out.select(F.col("id").alias(id_col), "ids")
 
 
@@ -198,7 +198,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=["id", "text"])
 
     picked = rows.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    out = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, text string")
+    out = map_arrow(picked, run, f"id {picked.schema['id'].dataType.simpleString()}, text string")
     return out.select(F.col("id").alias(id_col), F.col("text"))
 
 
@@ -227,5 +227,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = map_arrow(rows, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

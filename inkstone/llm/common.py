@@ -21,6 +21,23 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows that go to a Python worker at once; texts are long, so a task's memory stays small.
+ARROW_ROWS = 2000
+
+
+def short_batches(spark) -> None:
+    """Bound the rows of an Arrow batch of this session, unless the user has set a smaller bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+def map_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` in short batches."""
+    short_batches(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that a task holds few texts as Python objects at a time."""
     for batch in batches:
@@ -82,7 +99,7 @@ class Cached:
 class Memo(dict):
     """A table that computes what it lacks, kept in two generations of bounded size."""
 
-    def __init__(self, compute: Callable[[str], object], limit: int = 600_000, fixed: dict | None = None):
+    def __init__(self, compute: Callable[[str], object], limit: int = 250_000, fixed: dict | None = None):
         super().__init__(fixed or {})
         self.compute, self.fixed, self.old = compute, fixed or {}, {}
         self.limit = limit + len(self.fixed)

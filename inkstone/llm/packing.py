@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkstone.llm.bpe import PATTERN, cuts_of, encoder
-from inkstone.llm.common import Memo, slices, whole_text
+from inkstone.llm.common import Memo, map_arrow, slices, whole_text
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -105,7 +105,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {PIECE}, deal bigint")
+    return map_arrow(rows, run, f"id {kind}, {PIECE}, deal bigint")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

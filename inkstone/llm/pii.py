@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkstone.llm.boosting import Trees, boost, calibrate, sigmoid
-from inkstone.llm.common import free_name, slices, whole_text
+from inkstone.llm.common import free_name, map_arrow, short_batches, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -267,7 +267,7 @@ def find(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return rows.mapInArrow(run, f"id {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {kind}, {counts}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -287,6 +287,8 @@ def redact(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataF
     """``docs`` with all spans of the text masked. Null stays null; all other columns, names and repeated rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(detector)
 
+    short_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def masks(texts: pa.Array) -> pa.Array:
         own = shared.value

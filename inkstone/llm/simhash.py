@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from inkstone.llm.cells import meet, whole_cells
-from inkstone.llm.common import free_name, slices, whole_text
+from inkstone.llm.common import free_name, map_arrow, slices, whole_text
 from inkstone.llm.components import components, least_labels
 from inkstone.session import cut_lineage
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.int64())], names=["id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def neighbours(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

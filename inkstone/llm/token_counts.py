@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inkstone.llm.common import Memo, slices, whole_text
+from inkstone.llm.common import Memo, map_arrow, slices, whole_text
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -103,7 +103,7 @@ def frequent_lengths(docs: DataFrame, path: str, per_task: int = 4096, kept: int
             names=["key", "n", "size"],
         )
 
-    rows = docs.select(whole_text(text_col).alias("text")).mapInArrow(summary, "key string, n bigint, size bigint")
+    rows = map_arrow(docs.select(whole_text(text_col).alias("text")), summary, "key string, n bigint, size bigint")
     total = rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
     top = total.orderBy(F.desc("n"), "key").limit(kept).collect()
     table = (MARK.join(r["key"] for r in top), [r["size"] for r in top])
@@ -130,5 +130,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
         F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.octet_length(whole_text(text_col)).cast("bigint").alias("n_bytes")
     )
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = map_arrow(rows, run, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

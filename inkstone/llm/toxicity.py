@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inkstone.llm.common import crc_of, free_name, slices, whole_text
+from inkstone.llm.common import crc_of, free_name, map_arrow, short_batches, slices, whole_text
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -90,13 +90,18 @@ def fit(texts: list[str], labels: list[int], share: float, smooth: float = 1.0,
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(size, dtype=np.float32), prior)
     rows = [features(t) for t in texts]
-    used, place = np.unique(np.concatenate(rows), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    counts = [smooth + np.bincount(place, weights=(y == k)[row].astype(np.float64), minlength=len(used)) for k in (0, 1)]
+    place = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    bad = y[row] == 1
+    found = [np.bincount(place[bad == k], minlength=size) for k in (False, True)]
     # shares of texts with the n-gram, so that the number and length of texts of a class do not tip every ratio
-    ratio = np.log(counts[1] / ((y == 1).sum() + 2 * smooth)) - np.log(counts[0] / ((y == 0).sum() + 2 * smooth))
-    telling = np.abs(ratio) >= least
-    row, place = row[telling[place]], place[telling[place]]
+    ratio = np.log((found[1] + smooth) / ((y == 1).sum() + 2 * smooth)) - np.log((found[0] + smooth) / ((y == 0).sum() + 2 * smooth))
+    used = np.flatnonzero((found[0] + found[1] > 0) & (np.abs(ratio) >= least))
+    number = np.full(size, -1, dtype=np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    ratio = ratio[used]
+    kept = number[place] >= 0
+    row, place = row[kept], number[place[kept]]
     scaled = ratio[place]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     sign = 2 * y - 1
@@ -109,10 +114,10 @@ def fit(texts: list[str], labels: list[int], share: float, smooth: float = 1.0,
         slope = np.bincount(place, weights=scaled * error[row], minlength=len(used)) + penalty * w
         return value, np.append(slope, error.sum())
 
-    found = minimum(slope_of, np.append(np.zeros(len(used)), prior), rounds, enough=1e-3)
+    best = minimum(slope_of, np.append(np.zeros(len(used)), prior), rounds, enough=1e-3)
     weights = np.zeros(size, dtype=np.float32)
-    weights[used] = found[:-1] * ratio
-    return Model(weights, float(found[-1]))
+    weights[used] = best[:-1] * ratio
+    return Model(weights, float(best[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], per_class: int, id_col: str, text_col: str, label_col: str) -> Model:
@@ -135,7 +140,7 @@ def score(
     labels: DataFrame,
     threshold: float = 0.7,
     fold: tuple[int, int] = (3, 1),
-    per_class: int = 1500,
+    per_class: int = 1000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -156,6 +161,8 @@ def score(
     if keep:
         out, text = free_name(docs, "toxicity"), whole_text(text_col)
 
+        short_batches(docs.sparkSession)
+
         @F.arrow_udf("double")
         def scored(texts: pa.Array) -> pa.Array:
             return pa.array([shared.value.score(t) for t in texts.to_pylist()], type=pa.float64())
@@ -171,5 +178,5 @@ def score(
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), held.alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    out = map_arrow(rows, run, f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
