@@ -20,8 +20,12 @@ IDIOM_TAG = r"(?i)\(idiom\)"
 JYUTPING_SYLLABLE = "^[a-z]+[1-6]$"
 
 
-def normalize_entries(raw: DataFrame) -> DataFrame:
-    """Source rows (ord, traditional, simplified, pinyin, english array) to lexicon rows."""
+# Fixed value: characters of a gloss that an entry keeps.
+GLOSS_KEPT = 400
+
+
+def normalize_entries(raw: DataFrame, gloss_kept: int = GLOSS_KEPT) -> DataFrame:
+    """Source rows (ord, traditional, simplified, pinyin, english array) to lexicon rows; glosses over ``gloss_kept`` characters are cut."""
     py = F.replace(F.replace(F.lower("pinyin"), F.lit("u:"), F.lit("v")), F.lit("ü"), F.lit("v"))
     gloss = F.array_join(F.coalesce("english", F.array().cast("array<string>")), " / ")
     return (
@@ -31,7 +35,7 @@ def normalize_entries(raw: DataFrame) -> DataFrame:
             F.when(F.coalesce("simplified", F.lit("")) == "", F.col("traditional")).otherwise(F.col("simplified")).alias("simplified"),
             py.alias("py_num"),
             flat_key(py).alias("py_flat"),
-            F.when(F.length(gloss) > 400, F.concat(F.substring(gloss, 1, 400), F.lit("…"))).otherwise(gloss).alias("english"),
+            F.when(F.length(gloss) > gloss_kept, F.concat(F.substring(gloss, 1, gloss_kept), F.lit("…"))).otherwise(gloss).alias("english"),
         )
         .filter((F.coalesce("traditional", F.lit("")) != "") & (F.coalesce("py_num", F.lit("")) != ""))
     )

@@ -136,8 +136,15 @@ def delete_rows(rows: DataFrame, requests: DataFrame, keys: list[str]) -> DataFr
     return rows.join(requests.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_history(asks: DataFrame, result: Column) -> DataFrame:
-    """History rows ready to append: input cut to 500, result as JSON, photo fields defaulted."""
+# Fixed value: characters of an input that the history keeps.
+INPUT_KEPT = 500
+
+
+def append_history(asks: DataFrame, result: Column | None = None, input_kept: int = INPUT_KEPT) -> DataFrame:
+    """History rows ready to append: input cut to ``input_kept``, result as JSON, photo fields defaulted.
+
+    ``result`` is a struct; without it the rows have a JSON ``result`` of their own, or none.
+    """
     have = set(asks.columns)
 
     def default(name: str, value: Column) -> Column:
@@ -147,8 +154,8 @@ def append_history(asks: DataFrame, result: Column) -> DataFrame:
         "id",
         "user_id",
         "kind",
-        F.substring("input", 1, 500).alias("input"),
-        F.to_json(result).alias("result"),
+        F.substring("input", 1, input_kept).alias("input"),
+        (default("result", F.lit(None).cast("string")) if result is None else F.to_json(result)).alias("result"),
         default("photo_path", F.lit(None).cast("string")).alias("photo_path"),
         default("photo_mime", F.lit(None).cast("string")).alias("photo_mime"),
         default("photo_w", F.lit(0)).alias("photo_w"),

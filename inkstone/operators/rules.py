@@ -14,6 +14,7 @@ ENGLISH_HINTS = (
 )
 # ASCII word edges, whatever the regex engine takes for a word character
 ENGLISH_HINT = rf"(?i)(?<![A-Za-z0-9_])({ENGLISH_HINTS})(?![A-Za-z0-9_])"
+# Patterns of questions about words, of tag labels and of tags.
 META_QUESTION = "(?i)(英文|english|怎麼說|怎麼講|什麼意思|甚麼意思|意思是|怎麼寫)"
 TAG_LABEL = r"^(topic|situation|function|people|things|related):\s*"
 TAG_SHAPE = "^[a-z][a-z -]{1,24}$"

@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.legacy.parquet.nanosAsLong": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

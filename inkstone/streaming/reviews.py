@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inkstone.operators.log import SAVE_KEY, save_entries
+from inkstone.operators.log import SAVE_KEY, append_history, save_entries
 from inkstone.operators.reviews import INTERVALS, STEPS, outcome_code
 from inkstone.session import path_exists
 
@@ -66,9 +66,8 @@ def dedupe_saves_stream(saves: DataFrame, table: str, checkpoint: str, delay: st
 
 
 def history_stream(asks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append asks to a table with one folder per day."""
-    rows = asks.withColumn("input", F.substring("input", 1, 500)).withColumn("day", F.to_date("created_at"))
-    sink = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    """Append asks, prepared as in batch, to a table with one folder per day."""
+    sink = append_history(asks).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return sink.partitionBy("day").trigger(availableNow=True).start()
 
 

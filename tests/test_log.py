@@ -140,3 +140,23 @@ def test_seeding_looks_at_what_is_there(spark, tmp_path):
     path = str(tmp_path / "seed")
     assert writers.seed_table(words, path) and not writers.seed_table(words, path)
     assert spark.read.parquet(path).count() == 10
+
+
+def test_history_and_meter_streams(spark, tmp_path):
+    from inkstone.streaming.reviews import history_stream, meter_stream
+
+    asks = [(k, 1, "text", "x" * 700, 1_700_000_000 + 86_400 * k) for k in range(3)]
+    spark.createDataFrame(asks, "id bigint, user_id bigint, kind string, input string, s bigint").write.parquet(str(tmp_path / "asks"))
+    source = spark.readStream.schema("id bigint, user_id bigint, kind string, input string, s bigint").parquet(str(tmp_path / "asks"))
+    query = history_stream(source.withColumn("created_at", F.timestamp_seconds("s")), str(tmp_path / "history"), str(tmp_path / "c1"))
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "history")).collect()
+    assert len(rows) == 3 and {len(r.input) for r in rows} == {500} and {r.photo_w for r in rows} == {0} and len({r.day for r in rows}) == 3
+
+    lines = [f'{{"ts": "2024-01-01T00:{m:02d}:00Z", "page": "p", "served_by": "fusion", "proposals": 2, "verified": 1}}' for m in (1, 3, 8, 12, 59)]
+    (tmp_path / "meter").mkdir()
+    (tmp_path / "meter" / "a.json").write_text("\n".join(lines))
+    counted = meter_stream(readers.stream_meter(spark, str(tmp_path / "meter")))
+    done = counted.writeStream.outputMode("complete").format("memory").queryName("meters").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    assert sorted((r.pages, r.proposals, r.verified) for r in spark.table("meters").collect()) == [(1, 2, 1), (1, 2, 1), (3, 6, 3)]
