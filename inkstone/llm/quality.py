@@ -19,6 +19,11 @@ COMMON_WORDS = {
 }
 #: Classes of characters besides white space and the rest (plain lower-case letters and whatever else).
 CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "stop": r"[.,;:!?'\"()-]", "symbol": r"[#*$%&|<>@=+/\\_~^{}\[\]`]", "other": r"[^\x00-\x7F]"}
+#: Columns of the two histograms; both have a bin for the rest, and that of characters one for white space.
+CHAR_BINS = [f"c{k}" for k in range(len(CLASSES) + 2)]
+WORD_BINS = [f"w{k}" for k in range(max(map(len, COMMON_WORDS.values())) + 1)]
+#: Medians are right to one in so many ranks.
+ACCURACY = 1000
 #: References by language are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 10_000
 
@@ -79,17 +84,16 @@ def common_counts(words: Column, lang: Column) -> Column:
     return let(some, lambda s: F.transform(common_list(lang), lambda c: F.size(F.filter(s, lambda x: x == c)).cast("bigint")))
 
 
-def measures(docs: DataFrame, text: Column, lang: Column, repeats: bool = True) -> DataFrame:
-    """``docs`` with a column ``m``, or that with underscores: the counts of each text; without ``repeats`` those for its histograms."""
+def measures(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
+    """``docs`` with a column ``m``, or that with underscores: the counts of each text."""
     name = free_name(docs, "m")
-    none = F.lit(0).cast("bigint")
 
     def counts(w: Column) -> Column:
         chars = F.length(F.array_join(w, ""))
         return F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             chars.cast("bigint").alias("word_chars"),
-            (repeat_words(w) if repeats else none).alias("n_repeat_words"),
+            repeat_words(w).alias("n_repeat_words"),
             common_counts(w, lang).alias("common"),
         )
 
@@ -99,7 +103,7 @@ def measures(docs: DataFrame, text: Column, lang: Column, repeats: bool = True)
             let(words_of(text), counts).alias("w"),
             F.length(text).cast("bigint").alias("n_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-            (duplicate_lines(text) if repeats else none).alias("n_dup_lines"),
+            duplicate_lines(text).alias("n_dup_lines"),
             F.array(*[F.regexp_count(text, F.lit(p)).cast("bigint") for p in CLASSES.values()]).alias("classes"),
         ),
     )
@@ -127,31 +131,51 @@ def histograms(m: Column) -> tuple[Column, Column]:
     return histogram(F.concat(m["classes"], F.array(spaces)), m["n_chars"]), histogram(m["w"]["common"], m["w"]["n_words"])
 
 
-def references(docs: DataFrame, text: Column, lang: Column, min_words: int) -> DataFrame:
-    """(ref_lang, ref_chars, ref_words): mean histograms of the texts of each language, over the whole table.
+def medians(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(*[F.percentile_approx(v, 0.5, F.lit(ACCURACY)).alias(v) for v in values])
 
-    Texts of under ``min_words`` words take no part.
+
+def one_vote_a_source(texts: DataFrame, values: list[str]) -> DataFrame:
+    """(lang, values): the median over the sources of each language of the medians within a source."""
+    return medians(medians(texts, ["lang", "source"], values), ["lang"], values)
+
+
+def sound_texts(docs: DataFrame, text: Column, lang: Column, source: Column, min_words: int) -> DataFrame:
+    """(lang, hash, source, c0 .., w0 ..): histograms of each distinct text of a language, over the whole table.
+
+    The hash is null in one row a language, which stands for what fails the base rules or has under ``min_words`` words.
     """
-    measured = measures(docs.select(text.alias("text"), lang.alias("lang")), F.col("text"), F.col("lang"), repeats=False)
+    measured = measures(docs.select(text.alias("text"), lang.alias("lang"), source.alias("source")), F.col("text"), F.col("lang"))
     m = F.col("m")
     chars, words = histograms(m)
     # no filter: Spark would move it below the counting and count twice
-    long_enough = m["w"]["n_words"] >= min_words
-    each = measured.select("lang", F.when(long_enough, chars).alias("c"), F.when(long_enough, words).alias("w"))
-    n_chars, n_words = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
-    means = [F.avg(F.get(F.col("c"), F.lit(k))).alias(f"c{k}") for k in range(n_chars)] + [F.avg(F.get(F.col("w"), F.lit(k))).alias(f"w{k}") for k in range(n_words)]
-    grouped = each.groupBy("lang").agg(*means)
-    return grouped.select(
-        F.col("lang").alias("ref_lang"),
-        F.array_compact(F.array(*[F.col(f"c{k}") for k in range(n_chars)])).alias("ref_chars"),
-        F.array_compact(F.array(*[F.col(f"w{k}") for k in range(n_words)])).alias("ref_words"),
-    )
+    sound = (m["w"]["n_words"] >= min_words) & ~base_failed(m)
+    each = measured.select("lang", "source", F.when(sound, F.xxhash64("text")).alias("hash"), F.when(sound, chars).alias("c"), F.when(sound, words).alias("w"))
+    # equal texts of a language have equal histograms
+    shares = [F.max(F.get(F.col(name[0]), F.lit(int(name[1:])))).alias(name) for name in CHAR_BINS + WORD_BINS]
+    return each.groupBy("lang", "hash").agg(F.min("source").alias("source"), *shares)
+
+
+def shares_of(bins: list[str]) -> Column:
+    """The bins that are there, scaled to add up to one; null if all are zero."""
+    there = F.array_compact(F.array(*map(F.col, bins)))
+    return let(there, lambda x: let(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n))))
+
+
+def references(texts: DataFrame) -> DataFrame:
+    """(ref_lang, ref_chars, ref_words): median histograms of each language.
+
+    ``texts`` come from ``sound_texts``. Each distinct text counts once within its source and each source once within its
+    language, so neither copies nor a source that holds most rows can pull the reference to themselves.
+    """
+    return one_vote_a_source(texts, CHAR_BINS + WORD_BINS).select(F.col("lang").alias("ref_lang"), shares_of(CHAR_BINS).alias("ref_chars"), shares_of(WORD_BINS).alias("ref_words"))
 
 
 def judge(
     docs: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
+    source_col: str = "source",
     min_words: int = 50,
     max_chars: float = 0.31,
     max_words: float = 0.45,
@@ -162,10 +186,13 @@ def judge(
     ``max_chars`` and ``max_words`` of Jensen-Shannon distance. Texts of fewer than ``min_words`` words, and of
     languages without any reference, are judged by the base rules alone; a language that has no word list
     is compared by characters only. A null text has no words and fails; a null language is a language of its own;
-    repeated rows are judged alike; an empty table stays empty. The references come from the whole table first.
+    repeated rows are judged alike; an empty table stays empty. The references come from the whole table first;
+    without a column ``source_col`` all rows are of one source.
     """
     text, lang = whole_text(text_col), F.col(lang_col)
-    refs = cut_lineage(references(docs, text, lang, min_words))
+    source = F.col(source_col) if source_col.lower() in map(str.lower, docs.columns) else F.lit(None).cast("string")
+    texts = cut_lineage(sound_texts(docs, text, lang, source, min_words)).filter("hash is not null")
+    refs = cut_lineage(references(texts))
     n = refs.count()
     names = {c: free_name(docs, c) for c in ("ref_lang", "ref_chars", "ref_words")}
     refs = refs.withColumnsRenamed(names)

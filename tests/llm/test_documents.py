@@ -303,6 +303,28 @@ def test_texts_far_from_their_language_are_rejected(spark):
     assert not found[100]["kept"] and not found[101]["kept"] and not found[100]["base_failed"]
 
 
+def sentences(seed=10):
+    rnd = random.Random(seed)
+    rare = ["house", "river", "walked", "garden", "stone", "window", "slowly", "paper", "under", "light", "wagon", "green"]
+    return lambda n=200: " ".join(rnd.choice(quality.COMMON_WORDS["en"] if rnd.random() < 0.2 else rare) for _ in range(n))
+
+
+def test_one_source_does_not_set_the_references(spark):
+    prose = sentences()
+    clean = [(k, prose(), "en", f"s{k % 8}") for k in range(80)]
+    schema = "doc_id int, text string, lang string, source string"
+    for spoil in (str.upper, lambda t: " ".join(w + "#@" for w in t.split())):
+        # a third of the rows are distinct texts of one source, then one text in many copies, then texts that fail the base rules
+        for hot in ([spoil(prose()) for _ in range(40)], [spoil(prose())] * 40, [spoil("up and down we go now and then " * 20)] * 40):
+            rows = clean + [(100 + k, t, "en", "hot") for k, t in enumerate(hot)]
+            kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, schema)).collect() if r["quality"]["kept"]}
+            assert kept == set(range(80))
+        # half of the rows without any source, as copies
+        rows = [(k, t, lang) for k, t, lang, _ in clean] + [(100 + k, t, "en") for k, t in enumerate([spoil(prose())] * 80)]
+        kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect() if r["quality"]["kept"]}
+        assert kept == set(range(80))
+
+
 def test_distance_equals_its_definition(spark):
     p, q = [0.5, 0.25, 0.25, 0.0], [0.1, 0.2, 0.3, 0.4]
     m = [(a + b) / 2 for a, b in zip(p, q)]
