@@ -24,6 +24,13 @@ CHAR_BINS = [f"c{k}" for k in range(len(CLASSES) + 2)]
 WORD_BINS = [f"w{k}" for k in range(max(map(len, COMMON_WORDS.values())) + 1)]
 #: Medians are right to one in so many ranks.
 ACCURACY = 1000
+#: A text may lie so many times as far from its reference as the median text: by characters, by words. A quarter of
+#: the sound texts of each language of the given tables lies beyond 1.4 (words) or 1.7 to 1.9 (characters) times the median.
+CHAR_MARGIN, WORD_MARGIN = 10.0, 2.4
+#: And by words at most so much of the distance of a text without any common word.
+NO_WORDS = 0.9
+#: Limits are no tighter than this, however alike the texts of a language are.
+LEAST_LIMIT = 0.1
 #: References by language are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 10_000
 
@@ -171,20 +178,45 @@ def references(texts: DataFrame) -> DataFrame:
     return one_vote_a_source(texts, CHAR_BINS + WORD_BINS).select(F.col("lang").alias("ref_lang"), shares_of(CHAR_BINS).alias("ref_chars"), shares_of(WORD_BINS).alias("ref_words"))
 
 
+def few(refs: DataFrame) -> DataFrame:
+    """Checkpointed references, marked for a broadcast if they are few."""
+    return F.broadcast(refs) if refs.count() <= BROADCAST_ROWS else refs
+
+
+def limits(texts: DataFrame, refs: DataFrame) -> DataFrame:
+    """``refs`` with (limit_chars, limit_words): margins times the median distances of each language, one vote a source.
+
+    The limit by words stays below the distance of a text without a common word, so such texts are rejected wherever
+    the reference has enough of them to tell (a distance of ``LEAST_LIMIT``).
+    """
+    far = texts.join(few(refs), F.col("lang").eqNullSafe(F.col("ref_lang"))).select(
+        "lang", "source", distance(shares_of(CHAR_BINS), F.col("ref_chars")).alias("far_chars"), distance(shares_of(WORD_BINS), F.col("ref_words")).alias("far_words")
+    )
+    middle = one_vote_a_source(far, ["far_chars", "far_words"])
+    bins = F.size("ref_words")
+    wordless = F.transform(F.col("ref_words"), lambda x, k: F.when(k == bins - 1, F.lit(1.0)).otherwise(F.lit(0.0)))
+    most = NO_WORDS * distance(wordless, F.col("ref_words"))
+    return refs.join(middle, F.col("ref_lang").eqNullSafe(F.col("lang")), "left").select(
+        *refs.columns,
+        F.greatest(CHAR_MARGIN * F.col("far_chars"), F.lit(LEAST_LIMIT)).alias("limit_chars"),
+        F.greatest(F.least(WORD_MARGIN * F.col("far_words"), most), F.lit(LEAST_LIMIT)).alias("limit_words"),
+    )
+
+
 def judge(
     docs: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
     min_words: int = 50,
-    max_chars: float = 0.31,
-    max_words: float = 0.45,
+    max_chars: float | None = None,
+    max_words: float | None = None,
 ) -> DataFrame:
     """``docs`` with a struct column ``quality``, or that with underscores: counts, distances, base_failed, kept.
 
-    A text is kept if the base rules pass and its two histograms are near enough to those of its language: at most
-    ``max_chars`` and ``max_words`` of Jensen-Shannon distance. Texts of fewer than ``min_words`` words, and of
-    languages without any reference, are judged by the base rules alone; a language that has no word list
+    A text is kept if the base rules pass and its two histograms are near enough to those of its language: within
+    the limits of Jensen-Shannon distance that its sound texts set, or ``max_chars`` and ``max_words`` where given.
+    Texts of fewer than ``min_words`` words, and of languages without any reference, are judged by the base rules alone; a language that has no word list
     is compared by characters only. A null text has no words and fails; a null language is a language of its own;
     repeated rows are judged alike; an empty table stays empty. The references come from the whole table first;
     without a column ``source_col`` all rows are of one source.
@@ -192,19 +224,19 @@ def judge(
     text, lang = whole_text(text_col), F.col(lang_col)
     source = F.col(source_col) if source_col.lower() in map(str.lower, docs.columns) else F.lit(None).cast("string")
     texts = cut_lineage(sound_texts(docs, text, lang, source, min_words)).filter("hash is not null")
-    refs = cut_lineage(references(texts))
-    n = refs.count()
-    names = {c: free_name(docs, c) for c in ("ref_lang", "ref_chars", "ref_words")}
-    refs = refs.withColumnsRenamed(names)
+    refs = cut_lineage(limits(texts, cut_lineage(references(texts))))
+    names = {c: free_name(docs, c) for c in refs.columns}
+    refs = few(refs).withColumnsRenamed(names)
     measured = measures(docs, text, lang)
     m_name = free_name(docs, "m")
-    joined = measured.join(F.broadcast(refs) if n <= BROADCAST_ROWS else refs, lang.eqNullSafe(F.col(names["ref_lang"])), "left")
+    joined = measured.join(refs, lang.eqNullSafe(F.col(names["ref_lang"])), "left")
     m = F.col(m_name)
     chars, words = histograms(m)
     long_enough = m["w"]["n_words"] >= min_words
     far_chars = F.when(long_enough, distance(chars, F.col(names["ref_chars"])))
     far_words = F.when(long_enough & (F.size(m["w"]["common"]) > 0), distance(words, F.col(names["ref_words"])))
-    near = (F.coalesce(far_chars, F.lit(0.0)) <= max_chars) & (F.coalesce(far_words, F.lit(0.0)) <= max_words)
+    limit_chars, limit_words = (F.col(names[c]) if given is None else F.lit(given) for c, given in (("limit_chars", max_chars), ("limit_words", max_words)))
+    near = F.coalesce(far_chars <= limit_chars, F.lit(True)) & F.coalesce(far_words <= limit_words, F.lit(True))
     verdict = F.struct(
         m["w"]["n_words"].alias("n_words"),
         m["w"]["word_chars"].alias("word_chars"),

@@ -309,6 +309,17 @@ def sentences(seed=10):
     return lambda n=200: " ".join(rnd.choice(quality.COMMON_WORDS["en"] if rnd.random() < 0.2 else rare) for _ in range(n))
 
 
+def test_texts_without_common_words_of_their_language_are_rejected(spark):
+    prose, rnd = sentences(), random.Random(11)
+    german = lambda: " ".join(rnd.choice(quality.COMMON_WORDS["de"] + ["haus", "fluss", "garten", "stein", "fenster", "langsam"]) for _ in range(200))
+    rare = lambda: " ".join("".join(rnd.choice("aeioulnrstdhg") for _ in range(rnd.randint(4, 8))) for _ in range(200))
+    rows = [(k, prose(rnd.randint(60, 300)), "en") for k in range(200)] + [(200 + k, rare(), "en") for k in range(5)] + [(300 + k, german(), "en") for k in range(5)]
+    rows += [(400 + k, "| " + " | ".join(prose(60).split()) + " |", "en") for k in range(5)] + [(500, rare(), "xx"), (501, prose(30), "en")]
+    found = {r["doc_id"]: r["quality"] for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert not any(found[k]["kept"] or found[k]["base_failed"] for j in (200, 300, 400) for k in range(j, j + 5))
+    assert sum(found[k]["kept"] for k in range(200)) >= 196 and found[500]["kept"] and found[501]["kept"]
+
+
 def test_one_source_does_not_set_the_references(spark):
     prose = sentences()
     clean = [(k, prose(), "en", f"s{k % 8}") for k in range(80)]
