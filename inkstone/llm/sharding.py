@@ -38,23 +38,17 @@ def leaves(rows: DataFrame, limit: int, base: int, width: int) -> DataFrame:
     return found.groupBy("cell").agg(best.alias("b")).select("cell", "b.*")
 
 
-def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, bytes, shard, depth, shard_bytes) of every row; shard is the prefix of hash bits of its bucket.
-
-    The hash is md5 of the id and the text, so rows of one id part. Equal rows have equal hashes: a
-    bucket that holds nothing else and is too large splits on bits drawn for each row, which a checkpoint keeps.
-    A single row over ``limit`` is a shard by itself. Null ids and texts count as empty; an empty table gives no row.
-    """
+def keyed(docs: DataFrame, id_col: str, text_col: str, *kept: Column) -> DataFrame:
+    """(kept, bytes, bits) of every row, checkpointed: bits of md5 of the id and the text, then bits drawn for each row."""
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), whole_text(text_col))
     drawn = bits_of(F.md5(F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string"))))
-    rows = cut_lineage(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.xxhash64(whole_text(text_col)).alias("text_hash"),
-            F.octet_length(whole_text(text_col)).cast("bigint").alias("bytes"),
-            F.concat(bits_of(F.md5(key)), drawn).alias("bits"),
-        )
-    )
+    size = F.octet_length(whole_text(text_col)).cast("bigint").alias("bytes")
+    return cut_lineage(docs.select(*kept, size, F.concat(bits_of(F.md5(key)), drawn).alias("bits")))
+
+
+def split(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (bytes, bits and others) without bits, with the shard fitted for each row, its depth and shard_bytes."""
+    columns = rows.columns
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     base, width = 0, min(HASH_BITS, 4 + math.ceil(math.log2(1 + total / limit)))
     done = None
@@ -62,26 +56,33 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         directory = cut_lineage(leaves(rows, limit, base, width))
         found = rows.withColumn("cell", F.expr(f"left(bits, {base + width})")).join(directory, "cell").drop("cell")
         last = base + width >= 2 * HASH_BITS
-        fitting = (found if last else found.filter("fits")).drop("shard_rows", "fits")
+        fitting = (found if last else found.filter("fits")).drop("bits", "shard_rows", "fits")
         done = fitting if done is None else done.unionByName(fitting)
         if last or directory.filter("not fits").isEmpty():
-            break
+            return done
         # what is still too large goes on with the bits that follow
-        rows = cut_lineage(found.filter("not fits").select("id", "text_hash", "bytes", "bits"))
+        rows = cut_lineage(found.filter("not fits").select(*columns))
         base, width = base + width, min(8, 2 * HASH_BITS - base - width)
-    return done.select(F.col("id").alias(id_col), "text_hash", "bytes", "shard", "depth", "shard_bytes")
+
+
+def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, bytes, shard, depth, shard_bytes) of every row; shard is the prefix of hash bits of its bucket.
+
+    The hash is md5 of the id and the text, so rows of one id part. Equal rows have equal hashes: a
+    bucket that holds nothing else and is too large splits on bits drawn for each row, which a checkpoint keeps.
+    A single row over ``limit`` is a shard by itself. Null ids and texts count as empty; an empty table gives no row.
+    """
+    rows = keyed(docs, id_col, text_col, F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"))
+    return split(rows, limit).select(F.col("id").alias(id_col), "text_hash", "bytes", "shard", "depth", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, limit: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the rows with all their columns to one folder of Parquet files for each shard.
 
-    Rows that are equal in id and text are dealt among their shards by count, not by position.
+    Each row, with its columns, goes through the split itself and is written to the shard that was fitted for it, so a
+    folder holds at most ``limit`` bytes of text or a single row, whichever rows are equal.
     """
-    i, h, shard, k = (free_name(docs, x) for x in ("shard_id", "shard_hash", "shard", "shard_turn"))
-    placed = assign(docs, limit, id_col, text_col)
-    turns = placed.groupBy(F.col(id_col).alias(i), F.col("text_hash").alias(h)).agg(F.collect_set("shard").alias(shard))
-    keyed = docs.withColumn(h + "_", F.xxhash64(whole_text(text_col))).withColumn(k, F.monotonically_increasing_id())
-    joined = keyed.join(turns, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h + "_") == F.col(h)))
-    pick = F.get(F.col(shard), F.pmod(F.xxhash64(F.col(k)), F.size(shard)).cast("int"))
-    out = joined.withColumn(shard, F.concat(F.lit("p"), pick)).select(*docs.columns, shard)
+    shard = free_name(docs, "shard")
+    placed = split(keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row")), limit)
+    out = placed.select("row.*", F.concat(F.lit("p"), F.col("shard")).alias(shard))
     out.repartition(shard).write.mode("errorifexists").partitionBy(shard).parquet(folder)

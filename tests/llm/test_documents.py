@@ -228,6 +228,20 @@ def test_repeated_rows_split_on_drawn_bits(spark, tmp_path):
     assert back.count() == 65 and set(rows.columns) < set(back.columns)
 
 
+def test_written_shards_keep_the_limit_with_repeated_rows(spark, tmp_path):
+    rows = [(1, "x" * 50, k, "a") for k in range(64)] + [(None, "é" * 30, k, None) for k in range(20)] + [(1, None, 7, "n")] * 3
+    rows += [(100 + k, "w" * (k % 40), k, "b") for k in range(60)] + [(999, "l" * 900, 0, "large")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, bits int, shard string").repartition(5)
+    sharding.write_shards(docs, 200, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter(tuple(r)[:4] for r in back) == Counter(rows)
+    held = {}
+    for r in back:
+        held.setdefault(r["shard_"], []).append(len((r["text"] or "").encode()))
+    assert all(sum(sizes) <= 200 or len(sizes) == 1 for sizes in held.values()) and [900] in held.values()
+    sharding.write_shards(docs.limit(0), 200, str(tmp_path / "none"))
+
+
 # toxicity
 
 
