@@ -2,35 +2,160 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from inkstone.session import cut_lineage
 
-def shingles(words: Column, n: int) -> Column:
-    """Distinct runs of ``n`` words, space-joined; a shorter text is one run, an empty one none."""
+#: Rows of the smaller side up to which it is broadcast; beyond that both sides are shuffled.
+BROADCAST_ROWS = 200_000
+#: Places of a unit on one side up to which they stay together; a more frequent one is cut into cells.
+CELL = 4096
+#: Window starts of one part of a text.
+PART = 64
+#: Words by which phrases are looked up.
+ANCHOR = 6
 
-    def runs(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
-        found = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")))
-        return F.when(F.size(w) > 0, found).otherwise(F.array().cast("array<string>"))
 
-    # bound as a variable, so that the words are not computed again for every run
-    return F.get(F.transform(F.array(words), runs), F.lit(0))
+def windows(texts: DataFrame, words: str, n: int, reach: int | None = None, part: int = PART) -> DataFrame:
+    """``texts`` without ``words``, one row for each run of ``n`` words: ``window_words``, ``window_at`` and its hash ``window_hash``.
+
+    A text is first cut into parts, so that what a row carries has the same bound for any length of text. ``window_words``
+    is the part and ``window_at`` the place of the window's first word in it; from there the part holds
+    ``reach`` words (``n`` by default), or all that the text has left. A text of fewer than ``n`` words has no window.
+    """
+    rest = [c for c in texts.columns if c != words]
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1, F.lit(part))
+    parts = texts.filter(F.size(words) >= n).select(*rest, words, F.explode(starts).alias("_from"))
+    parts = parts.select(*rest, F.slice(words, F.col("_from"), part + (reach or n) - 1).alias("window_words"))
+    places = F.sequence(F.lit(0), F.least(F.lit(part), F.size("window_words") - n + 1) - 1)
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get("window_words", i + k) for k in range(n)]))
+    return parts.select(*rest, "window_words", F.posexplode(hashes).alias("window_at", "window_hash"))
+
+
+def window_text(n: int) -> Column:
+    """The window of a row of ``windows``, space-joined."""
+    return F.concat_ws(" ", *[F.get("window_words", F.col("window_at") + k) for k in range(n)])
+
+
+def phrase_hits(phrases: DataFrame, texts: DataFrame, words: str = "words", keys: list[str] | None = None) -> DataFrame:
+    """(phrase, *keys): the distinct phrases that occur.
+
+    ``phrases`` has arrays ``phrase``, ``texts`` has arrays ``words``, both of any length. A phrase occurs if a
+    text (with the same ``keys``, if given) holds its words in a row. Windows of the texts meet the phrases' first words, six at most, by
+    hash, and are compared word by word; texts are read once for each number of first words, so once where no
+    phrase is shorter than six. Up to ``BROADCAST_ROWS`` phrases are broadcast. Beyond that, equal windows are first combined in each task,
+    so a passage that many texts share is one row of each. Null and empty phrases never occur.
+    """
+    keys = keys or []
+    anchored = F.least(F.size("phrase"), F.lit(ANCHOR)).alias("n")
+    wanted = cut_lineage(phrases.filter(F.size("phrase") > 0).select(*keys, "phrase", anchored).distinct())
+    # at most ANCHOR rows
+    lengths = {r["n"]: r["reach"] for r in wanted.groupBy("n").agg(F.max(F.size("phrase")).alias("reach")).collect()}
+    small = wanted.count() <= BROADCAST_ROWS
+    found = wanted.limit(0).select(*keys, "phrase")
+    for n, reach in sorted(lengths.items()):
+        own = wanted.filter(F.col("n") == n).withColumn("window_hash", F.xxhash64(*[F.get("phrase", F.lit(k)) for k in range(n)])).drop("n")
+        seen = windows(texts.select(*keys, words), words, n, reach)
+        run = F.slice("window_words", F.col("window_at") + 1, reach)
+        if small:
+            met = seen.join(F.broadcast(own), [*keys, "window_hash"])
+        else:
+            seen = seen.select(*keys, "window_hash", run.alias("_run")).distinct()
+            run = F.col("_run")
+            met = seen.join(own, [*keys, "window_hash"])
+        found = found.unionByName(met.filter(F.slice(run, 1, F.size("phrase")) == F.col("phrase")).select(*keys, "phrase").distinct())
+    return found
+
+
+def text_classes(texts: DataFrame, key: str, words: str = "words") -> DataFrame:
+    """One row for each distinct sequence of words: the least key, the number of its copies, and the words."""
+    copies = texts.groupBy(F.md5(F.array_join(words, " ")).alias("_digest")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    return texts.select(key, words).join(copies.select(key, "copies"), key)
+
+
+def bags(texts: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, unit, n, total): how often each unit occurs in each text, and the text's number of units."""
+    sized = texts.select(key, F.size(words).cast("bigint").alias("total"), F.explode(words).alias("unit"))
+    return sized.groupBy(key, "total", "unit").agg(F.count("*").alias("n"))
+
+
+def _prefixes(own: DataFrame, key: str, rarity: DataFrame, threshold: float) -> DataFrame:
+    """(key, total, unit) of the rarest units of each text, so many that what is left can't reach the threshold by itself."""
+    order = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("unit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = own.join(rarity.select("unit", "df"), "unit").withColumn("_reach", F.sum("n").over(order))
+    return ranked.filter(F.col("_reach") >= F.ceil(F.lit(threshold) * F.col("total") - 1e-9)).select(key, "total", "unit")
+
+
+def _meet(short: DataFrame, long: DataFrame, a: str, b: str, rarity: DataFrame, smaller: Column) -> DataFrame:
+    """Distinct candidate pairs (a, b) that share a unit of the short one's prefix; frequent units meet in cells.
+
+    A unit with more than ``CELL`` places on a side is cut into so many chunks that each cell stays small: every place
+    goes to all cells of its chunk's row or column, and each pair of places meets in exactly one.
+    """
+    many = rarity.filter(F.greatest("left_df", "right_df") > CELL)
+    chunks = many.select("unit", F.ceil(F.col("left_df") / CELL).cast("int").alias("_rows"), F.ceil(F.col("right_df") / CELL).cast("int").alias("_cols"))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        marked = df.join(chunks, "unit", "left")
+        chunk = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int")
+        return marked.select(key, F.col("total").alias(f"_{key}_total"), "unit", chunk.alias(mine), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(theirs))
+
+    left, right = dealt(short, a, "_rows", "_cols", "_i", "_j"), dealt(long, b, "_cols", "_rows", "_j", "_i")
+    return left.join(right, ["unit", "_i", "_j"]).filter(smaller).select(a, b).distinct()
+
+
+def similar_bags(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float, words: str = "words") -> DataFrame:
+    """(left_key, right_key, shared, left_total, right_total, score) of texts whose units agree, as multisets.
+
+    ``score`` is the number of shared units, each as often as both have it, over the units of the shorter text; pairs of at least
+    ``threshold`` come back, and all of them. The units of all texts are ordered by frequency. A pair can only
+    reach the threshold if one of the shorter text's rarest units is in the longer one, so only those meet;
+    candidates are then counted exactly. Empty texts are similar to nothing. Keys must be unique on each side and not null.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a share above zero")
+    a, b = cut_lineage(bags(left, left_key, words)), cut_lineage(bags(right, right_key, words))
+    sides = a.select("unit", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select("unit", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    rarity = cut_lineage(sides.groupBy("unit").agg(F.sum("l").alias("left_df"), F.sum("r").alias("right_df")).filter("left_df > 0 and right_df > 0").withColumn("df", F.col("left_df") + F.col("right_df")))
+    # units of one side alone are never shared, but count for what a text has left
+    every = sides.groupBy("unit").agg(F.count("*").alias("df"))
+    shared_a, shared_b = a.join(rarity.select("unit"), "unit", "left_semi"), b.join(rarity.select("unit"), "unit", "left_semi")
+    swapped = rarity.select("unit", F.col("right_df").alias("left_df"), F.col("left_df").alias("right_df"))
+    la, lb = F.col(f"_{left_key}_total"), F.col(f"_{right_key}_total")
+    first = _meet(_prefixes(a, left_key, every, threshold), shared_b, left_key, right_key, rarity, la <= lb)
+    second = _meet(_prefixes(b, right_key, every, threshold), shared_a, right_key, left_key, swapped, lb < la)
+    pairs = cut_lineage(first.unionByName(second.select(left_key, right_key)))
+    # a pair is in one of the two alone, since one text is the shorter
+    own = pairs.join(shared_a.select(left_key, "unit", F.col("n").alias("_ln")), left_key)
+    both = own.join(shared_b.select(right_key, "unit", F.col("n").alias("_rn")), [right_key, "unit"])
+    counted = both.groupBy(left_key, right_key).agg(F.sum(F.least("_ln", "_rn")).alias("shared"))
+    sizes_a, sizes_b = a.groupBy(left_key).agg(F.first("total").alias("left_total")), b.groupBy(right_key).agg(F.first("total").alias("right_total"))
+    rows = counted.join(sizes_a, left_key).join(sizes_b, right_key)
+    score = F.col("shared") / F.least("left_total", "right_total")
+    return rows.select(left_key, right_key, "shared", "left_total", "right_total", score.alias("score")).filter(F.col("score") >= threshold - 1e-12)
 
 
 def shared_shingles(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str = "words", n: int = 8) -> DataFrame:
     """(left_key, right_key, shared, left_total, right_total, score) of texts with a common run of ``n`` words.
 
-    The texts meet in the runs themselves, so what shares none never meets; a hash carries the join and
-    the runs are compared too. Counts are combined before they are shuffled. ``score`` is the share of the
-    smaller text's runs that both have.
+    The texts meet in the runs' hashes and only those that do are compared by words, so what shares none never meets.
+    A text of fewer words is one run by itself. Counts are combined before they are shuffled. ``score``
+    is the share of the smaller text's distinct runs that both have.
     """
 
     def units(df: DataFrame, key: str, name: str) -> DataFrame:
-        runs = df.select(F.col(key).alias(name), shingles(F.col(words), n).alias("_runs"))
-        return runs.select(name, F.size("_runs").alias(f"{name}_total"), F.explode("_runs").alias(f"{name}_run"))
+        own = df.select(F.col(key).alias(name), F.col(words).alias("_words"))
+        long = windows(own, "_words", n).select(name, "window_hash", window_text(n).alias("run"))
+        short = own.filter((F.size("_words") > 0) & (F.size("_words") < n)).select(name, F.xxhash64("_words").alias("window_hash"), F.array_join("_words", " ").alias("run"))
+        return long.unionByName(short)
+
+    def totals(df: DataFrame, key: str, name: str, total: str) -> DataFrame:
+        return units(df, key, name).select(name, F.xxhash64("run", F.lit(1)).alias("a"), "window_hash").groupBy(name).agg(F.count_distinct("a", "window_hash").alias(total))
 
-    a, b = units(left, left_key, "_l"), units(right, right_key, "_r")
-    met = a.join(b, (F.xxhash64("_l_run") == F.xxhash64("_r_run")) & (F.col("_l_run") == F.col("_r_run")))
-    pairs = met.groupBy("_l", "_r").agg(F.count("*").alias("shared"), F.first("_l_total").alias("left_total"), F.first("_r_total").alias("right_total"))
+    a, b = units(left, left_key, "_l"), units(right, right_key, "_r").distinct()
+    met = a.join(b, ["window_hash", "run"])
+    pairs = met.select("_l", "_r", "window_hash", "run").distinct().groupBy("_l", "_r").agg(F.count("*").alias("shared"))
+    rows = pairs.join(totals(left.join(pairs.select(F.col("_l").alias(left_key)).distinct(), left_key, "left_semi"), left_key, "_l", "left_total"), "_l")
+    rows = rows.join(totals(right, right_key, "_r", "right_total"), "_r")
     score = F.col("shared") / F.least("left_total", "right_total")
-    return pairs.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), "shared", "left_total", "right_total", score.alias("score"))
+    return rows.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), "shared", "left_total", "right_total", score.alias("score"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.alignment import global_agreement
-from inkstone.functions.text import char_overlap, count_han, han_only, no_space
+from inkstone.functions.text import char_overlap, characters, count_han, han_only, no_space
+from inkstone.operators.overlap import phrase_hits
 
 # Characters that mark colloquial Cantonese, and those never written formally.
 CANTO_MARKERS = "[唔嘅咗喺咁噉啲佢冇哋嚟睇畀俾啦囉喇嘛喎啩啱嚟靚]"
@@ -78,16 +79,26 @@ def register_leak(df: DataFrame) -> DataFrame:
     )
 
 
-def known_phrase_recall(texts: DataFrame, phrases: DataFrame, key: str, floor: Column | None = None) -> DataFrame:
+def known_phrase_recall(
+    texts: DataFrame,
+    phrases: DataFrame,
+    key: str,
+    floor: Column | None = None,
+    units: Callable[[Column], Column] = characters,
+    anywhere: bool = False,
+) -> DataFrame:
     """Phrases (key, phrase) found in the text of the same key, against the floor of all but one.
 
-    A key without a text has found none of its phrases.
+    With ``anywhere`` a phrase may be in any text, and texts need no key. ``units`` cuts texts and phrases; by characters, a phrase is
+    found wherever the text contains it, by words only at word borders. A key without a text has found none of its
+    phrases; an empty or null phrase is never found.
     """
-    hits = phrases.join(texts, key, "left").groupBy(key).agg(
-        F.count("*").alias("phrases"), F.count_if(F.coalesce(F.contains("text", "phrase"), F.lit(False))).alias("found")
-    )
+    keys = [] if anywhere else [key]
+    cut = phrases.select(key, units(F.col("phrase")).alias("phrase"))
+    hits = phrase_hits(cut, texts.select(*keys, units(F.col("text")).alias("words")), keys=keys).withColumn("_hit", F.lit(True))
+    counted = cut.join(hits, [*keys, "phrase"], "left").groupBy(key).agg(F.count("*").alias("phrases"), F.count("_hit").alias("found"))
     least = floor if floor is not None else F.col("phrases") - 1
-    return hits.withColumn("passes", F.col("found") >= least)
+    return counted.withColumn("passes", F.col("found") >= least)
 
 
 def duplicate_count(lines: DataFrame, key: str = "page_id") -> DataFrame:

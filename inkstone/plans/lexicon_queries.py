@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkstone.operators import lexicon as lx, phonetic as ph
-from inkstone.operators.overlap import shared_shingles
+from inkstone.operators.overlap import shared_shingles, similar_bags, text_classes
 from inkstone.plans.registry import query
 from inkstone.plans.views import (
     PLACE,
@@ -400,3 +400,22 @@ def char_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark").select("item_id", latin_words("text").alias("words"))
     joined = shared_shingles(docs, items, "doc_id", "item_id")
     return joined.withColumn("left_total", F.col("left_total").cast("bigint")).withColumn("right_total", F.col("right_total").cast("bigint")).withColumn("score", F.round("score", 6))
+
+
+# Documents and benchmark passages that are at least 0.8 alike as multisets of words, one row for equal documents.
+@query(
+    "multiset_join",
+    f"""with d as (select min(doc_id) as id, count(*) as copies, ws from (select doc_id, {SQL_WORDS} as ws from documents) where len(ws) > 0 group by ws),
+    b as (select item_id as id, {SQL_WORDS} as ws from benchmark),
+    e as (select side, id, n, w, row_number() over (partition by side, id, w) as k
+          from (select 0 as side, id, len(ws) as n, unnest(ws) as w from d union all select 1, id, len(ws), unnest(ws) from b)),
+    s as (select x.id as doc_id, y.id as item_id, count(*) as shared, x.n as left_total, y.n as right_total
+          from e x join e y on x.side = 0 and y.side = 1 and x.w = y.w and x.k = y.k group by all)
+    select doc_id, d.copies, item_id, shared, left_total, right_total, round(shared / least(left_total, right_total), 6) as score
+    from s join d on d.id = doc_id where 10 * shared >= 8 * least(left_total, right_total)""",
+)
+def multiset_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = text_classes(table(spark, sf, "documents").select("doc_id", latin_words("text").alias("words")), "doc_id")
+    items = table(spark, sf, "benchmark").select("item_id", latin_words("text").alias("words"))
+    alike = similar_bags(docs, items, "doc_id", "item_id", 0.8).join(docs.select("doc_id", "copies"), "doc_id")
+    return alike.select("doc_id", "copies", "item_id", "shared", "left_total", "right_total", F.round("score", 6).alias("score"))

@@ -76,22 +76,21 @@ def register_leak(spark: SparkSession, sf: str) -> DataFrame:
     return ql.register_leak(turns(spark, sf).select(F.translate(F.lower("text"), "qy", "唔嘅").alias("formal"), F.translate(F.lower("text"), "xz", "啦啲").alias("casual")))
 
 
-# Phrases: every word of every later turn, looked for in the conversation's even turns.
+# Phrases: all runs of six words of every benchmark passage (a shorter one is a phrase by itself), looked for in all documents.
 @query(
     "known_recall",
-    f"""with p as (select conv_id, unnest({SQL_WORDS}) as phrase from conversations where turn > 0),
-    o as (select conv_id, string_agg({SQL_LOWER}, ' ' order by turn) as text from conversations where turn % 2 = 0 and conv_id % 7 <> 3 group by 1)
-    select conv_id, count(*) as phrases, count(*) filter (coalesce(contains(text, phrase), false)) as found,
-           count(*) filter (coalesce(contains(text, phrase), false)) >= count(*) - 1 as passes
-    from p left join o using (conv_id) group by 1""",
+    f"""with w as (select item_id, {SQL_WORDS} as ws from benchmark),
+    p as (select distinct item_id, array_to_string(ws[i : i + 5], ' ') as phrase from (select *, unnest(range(1, greatest(len(ws) - 5, 1) + 1)) as i from w where len(ws) > 0)),
+    d as (select ' ' || array_to_string({SQL_WORDS}, ' ') || ' ' as text from documents),
+    f as (select phrase, exists (select 1 from d where contains(d.text, ' ' || phrase || ' ')) as hit from (select distinct phrase from p))
+    select item_id, count(*) as phrases, count(*) filter (hit) as found, count(*) filter (hit) >= count(*) - 1 as passes from p join f using (phrase) group by 1""",
 )
 def known_recall(spark: SparkSession, sf: str) -> DataFrame:
-    conv = table(spark, sf, "conversations")
-    phrases = conv.filter("turn > 0").select("conv_id", F.explode(latin_words("text")).alias("phrase"))
-    said = F.array_sort(F.collect_list(F.struct("turn", lowered("text").alias("text"))))
-    # a conversation is as short as its readers' patience; every seventh has no text at all
-    texts = conv.filter("turn % 2 = 0 and conv_id % 7 <> 3").groupBy("conv_id").agg(F.array_join(F.transform(said, lambda s: s.text), " ").alias("text"))
-    return ql.known_phrase_recall(texts, phrases, "conv_id")
+    passages = table(spark, sf, "benchmark").select("item_id", latin_words("text").alias("words")).filter(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 5, F.lit(1)))
+    phrases = passages.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, 6), " "))).alias("phrase")).distinct()
+    documents = table(spark, sf, "documents").select("text")
+    return ql.known_phrase_recall(documents, phrases, "item_id", units=lambda c: F.regexp_extract_all(lowered(c), F.lit("[a-z]+"), F.lit(0)), anywhere=True)
 
 
 @query("duplicate_count", f"with {SQL_PAGE_ITEMS} select page_id, count(*) - count(distinct text) as duplicates from page_items group by 1")
