@@ -110,17 +110,35 @@ def _strip_fences(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, "(?i)```(?:json)?", ""), "```", "")
 
 
+def first_structure(col: Column) -> Column:
+    """The first balanced object or array of a text, brackets within strings apart; null if none is complete.
+
+    A backslash takes the next character's meaning away, in and outside of strings. Escapes and the insides of strings are
+    blanked in place. The text is cut behind every closing bracket, and a running sum of what each piece opens
+    and closes tells where the first bracket is closed again.
+    """
+    body = F.regexp_extract(col, r"(?s)[{\[].*", 0)
+    # the same length, character by character, so that places stay what they are
+    plain = F.regexp_replace(body, r"(?s)\\.", "__")
+    outside = F.transform(F.split(plain, '"', -1), lambda piece, i: F.when(i % 2 == 0, piece).otherwise(F.repeat(F.lit("_"), F.length(piece))))
+    pieces = F.split(F.array_join(outside, "_"), r"(?<=[}\]])", -1)
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("place"), F.lit(False).alias("closed"))
+
+    def pass_piece(s: Column, piece: Column) -> Column:
+        closes = piece.rlike(r"[}\]]$").cast("int")
+        still = s.open + F.length(piece) - F.length(F.translate(piece, "{[", "")) - closes
+        here = F.struct(still.alias("open"), (s.place + F.length(piece)).alias("place"), ((closes == 1) & (still == 0)).alias("closed"))
+        return F.when(s.closed, s).otherwise(here)
+
+    end = F.aggregate(pieces, start, pass_piece, lambda s: F.when(s.closed, s.place))
+    return F.when(body != "", F.substring(body, F.lit(1), end))
+
+
 def parse_loose_json(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """``parsed``: first object or array in a fenced or prose-wrapped answer, null when none parses."""
-    body = _strip_fences(F.col(column))
-    structure = F.regexp_extract(body, r"(?s)^[^{\[]*(\{.*\}|\[.*\])", 1)
-    short = F.regexp_extract(body, r"(?s)^[^{\[]*(\{[^{}]*\}|\[[^\[\]]*\])", 1)
-    options = {"mode": "PERMISSIVE"}
-    first = F.coalesce(
-        F.when(F.try_parse_json(structure).isNotNull(), F.from_json(structure, schema, options)),
-        F.when(F.try_parse_json(short).isNotNull(), F.from_json(short, schema, options)),
-    )
-    return df.withColumn("parsed", first)
+    """``parsed``: the first balanced object or array in a fenced or prose-wrapped answer, null when it is no JSON or there is none."""
+    structure = first_structure(_strip_fences(F.col(column)))
+    parsed = F.when(F.try_parse_json(structure).isNotNull(), F.from_json(structure, schema, {"mode": "PERMISSIVE"}))
+    return df.withColumn("parsed", parsed)
 
 
 def bracket_list(col: Column) -> Column:

@@ -453,6 +453,27 @@ def loose_json(spark: SparkSession, sf: str) -> DataFrame:
     return rules.parse_loose_json(rows, "answer", "struct<k:bigint>").select("event_id", "parsed.k")
 
 
+# Answers whose object holds objects, lists, quotes and brackets in strings, with prose and a second object behind it.
+@query(
+    "balanced_json",
+    """select event_id, case when event_id % 5 = 4 then null else cast(json_extract_string(props, '$.k') as bigint) end as k,
+              case when event_id % 5 = 4 then null when event_id % 5 = 3 then 2 else 1 end as depth from events""",
+)
+def balanced_json(spark: SparkSession, sf: str) -> DataFrame:
+    p, k = F.col("props"), F.col("event_id") % 5
+    deep = F.concat(F.lit('{"in": {"depth": 1, "said": "a \\" and } in \\\\", "list": [[1], {"x": []}]}, "k": '), F.regexp_extract(p, "[0-9]+", 0), F.lit("}"))
+    answer = (
+        F.when(k == 0, F.concat(F.lit("no quote: "), deep))
+        .when(k == 1, F.concat(F.lit("```json\n"), deep, F.lit('\n``` and {"in": {"depth": 9}, "k": 0}')))
+        .when(k == 2, F.concat(F.lit("So: "), deep, F.lit(' then } or "{" ]')))
+        .when(k == 3, F.concat(F.replace(deep, F.lit('"depth": 1'), F.lit('"depth": 2')), F.lit("{")))
+        .otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    )
+    rows = table(spark, sf, "events").select("event_id", answer.alias("answer"))
+    out = rules.parse_loose_json(rows, "answer", "struct<k:bigint,in:struct<depth:int>>")
+    return out.select("event_id", "parsed.k", F.col("parsed.in.depth").alias("depth"))
+
+
 @query(
     "json_salvage",
     """with lists as (select event_id, '[' || props || ', {"k": ' || cast(event_id as varchar) || '}, {"k": 1' as raw from events),

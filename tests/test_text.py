@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,45 @@ def test_rules(spark):
     q = spark.createDataFrame([(1, "你好"), (2, "time to eat"), (3, "ni hao"), (4, "你好 ok")], "id int, text string")
     got = {r.id: r.route for r in rules.route_text(q, q.filter("id = 3")).collect()}
     assert got == {1: "hanzi", 2: "translate", 3: "pinyin", 4: "translate"}
+
+
+def plain_structure(text):
+    """The same scan, character by character, with a stack."""
+    starts = [i for i, c in enumerate(text) if c in "{["]
+    if not starts:
+        return None
+    depth, inside, escaped = 0, False, False
+    for i in range(starts[0], len(text)):
+        c = text[i]
+        if escaped:
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        elif c == '"':
+            inside = not inside
+        elif not inside and c in "{[":
+            depth += 1
+        elif not inside and c in "}]":
+            depth -= 1
+            if depth == 0:
+                return text[starts[0] : i + 1]
+    return None
+
+
+def test_first_structure_equals_a_scan(spark):
+    rnd = random.Random(8)
+    texts = ["", "none", "{", "}", '{"a": "}"}', '{"a": {"b": 1}} and {"c": 2}', 'x [1, [2], {"y": []}] z', "\\{ {a}", '{"q": "\\\\"} "', "𝄞 {\"𝄞\": \"{\"} 𝄞"]
+    texts += ["".join(rnd.choice('{}[]""\\\\a𝄞 \n') for _ in range(rnd.randint(1, 40))) for _ in range(400)]
+    texts += ["[" * 2000 + "]" * 2000 + "]", '{"k": "' + '\\"}' * 5000 + '"} tail']
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, t string")
+    found = {r.id: r.s for r in df.select("id", rules.first_structure(F.col("t")).alias("s")).collect()}
+    assert found == {-1: None, **{i: plain_structure(t) for i, t in enumerate(texts)}}
+
+
+def test_loose_json_takes_the_first_balanced_structure(spark):
+    rows = ['{"a":{"b":1}} and {"c":2}', 'so: [{"a": 1}, {"a": [2]}] or [3]', '```json\n{"a": {"b": 2}}\n``` {x}', '{"a": {"b": 3', "{not json} {\"a\": 1}", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, t string")
+    got = {r.id: r.parsed for r in rules.parse_loose_json(df, "t", "struct<a:struct<b:int>>").collect()}
+    assert got[0].a.b == 1 and got[2].a.b == 2 and got[3] is None and got[4] is None and got[5] is None
+    lists = {r.id: r.parsed for r in rules.parse_loose_json(df, "t", "array<struct<a:string>>").collect()}
+    assert [x.a for x in lists[1]] == ["1", "[2]"]
