@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from inkstone.session import cut_lineage
+
 # Box change per outcome and waiting time per box in seconds.
 OUTCOMES = ["again", "hard", "good", "easy"]
 INTERVALS = [600, 3600, 28800, 86400, 259200, 604800]
@@ -24,7 +26,10 @@ STEPS = np.stack(
     ]
 )
 
-PARTIAL = "first_ts timestamp, first_id bigint, last_ts timestamp, steps array<int>, since_again long, saw_again boolean, n long"
+#: A stretch of an entry's log: its place in the log's order, the box that it makes of each box, the streak that it leaves or adds, its length.
+SLICE = "part int, first_ts timestamp, last_ts timestamp, steps array<int>, since_again long, saw_again boolean, n long"
+#: Stretches that are composed in one row.
+FAN = 64
 
 
 def outcome_code(outcome: Column) -> Column:
@@ -57,8 +62,23 @@ def compose(steps: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def _partials(key: str):
+def _joined(a: dict, b: dict) -> dict:
+    """Two stretches in a row as one."""
+    return {
+        **a,
+        "last_ts": b["last_ts"],
+        "steps": np.asarray(b["steps"])[np.asarray(a["steps"])],
+        "since_again": b["since_again"] if b["saw_again"] else a["since_again"] + b["since_again"],
+        "saw_again": a["saw_again"] or b["saw_again"],
+        "n": a["n"] + b["n"],
+    }
+
+
+def _slices(key: str):
+    """Compose a sorted partition's reviews to one stretch per entry, whatever the size of the batches."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict | None = None
         for batch in batches:
             if batch.empty:
                 continue
@@ -71,11 +91,11 @@ def _partials(key: str):
             maps = compose(STEPS[code], group, len(first))
             at = np.where(code == 0, np.arange(len(code)), -1)
             last_again = np.maximum.reduceat(at, first)
-            yield pd.DataFrame(
+            out = pd.DataFrame(
                 {
                     key: keys[first],
+                    "part": batch["part"].to_numpy()[first],
                     "first_ts": batch["ts"].to_numpy()[first],
-                    "first_id": batch["event_id"].to_numpy()[first],
                     "last_ts": batch["ts"].to_numpy()[last],
                     "steps": list(maps.astype(np.int32)),
                     "since_again": last - np.maximum(last_again, first - 1),
@@ -83,38 +103,70 @@ def _partials(key: str):
                     "n": last - first + 1,
                 }
             )
+            if held is not None:
+                head = out.iloc[0].to_dict()
+                if held[key] == head[key]:
+                    held, out = _joined(held, head), out.iloc[1:]
+                if len(out):
+                    yield pd.DataFrame([held])
+            if len(out):
+                yield out.iloc[:-1]
+                held = out.iloc[-1].to_dict()
+        if held is not None:
+            yield pd.DataFrame([held])
 
     return run
 
 
-def replay_reviews(reviews: DataFrame, key: str = "entry_id") -> DataFrame:
+def merge_slices(slices: DataFrame, key: str, fan: int = FAN) -> DataFrame:
+    """One stretch per entry out of its stretches, which compose in the order of ``part``.
+
+    A tree: each round composes the stretches of ``fan`` neighbouring parts in one row, so no row ever
+    holds more of them, and the number of rounds is the logarithm of the number of parts.
+    """
+    top = slices.agg(F.max("part")).first()[0]
+    cell = F.struct("part", "first_ts", "last_ts", "steps", "since_again", "saw_again", "n")
+    seed = F.struct(
+        F.array(*[F.lit(b) for b in range(TOP_BOX + 1)]).alias("steps"), F.lit(0).cast("long").alias("since_again"),
+        F.lit(False).alias("saw_again"), F.lit(0).cast("long").alias("n"),
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        return F.struct(
+            F.transform(s.steps, lambda box: F.get(p.steps, box)).alias("steps"),
+            F.when(p.saw_again, p.since_again).otherwise(s.since_again + p.since_again).alias("since_again"),
+            (s.saw_again | p.saw_again).alias("saw_again"),
+            (s.n + p.n).alias("n"),
+        )
+
+    while top is not None:
+        wider = F.floor(F.col("part") / fan).cast("int").alias("part")
+        near = slices.groupBy(key, wider).agg(F.array_sort(F.collect_list(cell)).alias("s"))
+        folded = near.select(
+            key, "part", F.get("s", F.lit(0))["first_ts"].alias("first_ts"), F.array_max(F.transform("s", lambda p: p.last_ts)).alias("last_ts"),
+            F.aggregate("s", seed, step).alias("f"),
+        )
+        slices = folded.select(key, "part", "first_ts", "last_ts", "f.steps", "f.since_again", "f.saw_again", "f.n")
+        if top < fan:
+            break
+        top, slices = top // fan, cut_lineage(slices)
+    return slices
+
+
+def replay_reviews(reviews: DataFrame, key: str = "entry_id", fan: int = FAN) -> DataFrame:
     """Final (box, due, streak, review_count) per entry from (key, ts, event_id, outcome).
 
     Reviews do not commute, but each is a map of six boxes and maps compose. The
     log is range-partitioned on (key, ts, event_id), so even one entry holding a
-    third of it is cut across many partitions. Every batch of a sorted partition
-    shrinks to one composed map per entry; only those few partial rows per entry
-    are shuffled and applied in time order.
+    third of it is cut across many partitions. A sorted partition shrinks to one composed map
+    per entry, with the partition's number as its place in time; those are merged in a tree.
     """
     rows = reviews.select(key, "ts", "event_id", outcome_code(F.col("outcome")).alias("code")).filter("code is not null")
     order = [key, "ts", "event_id"]
     key_type = reviews.schema[key].dataType.simpleString()
-    sliced = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    partial = sliced.mapInPandas(_partials(key), f"{key} {key_type}, {PARTIAL}")
-    cell = F.struct("first_ts", "first_id", "last_ts", "steps", "since_again", "saw_again", "n")
-    merged = partial.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("slices"))
-    seed = F.struct(F.lit(0).alias("box"), F.lit(0).cast("long").alias("streak"), F.lit(0).cast("long").alias("n"))
-    state = F.aggregate(
-        "slices",
-        seed,
-        lambda s, p: F.struct(
-            F.get(p.steps, s.box).alias("box"),
-            F.when(p.saw_again, p.since_again).otherwise(s.streak + p.since_again).alias("streak"),
-            (s.n + p.n).alias("n"),
-        ),
-    )
-    folded = merged.select(key, state.alias("s"), F.array_max(F.transform("slices", lambda p: p.last_ts)).alias("last_ts"))
-    due = F.col("last_ts") + F.make_interval(secs=interval_seconds(F.col("s.box")))
-    return folded.select(
-        key, F.col("s.box").alias("box"), due.alias("due"), F.col("s.streak").alias("streak"), F.col("s.n").alias("review_count")
-    )
+    sliced = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # written once: bounds of ranges that a lost task drew anew would not fit the others
+    slices = cut_lineage(sliced.mapInPandas(_slices(key), f"{key} {key_type}, {SLICE}"))
+    folded = merge_slices(slices, key, fan).withColumn("box", F.get("steps", F.lit(0)))
+    due = F.col("last_ts") + F.make_interval(secs=interval_seconds(F.col("box")))
+    return folded.select(key, "box", due.alias("due"), F.col("since_again").alias("streak"), F.col("n").alias("review_count"))

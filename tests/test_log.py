@@ -1,10 +1,11 @@
+import datetime
 import random
 
 from pyspark.sql import functions as F
 
 from inkstone.operators import reviews as rv
 from inkstone.sources import readers, writers
-from inkstone.streaming.reviews import dedupe_saves_stream, review_state_stream
+from inkstone.streaming.reviews import dedupe_saves_stream, review_queue_stream, review_state_stream
 
 MOVE = {"again": lambda b: 0, "hard": lambda b: max(0, b - 1), "good": lambda b: min(5, b + 1), "easy": lambda b: min(5, b + 2)}
 
@@ -160,3 +161,83 @@ def test_history_and_meter_streams(spark, tmp_path):
     done = counted.writeStream.outputMode("complete").format("memory").queryName("meters").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted((r.pages, r.proposals, r.verified) for r in spark.table("meters").collect()) == [(1, 2, 1), (1, 2, 1), (3, 6, 3)]
+
+
+def _fed(spark, tmp_path, parts, stream, name):
+    """Run a stream over one file a batch; all that it sends."""
+    for i, part in enumerate(parts):
+        _frame(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    schema = "entry_id bigint, ts timestamp, event_id bigint, outcome string"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
+    query = stream(source).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name).withColumn("s", F.unix_timestamp("ts")).withColumn("d", F.unix_timestamp("due")).collect()
+
+
+def test_queue_stream_tells_states_due_cards_and_late_reviews(spark, tmp_path):
+    start, hour = 1_700_000_000, 3600
+    parts = [
+        [(1, start, 1, "good"), (2, start + 60, 2, "again"), (3, start + 30, 3, "oops")],
+        # three hours on: both cards are long due
+        [(9, start + 3 * hour, 4, "good")],
+        # behind the watermark, on it, and in time
+        [(1, start + 2 * hour - 5, 5, "again"), (2, start + 2 * hour, 6, "good"), (2, start + 2 * hour + 1, 7, "good")],
+        [(9, start + 40 * hour, 8, "easy")],
+        [(9, start + 41 * hour, 9, "easy")],
+    ]
+    rows = _fed(spark, tmp_path, parts, lambda s: review_queue_stream(s, "1 hour"), "queue")
+    late = {(r.entry_id, r.event_id, r.outcome) for r in rows if r.kind == "late"}
+    assert late == {(1, 5, "again"), (2, 6, "good")} and sum(r.kind == "late" for r in rows) == 2
+    due = sorted((r.entry_id, r.s) for r in rows if r.kind == "due")
+    assert due == [(1, start + hour), (2, start + 660), (2, start + 3 * hour + 1), (9, start + 4 * hour)]
+    counted = [r for p in parts for r in p if r[2] not in (3, 5, 6)]
+    passed = [r for r in counted if r[1] <= start + 40 * hour]
+    last = {}
+    for r in rows:
+        if r.kind == "state" and r.review_count > last.get(r.entry_id, (0, 0, 0))[2]:
+            last[r.entry_id] = (r.box, r.streak, r.review_count, r.d)
+    assert last == _replay(passed)
+
+
+def test_queue_stream_equals_due_entries_at_the_watermark(spark, tmp_path):
+    rows = _events(400, 12, seed=7)
+    rows.sort(key=lambda r: r[1])
+    end = max(r[1] for r in rows)
+    parts = [rows[k : k + 100] for k in range(0, 400, 100)] + [[(99, end + 7200, 9000, "good")], [(99, end + 7201, 9001, "good")]]
+    told = _fed(spark, tmp_path, parts, lambda s: review_queue_stream(s, "10 minutes"), "queue2")
+    assert not [r for r in told if r.kind == "late"]
+    now = end + 7201 - 600
+    open_cards = {}
+    for r in sorted((r for r in told if r.kind != "late"), key=lambda r: (r.review_count, r.kind == "due")):
+        open_cards[r.entry_id] = r.kind == "due"
+    batch = _replay([r for p in parts for r in p if r[1] <= now])
+    assert {k for k, due in open_cards.items() if due} == {k for k, v in batch.items() if v[3] <= now}
+
+
+def test_replay_in_a_tree_of_slices(spark):
+    """Many parts and a small fan: three rounds; a null key is an entry of its own."""
+    rows = _events(4000, 30, seed=11)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        out = rv.replay_reviews(_frame(spark, rows), fan=3).withColumn("d", F.unix_timestamp("due")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.entry_id: (r.box, r.streak, r.review_count, r.d) for r in out} == _replay(rows)
+    assert rv.replay_reviews(_frame(spark, rows).limit(0)).count() == 0
+
+
+def test_saves_stream_reads_its_table_once(spark, tmp_path):
+    schema = "id bigint, user_id bigint, traditional string, pinyin string, variety string, created_at timestamp"
+    save = lambda i, word: (i, 1, word, "p", "zh", datetime.datetime(2024, 1, 1, 0, 0, i))
+    spark.createDataFrame([save(1, "old"), save(2, None)], schema).write.parquet(str(tmp_path / "table"))
+    batches = [[save(11, "old"), save(13, "new"), save(12, "new")], [save(14, "new"), save(15, None)], [save(16, "third"), save(17, "old")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = dedupe_saves_stream(source, str(tmp_path / "table"), str(tmp_path / "ck"))
+    query.awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 2, 12, 16]
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]][1:] == [2, 2]
