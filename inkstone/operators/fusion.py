@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.alignment import local_alignment
 from inkstone.functions.geometry import half_up, is_tall, let, upper_median
-from inkstone.functions.text import char_overlap, characters, no_space
+from inkstone.functions.text import char_overlap, characters, no_space, shared_units
 from inkstone.operators.boxes import dedupe_items, lattice_degenerate, page_gate, page_serve_gate, reading_order_items
 from inkstone.operators.common import first_per_key, top_per_key
 from inkstone.operators.greedy import greedy_keep
 from inkstone.operators.lexicon import map_characters
+from inkstone.operators.overlap import PAGE_PAIRS, crowded_pages, similar_on_page
 from inkstone.session import cut_lineage
 
 GAP_MARK = "⟪[0-9]+(?:[.][0-9]+)?⟫"
@@ -61,6 +62,10 @@ def with_norm(df: DataFrame, column: str, script_map: DataFrame | None) -> DataF
 
 # ---- text alignment -----------------------------------------------------
 
+#: Share of a fragment's characters that an accepted line has at least.
+SHARED = 0.18
+
+
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [local_alignment(list(f), list(c)) for f, c in zip(batch["fragment"], batch["reading"])]
@@ -76,22 +81,35 @@ def align_texts(pairs: DataFrame) -> DataFrame:
     return pairs.select("fragment", "reading").distinct().mapInPandas(_align, schema)
 
 
-def align_pairs(fragments: DataFrame, lines: DataFrame) -> DataFrame:
+def align_pairs(fragments: DataFrame, lines: DataFrame, accepted_only: bool = False, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """Aligned windows of every fragment and line of a page that share a character.
 
     Both tables carry ``norm``. Equal text pairs are aligned once, whatever the
-    number of pages they occur on.
+    number of pages they occur on. On pages with more than ``page_pairs`` pairs, texts meet by an index of their characters.
+    With ``accepted_only``, pairs that cannot be accepted are left out before they are aligned: nine tenths of a fragment
+    within a chunk of positive score take more than 0.18 of its characters as matches.
     """
     f = fragments.select("page_id", "item", F.col("norm").alias("fragment"))
     c = lines.select("page_id", "line", F.col("norm").alias("reading"))
-    pairs = f.join(c, "page_id").filter(F.arrays_overlap(characters(F.col("fragment")), characters(F.col("reading"))))
+    crowded = crowded_pages(f, c, "page_id", page_pairs)
+    near = f if crowded is None else f.join(crowded, "page_id", "left_anti")
+    pairs = near.join(c, "page_id").filter(F.arrays_overlap(characters(F.col("fragment")), characters(F.col("reading"))))
+    if accepted_only:
+        pairs = pairs.filter(shared_units(F.col("fragment"), F.col("reading")) >= SHARED * F.length("fragment") - 1e-9)
+    if crowded is not None:
+        many, with_lines = f.join(crowded, "page_id", "left_semi"), c.join(crowded, "page_id", "left_semi")
+        # a share of next to nothing is one character
+        met = similar_on_page(many, with_lines, "page_id", "item", "line", "fragment", "reading", SHARED if accepted_only else 1e-9, of="left")
+        met = met.select("page_id", "item", "line").join(many, ["page_id", "item"]).join(with_lines, ["page_id", "line"])
+        pairs = pairs.unionByName(met.select(*pairs.columns))
     windows = align_texts(pairs)
     m, n = F.length("fragment"), F.length("reading")
     accepted = (
         (((F.col("f_end") - F.col("f_start")) / m >= 0.9) | (F.col("matched") >= 0.55 * m))
         & (n - F.col("c_end") >= m - F.col("f_end"))
     )
-    return pairs.join(windows, ["fragment", "reading"]).withColumn("accepted", accepted)
+    found = pairs.join(windows, ["fragment", "reading"]).withColumn("accepted", accepted)
+    return found.filter("accepted") if accepted_only else found
 
 
 def improve_fragments(fragments: DataFrame, lines: DataFrame, windows: DataFrame) -> DataFrame:
@@ -125,21 +143,34 @@ def unmatched_lines(lines: DataFrame, windows: DataFrame) -> DataFrame:
     return lines.filter(F.length("clean") >= 2).join(taken, ["page_id", "line"], "left_anti")
 
 
-def group_variant_lines(lines: DataFrame, similar: float = 0.55) -> DataFrame:
+def group_variant_lines(lines: DataFrame, similar: float = 0.55, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """``first``: no earlier line of the page resembles it. The others repeat one missing column.
 
     Every earlier line belongs to some group, so a line opens its own exactly
-    when it resembles none of them. The lines of a page are one model answer.
+    when it resembles none of them. The lines of a page are one model answer; on a page with more than ``page_pairs`` pairs
+    of lines, equal ones meet by their text and similar ones by an index of their characters.
     """
     key = lines.select("page_id", "line", "norm")
-    later = key.alias("b").join(
-        key.alias("a"),
+    crowded = crowded_pages(key, key, "page_id", page_pairs)
+    near = key if crowded is None else key.join(crowded, "page_id", "left_anti")
+    later = near.alias("b").join(
+        near.alias("a"),
         (F.col("a.page_id") == F.col("b.page_id"))
         & (F.col("a.line") < F.col("b.line"))
         & (char_overlap(F.col("a.norm"), F.col("b.norm"), "strict_shorter") >= similar),
         "left_semi",
     )
-    repeats = later.select("page_id", "line", F.lit(True).alias("_again"))
+    again = later.select("page_id", "line")
+    if crowded is not None:
+        many = key.join(crowded, "page_id", "left_semi")
+        opens = many.groupBy("page_id", "norm").agg(F.min("line").alias("_first"))
+        equal = many.join(opens, ["page_id", "norm"]).filter(F.col("line") > F.col("_first")).select("page_id", "line")
+        # of equal lines the first is looked up for all of them; texts under four characters only resemble equal ones
+        firsts = opens.select("page_id", "norm", F.col("_first").alias("line"))
+        met = similar_on_page(firsts, firsts.withColumnRenamed("line", "other"), "page_id", "line", "other", "norm", "norm", similar)
+        alike = met.filter((F.least("left_total", "right_total") >= 4) & (F.col("other") < F.col("line"))).select("page_id", "line")
+        again = again.unionByName(equal).unionByName(alike).distinct()
+    repeats = again.withColumn("_again", F.lit(True))
     return lines.join(repeats, ["page_id", "line"], "left").withColumn("first", F.col("_again").isNull()).drop("_again")
 
 
@@ -321,7 +352,7 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
     # kept fragments, windows and fragment lines are each read several times below
     keep = cut_lineage(dedupe_items(with_norm(items, "text", script_map)))
     lines = with_norm(read_answers(answers), "clean", script_map)
-    windows = cut_lineage(align_pairs(keep, lines))
+    windows = cut_lineage(align_pairs(keep, lines, accepted_only=True))
     improved = improve_fragments(keep, lines, windows)
     ordered = reading_order_items(keep, single_tall=True).join(improved, ["page_id", "item"], "left")
     ordered = ordered.withColumn("text", F.coalesce("improved", "text"))

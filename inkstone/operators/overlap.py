@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from inkstone.functions.text import characters
 from inkstone.session import cut_lineage
 
 #: Rows of the smaller side up to which it is broadcast; beyond that both sides are shuffled.
@@ -12,6 +13,8 @@ BROADCAST_ROWS = 200_000
 CELL = 4096
 #: Window starts of one part of a text.
 PART = 64
+#: Pairs of rows of one page up to which they simply meet.
+PAGE_PAIRS = 1 << 18
 #: Words by which phrases are looked up.
 ANCHOR = 6
 
@@ -104,11 +107,13 @@ def _meet(short: DataFrame, long: DataFrame, a: str, b: str, rarity: DataFrame,
     return left.join(right, ["unit", "_i", "_j"]).filter(smaller).select(a, b).distinct()
 
 
-def similar_bags(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float, words: str = "words") -> DataFrame:
+def similar_bags(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float, words: str = "words", of: str = "shorter"
+) -> DataFrame:
     """(left_key, right_key, shared, left_total, right_total, score) of texts whose units agree, as multisets.
 
-    ``score`` is the number of shared units, each as often as both have it, over the units of the shorter text; pairs of at least
-    ``threshold`` come back, and all of them. The units of all texts are ordered by frequency. A pair can only
+    ``score`` is the number of shared units, each as often as both have it, over the units of the shorter text (with ``of`` =
+    "left", of the left one); pairs of at least ``threshold`` come back, and all of them. The units of all texts are ordered by frequency. A pair can only
     reach the threshold if one of the shorter text's rarest units is in the longer one, so only those meet;
     candidates are then counted exactly. Empty texts are similar to nothing. Keys must be unique on each side and not null.
     """
@@ -122,19 +127,46 @@ def similar_bags(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     shared_a, shared_b = a.join(rarity.select("unit"), "unit", "left_semi"), b.join(rarity.select("unit"), "unit", "left_semi")
     swapped = rarity.select("unit", F.col("right_df").alias("left_df"), F.col("left_df").alias("right_df"))
     la, lb = F.col(f"_{left_key}_total"), F.col(f"_{right_key}_total")
-    first = _meet(_prefixes(a, left_key, every, threshold), shared_b, left_key, right_key, rarity, la <= lb)
-    second = _meet(_prefixes(b, right_key, every, threshold), shared_a, right_key, left_key, swapped, lb < la)
-    pairs = cut_lineage(first.unionByName(second.select(left_key, right_key)))
+    either = F.lit(of == "left")
+    pairs = _meet(_prefixes(a, left_key, every, threshold), shared_b, left_key, right_key, rarity, either | (la <= lb))
+    if of != "left":
+        second = _meet(_prefixes(b, right_key, every, threshold), shared_a, right_key, left_key, swapped, lb < la)
+        pairs = pairs.unionByName(second.select(left_key, right_key))
+    pairs = cut_lineage(pairs)
     # a pair is in one of the two alone, since one text is the shorter
     own = pairs.join(shared_a.select(left_key, "unit", F.col("n").alias("_ln")), left_key)
     both = own.join(shared_b.select(right_key, "unit", F.col("n").alias("_rn")), [right_key, "unit"])
     counted = both.groupBy(left_key, right_key).agg(F.sum(F.least("_ln", "_rn")).alias("shared"))
     sizes_a, sizes_b = a.groupBy(left_key).agg(F.first("total").alias("left_total")), b.groupBy(right_key).agg(F.first("total").alias("right_total"))
     rows = counted.join(sizes_a, left_key).join(sizes_b, right_key)
-    score = F.col("shared") / F.least("left_total", "right_total")
+    score = F.col("shared") / (F.col("left_total") if of == "left" else F.least("left_total", "right_total"))
     return rows.select(left_key, right_key, "shared", "left_total", "right_total", score.alias("score")).filter(F.col("score") >= threshold - 1e-12)
 
 
+def crowded_pages(left: DataFrame, right: DataFrame, page: str, pairs: int = PAGE_PAIRS) -> DataFrame | None:
+    """The pages on which left and right rows make more than so many pairs; None if there are none."""
+    sizes = left.groupBy(page).agg(F.count("*").alias("_l")).join(right.groupBy(page).agg(F.count("*").alias("_r")), page)
+    crowded = cut_lineage(sizes.filter(F.col("_l") * F.col("_r") > pairs).select(page))
+    return None if crowded.isEmpty() else crowded
+
+
+def similar_on_page(
+    left: DataFrame, right: DataFrame, page: str, left_key: str, right_key: str, left_text: str, right_text: str, threshold: float, of: str = "shorter"
+) -> DataFrame:
+    """(page, left_key, right_key) of texts of one page that are similar by characters, as ``similar_bags`` has it.
+
+    The characters of each page are units of their own, so a page that holds a third of all rows meets by its rare characters, in
+    many tasks, and rows of different pages never meet.
+    """
+
+    def bag(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        own = F.transform(characters(F.col(text)), lambda c: F.concat_ws("\u0001", F.col(page).cast("string"), c))
+        return df.select(F.struct(page, key).alias(name), own.alias("words"))
+
+    found = similar_bags(bag(left, left_key, left_text, "_a"), bag(right, right_key, right_text, "_b"), "_a", "_b", threshold, of=of)
+    return found.select(F.col(f"_a.{page}").alias(page), F.col(f"_a.{left_key}").alias(left_key), F.col(f"_b.{right_key}").alias(right_key), "left_total", "right_total")
+
+
 def shared_shingles(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str = "words", n: int = 8) -> DataFrame:
     """(left_key, right_key, shared, left_total, right_total, score) of texts with a common run of ``n`` words.
 

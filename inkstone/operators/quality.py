@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.alignment import global_agreement
 from inkstone.functions.text import char_overlap, characters, count_han, han_only, no_space
-from inkstone.operators.overlap import phrase_hits
+from inkstone.operators.overlap import PAGE_PAIRS, crowded_pages, phrase_hits, similar_on_page
 
 # Characters that mark colloquial Cantonese, and those never written formally.
 CANTO_MARKERS = "[唔嘅咗喺咁噉啲佢冇哋嚟睇畀俾啦囉喇嘛喎啩啱嚟靚]"
@@ -136,15 +136,18 @@ def regression_gate(lines: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("page_id", "blocks", "dupes", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) == 0).alias("passes"))
 
 
-def ordered_truth_diff(served: DataFrame, truth: DataFrame, similar: float = 0.6) -> DataFrame:
+def ordered_truth_diff(served: DataFrame, truth: DataFrame, similar: float = 0.6, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """Truth lines matched in order by one served line or two joined: (page_id, truth_no, hit, span).
 
     A match looks only forward from the previous one. Candidate matches come from
-    one join per page; the forward walk runs over a page's truth lines.
+    one join per page, on a page with more than ``page_pairs`` pairs by an index of the lines' characters; the forward walk runs
+    over a page's truth lines.
     """
     w = Window.partitionBy("page_id").orderBy("position")
     lines = served.select("page_id", "position", "text", F.lead("text").over(w).alias("next"))
-    pairs = truth.alias("t").join(lines.alias("s"), "page_id").select(
+    crowded = crowded_pages(truth, lines, "page_id", page_pairs)
+    near = truth if crowded is None else truth.join(crowded, "page_id", "left_anti")
+    pairs = near.alias("t").join(lines.alias("s"), "page_id").select(
         "page_id",
         "truth_no",
         "position",
@@ -152,6 +155,15 @@ def ordered_truth_diff(served: DataFrame, truth: DataFrame, similar: float = 0.6
         .when(F.col("next").isNotNull() & (char_overlap(F.concat("s.text", "next"), F.col("t.text")) >= similar), 2)
         .alias("span"),
     )
+    if crowded is not None:
+        many, own = truth.join(crowded, "page_id", "left_semi"), lines.join(crowded, "page_id", "left_semi")
+        two = own.filter("next is not null").select("page_id", "position", F.concat("text", "next").alias("text"))
+        met = None
+        for span, side in ((1, own), (2, two)):
+            found = similar_on_page(many.withColumnRenamed("text", "said"), side, "page_id", "truth_no", "position", "said", "text", similar)
+            found = found.select("page_id", "truth_no", "position", F.lit(span).alias("span"))
+            met = found if met is None else met.unionByName(found)
+        pairs = pairs.unionByName(met.groupBy("page_id", "truth_no", "position").agg(F.min("span").alias("span")))
     options = (
         pairs.filter("span is not null")
         .groupBy("page_id", "truth_no")

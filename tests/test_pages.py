@@ -127,3 +127,56 @@ def test_fusion_improves_and_seats(spark):
     assert seat.inferred and seat.char_boxes is not None and 240 < (seat.x1 + seat.x2) / 2 < 400
     served = fs.serve_decision(items, fused).collect()[0]
     assert served.served_by == "fusion"
+
+
+def _texts(seed, n, longest=14):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice("天地玄黃宇宙洪荒日月盈昃") for _ in range(rnd.randint(1, longest))) for _ in range(n // 3)]
+    return ["", "天", "天地"] + [rnd.choice(base) if rnd.random() < 0.5 else rnd.choice(base) + rnd.choice(base)[:3] for _ in range(n)]
+
+
+@pytest.mark.parametrize("accepted", [False, True])
+def test_alignment_is_the_same_on_crowded_pages(spark, accepted):
+    frags = [(p, i, t) for p in (1, 2) for i, t in enumerate(_texts(p, 30 * p))]
+    reads = [(p, i, t) for p in (1, 2, 3) for i, t in enumerate(_texts(p + 7, 25, 30))]
+    f = spark.createDataFrame(frags, "page_id int, item int, norm string")
+    c = spark.createDataFrame(reads, "page_id int, line int, norm string")
+    plain = sorted(map(tuple, fs.align_pairs(f, c).select("page_id", "item", "line", "f_start", "c_end", "matched", "accepted").collect()))
+    if accepted:
+        plain = [r for r in plain if r[-1]]
+    for pairs in (1 << 20, 0):
+        found = fs.align_pairs(f, c, accepted_only=accepted, page_pairs=pairs)
+        assert sorted(map(tuple, found.select("page_id", "item", "line", "f_start", "c_end", "matched", "accepted").collect())) == plain and plain
+
+
+def test_variant_lines_are_the_same_on_crowded_pages(spark):
+    rows = [(p, i, t) for p in (1, 2) for i, t in enumerate(_texts(p, 60))]
+    df = spark.createDataFrame(rows, "page_id int, line int, norm string")
+    plain = sorted((r.page_id, r.line, r.first) for r in fs.group_variant_lines(df).collect())
+    split = sorted((r.page_id, r.line, r.first) for r in fs.group_variant_lines(df, page_pairs=0).collect())
+    assert plain == split and {f for _, _, f in plain} == {True, False}
+
+
+def test_truth_diff_is_the_same_on_crowded_pages_and_equals_a_walk(spark):
+    from collections import Counter
+
+    from inkstone.operators.quality import ordered_truth_diff
+
+    served = [(p, i, t) for p in (1, 2) for i, t in enumerate(_texts(p, 25))]
+    truth = [(p, i, t) for p in (1, 2) for i, t in enumerate(_texts(p, 25)[::2])]
+    s = spark.createDataFrame(served, "page_id int, position bigint, text string")
+    t = spark.createDataFrame(truth, "page_id int, truth_no bigint, text string")
+
+    def alike(a, b):
+        return sum((Counter(a) & Counter(b)).values()) / max(1, min(len(a), len(b))) >= 0.6
+
+    want = []
+    for page in (1, 2):
+        own, at = [x for p, _, x in served if p == page], 0
+        for no, line in [(i, x) for p, i, x in truth if p == page]:
+            hit = next(((i, span) for i in range(at, len(own)) for span in (1, 2) if i + span <= len(own) and alike("".join(own[i : i + span]), line)), None)
+            want.append((page, no, *(hit or (None, None))))
+            at = sum(hit) if hit else at
+    for pairs in (1 << 20, 0):
+        found = ordered_truth_diff(s, t, page_pairs=pairs)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
