@@ -2,30 +2,38 @@
 
 Texts are parsed into content-triggered chunks (``parsing``); equal chunks become one row with the number
 of their occurrences, and everything after that reads the chunks. Phrases are counted level by level: a phrase
-can be frequent only if both its parts one word shorter are, so hashes of longer phrases are counted only where
-a bitmap of the frequent shorter ones allows it. Hashes merely rule phrases out; the final counts are those of the
-words themselves.
+can be frequent only if both its parts one word shorter are. Frequent words get numbers, chunks are rewritten in
+these, and a phrase is the pair of its first words' number and its last word's number, which is exact; frequent pairs get numbers in turn.
+
+The tables of numbers are broadcast up to ``NUMBERED`` rows. Where a level has more, phrases are counted as
+texts, thinned by bitmaps of the frequent shorter ones as far as those fit their bound. Both ways give the same counts.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.llm.common import map_arrow, short_batches, slices, whole_text
 from inkstone.llm.parsing import OVERLAP, Tokens, chunks, mixed, stream
-from inkstone.session import cut_lineage
+from inkstone.session import cut_lineage, use_checkpoints
 
 LONGEST = OVERLAP + 1
 #: Bytes of chunks that a task looks at together.
 STEP = 2 << 20
 #: Bitmaps of up to so many bytes are broadcast; where frequent phrases need a larger one, the level is not thinned by it.
 BITMAP_BYTES = 16 << 20
-BITS_PER_KEY = 16
+BITS_PER_KEY, PROBES = 32, 3
+#: Frequent words or phrases of one length up to which they are numbered in broadcast tables of some 20 bytes a row.
+NUMBERED = 2_000_000
+#: Distinct phrases that a task counts before it hands its counts on.
+HELD = 200_000
 
 
 def dictionary(docs: DataFrame, modulus: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -49,6 +57,15 @@ def dictionary(docs: DataFrame, modulus: int, text_col: str = "text", lang_col:
     return map_arrow(rows, parse, "lang string, chunk string, n bigint").groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
 
 
+def written(parsed: DataFrame) -> DataFrame:
+    """The table as compressed files below the checkpoint folder, which all levels read."""
+    spark = parsed.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/chunks-{uuid.uuid4().hex}"
+    parsed.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 class Block:
     """Some chunks with their weights, and the phrases that start in their own part."""
 
@@ -94,20 +111,27 @@ class Block:
 
 
 class Bitmap:
-    """The hashes of frequent phrases of one length, with a chance of some one in ``BITS_PER_KEY`` for others."""
+    """A Bloom filter of the hashes of frequent phrases of one length; it lets some one in a thousand others through."""
 
     def __init__(self, hashes: np.ndarray):
         self.width = max(10, math.ceil(math.log2(max(1, len(hashes)) * BITS_PER_KEY)))
         bits = np.zeros(1 << self.width, dtype=bool)
-        bits[self.place(hashes)] = True
+        for probe in range(PROBES):
+            bits[self.place(hashes, probe)] = True
         self.bits = np.packbits(bits)
 
-    def place(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.width)).astype(np.int64)
+    def place(self, h: np.ndarray, probe: int) -> np.ndarray:
+        turned = h if probe == 0 else mixed(h + np.uint64(probe))
+        return (turned >> np.uint64(64 - self.width)).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = self.place(h)
-        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        held = np.arange(len(h))
+        for probe in range(PROBES):
+            at = self.place(h[held], probe)
+            held = held[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
+        out = np.zeros(len(h), dtype=bool)
+        out[held] = True
+        return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -154,50 +178,220 @@ def bitmap_of(parsed: DataFrame, size: int, allowed: list, least: int):
     return parsed.sparkSession.sparkContext.broadcast(Bitmap(hashes))
 
 
+def distinct_phrases(block: Block, k: int, allowed: Bitmap | None, second: np.ndarray) -> Iterator[tuple[str, bytes, int]]:
+    """(lang, phrase, n) of the allowed phrases of ``k`` + 1 words of a block, equal ones once.
+
+    Phrases are equal if two independent 64-bit hashes are. Should only one be, each occurrence comes back by itself.
+    """
+    at, h = block.starts[k], block.hashes[k]
+    if allowed is not None:
+        held = allowed.has(h)
+        at, h = at[held], h[held]
+    if not len(at):
+        return
+    other = second[at]
+    for step in range(1, k + 1):
+        other = mixed(other * np.uint64(0xC2B2AE3D27D4EB4F) + second[at + step])
+    order = np.argsort(h)
+    at, h, other = at[order], h[order], other[order]
+    same = h[1:] == h[:-1]
+    apart = same.any() and (other[1:][same] != other[:-1][same]).any()
+    first = np.arange(len(at)) if apart else np.flatnonzero(np.append(True, ~same))
+    weights = np.add.reduceat(block.weight[at], first)
+    data, at = block.tokens.data, at[first]
+    for lang, a, b, n in zip(block.lang[at].tolist(), block.tokens.start[at].tolist(), block.tokens.end[at + k].tolist(), weights.tolist()):
+        yield block.names[lang], data[a:b], n
+
+
 def counted(parsed: DataFrame, allowed: list, least: int) -> DataFrame:
-    """(lang, words, phrase, f): exact counts of all phrases of up to four words that occur ``least`` times."""
+    """(lang, words, phrase, f): exact counts of all phrases of up to four words that occur ``least`` times.
+
+    A row with ``words`` = 0 and an empty phrase has the number of all words of the language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            for k in range(LONGEST - 1):
-                block.lengthen(allowed[k] and allowed[k].value)
-            data, start, end = block.tokens.data, block.tokens.start, block.tokens.end
-            seen: dict[tuple[int, bytes], int] = {}
-            sizes: list[int] = []
-            for k in range(LONGEST):
-                at = block.starts[k]
-                if allowed[k] is not None:
-                    at = at[allowed[k].value.has(block.hashes[k])]
-                cuts = zip(block.lang[at].tolist(), start[at].tolist(), end[at + k].tolist(), block.weight[at].tolist())
-                for lang, a, b, weight in cuts:
-                    key = lang, data[a:b]
-                    seen[key] = seen.get(key, 0) + weight
-                sizes += [k + 1] * (len(seen) - len(sizes))
-            yield pa.RecordBatch.from_arrays(
+        seen: dict[tuple[str, int, bytes], int] = {}
+
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block.names[k] for k, _ in seen], type=pa.string()), pa.array(sizes, type=pa.int32()),
-                    pa.array([p for _, p in seen], type=pa.binary()).cast(pa.string()), pa.array(list(seen.values()), type=pa.int64()),
+                    pa.array([lang for lang, _, _ in seen], type=pa.string()), pa.array([k for _, k, _ in seen], type=pa.int32()),
+                    pa.array([p for _, _, p in seen], type=pa.binary()).cast(pa.string()), pa.array(list(seen.values()), type=pa.int64()),
                 ],
                 names=["lang", "words", "phrase", "f"],
             )
 
-    return parsed.mapInArrow(run, "lang string, words int, phrase string, f bigint").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+        for block in blocks(batches):
+            at, second = block.starts[0], block.tokens.second()
+            for lang, n in enumerate(np.bincount(block.lang[at], weights=block.weight[at], minlength=len(block.names)).astype(np.int64).tolist()):
+                key = block.names[lang], 0, b""
+                seen[key] = seen.get(key, 0) + n
+            for k in range(LONGEST):
+                if k:
+                    block.lengthen(allowed[k - 1] and allowed[k - 1].value)
+                for lang, phrase, n in distinct_phrases(block, k, allowed[k] and allowed[k].value, second):
+                    key = lang, k + 1, phrase
+                    seen[key] = seen.get(key, 0) + n
+            if len(seen) >= HELD:
+                yield handed()
+                seen.clear()
+        yield handed()
+
+    found = parsed.mapInArrow(run, "lang string, words int, phrase string, f bigint")
+    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
+
 
+class Numbers:
+    """Frequent words of all languages by two independent hashes; a word's number is its place among them."""
 
-def word_totals(parsed: DataFrame) -> DataFrame:
-    """(lang, n): occurrences of all words of a language."""
+    def __init__(self, langs: list[str], words: list[str]):
+        tokens = Tokens(" ".join(words).encode()) if words else None
+        salt = np.array([xxhash.xxh64_intdigest(x) for x in langs], dtype=np.uint64)
+        h = mixed(tokens.hash ^ salt) if words else salt
+        self.order = np.argsort(h).astype(np.int32)
+        self.h, self.second = h[self.order], (tokens.second() if words else salt)[self.order]
+
+    def apart(self) -> bool:
+        return bool((self.h[1:] != self.h[:-1]).all())
+
+    def find(self, tokens: Tokens, salt: np.ndarray) -> np.ndarray:
+        """The number of every token, -1 for what is no frequent word."""
+        if not len(self.h):
+            return np.full(len(tokens), -1, dtype=np.int32)
+        h = mixed(tokens.hash ^ salt)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.second[at] == tokens.second()) & tokens.word, self.order[at], np.int32(-1))
+
+
+def word_counts(parsed: DataFrame) -> DataFrame:
+    """(lang, phrase, f): occurrences of every word; those of all words of a language under the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
         for block in blocks(batches):
+            found = list(distinct_phrases(block, 0, None, block.tokens.second()))
             at = block.starts[0]
-            sums = np.zeros(len(block.names), dtype=np.int64)
-            np.add.at(sums, block.lang[at], block.weight[at])
-            for name, n in zip(block.names, sums.tolist()):
-                total[name] = total.get(name, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.string()), pa.array(list(total.values()), type=pa.int64())], names=["lang", "n"])
+            totals = np.bincount(block.lang[at], weights=block.weight[at], minlength=len(block.names)).astype(np.int64)
+            found += [(name, b"", n) for name, n in zip(block.names, totals.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _, _ in found], type=pa.string()), pa.array([w for _, w, _ in found], type=pa.binary()).cast(pa.string()), pa.array([n for _, _, n in found], type=pa.int64())],
+                names=["lang", "phrase", "f"],
+            )
+
+    return parsed.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def numbered(parsed: DataFrame, shared) -> DataFrame:
+    """(ids, n): the chunks with a word's number for every token, -1 where it has none."""
 
-    return parsed.mapInArrow(run, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            texts = batch.column(1).to_pylist()
+            tokens = Tokens(" ".join(texts).encode())
+            sizes = np.fromiter((t.count(" ") + 1 for t in texts), dtype=np.int64, count=len(texts))
+            salt = np.repeat(np.fromiter((xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()), dtype=np.uint64, count=len(texts)), sizes)
+            ids = shared.value.find(tokens, salt)
+            ends = np.cumsum(sizes)
+            # a chunk without two frequent words in a row has no phrase
+            keep = np.flatnonzero(np.logical_or.reduceat((ids[:-1] >= 0) & (ids[1:] >= 0), ends - sizes))
+            cut = [ids[a:b].tobytes() for a, b in zip((ends - sizes)[keep].tolist(), ends[keep].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, type=pa.binary()), batch.column(2).take(pa.array(keep))], names=["ids", "n"])
+
+    return parsed.mapInArrow(run, "ids binary, n bigint")
+
+
+def pair_counts(chunks_: DataFrame, size: int, levels: list) -> DataFrame:
+    """(key, n): occurrences of phrases of ``size`` words whose parts are frequent; ``levels`` has the frequent pairs of 2, 3 ... words."""
+
+    def counts(parts: list[bytes], weights: list[int]) -> pa.RecordBatch:
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32).astype(np.int64)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        own = np.ones(len(ids), dtype=bool)
+        ends = np.cumsum(sizes)
+        for back in range(1, OVERLAP + 1):
+            own[ends - back] = False
+        weight = np.repeat(np.array(weights, dtype=np.int64), sizes)
+        number = ids
+        for k in range(2, size + 1):
+            at = np.flatnonzero((number[: len(ids) - k + 1] >= 0) & (number[1 : len(ids) - k + 2] >= 0))
+            key = (number[at] << 32) | ids[at + k - 1]
+            if k < size:
+                table = levels[k - 2].value
+                number = np.full(len(ids), -1, dtype=np.int64)
+                if len(table):
+                    place = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                    held = table[place] == key
+                    number[at[held]] = place[held]
+        held = own[at]
+        key, weight = key[held], weight[at[held]]
+        order = np.argsort(key)
+        key, weight = key[order], weight[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.add.reduceat(weight, first) if len(key) else weight)], names=["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, weights, held = [], [], 0
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            parts += own
+            weights += batch.column(1).to_pylist()
+            held += sum(map(len, own))
+            if held >= STEP:
+                yield counts(parts, weights)
+                parts, weights, held = [], [], 0
+        if parts:
+            yield counts(parts, weights)
+
+    return chunks_.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def counted_by_number(parsed: DataFrame, least: int) -> DataFrame | None:
+    """What ``counted`` gives, by numbers; None if a level has more frequent phrases than may be broadcast."""
+    spark = parsed.sparkSession
+    words = cut_lineage(word_counts(parsed).filter((F.col("f") >= least) | (F.col("phrase") == "")))
+    found = words.filter("phrase <> ''")
+    if found.count() > NUMBERED:
+        return None
+    # at most NUMBERED words
+    rows = sorted((r["lang"], r["phrase"]) for r in found.select("lang", "phrase").collect())
+    numbers = Numbers([lang for lang, _ in rows], [w for _, w in rows])
+    if not numbers.apart():
+        return None
+    shared = spark.sparkContext.broadcast(numbers)
+    chunks_ = written(numbered(parsed, shared))
+
+    def with_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                salt = np.array([xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
+                own = shared.value.find(Tokens(" ".join(batch.column(1).to_pylist()).encode()), salt)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["lang", "phrase", "f", "id"])
+
+    def with_parts(table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(0).to_numpy()
+                parts = [np.searchsorted(table.value, key), key >> 32, key & 0xFFFFFFFF]
+                yield pa.RecordBatch.from_arrays([*(pa.array(p.astype(np.int32)) for p in parts), batch.column(1)], names=["id", "prefix", "word", "f"])
+
+        return run
+
+    named = found.mapInArrow(with_number, "lang string, phrase string, f bigint, id int")
+    one = named.select(F.col("id").alias("word"), F.col("phrase").alias("last"))
+    out = words.select("lang", (F.col("phrase") != "").cast("int").alias("words"), "phrase", "f")
+    levels: list = []
+    for size in range(2, LONGEST + 1):
+        pairs = cut_lineage(pair_counts(chunks_, size, levels).filter(F.col("n") >= least))
+        if pairs.count() > NUMBERED:
+            return None
+        keys = np.sort(np.asarray(pairs.select("key").toArrow().column("key").combine_chunks().to_numpy(), dtype=np.int64))
+        table = spark.sparkContext.broadcast(keys)
+        levels.append(table)
+        split = pairs.mapInArrow(with_parts(table), "id int, prefix int, word int, f bigint")
+        before = named.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"))
+        named = split.join(before, "prefix").join(one, "word").select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f", "id")
+        named = cut_lineage(named)
+        out = out.unionByName(named.select("lang", F.lit(size).alias("words"), "phrase", "f"))
+    return out
 
 
 def part(words: str, first: Column, length: Column) -> Column:
@@ -206,7 +400,7 @@ def part(words: str, first: Column, length: Column) -> Column:
 
 def scored(frequent: DataFrame) -> DataFrame:
     """(lang, words, phrase, a, l, r, score): the lowest-scoring cut of every phrase of two words or more."""
-    f = frequent.select("lang", "phrase", "f")
+    f = frequent.filter(F.col("words") > 0).select("lang", "phrase", "f")
     longer = frequent.filter(F.col("words") > 1).withColumn("w", F.split("phrase", " "))
     cuts = longer.select("lang", "words", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "words", "phrase", "a", "k", part("w", F.lit(1), F.col("k")).alias("left"), part("w", F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
@@ -242,14 +436,18 @@ def collocations(
     Null texts are empty, a null language is ``und``, repeated rows count each, and an empty table gives no row.
     """
     short_batches(docs.sparkSession)
-    parsed = cut_lineage(dictionary(docs, modulus, text_col, lang_col))
-    allowed: list = []
-    for size in range(1, LONGEST + 1):
-        allowed.append(bitmap_of(parsed, size, allowed, least))
-    frequent = cut_lineage(counted(parsed, allowed, least))
+    parsed = written(dictionary(docs, modulus, text_col, lang_col))
+    frequent = counted_by_number(parsed, least)
+    if frequent is None:
+        allowed: list = []
+        for size in range(1, LONGEST + 1):
+            allowed.append(bitmap_of(parsed, size, allowed, least))
+        frequent = counted(parsed, allowed, least)
+    frequent = cut_lineage(frequent)
     candidates = scored(frequent)
     inner = inner_phrases(candidates)
     left = candidates.join(inner, ["lang", "phrase"], "left").filter(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return best.join(word_totals(parsed), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    totals = frequent.filter(F.col("words") == 0).select("lang", F.col("f").alias("n"))
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

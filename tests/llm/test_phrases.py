@@ -56,9 +56,11 @@ def corpus(seed=9):
     return out + [(long, "de")] * 20
 
 
-@pytest.mark.parametrize("bound", [phrases.BITMAP_BYTES, 0])
+@pytest.mark.parametrize("numbers,bound", [(phrases.NUMBERED, 0), (15, phrases.BITMAP_BYTES), (0, 0)])
 @pytest.mark.parametrize("top,modulus", [(2000, 32), (7, 4)])
-def test_phrases_equal_plain_counts(spark, monkeypatch, bound, top, modulus):
+def test_phrases_equal_plain_counts(spark, monkeypatch, numbers, bound, top, modulus):
+    """By numbers; with too many pairs for that, by texts and bitmaps; by texts alone."""
+    monkeypatch.setattr(phrases, "NUMBERED", numbers)
     monkeypatch.setattr(phrases, "BITMAP_BYTES", bound)
     monkeypatch.setattr(phrases, "STEP", 5000)
     rows = corpus()
