@@ -165,6 +165,54 @@ def test_found_spans(spark, detector):
     assert pii.find(docs.limit(0), detector).count() == 0
 
 
+def plain_added(detector, text):
+    """Every generator on the whole text, and every pair of spans compared."""
+    base = plain_spans(text)
+    apart = lambda s, spans: all(s[2] <= a or b <= s[1] for _, a, b in spans)
+    found = {("email", *m.span()) for m in pii.SPELLED.finditer(text)}
+    for kind, _, pattern in pii.WIDE:
+        found |= {(kind, *m.span()) for m in pattern.finditer(text)}
+    free = sorted(s for s in found if apart(s, base))
+    p = detector.probabilities([pii.describe(text, s) for s in free]) if free else []
+    out = []
+    for _, s in sorted(zip(p, free), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
+        if p[free.index(s)] >= detector.thresholds[s[0]] and apart(s, out):
+            out.append(s)
+    return sorted(out)
+
+
+def test_added_spans_equal_a_plain_version(detector):
+    rnd = random.Random(12)
+    parts = ["1", "20", "999", "ab", "at", " at ", "[at]", " dot ", ".", "[.]", ":", "::", "fe80", "com", " ", "(", ")", "-", "+1", "@", "4111 1111", "x" * 70]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(2, 40))) for _ in range(1500)]
+    for _ in range(300):
+        texts.append(" ".join(rnd.choice([pii.example(rnd)[1], "and so on", "mail"]) for _ in range(4)))
+    some = 0
+    for text in texts:
+        added = sorted(detector.added(text, pii.base_spans(text)))
+        assert added == plain_added(detector, text), text
+        some += bool(added)
+    assert some > 200
+
+
+def test_candidates_do_not_hang_on_the_rest_of_the_text(detector):
+    alone, among = "mail bob at site.com", "mail bob at site.com, or ann at x dot org"
+    assert ("email", 5, 20) in pii.wide_spans(alone) and ("email", 5, 20) in pii.wide_spans(among)
+    for text in ("2001:db8::1", "fe80::1", "::1", "2001:db8::", "dead:beef::"):
+        assert ("ip", 0, len(text)) in pii.wide_spans(text)
+    assert pii.wide_spans("std::vector a::x") == []
+    crowded = ".".join("1.1.1.1 2.2.2.2 3.3.3.3 4.4.4.4 5.5.5.5 6.6.6.6".split()) + "@ab.cd"
+    assert pii.touches(pii.merged(pii.base_spans(crowded)), ("phone", 50, 53))
+    assert not pii.touches(pii.merged([("ip", 0, 5), ("ip", 2, 3), ("ip", 9, 12)]), ("ip", 5, 9))
+
+
+def test_a_kind_that_misses_the_precision_keeps_its_best_threshold():
+    p, right = np.array([0.6, 0.7, 0.8, 0.9]), np.array([1.0, 0.0, 1.0, 0.0])
+    with pytest.warns(UserWarning, match="phone"):
+        assert 0.5 <= pii.threshold_of("phone", p, right, 0.98) < 0.9
+    assert pii.threshold_of("phone", p, np.ones(4), 0.98) == 0.5
+
+
 def test_overlapping_spans_are_masked_as_one():
     assert pii.masked("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01<CARD>89"
 
