@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: st
 def keep_first(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each near-duplicate group: that of the smallest id, then of the smallest text hash.
 
-    All columns stay as they are, whatever their names; a repeated row is kept once.
+    All columns stay as they are, whatever their names; a repeated row is kept once. Of rows equal in id and text, the one
+    with the smallest hash of all its columns stays, so a retry keeps the same.
     """
     found = near_duplicates(docs, most, shingle, id_col, text_col)
     least = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h")))
@@ -176,5 +177,8 @@ def keep_first(docs: DataFrame, most: int = 4, shingle: int = 4, id_col: str = "
     hashed = docs.withColumn(text_hash, F.xxhash64(whole_text(text_col)))
     kept = hashed.join(chosen, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(text_hash) == F.col(h)))
     once = kept.filter(F.col(n) == 1)
-    many = kept.filter(F.col(n) > 1).dropDuplicates([i, h])
-    return once.unionByName(many).select(*docs.columns)
+    whole, row = free_name(docs, "row_order"), free_name(docs, "row_columns")
+    many = kept.filter(F.col(n) > 1).select(i, h, F.struct(*[F.col(c) for c in docs.columns]).alias(row))
+    many = many.withColumn(whole, F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"})))
+    many = many.groupBy(i, h).agg(F.min_by(row, whole).alias(row)).select(f"{row}.*")
+    return once.select(*docs.columns).unionByName(many)

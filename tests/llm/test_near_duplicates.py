@@ -148,6 +148,13 @@ def test_rows_of_one_id_and_repeated_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "a b c d e f g", "en", 0.5), (1, "a b c d e f g", "de", None), (1, "a b c d e f g", None, 1.5), (2, "A b c d e f g", "en", 2.5)]
+    schema = "doc_id int, text string, lang string, row_order double"
+    kept = {tuple(simhash.keep_first(spark.createDataFrame(own, schema).repartition(3)).first()) for own in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]])}
+    assert len(kept) == 1 and kept <= set(rows[:3])
+
+
 def test_near_fingerprints_of_one_dense_group(spark):
     rnd = np.random.default_rng(6)
     base = int(rnd.integers(0, 2**62))
