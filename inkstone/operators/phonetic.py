@@ -234,18 +234,19 @@ def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") ->
     edge = F.struct("start", "gain", "wrong", F.col("entry_rank").alias("rank"), word.alias("word"))
     # one shuffle on the query serves all groupings; a fourth entry of a span never beats the first three
     edges = top_per_key(edges.repartition(key), [key, "start", "end"], [F.col("gain").desc(), F.col("entry_rank")], KEEP, "_best")
-    by_end = edges.groupBy(key, "end").agg(F.collect_list(edge).alias("into"))
-    lattice = by_end.groupBy(key).agg(F.collect_list(F.struct("end", "into")).alias("ends"))
-    lattice = lattice.join(phrases.select(key, F.size("syllables").alias("size")), key)
+    # every position has its place in the array, also one where no entry ends, so a step finds its edges by number
+    places = phrases.filter(F.size("syllables") > 0).select(key, F.explode(F.sequence(F.lit(1), F.size("syllables"))).alias("end"))
+    offered = edges.select(key, "end", edge.alias("edge"))
+    offered = offered.unionByName(places.select(key, "end", F.lit(None).cast(offered.schema["edge"].dataType).alias("edge")))
+    by_end = offered.groupBy(key, "end").agg(F.collect_list("edge").alias("into"))
+    lattice = by_end.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("end", "into"))).alias("ends")).withColumn("size", F.size("ends"))
     word_type = "struct<traditional:string,simplified:string,py_num:string,english:string>"
     path_type = "struct<cost:int,start:int,prefix:int,rank:int,wrong:int>"
     zeros = F.struct(*[F.lit(0).alias(n) for n in ("cost", "start", "prefix", "rank", "wrong")])
     seed = F.array(F.array(zeros.cast(path_type)))
 
-    none = F.filter(F.get("ends", F.lit(0)).into, lambda e: F.lit(False))
-
     def into(j: Column) -> Column:
-        return F.coalesce(F.get(F.filter(F.col("ends"), lambda x: x.end == j), F.lit(0)).into, none)
+        return F.get("ends", (j - 1).cast("int")).into
 
     def step(state: Column, j: Column) -> Column:
         offers = F.flatten(

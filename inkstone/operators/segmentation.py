@@ -2,12 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkstone.functions.text import HAN, characters, words_of
 from inkstone.operators.lexicon import lexicon_lookup
 
 CHUNK = 256
+#: Letters of all words up to which the word list is broadcast as a trie; a longer list meets the texts in a join.
+TRIE_LETTERS = 4_000_000
+_END = ""
+
+
+class Trie:
+    """Words by their letters. It travels as a list and is built once in each worker."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+
+    @cached_property
+    def root(self) -> dict:
+        root: dict = {}
+        for word in self.words:
+            node = root
+            for letter in word:
+                node = node.setdefault(letter, {})
+            node[_END] = True
+        return root
+
+    def tokens(self, run: str) -> list[str]:
+        """Forward longest match, single letters where no word fits."""
+        root, out, at = self.root, [], 0
+        while at < len(run):
+            node, end, here = root, at + 1, at
+            while here < len(run) and (node := node.get(run[here])) is not None:
+                here += 1
+                if _END in node:
+                    end = max(end, here)
+            out.append(run[at:end])
+            at = end
+        return out
+
+
+def trie_tokens(words: DataFrame, max_len: int) -> Callable[[Column], Column] | None:
+    """The tokens of a run as a function of its column, by a broadcast trie; None if the words pass ``TRIE_LETTERS``."""
+    held = words.select("word").filter(F.length("word").between(2, max_len)).distinct()
+    if (held.agg(F.sum(F.length("word"))).first()[0] or 0) > TRIE_LETTERS:
+        return None
+    # bounded by the line above
+    shared = words.sparkSession.sparkContext.broadcast(Trie(sorted(r["word"] for r in held.collect())))
+
+    @F.arrow_udf("array<string>")
+    def tokens(runs: pa.Array) -> pa.Array:
+        walk = shared.value.tokens
+        return pa.array([None if r is None else walk(r) for r in runs.to_pylist()], type=pa.list_(pa.string()))
+
+    return tokens
 
 
 def cut_runs(texts: DataFrame, key: str, column: str) -> DataFrame:
@@ -37,11 +90,18 @@ def _walk(longest: Column, entry: Column) -> Column:
 def segment_runs(runs: DataFrame, words: DataFrame, max_len: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Distinct Han runs (column run) to (run, tokens).
 
-    All n-grams of the runs meet the word list in one join; only hits come back.
-    The walk is a chain, but over a chunk it depends only on where it enters, one
+    The words are broadcast as a trie, which walks each run once. A word list beyond its bound meets
+    all n-grams of the runs in one join; only hits come back. There, the walk is a chain, but over a chunk it depends only on where it enters, one
     of ``max_len`` places. A long run is therefore walked chunk by chunk for every
     entry, and composing the exit tables gives each chunk its true entry.
     """
+    walk = trie_tokens(words, max_len)
+    if walk is not None:
+        return runs.select("run", walk(F.col("run")).alias("tokens"))
+    return _segment_by_join(runs, words, max_len, chunk)
+
+
+def _segment_by_join(runs: DataFrame, words: DataFrame, max_len: int, chunk: int) -> DataFrame:
     keyed = runs.select("run", F.md5("run").alias("run_id"), F.ceil(F.length("run") / chunk).cast("int").alias("chunks"))
     pieces = keyed.select("run_id", "run", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"))
     pieces = pieces.select(
@@ -110,10 +170,15 @@ def segment(texts: DataFrame, words: DataFrame, key: str, column: str, max_len:
     """(key, run_no, token_no, token, han): forward longest match of whole texts.
 
     ``words`` has one column, ``word``. The match state resets at every non-Han
-    run, so runs are independent; equal runs are segmented once.
+    run, so runs are independent: by the broadcast trie nothing is shuffled. With a word list beyond its bound,
+    equal runs are segmented once and joined back.
     """
     runs = cut_runs(texts, key, column)
-    done = segment_runs(han_runs(texts, key, column).select("run").distinct(), words, max_len, chunk)
+    walk = trie_tokens(words, max_len)
+    if walk is not None:
+        tokens = F.when(F.col("han"), walk(F.when(F.col("han"), F.col("run")))).otherwise(F.array("run"))
+        return runs.select(key, "run_no", F.posexplode(tokens).alias("token_no", "token"), "han")
+    done = _segment_by_join(han_runs(texts, key, column).select("run").distinct(), words, max_len, chunk)
     han = (
         runs.filter("han")
         .join(done, "run")

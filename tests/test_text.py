@@ -79,8 +79,10 @@ def test_best_paths_against_enumeration(spark, lex):
     assert got == want
 
 
-@pytest.mark.parametrize("chunk", [2, 3, 7, 256])
-def test_segmentation_is_chunk_independent(spark, chunk):
+@pytest.mark.parametrize("chunk,letters", [(2, 0), (3, 0), (7, 0), (256, 0), (256, sg.TRIE_LETTERS)])
+def test_segmentation_is_chunk_independent(spark, monkeypatch, chunk, letters):
+    """By joins in chunks of any size, and by the trie."""
+    monkeypatch.setattr(sg, "TRIE_LETTERS", letters)
     words = spark.createDataFrame([("知道",), ("道知",), ("知道了",), ("不知",), ("你好",)], "word string")
     texts = ["我不知道，吃飯abc你好", "知道" * 9, "道知道知道了不知道知", "你你好好你好"]
     lexicon = {r.word for r in words.collect()}
