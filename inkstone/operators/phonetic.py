@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.syllables import spell
@@ -186,6 +187,7 @@ def _span_edges(phrases: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
             "n",
             F.array_join(F.slice("syllables", F.col("start") + 1, F.col("n")), "").alias("py_flat"),
             F.slice("tones", F.col("start") + 1, F.col("n")).alias("want"),
+            size.alias("size"),
         )
     )
     entries = top_entries_by_key(lexicon).withColumn("got", tone_list(F.col("py_num")))
@@ -211,6 +213,7 @@ def _span_edges(phrases: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     gain = F.col("n") * 100 - 35 + F.when(chars == F.col("n"), 5).otherwise(0) + boost - rare - wrong * 200
     return spans.join(entries, "py_flat").select(
         key,
+        "size",
         (F.col("start") + F.col("n")).cast("int").alias("end"),
         F.col("start").cast("int").alias("start"),
         gain.cast("int").alias("gain"),
@@ -223,71 +226,51 @@ def _span_edges(phrases: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _chains(size: int, ends: list, starts: list, ranks: list, gains: list, wrongs: list) -> list[dict]:
+    """The ``KEEP`` best chains of edges from 0 to ``size``; edges come by end. One pass, keeping as many chains at each place."""
+    best: list[list[tuple]] = [[(0, 0, 0, 0, 0, -1)], *([] for _ in range(size))]
+    at, n = 0, len(ends)
+    while at < n:
+        end, offers = ends[at], []
+        while at < n and ends[at] == end:
+            start, rank, gain, wrong = starts[at], ranks[at], gains[at], wrongs[at]
+            offers += [(p[0] - gain, start, k, rank, p[4] + wrong, at) for k, p in enumerate(best[start])]
+            at += 1
+        offers.sort()
+        best[end] = offers[:KEEP]
+    out = []
+    for path in best[size]:
+        picks, step = [], path
+        while step[5] >= 0:
+            picks.append(step[5])
+            step = best[step[1]][step[2]]
+        out.append({"score": -path[0], "wrong": path[4], "picks": picks[::-1]})
+    return out
+
+
+def _best_chains(size: pa.Array, end: pa.Array, start: pa.Array, rank: pa.Array, gain: pa.Array, wrong: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("score", pa.int32()), ("wrong", pa.int32()), ("picks", pa.list_(pa.int32()))]))
+    return pa.array([_chains(*row) for row in zip(*(c.to_pylist() for c in (size, end, start, rank, gain, wrong)))], type=kind)
+
+
 def best_paths(phrases: DataFrame, lexicon: DataFrame, key: str = "query_id") -> DataFrame:
     """The best chains of entries over each phrase, as (key, score, wrong, words).
 
     Eight spans per position and eight entries per span bound the lattice of a typed
-    phrase to one row; the frontier keeps three chains per position. Ties: earlier start, then rank of the prefix, then entry order.
+    phrase to one row; a chain is found in one pass over its edges' numbers, and words are picked by place. Ties: earlier start,
+    then rank of the prefix, then entry order.
     """
     edges = _span_edges(phrases, lexicon, key)
-    word = F.struct("traditional", "simplified", "py_num", "english")
-    edge = F.struct("start", "gain", "wrong", F.col("entry_rank").alias("rank"), word.alias("word"))
-    # one shuffle on the query serves all groupings; a fourth entry of a span never beats the first three
-    edges = top_per_key(edges.repartition(key), [key, "start", "end"], [F.col("gain").desc(), F.col("entry_rank")], KEEP, "_best")
-    # every position has its place in the array, also one where no entry ends, so a step finds its edges by number
-    places = phrases.filter(F.size("syllables") > 0).select(key, F.explode(F.sequence(F.lit(1), F.size("syllables"))).alias("end"))
-    offered = edges.select(key, "end", edge.alias("edge"))
-    offered = offered.unionByName(places.select(key, "end", F.lit(None).cast(offered.schema["edge"].dataType).alias("edge")))
-    by_end = offered.groupBy(key, "end").agg(F.collect_list("edge").alias("into"))
-    lattice = by_end.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("end", "into"))).alias("ends")).withColumn("size", F.size("ends"))
-    word_type = "struct<traditional:string,simplified:string,py_num:string,english:string>"
-    path_type = "struct<cost:int,start:int,prefix:int,rank:int,wrong:int>"
-    zeros = F.struct(*[F.lit(0).alias(n) for n in ("cost", "start", "prefix", "rank", "wrong")])
-    seed = F.array(F.array(zeros.cast(path_type)))
-
-    def into(j: Column) -> Column:
-        return F.get("ends", (j - 1).cast("int")).into
-
-    def step(state: Column, j: Column) -> Column:
-        offers = F.flatten(
-            F.transform(
-                into(j),
-                lambda e: F.transform(
-                    F.get(state, e.start),
-                    lambda p, i: F.struct(
-                        (p.cost - e.gain).cast("int").alias("cost"),
-                        e.start.alias("start"),
-                        i.cast("int").alias("prefix"),
-                        e["rank"].cast("int").alias("rank"),
-                        (p.wrong + e.wrong).cast("int").alias("wrong"),
-                    ).cast(path_type),
-                ),
-            )
-        )
-        return F.concat(state, F.array(F.slice(F.array_sort(offers), 1, KEEP)))
-
-    def walked(state: Column, last: Column) -> Column:
-        """The words of a chain, from its end back to the start by the places its parts came from."""
-
-        def back(at: Column, _: Column) -> Column:
-            chosen = F.filter(into(at.end), lambda e: (e.start == at.path.start) & (e["rank"] == at.path["rank"]))
-            before = F.get(F.get(state, at.path.start), at.path.prefix)
-            return F.when(at.end == 0, at).otherwise(
-                F.struct(at.path.start.alias("end"), before.alias("path"), F.concat(F.transform(chosen, lambda e: e.word), at.words).alias("words"))
-            )
-
-        first = F.struct(F.col("size").cast("int").alias("end"), last.alias("path"), F.array().cast(f"array<{word_type}>").alias("words"))
-        return F.aggregate(F.sequence(F.lit(1), F.col("size")), first, back, lambda at: at.words)
-
-    def finished(state: Column) -> Column:
-        return F.transform(
-            F.get(state, F.size(state) - 1),
-            lambda p: F.struct(p.cost.alias("cost"), p.wrong.alias("wrong"), walked(state, p).alias("words")),
-        )
-
-    chains = F.aggregate(F.sequence(F.lit(1), F.col("size")), seed, step, finished)
-    paths = lattice.select(key, F.posexplode(chains).alias("path_no", "path"))
-    return paths.select(key, "path_no", (-F.col("path.cost")).alias("score"), "path.wrong", "path.words")
+    # a fourth entry of a span never beats the first three
+    edges = top_per_key(edges, [key, "start", "end"], [F.col("gain").desc(), F.col("entry_rank")], KEEP, "_best")
+    word = F.struct("traditional", "simplified", "py_num", "english").alias("word")
+    edge = F.struct("end", "start", F.col("entry_rank").alias("rank"), "gain", "wrong", word)
+    lattice = edges.groupBy(key, "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    numbers = [F.col("edges")[name] for name in ("end", "start", "rank", "gain", "wrong")]
+    best = F.arrow_udf(_best_chains, "array<struct<score:int,wrong:int,picks:array<int>>>")
+    chains = lattice.select(key, "edges", F.posexplode(best("size", *numbers)).alias("path_no", "path"))
+    words = F.transform("path.picks", lambda k: F.get("edges", k).word)
+    return chains.select(key, "path_no", "path.score", "path.wrong", words.alias("words"))
 
 
 def rank_interpretations(paths: DataFrame, key: str = "query_id") -> DataFrame:
