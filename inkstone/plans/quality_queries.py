@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkstone.operators import quality as ql
 from inkstone.plans.log_queries import MIXED, mixed
+from inkstone.plans.page_queries import sql_similar
 from inkstone.plans.registry import query
 from inkstone.plans.text_queries import turns
 from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, SQL_LOWER, SQL_WORDS, latin_words, lowered, page_items, page_lines, spelled, table, to_han
@@ -117,7 +118,22 @@ def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
     return ql.regression_gate(lines, expected)
 
 
-@query("ordered_truth_diff")
+@query(
+    "ordered_truth_diff",
+    f"""with recursive s as (select conv_id as page_id, row_number() over (partition by conv_id order by turn) - 1 as position, lower(text) as text from conversations where turn % 3 <> 1),
+    n as (select *, lead(text) over (partition by page_id order by position) as next from s),
+    t as (select conv_id as page_id, turn as truth_no, lower(text) as text, row_number() over (partition by conv_id order by turn) as k from conversations),
+    p as (select t.page_id, t.truth_no, n.position, case when {sql_similar('n.text', 't.text')} >= 0.6 then 1 when n.next is not null and {sql_similar('(n.text || n.next)', 't.text')} >= 0.6 then 2 end as span
+          from t join n using (page_id)),
+    o as (select page_id, truth_no, list(struct_pack(position := position, span := span) order by position) as options from p where span is not null group by 1, 2),
+    r as (select t.*, coalesce(o.options, []) as options from t left join o using (page_id, truth_no)),
+    walk as (
+      select page_id, cast(0 as bigint) as k, cast(0 as bigint) as "at", cast(null as bigint) as truth_no, cast(null as bigint) as hit, cast(null as int) as span from (select distinct page_id from t)
+      union all
+      select page_id, k, coalesce(pick.position + pick.span, "at"), truth_no, pick.position, pick.span
+      from (select w.page_id, r.k, w."at", r.truth_no, list_filter(r.options, lambda x: x.position >= w."at")[1] as pick from walk w join r on r.page_id = w.page_id and r.k = w.k + 1))
+    select page_id, truth_no, hit, span from walk where k > 0""",
+)
 def ordered_truth_diff(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations")
     served = conv.filter("turn % 3 <> 1").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("position"), F.lower("text").alias("text"))
@@ -154,7 +170,15 @@ def char_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return _agreement(spark, sf).select("page_id", "item", "agree")
 
 
-@query("precision_coverage")
+# The characters that both reads agree on are the fragment's, as above.
+@query(
+    "precision_coverage",
+    f"""with {SQL_PAGE_ITEMS}, h as (select page_id, c, count(*) as have from (select page_id, unnest(string_split(text, '')) as c from page_items) where c <> '' group by 1, 2),
+    w as (select page_id, c, count(*) as want from (select page_id, unnest(string_split(name, '')) as c from page_items) where c <> '' group by 1, 2)
+    select page_id, round(sum(least(coalesce(have, 0), coalesce(want, 0))) / greatest(1, sum(coalesce(want, 0))), 6) as precision,
+           round(sum(coalesce(have, 0)) / greatest(1, sum(coalesce(want, 0))), 6) as coverage
+    from w full join h using (page_id, c) group by page_id""",
+)
 def precision_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return ql.precision_coverage(_agreement(spark, sf), page_items(spark, sf).select("page_id", F.col("name").alias("text")))
 
