@@ -19,25 +19,29 @@ PAGE_PAIRS = 1 << 18
 ANCHOR = 6
 
 
-def windows(texts: DataFrame, words: str, n: int, reach: int | None = None, part: int = PART) -> DataFrame:
-    """``texts`` without ``words``, one row for each run of ``n`` words: ``window_words``, ``window_at`` and its hash ``window_hash``.
+def windows(texts: DataFrame, words: str, sizes: list[int], reach: int | None = None, part: int = PART) -> DataFrame:
+    """``texts`` without ``words``, one row for each run of so many words as ``sizes`` tells.
 
     A text is first cut into parts, so that what a row carries has the same bound for any length of text. ``window_words``
-    is the part and ``window_at`` the place of the window's first word in it; from there the part holds
-    ``reach`` words (``n`` by default), or all that the text has left. A text of fewer than ``n`` words has no window.
+    is the part, ``window_at`` the place of the window's first word in it, ``window_size`` its number of words and ``window_hash``
+    their hash; from that place the part holds ``reach`` words (the largest size by default), or all that the text has left. A text
+    of fewer words has no window.
     """
     rest = [c for c in texts.columns if c != words]
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1, F.lit(part))
-    parts = texts.filter(F.size(words) >= n).select(*rest, words, F.explode(starts).alias("_from"))
-    parts = parts.select(*rest, F.slice(words, F.col("_from"), part + (reach or n) - 1).alias("window_words"))
-    places = F.sequence(F.lit(0), F.least(F.lit(part), F.size("window_words") - n + 1) - 1)
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get("window_words", i + k) for k in range(n)]))
-    return parts.select(*rest, "window_words", F.posexplode(hashes).alias("window_at", "window_hash"))
+    least, most = min(sizes), max(sizes)
+    # an empty list and no filter: a filter would have the words cut twice, the first time where the text is read
+    starts = F.when(F.size(words) >= least, F.sequence(F.lit(1), F.size(words) - least + 1, F.lit(part)))
+    parts = texts.select(*rest, words, F.explode(starts).alias("_from"))
+    parts = parts.select(*rest, F.slice(words, F.col("_from"), part + (reach or most) - 1).alias("window_words"))
 
+    def runs(n: int) -> Column:
+        last = F.least(F.lit(part), F.size("window_words") - n + 1) - 1
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        cell = lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), F.xxhash64(*[F.get("window_words", i + k) for k in range(n)]).alias("hash"))
+        return F.transform(places, cell)
 
-def window_text(n: int) -> Column:
-    """The window of a row of ``windows``, space-joined."""
-    return F.concat_ws(" ", *[F.get("window_words", F.col("window_at") + k) for k in range(n)])
+    cells = parts.select(*rest, "window_words", F.explode(F.concat(*map(runs, sizes)) if len(sizes) > 1 else runs(least)).alias("_w"))
+    return cells.select(*rest, "window_words", F.col("_w.size").alias("window_size"), F.col("_w.at").alias("window_at"), F.col("_w.hash").alias("window_hash"))
 
 
 def phrase_hits(phrases: DataFrame, texts: DataFrame, words: str = "words", keys: list[str] | None = None) -> DataFrame:
@@ -45,29 +49,32 @@ def phrase_hits(phrases: DataFrame, texts: DataFrame, words: str = "words", keys
 
     ``phrases`` has arrays ``phrase``, ``texts`` has arrays ``words``, both of any length. A phrase occurs if a
     text (with the same ``keys``, if given) holds its words in a row. Windows of the texts meet the phrases' first words, six at most, by
-    hash, and are compared word by word; texts are read once for each number of first words, so once where no
-    phrase is shorter than six. Up to ``BROADCAST_ROWS`` phrases are broadcast. Beyond that, equal windows are first combined in each task,
-    so a passage that many texts share is one row of each. Null and empty phrases never occur.
+    hash, and are compared word by word. Up to ``BROADCAST_ROWS`` phrases are broadcast. Beyond that, equal windows are first
+    combined in each task, so a passage that many texts share is one row of each. Null and empty phrases never occur.
     """
     keys = keys or []
-    anchored = F.least(F.size("phrase"), F.lit(ANCHOR)).alias("n")
+    anchored = F.least(F.size("phrase"), F.lit(ANCHOR)).alias("window_size")
     wanted = cut_lineage(phrases.filter(F.size("phrase") > 0).select(*keys, "phrase", anchored).distinct())
     # at most ANCHOR rows
-    lengths = {r["n"]: r["reach"] for r in wanted.groupBy("n").agg(F.max(F.size("phrase")).alias("reach")).collect()}
-    small = wanted.count() <= BROADCAST_ROWS
-    found = wanted.limit(0).select(*keys, "phrase")
-    for n, reach in sorted(lengths.items()):
-        own = wanted.filter(F.col("n") == n).withColumn("window_hash", F.xxhash64(*[F.get("phrase", F.lit(k)) for k in range(n)])).drop("n")
-        seen = windows(texts.select(*keys, words), words, n, reach)
-        run = F.slice("window_words", F.col("window_at") + 1, reach)
-        if small:
-            met = seen.join(F.broadcast(own), [*keys, "window_hash"])
-        else:
-            seen = seen.select(*keys, "window_hash", run.alias("_run")).distinct()
-            run = F.col("_run")
-            met = seen.join(own, [*keys, "window_hash"])
-        found = found.unionByName(met.filter(F.slice(run, 1, F.size("phrase")) == F.col("phrase")).select(*keys, "phrase").distinct())
-    return found
+    lengths = wanted.groupBy("window_size").agg(F.max(F.size("phrase")).alias("reach"), F.count("*").alias("n")).collect()
+    if not lengths:
+        return wanted.select(*keys, "phrase")
+    sizes, reach = sorted(r["window_size"] for r in lengths), max(r["reach"] for r in lengths)
+    small = sum(r["n"] for r in lengths) <= BROADCAST_ROWS
+    first = None
+    for n in sizes:
+        h = F.xxhash64(*[F.get("phrase", F.lit(k)) for k in range(n)])
+        first = F.when(F.col("window_size") == n, h) if first is None else first.when(F.col("window_size") == n, h)
+    wanted = wanted.withColumn("window_hash", first)
+    seen = windows(texts.select(*keys, words), words, sizes, reach)
+    run = F.slice("window_words", F.col("window_at") + 1, reach)
+    on = [*keys, "window_size", "window_hash"]
+    if small:
+        met = seen.join(F.broadcast(wanted), on)
+    else:
+        met = seen.select(*on, run.alias("_run")).distinct().join(wanted, on)
+        run = F.col("_run")
+    return met.filter(F.slice(run, 1, F.size("phrase")) == F.col("phrase")).select(*keys, "phrase").distinct()
 
 
 def text_classes(texts: DataFrame, key: str, words: str = "words") -> DataFrame:
@@ -171,23 +178,35 @@ def shared_shingles(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """(left_key, right_key, shared, left_total, right_total, score) of texts with a common run of ``n`` words.
 
     The texts meet in the runs' hashes and only those that do are compared by words, so what shares none never meets.
-    A text of fewer words is one run by itself. Counts are combined before they are shuffled. ``score``
-    is the share of the smaller text's distinct runs that both have.
+    A text of fewer words is one run by itself. Up to ``BROADCAST_ROWS`` runs of the right side are broadcast; beyond that, both
+    sides are shuffled by hash and words. Counts are combined before they are shuffled. ``score`` is the share of the smaller text's distinct
+    runs that both have.
     """
 
     def units(df: DataFrame, key: str, name: str) -> DataFrame:
+        """Runs with the words that hold them, spelled out by ``run`` where two meet."""
         own = df.select(F.col(key).alias(name), F.col(words).alias("_words"))
-        long = windows(own, "_words", n).select(name, "window_hash", window_text(n).alias("run"))
-        short = own.filter((F.size("_words") > 0) & (F.size("_words") < n)).select(name, F.xxhash64("_words").alias("window_hash"), F.array_join("_words", " ").alias("run"))
+        long = windows(own, "_words", [n]).drop("window_size")
+        whole = F.when((F.size("_words") > 0) & (F.size("_words") < n), F.array("_words"))
+        short = own.select(name, F.explode(whole).alias("window_words")).select(
+            name, "window_words", F.lit(0).alias("window_at"), F.xxhash64("window_words").alias("window_hash")
+        )
         return long.unionByName(short)
 
-    def totals(df: DataFrame, key: str, name: str, total: str) -> DataFrame:
-        return units(df, key, name).select(name, F.xxhash64("run", F.lit(1)).alias("a"), "window_hash").groupBy(name).agg(F.count_distinct("a", "window_hash").alias(total))
+    run = F.array_join(F.slice("window_words", F.col("window_at") + 1, n), " ")
 
-    a, b = units(left, left_key, "_l"), units(right, right_key, "_r").distinct()
-    met = a.join(b, ["window_hash", "run"])
-    pairs = met.select("_l", "_r", "window_hash", "run").distinct().groupBy("_l", "_r").agg(F.count("*").alias("shared"))
-    rows = pairs.join(totals(left.join(pairs.select(F.col("_l").alias(left_key)).distinct(), left_key, "left_semi"), left_key, "_l", "left_total"), "_l")
-    rows = rows.join(totals(right, right_key, "_r", "right_total"), "_r")
+    def totals(df: DataFrame, key: str, name: str, total: str) -> DataFrame:
+        return units(df, key, name).groupBy(name).agg(F.count_distinct("window_hash", run).alias(total))
+
+    b = cut_lineage(units(right, right_key, "_r").select("_r", "window_hash", run.alias("run")).distinct())
+    a = units(left, left_key, "_l")
+    if b.count() <= BROADCAST_ROWS:
+        met = a.join(F.broadcast(b), "window_hash").filter(run == F.col("run"))
+    else:
+        met = a.select("_l", "window_hash", run.alias("run")).join(b, ["window_hash", "run"])
+    pairs = cut_lineage(met.select("_l", "_r", "window_hash", "run").distinct().groupBy("_l", "_r").agg(F.count("*").alias("shared")))
+    # runs are only counted for the texts that have a pair
+    with_pair = left.join(pairs.select(F.col("_l").alias(left_key)).distinct(), left_key, "left_semi")
+    rows = pairs.join(totals(with_pair, left_key, "_l", "left_total"), "_l").join(b.groupBy("_r").agg(F.count("*").alias("right_total")), "_r")
     score = F.col("shared") / F.least("left_total", "right_total")
     return rows.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), "shared", "left_total", "right_total", score.alias("score"))

@@ -31,7 +31,12 @@ SQL_SYLLABLES = "[" + ",".join(f"'{s}'" for s in SYLLABLES) + "]"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. Texts are much work a byte, so a scan of fewer parts than there are cores is dealt out first."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "conversations") and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def to_han(col: Column, script: str = TRADITIONAL) -> Column:

@@ -52,8 +52,9 @@ def test_text_classes_count_copies(spark):
     assert sorted((r.k, r.copies, r.words) for r in overlap.text_classes(texts, "k").collect()) == [(2, 2, ["a", "b"]), (5, 1, ["ab"]), (7, 1, [])]
 
 
-@pytest.mark.parametrize("n", [3, 8])
-def test_shared_shingles_equal_all_pairs(spark, monkeypatch, n):
+@pytest.mark.parametrize("n,bound", [(3, overlap.BROADCAST_ROWS), (8, 0)])
+def test_shared_shingles_equal_all_pairs(spark, monkeypatch, n, bound):
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", bound)
     left, right = bags_of(3, 40, 200), bags_of(4, 30, 60)
     a = spark.createDataFrame(list(enumerate(left)), "l int, words array<string>")
     b = spark.createDataFrame(list(enumerate(right)), "r int, words array<string>")
