@@ -6,6 +6,7 @@ fx, fy, tx, ty or a box x1, y1, x2, y2, both nullable.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -156,18 +157,28 @@ def _chain_group(pdf: pd.DataFrame) -> pd.DataFrame:
         turn = abs(math.degrees(math.atan2(a["ty"] - a["fy"], a["tx"] - a["fx"]) - math.atan2(b["ty"] - b["fy"], b["tx"] - b["fx"])))
         return min(turn, 360 - turn) <= 15
 
-    def first_pair() -> tuple[int, int] | None:
-        return next(((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and joins(a, b)), None)
-
-    while (pair := first_pair()) is not None:
-        i, j = pair
+    # pairs in the order of their places; one that no longer holds is told when its turn comes
+    pairs = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and joins(a, b)]
+    heapq.heapify(pairs)
+    gone: set[int] = set()
+    while pairs:
+        i, j = heapq.heappop(pairs)
         a, b = rows[i], rows[j]
+        if i in gone or j in gone or not joins(a, b):
+            continue
         a.update(
             text=a["text"] + b["text"], tx=b["tx"], ty=b["ty"],
             x1=min(a["x1"], b["x1"]), y1=min(a["y1"], b["y1"]), x2=max(a["x2"], b["x2"]), y2=max(a["y2"], b["y2"]),
         )
-        del rows[j]
-    return pd.DataFrame(rows, columns=pdf.columns)
+        gone.add(j)
+        # only pairs of the merged line can have come about
+        for k, c in enumerate(rows):
+            if k != i and k not in gone:
+                if joins(a, c):
+                    heapq.heappush(pairs, (i, k))
+                if joins(c, a):
+                    heapq.heappush(pairs, (k, i))
+    return pd.DataFrame([r for k, r in enumerate(rows) if k not in gone], columns=pdf.columns)
 
 
 def _pages_with_tail(vectors: DataFrame, cell: int = 64) -> DataFrame:

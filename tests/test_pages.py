@@ -180,3 +180,50 @@ def test_truth_diff_is_the_same_on_crowded_pages_and_equals_a_walk(spark):
     for pairs in (1 << 20, 0):
         found = ordered_truth_diff(s, t, page_pairs=pairs)
         assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_chains_merge_in_the_order_of_the_first_pair():
+    import math
+
+    import pandas as pd
+
+    def plain(rows):
+        rows = [dict(r) for r in rows]
+
+        def joins(a, b):
+            reach = 0.8 * math.hypot(a["tx"] - a["fx"], a["ty"] - a["fy"]) / max(1, len(a["text"]))
+            turn = abs(math.degrees(math.atan2(a["ty"] - a["fy"], a["tx"] - a["fx"]) - math.atan2(b["ty"] - b["fy"], b["tx"] - b["fx"])))
+            return math.hypot(b["fx"] - a["tx"], b["fy"] - a["ty"]) <= reach and min(turn, 360 - turn) <= 15
+
+        while True:
+            pair = next(((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and joins(a, b)), None)
+            if pair is None:
+                return [(r["item"], r["text"], r["tx"], r["x1"], r["x2"]) for r in rows]
+            a, b = rows[pair[0]], rows.pop(pair[1]) if pair[1] > pair[0] else rows[pair[1]]
+            if pair[1] < pair[0]:
+                rows.pop(pair[1])
+            a.update(text=a["text"] + b["text"], tx=b["tx"], ty=b["ty"])
+            for lo, hi in (("x1", "x2"), ("y1", "y2")):
+                a[lo], a[hi] = min(a[lo], b[lo]), max(a[hi], b[hi])
+
+    rnd = random.Random(3)
+    merged = 0
+    for _ in range(200):
+        rows = []
+        for k in range(rnd.randint(2, 25)):
+            x, y, n = rnd.randint(0, 200), rnd.randint(0, 30), rnd.randint(1, 4)
+            tx, ty = x + rnd.randint(5, 60), y + rnd.randint(-4, 4)
+            rows.append({"page_id": 1, "item": k, "text": "abcd"[:n], "fx": x, "fy": y, "tx": tx, "ty": ty, "x1": x, "y1": y, "x2": tx, "y2": ty})
+        out = ln._chain_group(pd.DataFrame(rows).sample(frac=1, random_state=1))
+        assert [(r["item"], r["text"], r["tx"], r["x1"], r["x2"]) for r in out.to_dict("records")] == plain(rows)
+        merged += len(rows) - len(out)
+    assert merged > 200
+
+
+def test_a_character_map_is_bounded(spark):
+    from inkstone.operators.lexicon import map_characters
+
+    texts = spark.createDataFrame([("ab",)], "t string")
+    many = spark.range(120_001).select(F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
+    with pytest.raises(ValueError):
+        map_characters(texts, {"t": "u"}, many, "a", "b")
