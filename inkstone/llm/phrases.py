@@ -352,8 +352,8 @@ def counted_by_number(parsed: DataFrame, least: int) -> DataFrame | None:
     if found.count() > NUMBERED:
         return None
     # at most NUMBERED words
-    rows = sorted((r["lang"], r["phrase"]) for r in found.select("lang", "phrase").collect())
-    numbers = Numbers([lang for lang, _ in rows], [w for _, w in rows])
+    rows = found.select("lang", "phrase").toArrow()
+    numbers = Numbers(rows.column("lang").to_pylist(), rows.column("phrase").to_pylist())
     if not numbers.apart():
         return None
     shared = spark.sparkContext.broadcast(numbers)
