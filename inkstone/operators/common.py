@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inkstone.functions.geometry import intersection
 from inkstone.session import cut_lineage
 
+# A table up to this many rows is broadcast, once they have been counted.
+BROADCAST_ROWS = 200_000
 # A page up to this many distinct boxes is handled inside one row; larger ones
 # are split into independent pieces first.
 PAGE_ROWS = 512
@@ -44,6 +46,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return picked.select(*keys, "_row.*")
 
 
+def measured_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as the lookup side of a join: computed once, broadcast up to ``rows`` counted rows, else met in a merge join.
+
+    The planner's own guess takes exploded texts for no larger than their file and would broadcast those instead.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= rows else held.hint("merge")
+
+
 def grid_join(left: DataFrame, right: DataFrame, page: str = "page_id", cell: int = 128) -> DataFrame:
     """Intersecting boxes of one page, left columns prefixed a_, right columns b_, each pair once.
 

@@ -17,7 +17,7 @@ from inkstone.functions.text import (
     tone_list,
     words_of,
 )
-from inkstone.operators.common import first_per_key, top_per_key
+from inkstone.operators.common import first_per_key, measured_side, top_per_key
 from inkstone.operators.lexicon import IDIOM_TAG, syllable_inventory, top_chars_by_syllable, top_entries_by_headword, top_entries_by_key
 
 # Longest word in syllables, phrases kept.
@@ -339,7 +339,7 @@ def candidates(syllables: DataFrame, lexicon: DataFrame, key: str = "query_id",
     """(key, position, syllable) to frequent characters, taken in turn from each syllable.
 
     Unknown syllables borrow the characters of syllables one edit away. Per
-    syllable the common characters come first.
+    syllable the common characters come first; its first ``limit`` characters fill a row before a later one gets its turn.
     """
     chars = top_chars_by_syllable(lexicon).filter("frequent")
     has_chars = top_chars_by_syllable(lexicon).select("syllable").distinct()
@@ -356,7 +356,7 @@ def candidates(syllables: DataFrame, lexicon: DataFrame, key: str = "query_id",
     )
     w = Window.partitionBy("syllable").orderBy(F.col("common").desc(), "own", "near", "rank")
     turns = bucket.withColumn("turn", F.row_number().over(w))
-    offered = syllables.join(turns, "syllable")
+    offered = syllables.join(measured_side(turns.filter(F.col("turn") <= limit)), "syllable")
     once = first_per_key(offered, [key, "traditional"], [F.col("turn"), F.col("position")])
     return top_per_key(once, [key], [F.col("turn"), F.col("position")], limit, "place")
 

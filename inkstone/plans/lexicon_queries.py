@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from inkstone.functions.geometry import let
 from inkstone.operators import lexicon as lx, phonetic as ph
+from inkstone.operators.common import measured_side
 from inkstone.operators.overlap import shared_shingles, similar_bags, text_classes
 from inkstone.plans.registry import query
 from inkstone.plans.views import (
@@ -18,6 +20,7 @@ from inkstone.plans.views import (
     document_words,
     latin_words,
     lexicon,
+    spelled,
     sql_han,
     table,
     to_han,
@@ -362,22 +365,34 @@ def fuzzy_join(spark: SparkSession, sf: str) -> DataFrame:
     return ph.fuzzy_syllable_join(unknown, inventory)
 
 
-# Chips for each word of a conversation: its letters are the syllables.
+# Chips for each word of a conversation: its letters are the syllables. Equal words get equal chips.
 @query("candidates")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    from inkstone.plans.views import spelled
+    turns = table(spark, sf, "conversations").groupBy(F.concat_ws("-", "conv_id", "turn").alias("said")).agg(F.collect_set("text").alias("texts"))
 
-    words = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.posexplode(latin_words("text")).alias("pos", "w")
-    ).select(F.concat_ws("-", "conv_id", "turn", "pos").alias("query_id"), "w")
+    def by_place(texts: Column) -> Column:
+        """The distinct words at each place, one unless a turn was said twice."""
+        last = F.array_max(F.transform(texts, F.size)) - 1
+        place = lambda i: F.array_sort(F.array_distinct(F.array_compact(F.transform(texts, lambda t: F.get(t, i)))))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), place))
+
+    said = let(F.transform("texts", latin_words), by_place)
+    words = turns.select("said", F.posexplode(said).alias("pos", "ws")).select(
+        F.concat_ws("-", F.when(F.col("said") != "", F.col("said")), "pos").alias("query_id"), "ws"
+    )
+    typed = words.select("ws").distinct().select("ws", F.explode("ws").alias("w"))
     reading = F.regexp_replace(spelled(F.col("w"), F.lit(0)), "[0-9]", "")
     # every second syllable loses its last letter and must be found by a near spelling
-    typed = F.transform(
-        F.split(reading, " "),
-        lambda s, i: F.when((i % 2 == 1) & (F.length(s) > 2), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s),
+    typed = typed.withColumn(
+        "typed",
+        F.transform(
+            F.split(reading, " "),
+            lambda s, i: F.when((i % 2 == 1) & (F.length(s) > 2), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s),
+        ),
     )
-    syllables = words.select("query_id", F.posexplode(typed).alias("position", "syllable"))
-    return ph.candidates(syllables, lexicon(spark, sf)).select("query_id", "place", "syllable", "traditional", "turn", "position")
+    syllables = typed.select("ws", F.posexplode("typed").alias("position", "syllable"))
+    chips = measured_side(ph.candidates(syllables, lexicon(spark, sf), "ws"))
+    return words.join(chips, "ws").select("query_id", "place", "syllable", "traditional", "turn", "position")
 
 
 RUNS = f"""

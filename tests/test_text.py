@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.syllables import spell
 from inkstone.functions.text import marks_to_number
 from inkstone.operators import lexicon as lx, phonetic as ph, rules, segmentation as sg
+from inkstone.plans.catalog import QUERIES
 
 WORDS = [
     ("你好", "ni3 hao3", "hello / hi"), ("我", "wo3", "I / me"), ("不", "bu4", "not / no"), ("知道", "zhi dao5", "to know"),
@@ -153,3 +154,17 @@ def test_loose_json_takes_the_first_balanced_structure(spark):
     assert got[0].a.b == 1 and got[2].a.b == 2 and got[3] is None and got[4] is None and got[5] is None
     lists = {r.id: r.parsed for r in rules.parse_loose_json(df, "t", "array<struct<a:string>>").collect()}
     assert [x.a for x in lists[1]] == ["1", "[2]"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_never_broadcast_the_typed_syllables(spark, lex):
+    typed = spark.createDataFrame([(q, p, s) for q in (1, 2) for p, s in enumerate(["gan", "fu", "shu", "gan"])], "query_id int, position int, syllable string")
+    chips = ph.candidates(typed, lex.withColumn("frequent", F.lit(True)), limit=3)
+    assert "BuildLeft" not in plan_of(QUERIES["candidates"](spark, "/root/testdata/sf0.001"))
+    got = {(r.query_id, r.place): (r.traditional, r.syllable, r.turn) for r in chips.collect()}
+    # each syllable in turn; the unknown one borrows from its neighbour, the repeated one adds nothing
+    assert [got[1, k] for k in (1, 2, 3)] == [("乹", "gan", 1), ("㳇", "fu", 1), ("水", "shu", 1)]
+    assert got[2, 3] == got[1, 3] and len(got) == 6
