@@ -220,12 +220,16 @@ def pick_sense(words: DataFrame) -> DataFrame:
     )
 
 
-def lexicon_lookup(tokens: DataFrame, words: DataFrame, column: str = "token") -> DataFrame:
-    """Left join of tokens to their shown sense; ``known`` tells hits apart."""
-    senses = pick_sense(words).select(
+def shown_senses(words: DataFrame, column: str = "token") -> DataFrame:
+    """The shown sense of every headword, marked as a hit."""
+    return pick_sense(words).select(
         F.col("key").alias(column), "traditional", "simplified", "py_num", "english", F.lit(True).alias("_hit")
     )
-    return tokens.join(senses, column, "left").withColumn("known", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def lexicon_lookup(tokens: DataFrame, words: DataFrame, column: str = "token") -> DataFrame:
+    """Left join of tokens to their shown sense; ``known`` tells hits apart."""
+    return tokens.join(shown_senses(words, column), column, "left").withColumn("known", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def lexicon_misses(tokens: DataFrame, words: DataFrame, document: str, position: str, n: int = 3) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkstone.functions.text import HAN, characters, words_of
-from inkstone.operators.lexicon import lexicon_lookup
+from inkstone.operators.common import measured_side
+from inkstone.operators.lexicon import shown_senses
 
 CHUNK = 256
 #: Letters of all words up to which the word list is broadcast as a trie; a longer list meets the texts in a join.
@@ -57,8 +58,9 @@ def trie_tokens(words: DataFrame, max_len: int) -> Callable[[Column], Column] |
 
     @F.arrow_udf("array<string>")
     def tokens(runs: pa.Array) -> pa.Array:
-        walk = shared.value.tokens
-        return pa.array([None if r is None else walk(r) for r in runs.to_pylist()], type=pa.list_(pa.string()))
+        # equal runs of a batch are walked once
+        walk, coded = shared.value.tokens, runs.dictionary_encode()
+        return pa.array([walk(r) for r in coded.dictionary.to_pylist()], type=pa.list_(pa.string())).take(coded.indices)
 
     return tokens
 
@@ -197,17 +199,27 @@ def segment_words(texts: DataFrame, lexicon: DataFrame, key: str, column: str) -
 
 
 def word_cards(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Tokens with their entry; unknown tokens fall apart into one row per character."""
+    """Tokens with their entry; unknown tokens fall apart into one row per character.
+
+    Tokens are read once. The senses shown are computed once, and up to a measured bound they are broadcast, so no token is shuffled.
+    """
     keys = [c for c in tokens.columns if c != "token"]
-    direct = lexicon_lookup(tokens, lexicon)
-    hit = direct.filter("known").withColumn("char_no", F.lit(0))
-    apart = direct.filter("not known").select(*keys, F.posexplode(characters(F.col("token"))).alias("char_no", "token"))
-    loose = lexicon_lookup(apart, lexicon)
-    for name in ("traditional", "simplified"):
-        loose = loose.withColumn(name, F.coalesce(name, "token"))
-    for name in ("py_num", "english"):
-        loose = loose.withColumn(name, F.coalesce(name, F.lit("")))
-    return hit.unionByName(loose)
+    senses = measured_side(shown_senses(lexicon))
+    whole = tokens.join(senses.select("token", F.col("_hit").alias("_whole")), "token", "left")
+    pieces = F.when(F.col("_whole"), F.array("token")).otherwise(characters(F.col("token")))
+    cards = whole.select(*keys, "_whole", F.posexplode(pieces).alias("char_no", "token")).join(senses, "token", "left")
+
+    def shown(name: str, blank: Column) -> Column:
+        return F.when(F.col("_whole"), F.col(name)).otherwise(F.coalesce(F.col(name), blank)).alias(name)
+
+    return cards.select(
+        "token",
+        *keys,
+        *[shown(name, F.col("token")) for name in ("traditional", "simplified")],
+        *[shown(name, F.lit("")) for name in ("py_num", "english")],
+        F.coalesce("_hit", F.lit(False)).alias("known"),
+        "char_no",
+    )
 
 
 def coverage_report(cards: DataFrame, document: str) -> DataFrame:

@@ -168,3 +168,12 @@ def test_candidates_never_broadcast_the_typed_syllables(spark, lex):
     # each syllable in turn; the unknown one borrows from its neighbour, the repeated one adds nothing
     assert [got[1, k] for k in (1, 2, 3)] == [("乹", "gan", 1), ("㳇", "fu", 1), ("水", "shu", 1)]
     assert got[2, 3] == got[1, 3] and len(got) == 6
+
+
+def test_word_cards_read_the_tokens_once(spark, lex):
+    tokens = spark.createDataFrame([(i, t) for i, t in enumerate(["你好", "我們", "水", None])], "n int, token string")
+    cards = sg.word_cards(tokens, lex)
+    plan = plan_of(cards)
+    assert "Union" not in plan and plan.count("BroadcastHashJoin") == 2
+    got = sorted((r.n, r.char_no, r.token, r.traditional, r.py_num, r.known) for r in cards.collect())
+    assert got == [(0, 0, "你好", "你好", "ni3 hao3", True), (1, 0, "我", "我", "wo3", True), (1, 1, "們", "們", "", False), (2, 0, "水", "水", "shui3", True)]
