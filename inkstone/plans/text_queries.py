@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from inkstone.functions.syllables import FINALS, INITIALS, STANDALONE
 from inkstone.functions.text import MARK_TONES, MARKED_VOWELS, PLAIN_VOWELS, SPELLING_REPAIRS, TONE_MARKS, marks_to_number, strip_marks
 from inkstone.operators import lexicon as lx, phonetic as ph, segmentation as sg
+from inkstone.operators.common import measured_side
 from inkstone.operators.rules import bpmf_layout, entry_annotations, structure_tokens
 from inkstone.plans.lexicon_queries import FIRST_READINGS, RANKED, READINGS, WORD_READINGS, _readings, word_readings
 from inkstone.plans.registry import query
@@ -204,8 +205,15 @@ def known_rate(spark: SparkSession, sf: str) -> DataFrame:
     from cards group by 1 having count(*) >= 2""",
 )
 def phrase_rows(spark: SparkSession, sf: str) -> DataFrame:
-    words = _cards(spark, sf).withColumn("utterance", F.concat("id", F.lit("/"), F.col("run_no").cast("string")))
-    return sg.phrase_rows(words, "utterance", ["token_no", "char_no"])
+    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), to_han(lowered("text")).alias("text"))
+    runs = sg.cut_runs(texts, "id", "text").filter("han")
+    # equal runs make equal phrases; each is put together once and handed to the places it stands at
+    distinct = sg.han_runs(texts, "id", "text").select("run").distinct().select(F.col("run").alias("phrase"), F.col("run").alias("text"))
+    words = lexicon(spark, sf)
+    tokens = sg.segment_words(distinct, words, "phrase", "text").select("phrase", "token_no", "token")
+    phrases = measured_side(sg.phrase_rows(sg.word_cards(tokens, words), "phrase", ["token_no", "char_no"]))
+    placed = runs.select(F.concat("id", F.lit("/"), F.col("run_no").cast("string")).alias("utterance"), F.col("run").alias("phrase"))
+    return placed.join(phrases, "phrase").select("utterance", "traditional", "simplified", "py_num", "words")
 
 
 # Given readings: the word's own spelling in marks, cut short for every fifth length.
