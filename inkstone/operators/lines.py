@@ -10,6 +10,7 @@ import heapq
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.geometry import (
@@ -19,7 +20,7 @@ from inkstone.functions.geometry import (
     upper_median,
 )
 from inkstone.functions.text import char_overlap, characters, has_han, no_space
-from inkstone.operators.common import connected_components, split_by_size, top_per_key
+from inkstone.operators.common import PAGE_ROWS, connected_components, split_by_size, top_per_key
 from inkstone.operators.greedy import greedy_keep
 from inkstone.session import cut_lineage
 
@@ -208,14 +209,9 @@ def _pages_with_tail(vectors: DataFrame, cell: int = 64) -> DataFrame:
     )
 
 
-def chain_continuations(lines: DataFrame) -> DataFrame:
-    """Tails that start where a line ends, in its direction, are appended to it.
-
-    Merging depends on order, so it runs line by line, but only lines whose ends
-    come near another's start can ever merge: a join on cells of the widest
-    possible reach finds them, and only their groups leave the JVM. A page is one
-    group unless it is large; then each connected piece is.
-    """
+def _chain_in_pieces(lines: DataFrame) -> DataFrame:
+    """Chains of crowded pages: a join on cells of the widest possible reach finds the lines that can merge;
+    only their connected pieces leave the JVM."""
     vectors = lines.filter("fx is not null")
     length = F.sqrt(F.pow(F.col("tx") - F.col("fx"), 2) + F.pow(F.col("ty") - F.col("fy"), 2))
     # a merged line's pitch stays below five times the page's largest
@@ -241,18 +237,95 @@ def chain_continuations(lines: DataFrame) -> DataFrame:
     apart = lines.join(touched, ["page_id", "item"], "left_anti").select(*columns)
     close = lines.join(touched, ["page_id", "item"], "left_semi").select(*columns)
     close = cut_lineage(close)
-    small, large = split_by_size(close, "page_id")
     fields = ", ".join(f"{c} {close.schema[c].dataType.simpleString()}" for c in columns)
-    merged = small.groupBy("page_id").applyInPandas(_chain_group, fields)
-    if large is not None:
-        pairs = edges.select(F.struct("page_id", F.col("a").alias("item")).alias("src"), F.struct("page_id", F.col("b").alias("item")).alias("dst"))
-        parts = large.withColumn("node", F.struct("page_id", "item")).join(connected_components(pairs), "node").drop("node")
-        merged = merged.unionByName(
-            parts.groupBy("component").applyInPandas(lambda pdf: _chain_group(pdf.drop(columns=["component"])), fields)
-        )
+    pairs = edges.select(F.struct("page_id", F.col("a").alias("item")).alias("src"), F.struct("page_id", F.col("b").alias("item")).alias("dst"))
+    parts = close.withColumn("node", F.struct("page_id", "item")).join(connected_components(pairs), "node").drop("node")
+    merged = parts.groupBy("component").applyInPandas(lambda pdf: _chain_group(pdf.drop(columns=["component"])), fields)
     return apart.unionByName(merged)
 
 
+def _page_chains(fx: pa.Array, fy: pa.Array, tx: pa.Array, ty: pa.Array, chars: pa.Array) -> pa.Array:
+    """For the lines of each page, in order, the places of the lines that each one left takes up, itself first."""
+    pages = zip(*(c.to_pylist() for c in (fx, fy, tx, ty, chars)))
+    return pa.array([_merge_order(*page) for page in pages], type=pa.list_(pa.list_(pa.int32())))
+
+
+def _merge_order(fx: list, fy: list, tx: list, ty: list, chars: list) -> list[list[int]]:
+    """The same passes as :func:`_chain_group` over numbers alone; lines without a vector stay apart."""
+    n = len(fx)
+    reach, turn = [0.0] * n, [0.0] * n
+    live = [i for i in range(n) if None not in (fx[i], fy[i], tx[i], ty[i])]
+
+    def measure(i: int) -> None:
+        dx, dy = tx[i] - fx[i], ty[i] - fy[i]
+        reach[i], turn[i] = 0.8 * math.hypot(dx, dy) / max(1, chars[i]), math.atan2(dy, dx)
+
+    def joins(i: int, j: int) -> bool:
+        if math.hypot(fx[j] - tx[i], fy[j] - ty[i]) > reach[i]:
+            return False
+        off = abs(math.degrees(turn[i] - turn[j]))
+        return min(off, 360 - off) <= 15
+
+    for i in live:
+        measure(i)
+    pairs = [(i, j) for i in live for j in live if i != j and joins(i, j)]
+    taken = [[i] for i in range(n)]
+    gone: set[int] = set()
+    while pairs:
+        i, j = heapq.heappop(pairs)
+        if i in gone or j in gone or not joins(i, j):
+            continue
+        taken[i] += taken[j]
+        tx[i], ty[i], chars[i] = tx[j], ty[j], chars[i] + chars[j]
+        measure(i)
+        gone.add(j)
+        for k in live:
+            if k != i and k not in gone:
+                if joins(i, k):
+                    heapq.heappush(pairs, (i, k))
+                if joins(k, i):
+                    heapq.heappush(pairs, (k, i))
+    return [t for i, t in enumerate(taken) if i not in gone]
+
+
+def _chain_in_rows(lines: DataFrame) -> DataFrame:
+    """Chains of pages that fit a row: one exchange of the lines, numbers alone go to the kernel."""
+    fields = [c for c in lines.columns if c not in ("page_id", "item")]
+    pages = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("item", *fields))).alias("rows"))
+    numbers = [F.transform(F.col("rows")[c], lambda v: v.cast("double")) for c in ("fx", "fy", "tx", "ty")]
+    chars = F.transform(F.col("rows")["text"], lambda t: F.coalesce(F.length(t), F.lit(0)))
+    chains = F.arrow_udf(_page_chains, "array<array<int>>")
+    heads = pages.select("page_id", "rows", F.explode(chains(*numbers, chars)).alias("_at"))
+    heads = heads.select("page_id", F.transform("_at", lambda i: F.get("rows", i)).alias("_taken"))
+    first, last = F.get("_taken", F.lit(0)), F.element_at("_taken", -1)
+
+    def joined(c: str) -> Column:
+        if c == "text":
+            together = F.array_join(F.col("_taken")["text"], "")
+        elif c in ("tx", "ty"):
+            return last[c]
+        elif c in BOX:
+            together = (F.array_min if c in ("x1", "y1") else F.array_max)(F.col("_taken")[c])
+        else:
+            return first[c]
+        return F.when((F.size("_taken") > 1) & first[c].isNotNull(), together).otherwise(first[c])
+
+    return heads.select("page_id", *[(first[c] if c == "item" else joined(c)).alias(c) for c in lines.columns if c != "page_id"])
+
+
+def chain_continuations(lines: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+    """Tails that start where a line ends, in its direction, are appended to it.
+
+    Merging depends on order, so it runs line by line. A page of ordinary size is
+    one row; on pages above ``limit`` only lines whose ends come near another's start
+    can ever merge, and each connected piece of those is one group.
+    """
+    columns = ["page_id", *[c for c in lines.columns if c != "page_id"]]
+    small, large = split_by_size(lines, "page_id", limit)
+    out = _chain_in_rows(small).select(*columns)
+    return out if large is None else out.unionByName(_chain_in_pieces(large).select(*columns))
+
+
 # ---- recovery -----------------------------------------------------------
 
 def neighbour_between(lines: DataFrame, slots: DataFrame) -> DataFrame:

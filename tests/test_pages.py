@@ -227,3 +227,22 @@ def test_a_character_map_is_bounded(spark):
     many = spark.range(120_001).select(F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
     with pytest.raises(ValueError):
         map_characters(texts, {"t": "u"}, many, "a", "b")
+
+
+def test_chains_in_rows_equal_chains_of_pieces(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for page in range(30):
+        for k in range(rnd.randint(1, 12)):
+            x, y, n = rnd.randint(0, 120), rnd.randint(0, 20), rnd.randint(1, 4)
+            tx, ty = x + rnd.randint(5, 60), y + rnd.randint(-4, 4)
+            vector = (float(x), float(y), float(tx), float(ty)) if k % 7 else (None,) * 4
+            rows.append((page, k, "abcd"[:n], *vector, x, y, tx, y + 9))
+    df = spark.createDataFrame(rows, "page_id int, item int, text string, fx double, fy double, tx double, ty double, x1 int, y1 int, x2 int, y2 int")
+    pieces = sorted(map(tuple, ln.chain_continuations(df, limit=0).collect()), key=str)
+    # ordinary pages leave the JVM as numbers, many to a batch, not one by one
+    monkeypatch.setattr(ln, "_chain_group", None)
+    whole = ln.chain_continuations(df)
+    assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, whole.collect()), key=str)
+    assert whole == pieces and len(whole) < len(rows) - 20
