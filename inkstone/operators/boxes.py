@@ -6,6 +6,7 @@ x2, y2 and, where read, text and score; quad tables have pts.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.geometry import (
@@ -27,7 +28,7 @@ from inkstone.functions.geometry import (
     upper_median,
 )
 from inkstone.functions.text import char_overlap, has_han
-from inkstone.operators.common import connected_components, grid_join, grid_pairs, position_by_bucket
+from inkstone.operators.common import PAGE_ROWS, connected_components, grid_join, grid_pairs, position_by_bucket, split_by_size
 from inkstone.operators.greedy import greedy_keep, greedy_replace
 
 
@@ -302,9 +303,9 @@ def axis_orders(quads: DataFrame, band: float = 60.0) -> DataFrame:
     return placed.select("page_id", "item", "direction", "position")
 
 
-def merge_collinear(quads: DataFrame) -> DataFrame:
-    """Fragments of one line joined: same axis within 8 degrees, nearly level, close along the axis."""
-    framed = with_frame(quad_measures(quads), "axis").withColumn("thick", F.col("y2") - F.col("y1"))
+def _merge_crowded(measured: DataFrame) -> DataFrame:
+    """Groups of crowded pages: near fragments meet in grid cells."""
+    framed = with_frame(measured, "axis").withColumn("thick", F.col("y2") - F.col("y1"))
     level = framed.filter(F.abs(F.col("axis") - F.col("page_angle")) <= 8).select(
         "page_id", "item", "thick", F.col("x1").alias("l"), F.col("x2").alias("r"), F.col("y1"), F.col("y2")
     )
@@ -319,7 +320,7 @@ def merge_collinear(quads: DataFrame) -> DataFrame:
     )
     parts = connected_components(edges)
     nodes = framed.withColumn("node", F.struct("page_id", "item")).join(parts, "node", "left")
-    groups = nodes.withColumn("head", F.coalesce("component.item", "item")).groupBy("page_id", "head").agg(
+    return nodes.withColumn("head", F.coalesce("component.item", "item")).drop("item").withColumnRenamed("head", "item").groupBy("page_id", "item").agg(
         F.count("*").alias("members"),
         F.first("page_angle").alias("page_angle"),
         F.min("x1").alias("x1"),
@@ -328,6 +329,81 @@ def merge_collinear(quads: DataFrame) -> DataFrame:
         F.max("y2").alias("y2"),
         F.first("pts").alias("own"),
     )
+
+
+def _level_groups(l: pa.Array, r: pa.Array, y1: pa.Array, y2: pa.Array, level: pa.Array) -> pa.Array:
+    """For the fragments of each page, in order, the places of those that make one line, by their first."""
+    pages = zip(*(c.to_pylist() for c in (l, r, y1, y2, level)))
+    return pa.array([_joined_level(*page) for page in pages], type=pa.list_(pa.list_(pa.int32())))
+
+
+def _joined_level(l: list, r: list, y1: list, y2: list, level: list) -> list[list[int]]:
+    head = list(range(len(l)))
+
+    def top(i: int) -> int:
+        while head[i] != i:
+            head[i] = i = head[head[i]]
+        return i
+
+    live = [i for i in head if level[i] and l[i] is not None]
+    for at, j in enumerate(live):
+        tj = y2[j] - y1[j]
+        for i in live[:at]:
+            ti = y2[i] - y1[i]
+            thin = min(ti, tj)
+            off = abs((y1[i] + y2[i]) / 2 - (y1[j] + y2[j]) / 2)
+            if not off <= 0.35 * thin or min(y2[i], y2[j]) - max(y1[i], y1[j]) <= 0:
+                continue
+            meet = min(r[i] + 0.75 * ti + 0.001, r[j] + 0.75 * tj + 0.001) - max(l[i] - 0.75 * ti - 0.001, l[j] - 0.75 * tj - 0.001)
+            if meet > 0 and max(0.0, max(l[i], l[j]) - min(r[i], r[j])) <= 1.5 * thin:
+                a, b = top(i), top(j)
+                head[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(l)):
+        groups.setdefault(top(i), []).append(i)
+    return list(groups.values())
+
+
+def _merge_in_rows(measured: DataFrame) -> DataFrame:
+    """Groups of pages that fit a row: one exchange of the quads, numbers alone go to the kernel."""
+    pages = measured.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("item", "pts", "axis"))).alias("rows"))
+    axes = F.array_compact(F.col("rows")["axis"])
+    # the upper median, as percentile_disc takes it from the falling order
+    median = F.get(F.sort_array(axes, asc=False), (F.ceil(F.size(axes) / 2) - 1).cast("int"))
+    pages = pages.select("page_id", "rows", median.alias("page_angle"))
+    frames = F.transform(F.col("rows")["pts"], lambda p: frame_box(p, F.col("page_angle")))
+    pages = pages.select("page_id", "rows", "page_angle", frames.alias("frames"))
+    level = F.transform(F.col("rows")["axis"], lambda v: F.coalesce(F.abs(v - F.col("page_angle")) <= 8, F.lit(False)))
+    groups = F.arrow_udf(_level_groups, "array<array<int>>")
+    found = groups(*[F.col("frames")[c] for c in ("x1", "x2", "y1", "y2")], level)
+    lines = pages.select("page_id", "rows", "page_angle", "frames", F.explode(found).alias("at"))
+
+    def side(name: str, f) -> Column:
+        return f(F.transform("at", lambda i: F.get("frames", i)[name])).alias(name)
+
+    first = F.get("rows", F.get("at", F.lit(0)))
+    return lines.select(
+        "page_id",
+        first["item"].alias("item"),
+        F.size("at").cast("bigint").alias("members"),
+        "page_angle",
+        side("x1", F.array_min),
+        side("y1", F.array_min),
+        side("x2", F.array_max),
+        side("y2", F.array_max),
+        first["pts"].alias("own"),
+    )
+
+
+def merge_collinear(quads: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+    """Fragments of one line joined: same axis within 8 degrees, nearly level, close along the axis.
+
+    A page of ordinary size is one row; pages above ``limit`` are joined piece by piece through the grid.
+    """
+    small, large = split_by_size(quads, "page_id", limit)
+    groups = _merge_in_rows(quad_measures(small))
+    if large is not None:
+        groups = groups.unionByName(_merge_crowded(quad_measures(large)))
     c, s = F.cos(F.radians("page_angle")), F.sin(F.radians("page_angle"))
 
     def back(x: str, y: str) -> Column:
@@ -335,7 +411,7 @@ def merge_collinear(quads: DataFrame) -> DataFrame:
 
     span = F.array(back("x1", "y1"), back("x2", "y1"), back("x2", "y2"), back("x1", "y2"))
     return groups.select(
-        "page_id", F.col("head").alias("item"), "members", F.when(F.col("members") == 1, F.col("own")).otherwise(span).alias("pts")
+        "page_id", "item", "members", F.when(F.col("members") == 1, F.col("own")).otherwise(span).alias("pts")
     )
 
 

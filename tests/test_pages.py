@@ -246,3 +246,15 @@ def test_chains_in_rows_equal_chains_of_pieces(spark, monkeypatch):
     assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
     whole = sorted(map(tuple, whole.collect()), key=str)
     assert whole == pieces and len(whole) < len(rows) - 20
+
+
+def test_collinear_in_rows_equal_crowded_pages(spark):
+    rnd = random.Random(6)
+    rows = [(page, k, rnd.randrange(0, 300, 3), rnd.randrange(0, 60, 4), rnd.randint(8, 40), rnd.randint(8, 24)) for page in range(30) for k in range(rnd.randint(1, 14))]
+    df = spark.createDataFrame(rows, "page_id int, item int, x int, y int, w int, h int")
+    quads = df.select("page_id", "item", quad_of_box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("pts"))
+    whole = bx.merge_collinear(quads)
+    # quads travel once
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    crowded = sorted(map(tuple, bx.merge_collinear(quads, limit=0).collect()), key=str)
+    assert sorted(map(tuple, whole.collect()), key=str) == crowded and len(crowded) < len(rows) - 20
