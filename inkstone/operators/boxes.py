@@ -93,7 +93,10 @@ def nearest_anchor(chars: DataFrame, items: DataFrame, cell: int = 64) -> DataFr
 # ---- gates --------------------------------------------------------------
 
 def page_gate(items: DataFrame) -> DataFrame:
-    """Is the detector's own reading coherent enough to serve alone? One row per page with the first failed test."""
+    """Is the detector's own reading coherent enough to serve alone? One row per page with the first failed test.
+
+    Means and the pitch's spread are compared at nine places, so a page right at a limit does not hang on the order of its rows.
+    """
     n = F.length("text")
     pitch = F.when(n >= 2, (F.col("x2") - F.col("x1")) / n)
     stats = items.withColumn("_chars", n).withColumn("_pitch", pitch).groupBy("page_id").agg(
@@ -113,7 +116,7 @@ def page_gate(items: DataFrame) -> DataFrame:
         .when(F.col("chars") < 8, "few characters")
         .when(F.col("median_chars") < 3, "short items")
         .when(F.col("singles") > 0.5, "single characters")
-        .when((F.col("pitched") >= 3) & (F.col("pitch_mean") > 0) & (F.col("pitch_sd") / F.col("pitch_mean") > 0.6), "uneven pitch")
+        .when((F.col("pitched") >= 3) & (F.col("pitch_mean") > 0) & (F.round(F.col("pitch_sd") / F.col("pitch_mean"), 9) > 0.6), "uneven pitch")
     )
     return stats.select(
         "page_id", "items", "confident", "chars", "median_chars", reason.isNull().alias("passes"), reason.alias("reason")

@@ -258,3 +258,14 @@ def test_collinear_in_rows_equal_crowded_pages(spark):
     assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     crowded = sorted(map(tuple, bx.merge_collinear(quads, limit=0).collect()), key=str)
     assert sorted(map(tuple, whole.collect()), key=str) == crowded and len(crowded) < len(rows) - 20
+
+
+def test_a_page_right_at_the_pitch_limit_passes_in_any_order(spark):
+    import itertools
+
+    rows = []
+    # spread over mean is exactly 0.6: the limit is not passed
+    for page, widths in enumerate(w for ws in ((204, 140, 48, 48), (36, 90, 18, 36), (24, 24, 12, 60)) for w in itertools.permutations(ws)):
+        rows += [(page, k, 0, 0, w, 20, "abc", 0.9) for k, w in enumerate(widths)]
+    df = spark.createDataFrame(rows, "page_id int, item int, x1 int, y1 int, x2 int, y2 int, text string, score double")
+    assert {r.reason for r in bx.page_gate(df.coalesce(1)).collect()} == {None}
