@@ -177,3 +177,10 @@ def test_word_cards_read_the_tokens_once(spark, lex):
     assert "Union" not in plan and plan.count("BroadcastHashJoin") == 2
     got = sorted((r.n, r.char_no, r.token, r.traditional, r.py_num, r.known) for r in cards.collect())
     assert got == [(0, 0, "你好", "你好", "ni3 hao3", True), (1, 0, "我", "我", "wo3", True), (1, 1, "們", "們", "", False), (2, 0, "水", "水", "shui3", True)]
+
+
+def test_phrases_are_put_together_once_a_run(spark):
+    phrases = QUERIES["phrase_rows"](spark, "/root/testdata/sf0.001")
+    # the words of the places are not gathered, only those of distinct runs before
+    assert "collect_list" not in plan_of(phrases)
+    assert phrases.count() == phrases.select("utterance").distinct().count() == 46276
