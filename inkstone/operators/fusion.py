@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
-from inkstone.functions.alignment import local_alignment
+from inkstone.functions.alignment import local_alignment, local_alignments
 from inkstone.functions.geometry import half_up, is_tall, let, upper_median
 from inkstone.functions.text import char_overlap, characters, no_space, shared_units
 from inkstone.operators.boxes import dedupe_items, lattice_degenerate, page_gate, page_serve_gate, reading_order_items
@@ -66,26 +68,51 @@ def with_norm(df: DataFrame, column: str, script_map: DataFrame | None) -> DataF
 SHARED = 0.18
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Cells of one pass of the kernel, and the length from which a text is aligned by itself.
+CELLS, LONG = 1 << 18, 1 << 16
+
+
+def _aligned(fragments: list[str], readings: list[str]) -> list[np.ndarray]:
+    """The alignment's fields for each pair of texts, in passes over pairs of about one length."""
+    out = [np.zeros(len(fragments), t) for _, t in FIELDS]
+    sizes = np.fromiter(map(len, readings), np.int64, len(readings))
+    long = np.maximum(sizes, np.fromiter(map(len, fragments), np.int64, len(fragments))) >= LONG
+    for i in np.flatnonzero(long):
+        found = local_alignment(list(fragments[i]), list(readings[i]))
+        for column, value in zip(out, found or (0,) * len(out)):
+            column[i] = value
+    order = np.argsort(sizes, kind="stable")
+    order = order[~long[order]]
+    while len(order):
+        part = order[-max(1, CELLS // (int(sizes[order[-1]]) + 1)) :]
+        order = order[: -len(part)]
+        found = local_alignments([fragments[i] for i in part], [readings[i] for i in part])
+        for column, (name, _) in zip(out, FIELDS):
+            column[part] = found[name]
+    return out
+
+
+FIELDS = [("f_start", "int32"), ("f_end", "int32"), ("c_start", "int32"), ("c_end", "int32"), ("score", "float64"), ("matched", "int32")]
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [local_alignment(list(f), list(c)) for f, c in zip(batch["fragment"], batch["reading"])]
-        hits = [i for i, a in enumerate(found) if a is not None]
-        out = batch.iloc[hits].reset_index(drop=True)
-        fields = ["f_start", "f_end", "c_start", "c_end", "score", "matched"]
-        yield pd.concat([out, pd.DataFrame([found[i] for i in hits], columns=fields)], axis=1)
+        columns = _aligned(batch.column("fragment").to_pylist(), batch.column("reading").to_pylist())
+        hit = pa.array(columns[4] > 0)
+        names = batch.schema.names + [name for name, _ in FIELDS]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=names).filter(hit)
 
 
 def align_texts(pairs: DataFrame) -> DataFrame:
-    """Local alignment of distinct (fragment, reading) texts; pairs without a common chunk vanish."""
-    schema = "fragment string, reading string, f_start int, f_end int, c_start int, c_end int, score double, matched int"
-    return pairs.select("fragment", "reading").distinct().mapInPandas(_align, schema)
+    """Local alignment of each row's texts (fragment, reading); pairs without a common chunk vanish."""
+    fields = "f_start int, f_end int, c_start int, c_end int, score double, matched int"
+    return pairs.mapInArrow(_align, StructType([*pairs.schema, *StructType.fromDDL(fields)]))
 
 
 def align_pairs(fragments: DataFrame, lines: DataFrame, accepted_only: bool = False, page_pairs: int = PAGE_PAIRS) -> DataFrame:
     """Aligned windows of every fragment and line of a page that share a character.
 
-    Both tables carry ``norm``. Equal text pairs are aligned once, whatever the
-    number of pages they occur on. On pages with more than ``page_pairs`` pairs, texts meet by an index of their characters.
+    Both tables carry ``norm``. Pairs are aligned where they meet, so texts travel once. On pages with more than ``page_pairs`` pairs, texts meet by an index of their characters.
     With ``accepted_only``, pairs that cannot be accepted are left out before they are aligned: nine tenths of a fragment
     within a chunk of positive score take more than 0.18 of its characters as matches.
     """
@@ -102,13 +129,13 @@ def align_pairs(fragments: DataFrame, lines: DataFrame, accepted_only: bool = Fa
         met = similar_on_page(many, with_lines, "page_id", "item", "line", "fragment", "reading", SHARED if accepted_only else 1e-9, of="left")
         met = met.select("page_id", "item", "line").join(many, ["page_id", "item"]).join(with_lines, ["page_id", "line"])
         pairs = pairs.unionByName(met.select(*pairs.columns))
-    windows = align_texts(pairs)
+    found = align_texts(pairs)
     m, n = F.length("fragment"), F.length("reading")
     accepted = (
         (((F.col("f_end") - F.col("f_start")) / m >= 0.9) | (F.col("matched") >= 0.55 * m))
         & (n - F.col("c_end") >= m - F.col("f_end"))
     )
-    found = pairs.join(windows, ["fragment", "reading"]).withColumn("accepted", accepted)
+    found = found.select("fragment", "reading", "page_id", "item", "line", *[name for name, _ in FIELDS], accepted.alias("accepted"))
     return found.filter("accepted") if accepted_only else found
 
 

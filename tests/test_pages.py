@@ -269,3 +269,24 @@ def test_a_page_right_at_the_pitch_limit_passes_in_any_order(spark):
         rows += [(page, k, 0, 0, w, 20, "abc", 0.9) for k, w in enumerate(widths)]
     df = spark.createDataFrame(rows, "page_id int, item int, x1 int, y1 int, x2 int, y2 int, text string, score double")
     assert {r.reason for r in bx.page_gate(df.coalesce(1)).collect()} == {None}
+
+
+def test_alignments_of_many_pairs_equal_those_one_by_one():
+    from inkstone.functions.alignment import local_alignments
+
+    texts = _texts(3, 300, 20)
+    a, b = texts[:150] + ["", "x", ""], texts[150:300] + ["ab", "", ""]
+    found = local_alignments(a, b)
+    for i, (x, y) in enumerate(zip(a, b)):
+        one = local_alignment(list(x), list(y))
+        many = tuple(found[k][i] for k in ("f_start", "f_end", "c_start", "c_end", "score", "matched"))
+        assert many[4] == 0 if one is None else many == one
+
+
+def test_pairs_are_aligned_where_they_meet(spark):
+    f = spark.createDataFrame([(1, "a", "abc def")], "page_id long, item string, norm string")
+    c = spark.createDataFrame([(1, 0, "xabc", "xabc")], "page_id long, line long, norm string, clean string")
+    windows = fs.align_pairs(f, c)
+    assert windows.select("f_start", "f_end", "c_start", "c_end", "score", "matched").collect() == [(0, 3, 1, 4, 3.0, 3)]
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(fragment" not in plan
