@@ -145,10 +145,11 @@ def improve_fragments(fragments: DataFrame, lines: DataFrame, windows: DataFrame
     A line accepted by this fragment alone and covering 0.6 of it is taken whole;
     else the window is widened by the fragment's unread ends.
     """
-    good = windows.filter("accepted")
-    takers = good.groupBy("page_id", "line").agg(F.count("*").alias("takers"))
-    rows = good.join(takers, ["page_id", "line"]).join(lines.select("page_id", "line", "clean"), ["page_id", "line"])
-    m = F.length("fragment")
+    m = F.col("m")
+    good = windows.filter("accepted").select("page_id", "item", "line", F.length("fragment").alias("m"), *[name for name, _ in FIELDS])
+    # numbers alone travel, and once: takers are counted where the line's text joins them
+    rows = good.withColumn("takers", F.count("*").over(Window.partitionBy("page_id", "line")))
+    rows = rows.join(lines.select("page_id", "line", "clean"), ["page_id", "line"])
     cover = (F.col("f_end") - F.col("f_start")) / m
     begin = F.greatest(F.lit(0), F.col("c_start") - F.col("f_start"))
     end = F.least(F.length("clean"), F.col("c_end") + (m - F.col("f_end")))
