@@ -154,9 +154,18 @@ def page_serve_gate(lines: DataFrame, degenerate: DataFrame) -> DataFrame:
     )
 
 
-def lattice_degenerate(fragments: DataFrame, unmatched: DataFrame) -> DataFrame:
-    """Pages with more unmatched lines than fragments whose fragments overlap by 0.6 or more."""
-    pairs = grid_pairs(fragments.select("page_id", "item", "x1", "y1", "x2", "y2"))
+def lattice_degenerate(fragments: DataFrame, unmatched: DataFrame, verdict_only: bool = False) -> DataFrame:
+    """Pages with more unmatched lines than fragments whose fragments overlap by 0.6 or more.
+
+    With ``verdict_only``, boxes meet on pages with that many unmatched lines alone; on the others, which are sound whatever
+    their boxes, ``max_overlap`` is zero.
+    """
+    boxes = fragments.select("page_id", "item", "x1", "y1", "x2", "y2")
+    if verdict_only:
+        sizes = fragments.groupBy("page_id").agg(F.count("*").alias("fragments"))
+        sizes = sizes.join(unmatched.groupBy("page_id").agg(F.count("*").alias("unmatched")), "page_id")
+        boxes = boxes.join(sizes.filter(F.col("unmatched") > F.col("fragments")).select("page_id"), "page_id", "left_semi")
+    pairs = grid_pairs(boxes)
     overlap = intersection() / F.greatest(F.lit(1), F.least(box_area("a_"), box_area("b_")))
     worst = pairs.groupBy("page_id").agg(F.max(overlap).alias("max_overlap"))
     counts = fragments.groupBy("page_id").agg(F.count("*").alias("fragments"))

@@ -259,22 +259,28 @@ def _square(px: Column, py: Column, half: Column) -> Column:
 
 # ---- seating ------------------------------------------------------------
 
-def page_lattice(fused: DataFrame) -> DataFrame:
-    """Angle, axes, pitch, column gap and start of the columns a page's fragment lines form."""
-    medians = fused.groupBy("page_id").agg(upper_median("angle").alias("page_angle"))
-    a = F.radians("page_angle")
-    rows = fused.join(medians, "page_id").withColumn("ax", F.cos(a)).withColumn("ay", F.sin(a))
+def page_lattice(fused: DataFrame, pages: DataFrame) -> DataFrame:
+    """Angle, axes, pitch, column gap and start of the columns that the fragment lines of ``pages`` form."""
     boxes = F.transform("chars", lambda c: c.box)
     mid, head = F.get(boxes, F.floor(F.size(boxes) / 2).cast("int")), F.get(boxes, F.lit(0))
     sizes = F.array_sort(F.transform(boxes, lambda b: F.greatest(b.x2 - b.x1, b.y2 - b.y1)))
-    rows = rows.select(
-        "page_id", "page_angle", "ax", "ay",
+    # characters are many: what travels is seven numbers a line
+    rows = fused.select(
+        "page_id", "angle",
         ((mid.x1 + mid.x2) / 2).alias("px"),
         ((mid.y1 + mid.y2) / 2).alias("py"),
         F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")).alias("pitch"),
-        (((head.x1 + head.x2) / 2) * F.col("ax") + ((head.y1 + head.y2) / 2) * F.col("ay")).alias("start"),
+        ((head.x1 + head.x2) / 2).alias("hx"),
+        ((head.y1 + head.y2) / 2).alias("hy"),
+    )
+    rows = cut_lineage(rows.join(pages, "page_id", "left_semi"))
+    medians = rows.groupBy("page_id").agg(upper_median("angle").alias("page_angle"))
+    a = F.radians("page_angle")
+    rows = rows.join(medians, "page_id").withColumn("ax", F.cos(a)).withColumn("ay", F.sin(a))
+    rows = rows.select(
+        "page_id", "page_angle", "ax", "ay", "px", "py", "pitch", (F.col("hx") * F.col("ax") + F.col("hy") * F.col("ay")).alias("start")
     )
-    return rows.withColumn("cross", -F.col("px") * F.col("ay") + F.col("py") * F.col("ax"))
+    return cut_lineage(rows.withColumn("cross", -F.col("px") * F.col("ay") + F.col("py") * F.col("ax")))
 
 
 def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFrame:
@@ -286,7 +292,7 @@ def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFr
     k-th free seat belongs to the k-th line.
     """
     wanted = groups.groupBy("page_id").agg(F.count("*").alias("wanted"))
-    rows = page_lattice(fused.join(wanted.select("page_id"), "page_id", "left_semi"))
+    rows = page_lattice(fused, wanted.select("page_id"))
     page = rows.groupBy("page_id").agg(
         F.first("page_angle").alias("page_angle"),
         F.first("ax").alias("ax"),
@@ -317,11 +323,14 @@ def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFr
         F.col("w").isNull()
         | ((F.col("sx") > -p) & (F.col("sx") < F.col("w") + p) & (F.col("sy") > -p) & (F.col("sy") < F.col("h") + p))
     )
-    # fragments 0.9 pitch around a seat block it: look at the neighbouring cells only
-    cell_x, cell_y = F.floor(F.col("sx") / p), F.floor(F.col("sy") / p)
-    around = seats.withColumn("cx", F.explode(F.sequence(cell_x - 1, cell_x + 1))).withColumn("cy", F.explode(F.sequence(cell_y - 1, cell_y + 1)))
+
+    # fragments 0.9 pitch around a seat block it: look at the cells of four pitches that a pitch around it touches, mostly one or two
+    def cells(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - p) / (4 * p)), F.floor((F.col(c) + p) / (4 * p))))
+
+    around = seats.select("page_id", "at", "turn", "sx", "sy", "pitch").withColumn("cx", cells("sx")).withColumn("cy", cells("sy"))
     taken = rows.select("page_id", "px", "py").join(page.select("page_id", F.col("pitch").alias("_p")), "page_id")
-    taken = taken.select("page_id", "px", "py", F.floor(F.col("px") / F.col("_p")).alias("cx"), F.floor(F.col("py") / F.col("_p")).alias("cy"))
+    taken = taken.select("page_id", "px", "py", F.floor(F.col("px") / (4 * F.col("_p"))).alias("cx"), F.floor(F.col("py") / (4 * F.col("_p"))).alias("cy"))
     blocked = (
         around.join(taken, ["page_id", "cx", "cy"])
         .filter(F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2)) < 0.9 * p)
@@ -377,13 +386,15 @@ def place_lines(groups: DataFrame, seats: DataFrame) -> DataFrame:
 
 def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map: DataFrame | None = None) -> dict[str, DataFrame]:
     """``lines`` (fragment lines, then seated and loose lines), ``dropped`` and ``degenerate`` pages."""
-    # kept fragments, windows and fragment lines are each read several times below
+    # what is written here is read several times below; characters are not, they follow from their line where they are needed
     keep = cut_lineage(dedupe_items(with_norm(items, "text", script_map)))
-    lines = with_norm(read_answers(answers), "clean", script_map)
-    windows = cut_lineage(align_pairs(keep, lines, accepted_only=True))
+    lines = cut_lineage(with_norm(read_answers(answers), "clean", script_map).select("page_id", "line", "dir", "clean", "gaps", "norm"))
+    windows = cut_lineage(align_pairs(keep, lines, accepted_only=True).drop("reading"))
     improved = improve_fragments(keep, lines, windows)
     ordered = reading_order_items(keep, single_tall=True).join(improved, ["page_id", "item"], "left")
-    ordered = ordered.withColumn("text", F.coalesce("improved", "text"))
+    ordered = cut_lineage(
+        ordered.select("page_id", "position", "tall", "x1", "y1", "x2", "y2", F.coalesce("improved", "text").alias("text"), "improved")
+    )
     fragments = fragment_chars(ordered).select(
         "page_id",
         F.col("position").cast("int").alias("position"),
@@ -396,9 +407,8 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
         F.lit(False).alias("inferred"),
         F.array().cast("array<struct<at_char:int,widths:double>>").alias("gaps"),
     )
-    fragments = cut_lineage(fragments)
-    missing = unmatched_lines(lines, windows)
-    lattice = lattice_degenerate(keep, missing)
+    missing = cut_lineage(unmatched_lines(lines, windows))
+    lattice = cut_lineage(lattice_degenerate(keep, missing, verdict_only=True))
     usable = missing.join(lattice.filter("not degenerate").select("page_id"), "page_id", "left_semi")
     grouped = group_variant_lines(usable)
     w = Window.partitionBy("page_id").orderBy("line")

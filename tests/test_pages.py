@@ -290,3 +290,21 @@ def test_pairs_are_aligned_where_they_meet(spark):
     assert windows.select("f_start", "f_end", "c_start", "c_end", "score", "matched").collect() == [(0, 3, 1, 4, 3.0, 3)]
     plan = windows._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(fragment" not in plan
+
+
+def test_a_page_is_degenerate_with_or_without_the_overlaps_of_the_others(spark):
+    rng = random.Random(5)
+    boxes = [(p, i, x, y, x + 30, y + 20) for p in range(12) for i in range(p % 4 + 1) for x, y in [(rng.randrange(12), rng.randrange(9))]]
+    lines = [(p, k) for p in range(12) for k in range(p % 5)]
+    items = spark.createDataFrame(boxes, "page_id int, item int, x1 int, y1 int, x2 int, y2 int")
+    unmatched = spark.createDataFrame(lines, "page_id int, line int")
+    both = [{tuple(r) for r in bx.lattice_degenerate(items, unmatched, v).select("page_id", "fragments", "unmatched", "degenerate").collect()} for v in (False, True)]
+    assert both[0] == both[1] and any(r[3] for r in both[0])
+
+
+def test_seats_travel_without_characters(spark):
+    chars = "array<struct<char:string,box:struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>,anchored:boolean>>"
+    box = [("a", (0, 0, 10, 10), True), ("b", (10, 0, 20, 10), True)]
+    fused = spark.createDataFrame([(1, box, 0), (1, box, 0), (2, box, 0)], f"page_id long, chars {chars}, angle int")
+    rows = fs.page_lattice(fused, spark.createDataFrame([(1,)], "page_id long"))
+    assert "chars" not in rows.columns and {tuple(r) for r in rows.select("page_id", "px", "py", "pitch", "start", "cross").collect()} == {(1, 15.0, 5.0, 10, 5.0, 5.0)}
