@@ -6,6 +6,7 @@ x2, y2 and, where read, text and score; quad tables have pts.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -533,11 +534,84 @@ def split_multiline(reads: DataFrame) -> DataFrame:
 
 # ---- items --------------------------------------------------------------
 
-def dedupe_items(items: DataFrame, overlap: float = 0.6, similar: float = 0.5) -> DataFrame:
+def _alike(norms: list, a: np.ndarray, b: np.ndarray, similar: float) -> np.ndarray:
+    """For pairs of texts by number: do they share so many characters? The same as ``char_overlap`` with ``strict_shorter``."""
+    sizes = np.array([-1 if t is None else len(t) for t in norms])
+    known: dict = {}
+    ids = np.array([known.setdefault(t, len(known)) for t in norms])
+    shorter = np.minimum(sizes[a], sizes[b])
+    out = (shorter >= 0) & (shorter < 4) & (ids[a] == ids[b])
+    letters, at = np.unique(np.frombuffer("".join(t or "" for t in norms).encode("utf-32-le"), np.int32), return_inverse=True)
+    if not len(letters):
+        return out
+    owner = np.repeat(np.arange(len(norms)), np.maximum(sizes, 0))
+    bag = np.bincount(owner * len(letters) + at, minlength=len(norms) * len(letters)).reshape(len(norms), -1).astype(np.int32)
+    long = np.flatnonzero(shorter >= 4)
+    step = max(1, (1 << 20) // len(letters))
+    for k in range(0, len(long), step):
+        part = long[k : k + step]
+        out[part] = np.minimum(bag[a[part]], bag[b[part]]).sum(axis=1) / shorter[part] >= similar
+    return out
+
+
+def _reads_that_stay(box: np.ndarray, norms: list, size: list, score: np.ndarray, overlap: float, similar: float) -> list[int]:
+    """Places of the reads of one page that a pass in order keeps; a missing number is NaN and counts as Spark counts null."""
+    x1, y1, x2, y2 = box
+    ix = np.fmax(np.fmin(x2[:, None], x2) - np.fmax(x1[:, None], x1), 0.0)
+    iy = np.fmax(np.fmin(y2[:, None], y2) - np.fmax(y1[:, None], y1), 0.0)
+    area = np.fmax((x2 - x1) * (y2 - y1), 1.0)
+    a, b = np.nonzero(np.triu(ix * iy / np.minimum(area[:, None], area) >= overlap, 1))
+    hit = _alike(norms, a, b, similar)
+    same = np.zeros((len(norms), len(norms)), bool)
+    same[a[hit], b[hit]] = same[b[hit], a[hit]] = True
+    later = set(b[hit].tolist())
+    kept = np.empty(len(norms), np.int64)
+    n = 0
+    for x in range(len(norms)):
+        if x in later:
+            met = same[x, kept[:n]]
+            at = int(met.argmax())
+            if met[at]:
+                k = kept[at]
+                if size[x] > size[k] or (size[x] == size[k] and score[x] > score[k]):
+                    kept[at] = x
+                continue
+        kept[n] = x
+        n += 1
+    return kept[:n].tolist()
+
+
+def _dedupe_in_rows(rows: DataFrame, overlap: float, similar: float) -> DataFrame:
+    """Pages that fit a row: one exchange of the items, boxes and texts go to the kernel in batches of pages."""
+    rest = ["item"] + [c for c in rows.columns if c not in ("page_id", "item")]
+    pages = rows.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("items"))
+
+    def stay(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, score: pa.Array, norm: pa.Array, size: pa.Array) -> pa.Array:
+        numbers = [c.flatten().to_numpy(zero_copy_only=False) for c in (x1, y1, x2, y2, score)]
+        norms, sizes = norm.flatten().to_pylist(), size.flatten().to_pylist()
+        ends = np.cumsum([len(n) for n in norm]).tolist()
+        found = []
+        for i, j in zip([0, *ends], ends):
+            found.append(_reads_that_stay(np.array([c[i:j] for c in numbers[:4]]), norms[i:j], sizes[i:j], numbers[4][i:j], overlap, similar))
+        return pa.array(found, type=pa.list_(pa.int32()))
+
+    def each(name: str) -> Column:
+        return F.col("items")[name].cast("array<double>")
+
+    places = F.arrow_udf(stay, "array<int>")(
+        *map(each, ("x1", "y1", "x2", "y2", "score")), F.col("items")["norm"], F.transform("items", lambda r: F.length(r.text))
+    )
+    pages = pages.withColumn("_at", places)
+    # the rows that stay are picked before the page is taken apart, so that no row carries its page
+    kept = pages.select("page_id", F.explode(F.transform("_at", lambda i: F.get("items", i))).alias("_r"))
+    return kept.select(*[F.col(c) if c == "page_id" else F.col(f"_r.{c}") for c in rows.columns])
+
+
+def dedupe_items(items: DataFrame, overlap: float = 0.6, similar: float = 0.5, limit: int = PAGE_ROWS) -> DataFrame:
     """Detector re-reads of one region: the longer text stays, then the better score.
 
     ``norm`` holds the text without spaces in traditional characters; it defaults
-    to the text without spaces.
+    to the text without spaces. Pages up to ``limit`` items are decided in one row each, larger ones piece by piece.
     """
     rows = items.filter((F.length("text") >= 2) | has_han(F.col("text")))
     if "norm" not in rows.columns:
@@ -550,7 +624,12 @@ def dedupe_items(items: DataFrame, overlap: float = 0.6, similar: float = 0.5) -
         nx, nk = F.length(x.text), F.length(k.text)
         return (nx > nk) | ((nx == nk) & (x.score > k.score))
 
-    return greedy_replace(rows, "page_id", ["item"], same, better)
+    small, large = split_by_size(rows, "page_id", limit)
+    out = _dedupe_in_rows(small, overlap, similar)
+    if large is None:
+        return out
+    # every page left is above the limit
+    return out.unionByName(greedy_replace(large, "page_id", ["item"], same, better, limit))
 
 
 def reading_order_items(items: DataFrame, single_tall: bool = False) -> DataFrame:

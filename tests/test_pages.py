@@ -308,3 +308,21 @@ def test_seats_travel_without_characters(spark):
     fused = spark.createDataFrame([(1, box, 0), (1, box, 0), (2, box, 0)], f"page_id long, chars {chars}, angle int")
     rows = fs.page_lattice(fused, spark.createDataFrame([(1,)], "page_id long"))
     assert "chars" not in rows.columns and {tuple(r) for r in rows.select("page_id", "px", "py", "pitch", "start", "cross").collect()} == {(1, 15.0, 5.0, 10, 5.0, 5.0)}
+
+
+def test_rereads_in_rows_equal_those_of_crowded_pages(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for page, n in ((1, 1), (2, 60), (3, 25)):
+        for i in range(n):
+            x, y = rng.randrange(0, 90, 6), rng.randrange(0, 60, 6)
+            text = rng.choice(["ab", "ba", "abc", "abcd", "dcba", "ab cd ef", "天地玄黃", "黃玄地", "xyz天地", "abxy"])
+            box = (None, None, None, None) if rng.random() < 0.05 else (x, y, x + rng.choice([18, 30, 42]), y + 24)
+            rows.append((page, i, *box, text, rng.choice([0.5, 0.7, None])))
+    df = spark.createDataFrame(rows, "page_id int, item int, x1 int, y1 int, x2 int, y2 int, text string, score double")
+    found = sorted(map(tuple, bx.dedupe_items(df).select("page_id", "item", "text", "norm").collect()))
+    # the fold by expressions, as pages were decided before
+    monkeypatch.setattr(bx, "_dedupe_in_rows", lambda small, overlap, similar: small.limit(0))
+    monkeypatch.setattr(bx, "split_by_size", lambda df, page, limit: (df, df))
+    plain = sorted(map(tuple, bx.dedupe_items(df).select("page_id", "item", "text", "norm").collect()))
+    assert found == plain and len(found) < len(rows)
