@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkstone.functions.text import HAN, count_han, has_han, words_of
@@ -261,20 +264,29 @@ def bpmf_layout(df: DataFrame, column: str = "bopomofo") -> DataFrame:
     )
 
 
+def _chars_before(gap: pa.Array) -> pa.Array:
+    """For the pieces of each text, gap or not, how many characters stand before them."""
+    sizes = pc.fill_null(pc.list_value_length(gap), 0).to_numpy(zero_copy_only=False)
+    one = 1 - gap.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    before = np.cumsum(one, dtype=np.int64) - one
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    full = sizes > 0
+    before -= np.repeat(before[starts[full]], sizes[full])
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(before, pa.int32()))
+
+
 def structure_tokens(df: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per character or gap marker, with how many characters stand before it."""
+    """One row per character or gap marker, with how many characters stand before it; the work grows with the text's length."""
     pieces = F.regexp_extract_all(column, F.lit("⟪[0-9]+(?:[.][0-9]+)?⟫|[^⟪]"), F.lit(0))
-    cells = F.transform(pieces, lambda p: F.struct(p.alias("piece"), p.startswith("⟪").alias("gap")))
-    before = F.aggregate(
-        cells,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
-        lambda s, c: F.struct((s.n + F.when(c.gap, 0).otherwise(1)).cast("int").alias("n"), F.concat(s.at, F.array(s.n)).alias("at")),
-        lambda s: s.at,
-    )
-    return df.select(key, F.posexplode(F.arrays_zip(cells.alias("cell"), before.alias("chars_before"))).alias("token_no", "t")).select(
+    rows = df.select(key, pieces.alias("piece"))
+    before = F.arrow_udf(_chars_before, "array<int>")(F.transform("piece", lambda p: p.startswith("⟪")))
+    rows = rows.select(key, "piece", before.alias("chars_before"))
+    return rows.select(key, F.posexplode(F.arrays_zip("piece", "chars_before")).alias("token_no", "t")).select(
         key,
         "token_no",
-        F.when(~F.col("t.cell.gap"), F.col("t.cell.piece")).alias("char"),
-        F.when(F.col("t.cell.gap"), F.regexp_extract("t.cell.piece", "([0-9.]+)", 1).cast("double")).alias("gap"),
+        F.when(~F.col("t.piece").startswith("⟪"), F.col("t.piece")).alias("char"),
+        F.when(F.col("t.piece").startswith("⟪"), F.regexp_extract("t.piece", "([0-9.]+)", 1).cast("double")).alias("gap"),
         "t.chars_before",
     )

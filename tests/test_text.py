@@ -184,3 +184,17 @@ def test_phrases_are_put_together_once_a_run(spark):
     # the words of the places are not gathered, only those of distinct runs before
     assert "collect_list" not in plan_of(phrases)
     assert phrases.count() == phrases.select("utterance").distinct().count() == 46276
+
+
+def test_structure_tokens_of_a_long_text_take_no_time_of_its_square(spark):
+    from inkstone.operators.rules import structure_tokens
+
+    rows = [("a", "x⟪2⟫yz⟪1.5⟫" * 20000), ("b", ""), ("c", None), ("d", "愛⟪q⟪3⟫𠀀")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    out = structure_tokens(df, "id", "text")
+    assert [tuple(r) for r in out.filter("id = 'd'").orderBy("token_no").collect()] == [
+        ("d", 0, "愛", None, 0), ("d", 1, "q", None, 1), ("d", 2, None, 3.0, 2), ("d", 3, "𠀀", None, 2),
+    ]
+    # the fold that copied its list at each piece has no place in the plan
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.filter("id = 'a'").selectExpr("count(*)", "max(chars_before)").collect()[0] == (100000, 60000)
