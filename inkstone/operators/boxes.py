@@ -273,6 +273,24 @@ def quad_measures(quads: DataFrame) -> DataFrame:
     return quads.withColumn("_m", _measures(F.col("pts"))).select("*", "_m.*").drop("_m")
 
 
+def staged_measures(quads: DataFrame) -> DataFrame:
+    """What :func:`quad_measures` finds, each step a column of its own, compiled where functions over arrays are interpreted.
+
+    Only for quads that are not filtered by a measure: the planner would move the filter below and repeat the steps in it.
+    """
+    pts, lengths = F.col("pts"), F.col("_lengths")
+    q = quads.withColumn("_lengths", edge_lengths(pts))
+    q = q.withColumn("edge", F.array_position(lengths, F.array_max(lengths)).cast("int") - 1)
+    a, b = corner(pts, F.col("edge")), corner(pts, F.col("edge") + 1)
+    ratio = F.array_max(lengths) / F.greatest(F.lit(1.0), F.array_min(lengths))
+    q = q.select("*", quad_angle(pts, F.col("edge")).alias("angle"), (b.x - a.x).alias("_dx"), (b.y - a.y).alias("_dy"), half_up(ratio).alias("_ratio"))
+    q = q.withColumn("axis", axis_angle(F.col("angle")))
+    flip = F.when(F.abs("axis") < 45, F.col("_dx") < 0).otherwise(F.col("_dy") < 0)
+    return q.select(
+        *quads.columns, "edge", "angle", "axis", flip.alias("flip"), F.greatest(F.lit(2), F.col("_ratio")).cast("int").alias("expected_chars")
+    )
+
+
 def with_frame(quads: DataFrame, angle: str) -> DataFrame:
     """Each page's upper-median angle and the quads' boxes in that text frame."""
     medians = quads.groupBy("page_id").agg(upper_median(angle).alias("page_angle"))
@@ -478,23 +496,18 @@ def fill_column_gaps(quads: DataFrame) -> DataFrame:
 
 def char_cells(quads: DataFrame, n: str = "n") -> DataFrame:
     """``n`` equal square cells along each quad's axis, in reading direction, at least 4 px."""
-    q = quad_measures(quads)
-
-    def ends(p: Column) -> Column:
-        e = F.col("edge")
-
-        def middle(i: Column, j: Column) -> Column:
-            a, b = corner(p, i), corner(p, j)
-            return F.struct(((a.x + b.x) / 2).alias("x"), ((a.y + b.y) / 2).alias("y"))
-
-        return F.struct(middle(e + 3, e).alias("s"), middle(e + 1, e + 2).alias("t"))
-
-    def directed(v: Column) -> Column:
-        swap = F.when(F.abs("axis") < 45, v.t.x < v.s.x).otherwise(v.t.y < v.s.y)
-        start, end = F.when(swap, v.t).otherwise(v.s), F.when(swap, v.s).otherwise(v.t)
-        return F.struct(start.alias("s"), (end.x - start.x).alias("dx"), (end.y - start.y).alias("dy"))
-
-    q = q.withColumn("_v", let(let(F.col("pts"), ends), directed))
+    q = staged_measures(quads)
+
+    def middle(i: Column, j: Column) -> Column:
+        a, b = corner(F.col("pts"), i), corner(F.col("pts"), j)
+        return F.struct(((a.x + b.x) / 2).alias("x"), ((a.y + b.y) / 2).alias("y"))
+
+    e = F.col("edge")
+    q = q.withColumn("_s", middle(e + 3, e)).withColumn("_t", middle(e + 1, e + 2))
+    swap = F.when(F.abs("axis") < 45, F.col("_t.x") < F.col("_s.x")).otherwise(F.col("_t.y") < F.col("_s.y"))
+    q = q.withColumn("_swap", F.coalesce(swap, F.lit(False)))
+    start, end = F.when(F.col("_swap"), F.col("_t")).otherwise(F.col("_s")), F.when(F.col("_swap"), F.col("_s")).otherwise(F.col("_t"))
+    q = q.withColumn("_v", F.struct(start.alias("s"), (end.x - start.x).alias("dx"), (end.y - start.y).alias("dy")))
     long_enough = F.pow("_v.dx", 2) + F.pow("_v.dy", 2) >= 1
     # explode drops quads without cells; a filter here would repeat the whole measure
     numbers = F.when(long_enough & (F.col(n) >= 1), F.sequence(F.lit(0), F.col(n) - 1))
@@ -520,7 +533,7 @@ def flag_read_length(length: Column, expected: Column) -> Column:
 def split_multiline(reads: DataFrame) -> DataFrame:
     """A read with k lines becomes k strips across its quad."""
     lines = F.filter(F.transform(F.split("text", r"\n+"), lambda t: F.trim(t)), lambda t: t != "")
-    rows = quad_measures(reads).withColumn("lines", lines).select("*", F.size("lines").alias("k"), F.posexplode("lines").alias("strip", "line"))
+    rows = staged_measures(reads).withColumn("lines", lines).select("*", F.size("lines").alias("k"), F.posexplode("lines").alias("strip", "line"))
     pts, e = F.col("pts"), F.col("edge")
 
     def lerp(i: Column, j: Column, f: Column) -> Column:

@@ -326,3 +326,11 @@ def test_rereads_in_rows_equal_those_of_crowded_pages(spark, monkeypatch):
     monkeypatch.setattr(bx, "split_by_size", lambda df, page, limit: (df, df))
     plain = sorted(map(tuple, bx.dedupe_items(df).select("page_id", "item", "text", "norm").collect()))
     assert found == plain and len(found) < len(rows)
+
+
+def test_staged_measures_equal_those_in_arrays(spark):
+    rng = random.Random(2)
+    pts = [[(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(4)] for _ in range(60)] + [None, [(0.0, 0.0)] * 4]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "item int, pts array<struct<x:double,y:double>>")
+    assert sorted(map(str, bx.staged_measures(df).collect())) == sorted(map(str, bx.quad_measures(df).collect()))
+    assert bx.staged_measures(df).schema.names == bx.quad_measures(df).schema.names
