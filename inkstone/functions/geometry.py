@@ -93,18 +93,10 @@ def axis_angle(angle: Column) -> Column:
     return F.pmod(angle + 90, F.lit(180.0)) - 90
 
 
-def rotated_x(x: Column, y: Column, degrees: Column) -> Column:
-    return x * F.cos(F.radians(degrees)) + y * F.sin(F.radians(degrees))
-
-
-def rotated_y(x: Column, y: Column, degrees: Column) -> Column:
-    return -x * F.sin(F.radians(degrees)) + y * F.cos(F.radians(degrees))
-
-
-def frame_box(pts: Column, degrees: Column) -> Column:
-    """Upright box of the quad after turning it into the text frame."""
-    xs = F.transform(pts, lambda p: rotated_x(p.x, p.y, degrees))
-    ys = F.transform(pts, lambda p: rotated_y(p.x, p.y, degrees))
+def turned_box(pts: Column, c: Column, s: Column) -> Column:
+    """Upright box of the quad after a turn whose cosine and sine are given."""
+    xs = F.transform(pts, lambda p: p.x * c + p.y * s)
+    ys = F.transform(pts, lambda p: -p.x * s + p.y * c)
     return F.struct(
         F.array_min(xs).alias("x1"),
         F.array_min(ys).alias("y1"),
@@ -113,6 +105,11 @@ def frame_box(pts: Column, degrees: Column) -> Column:
     )
 
 
+def frame_box(pts: Column, degrees: Column) -> Column:
+    """Upright box of the quad after turning it into the text frame."""
+    return turned_box(pts, F.cos(F.radians(degrees)), F.sin(F.radians(degrees)))
+
+
 def is_tall(p: str = "") -> Column:
     """Column-shaped box: height above 1.3 widths."""
     return (F.col(f"{p}y2") - F.col(f"{p}y1")) > (F.col(f"{p}x2") - F.col(f"{p}x1")) * 1.3

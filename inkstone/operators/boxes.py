@@ -26,11 +26,12 @@ from inkstone.functions.geometry import (
     quad_of_box,
     struct_iou,
     struct_overlap_smaller,
+    turned_box,
     upper_median,
 )
 from inkstone.functions.text import char_overlap, has_han
 from inkstone.operators.common import PAGE_ROWS, connected_components, grid_join, grid_pairs, position_by_bucket, split_by_size
-from inkstone.operators.greedy import greedy_keep, greedy_replace
+from inkstone.operators.greedy import greedy_keep, greedy_replace, kept_by_iou
 
 
 # ---- pairs and coverage -------------------------------------------------
@@ -291,6 +292,11 @@ def staged_measures(quads: DataFrame) -> DataFrame:
     )
 
 
+def _middle(values: Column) -> Column:
+    """The upper median of an array, as percentile_disc takes it from the falling order."""
+    return F.get(F.sort_array(values, asc=False), (F.ceil(F.size(values) / 2) - 1).cast("int"))
+
+
 def with_frame(quads: DataFrame, angle: str) -> DataFrame:
     """Each page's upper-median angle and the quads' boxes in that text frame."""
     medians = quads.groupBy("page_id").agg(upper_median(angle).alias("page_angle"))
@@ -298,14 +304,50 @@ def with_frame(quads: DataFrame, angle: str) -> DataFrame:
     return out.select("*", "frame.*").drop("frame")
 
 
-def dedupe_quads(quads: DataFrame, floor: float = 0.6) -> DataFrame:
-    """Detector double reads removed: largest first, IoU in the page's text frame."""
-    measured = quad_measures(quads) if "angle" not in quads.columns else quads
-    framed = with_frame(measured, "angle").withColumn("order_area", -F.round(box_area(), 6))
+def _dedupe_quads_in_rows(measured: DataFrame, floor: float) -> DataFrame:
+    """Pages that fit a row: one exchange of the quads, their boxes and areas go to the kernel in batches of pages."""
+    rest = ["item"] + [c for c in measured.columns if c not in ("page_id", "item")]
+    pages = measured.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+    pages = pages.withColumn("page_angle", _middle(F.array_compact(F.col("rows")["angle"])))
+    pages = pages.select("*", F.cos(F.radians("page_angle")).alias("_c"), F.sin(F.radians("page_angle")).alias("_s"))
+    boxes = F.transform(F.col("rows")["pts"], lambda p: turned_box(p, F.col("_c"), F.col("_s")))
+    pages = pages.select("page_id", "rows", "page_angle", boxes.alias("boxes"))
+
+    def stay(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, order: pa.Array) -> pa.Array:
+        numbers = [c.flatten().to_numpy(zero_copy_only=False).tolist() for c in (x1, y1, x2, y2, order)]
+        ends = np.cumsum([len(n) for n in order]).tolist()
+        found = []
+        for i, j in zip([0, *ends], ends):
+            *box, area = [c[i:j] for c in numbers]
+            # quads come by item, and sorting keeps that order in equal areas; no area comes first, as in Spark
+            area = [-np.inf if a != a else a for a in area]
+            found.append(kept_by_iou(*box, sorted(range(j - i), key=area.__getitem__), floor))
+        return pa.array(found, type=pa.list_(pa.int32()))
+
+    area = F.transform("boxes", lambda b: -F.round((b.x2 - b.x1) * (b.y2 - b.y1), 6))
+    places = F.arrow_udf(stay, "array<int>")(*[F.col("boxes")[c] for c in ("x1", "y1", "x2", "y2")], area)
+    pages = pages.withColumn("_at", places)
+    # the rows that stay are picked before the page is taken apart, so that no row carries its page
+    kept = pages.select("page_id", "page_angle", F.explode(F.transform("_at", lambda i: F.get("rows", i))).alias("_r"))
+    return kept.select(*[F.col(c) if c == "page_id" else F.col(f"_r.{c}") for c in measured.columns], "page_angle")
+
+
+def dedupe_quads(quads: DataFrame, floor: float = 0.6, limit: int = PAGE_ROWS) -> DataFrame:
+    """Detector double reads removed: largest first, IoU in the page's text frame.
+
+    Pages up to ``limit`` quads are decided in one row each, larger ones in parallel rounds.
+    """
+    small, large = split_by_size(quads, "page_id", limit)
+    given = "angle" in quads.columns
+    out = _dedupe_quads_in_rows(small if given else staged_measures(small), floor)
+    if large is None:
+        return out
+    framed = with_frame(large if given else quad_measures(large), "angle").withColumn("order_area", -F.round(box_area(), 6))
+    # every page left is above the limit
     kept = greedy_keep(
-        framed, "page_id", ["order_area", "item"], lambda k, x: struct_iou(k, x) >= floor, ["x1", "y1", "x2", "y2"]
+        framed, "page_id", ["order_area", "item"], lambda k, x: struct_iou(k, x) >= floor, ["x1", "y1", "x2", "y2"], limit
     )
-    return kept.drop("order_area", "x1", "y1", "x2", "y2")
+    return out.unionByName(kept.drop("order_area", "x1", "y1", "x2", "y2"))
 
 
 def reading_order_quads(quads: DataFrame) -> DataFrame:
@@ -398,9 +440,7 @@ def _joined_level(l: list, r: list, y1: list, y2: list, level: list) -> list[lis
 def _merge_in_rows(measured: DataFrame) -> DataFrame:
     """Groups of pages that fit a row: one exchange of the quads, numbers alone go to the kernel."""
     pages = measured.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("item", "pts", "axis"))).alias("rows"))
-    axes = F.array_compact(F.col("rows")["axis"])
-    # the upper median, as percentile_disc takes it from the falling order
-    median = F.get(F.sort_array(axes, asc=False), (F.ceil(F.size(axes) / 2) - 1).cast("int"))
+    median = _middle(F.array_compact(F.col("rows")["axis"]))
     pages = pages.select("page_id", "rows", median.alias("page_angle"))
     frames = F.transform(F.col("rows")["pts"], lambda p: frame_box(p, F.col("page_angle")))
     pages = pages.select("page_id", "rows", "page_angle", frames.alias("frames"))
@@ -446,12 +486,29 @@ def merge_collinear(quads: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
     )
 
 
-def fill_column_gaps(quads: DataFrame) -> DataFrame:
-    """Synthetic quads for holes in evenly spaced columns, at most two per hole.
-
-    Pitches are taken between distinct column centres, whose number is bounded by
-    the page width; coinciding centres count as zero pitches.
-    """
+def _gaps_in_rows(quads: DataFrame) -> DataFrame:
+    """Gaps of pages that fit a row: one exchange of the columns' numbers. No filter reads a measure, which would repeat it."""
+    xs, ys = F.col("pts")["x"], F.col("pts")["y"]
+    left, right, top, bottom = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+    column = F.struct(((left + right) / 2).alias("cx"), (right - left).alias("width"), top.alias("top"), bottom.alias("bottom"))
+    upright = staged_measures(quads.select("page_id", "pts")).select("page_id", F.when(F.abs("axis") >= 45, column).alias("c"))
+    # a list leaves out what is null, so only columns are in it
+    pages = upright.groupBy("page_id").agg(F.collect_list("c").alias("c"))
+    pages = pages.select("page_id", F.sort_array(F.col("c")["cx"]).alias("cx"), *[_middle(F.col("c")[n]).alias(n) for n in ("width", "top", "bottom")])
+    n = F.size("cx")
+    pitches = F.when(n >= 4, F.zip_with(F.slice("cx", 2, n - 1), F.slice("cx", 1, n - 1), lambda a, b: a - b))
+    pages = pages.withColumn("pitches", pitches)
+    pages = pages.withColumn("pitch_median", _middle(F.col("pitches")))
+    near = F.size(F.filter("pitches", lambda p: F.abs(p - F.col("pitch_median")) <= 0.25 * F.col("pitch_median")))
+    even = F.col("pitch_median").between(8, 500) & (near / F.size("pitches") >= 0.6)
+    holes = pages.select("page_id", "cx", "width", "top", "bottom", "pitch_median", F.posexplode_outer(F.when(even, F.col("pitches"))).alias("at", "gap"))
+    holes = holes.filter(F.col("gap") >= 1.6 * F.col("pitch_median"))
+    missing = (half_up(F.col("gap") / F.col("pitch_median")) - 1).cast("int")
+    return holes.select("page_id", F.get("cx", F.col("at")).alias("left"), "gap", missing.alias("missing"), "width", "top", "bottom")
+
+
+def _gaps_of_crowded(quads: DataFrame) -> DataFrame:
+    """Gaps of crowded pages: centres and pitches are counted, and a page's distinct centres alone meet in a window."""
     xs, ys = F.transform("pts", lambda p: p.x), F.transform("pts", lambda p: p.y)
     cols = quad_measures(quads).filter(F.abs("axis") >= 45).select(
         "page_id",
@@ -484,6 +541,19 @@ def fill_column_gaps(quads: DataFrame) -> DataFrame:
     holes = holes.filter(F.col("gap") >= 1.6 * F.col("pitch_median")).withColumn(
         "missing", (half_up(F.col("gap") / F.col("pitch_median")) - 1).cast("int")
     )
+    return holes.select("page_id", "left", "gap", "missing", "width", "top", "bottom")
+
+
+def fill_column_gaps(quads: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+    """Synthetic quads for holes in evenly spaced columns, at most two per hole.
+
+    Pitches are taken between the centres of columns; coinciding centres count as zero pitches. A page of ordinary size is
+    one row; on pages above ``limit`` distinct centres are counted first, whose number is bounded by the page width.
+    """
+    small, large = split_by_size(quads, "page_id", limit)
+    holes = _gaps_in_rows(small)
+    if large is not None:
+        holes = holes.unionByName(_gaps_of_crowded(large))
     made = holes.filter("missing between 1 and 2").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("missing"))))
     centre = F.col("left") + F.col("gap") * F.col("k") / (F.col("missing") + 1)
     return made.select(

@@ -290,7 +290,7 @@ framed as (select *, list_min(xs) as x1, list_min(ys) as y1, list_max(xs) as x2,
     select page_id, item from kept""",
 )
 def dedupe_quads(spark: SparkSession, sf: str) -> DataFrame:
-    return bx.dedupe_quads(page_quads(spark, sf)).select("page_id", "item")
+    return bx.dedupe_quads(page_quads(spark, sf).select("page_id", "item", "pts")).select("page_id", "item")
 
 
 @query(

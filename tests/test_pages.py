@@ -334,3 +334,38 @@ def test_staged_measures_equal_those_in_arrays(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "item int, pts array<struct<x:double,y:double>>")
     assert sorted(map(str, bx.staged_measures(df).collect())) == sorted(map(str, bx.quad_measures(df).collect()))
     assert bx.staged_measures(df).schema.names == bx.quad_measures(df).schema.names
+
+
+def test_column_gaps_in_rows_equal_those_of_crowded_pages(spark):
+    rng = random.Random(4)
+    rows = []
+    for page in range(40):
+        for k in sorted(rng.sample(range(9), rng.randrange(2, 9))) + [3] * rng.randrange(2):
+            x, w = 90 * k + rng.randrange(4), rng.choice([20, 30])
+            rows.append((page, len(rows), x, rng.randrange(9), x + w, 400) if rng.random() < 0.95 else (page, len(rows), x, 0, x + 500, 9))
+    df = spark.createDataFrame(rows, "page_id int, item int, x1 int, y1 int, x2 int, y2 int")
+    quads = df.select("page_id", "item", quad_of_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("pts"))
+    found, crowded = (sorted(map(str, bx.fill_column_gaps(quads, limit=n).collect())) for n in (512, 0))
+    assert found == crowded and found
+
+
+def test_quads_and_columns_of_a_page_travel_once(spark):
+    box = [(0.0, 0.0), (30.0, 0.0), (30.0, 400.0), (0.0, 400.0)]
+    quads = spark.createDataFrame([(1, k, box) for k in range(5)], "page_id long, item int, pts array<struct<x:double,y:double>>")
+    for made in (bx.fill_column_gaps(quads), bx.dedupe_quads(quads)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_quads_kept_in_rows_equal_those_of_crowded_pages(spark):
+    rng = random.Random(6)
+    rows = []
+    for page, n in ((1, 1), (2, 60), (3, 9), (4, 0)):
+        for i in range(n):
+            x, y, lean = rng.randrange(0, 60, 6), rng.randrange(0, 40, 6), rng.choice([0, 0, 3])
+            w, h = rng.choice([(30, 20), (36, 20), (20, 44)])
+            rows.append((page, i, [(float(x), float(y)), (float(x + w), float(y + lean)), (float(x + w), float(y + h + lean)), (float(x), float(y + h))], "t"))
+        rows.append((page, n, None, "none"))
+    df = spark.createDataFrame(rows, "page_id int, item int, pts array<struct<x:double,y:double>>, text string")
+    found, crowded = (bx.dedupe_quads(df, limit=n) for n in (512, 0))
+    assert found.columns == crowded.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, crowded.collect())) and 4 < found.count() < len(rows)
