@@ -513,69 +513,82 @@ def tile_gap_text(reads: DataFrame, known: DataFrame) -> DataFrame:
 
 # ---- word boxes ---------------------------------------------------------
 
+#: Tokens of a line that are put together at once to count the characters before each.
+BLOCK = 64
+
+
 def token_offsets(lines: DataFrame, tokens: str = "tokens") -> DataFrame:
     """One row per token of each line's token array, with the characters before it and in the line."""
-    ends = F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, t: F.struct((s.at + F.length(t)).cast("int").alias("at"), F.concat(s.starts, F.array(s.at)).alias("starts")),
-    )
-    rows = lines.withColumn("_e", ends)
-    rows = rows.select(
-        *[c for c in lines.columns if c != tokens],
-        F.greatest(F.lit(1), F.col("_e.at")).alias("total"),
-        F.posexplode(F.arrays_zip(F.col(tokens).alias("token"), F.col("_e.starts").alias("start"))).alias("token_no", "_t"),
-    )
-    return rows.select("*", "_t.token", "_t.start").drop("_t")
+    rest = [c for c in lines.columns if c != tokens]
+
+    def characters_of(words: str, n: Column) -> Column:
+        return F.length(F.array_join(F.slice(words, F.lit(1), n), ""))
+
+    total = F.greatest(F.lit(1), F.length(F.array_join(tokens, "")))
+    # a line is cut into blocks first, so that no token's row carries a long line
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(BLOCK)))
+    blocks = lines.select(*rest, tokens, total.alias("total"), F.explode(starts).alias("_from"))
+    before = F.when(F.col("_from") > 0, characters_of(tokens, F.col("_from"))).otherwise(F.lit(0))
+    blocks = blocks.select(*rest, "total", "_from", before.alias("_before"), F.slice(tokens, F.col("_from") + 1, F.lit(BLOCK)).alias("_block"))
+    rows = blocks.select(*rest, "total", "_from", "_before", "_block", F.posexplode("_block").alias("_k", "token"))
+    start = F.col("_before") + characters_of("_block", F.col("_k"))
+    return rows.select(*rest, "total", (F.col("_from") + F.col("_k")).alias("token_no"), "token", start.alias("start"))
 
 
 def word_boxes(tokens: DataFrame) -> DataFrame:
     """Boxes of tokens by character count along their line; unknown tokens give one row per character.
 
-    Rows come from :func:`token_offsets` with line geometry, ``dir``, ``known``, and
-    optionally ``char_boxes`` (array of boxes) and the snapped ``length``. Measured
+    Rows come from :func:`token_offsets` with the line box, ``dir``, ``known``, and
+    optionally the line vector, ``char_boxes`` (array of boxes) and the snapped ``length``. Measured
     character boxes win, then the line vector, then the line box.
     """
-    for name, kind in (("char_boxes", "array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>"), ("length", "double")):
-        if name not in tokens.columns:
-            tokens = tokens.withColumn(name, F.lit(None).cast(kind))
     n = F.length("token")
-    whole = F.array(F.struct(F.lit(0).alias("char_no"), F.col("token").alias("word"), F.lit(0).alias("at"), n.alias("size")))
-    apart = F.transform(
-        characters(F.col("token")),
-        lambda c, i: F.struct(i.cast("int").alias("char_no"), c.alias("word"), i.cast("int").alias("at"), F.lit(1).alias("size")),
-    )
-    rows = tokens.withColumn("_p", F.explode(F.when(F.col("known"), whole).otherwise(apart))).select("*", "_p.*").drop("_p")
-    begin, size = F.col("start") + F.col("at"), F.col("size")
-
-    slice_ = F.slice("char_boxes", begin + 1, size)
-    low, high = (lambda c: F.array_min(F.transform(slice_, lambda b: b[c]))), (lambda c: F.array_max(F.transform(slice_, lambda b: b[c])))
-    measured = F.col("char_boxes").isNotNull() & (F.size(slice_) > 0) & ~F.exists(slice_, lambda b: b.isNull())
-
-    vx, vy = F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy")
-    raw = F.sqrt(vx * vx + vy * vy)
-    length = F.coalesce("length", raw)
-    mid = (begin + size / 2) / F.col("total") * length
-    cx, cy, half = F.col("fx") + vx / raw * mid, F.col("fy") + vy / raw * mid, size / F.col("total") * length / 2
-
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     down = F.col("dir") == "v"
     t0, t1 = F.col("start") / F.col("total"), (F.col("start") + n) / F.col("total")
-    tx1 = F.when(down, F.col("x1")).otherwise(half_up(F.col("x1") + w * t0))
-    tx2 = F.when(down, F.col("x2")).otherwise(half_up(F.col("x1") + w * t1))
-    ty1 = F.when(down, half_up(F.col("y1") + h * t0)).otherwise(F.col("y1"))
-    ty2 = F.when(down, half_up(F.col("y1") + h * t1)).otherwise(F.col("y2"))
-    step = (tx2 - tx1) / n
-    cut1 = F.when(F.col("known"), tx1).otherwise(half_up(tx1 + step * F.col("at")))
-    cut2 = F.when(F.col("known"), tx2).otherwise(half_up(tx1 + step * (F.col("at") + 1)))
-
-    vector = F.col("fx").isNotNull() & F.col("char_boxes").isNull()
-
-    def pick(c: str, box: Column, along: Column) -> Column:
-        edge = low(c) if c in ("x1", "y1") else high(c)
-        return F.when(measured, edge).when(vector, half_up(along)).when(F.col("char_boxes").isNull(), box).cast("long").alias(f"w{c}")
+    # a token's box is found once, before its characters become rows
+    rows = tokens.select(
+        "*",
+        F.when(down, F.col("x1")).otherwise(half_up(F.col("x1") + w * t0)).alias("_x1"),
+        F.when(down, F.col("x2")).otherwise(half_up(F.col("x1") + w * t1)).alias("_x2"),
+        F.when(down, half_up(F.col("y1") + h * t0)).otherwise(F.col("y1")).alias("_y1"),
+        F.when(down, half_up(F.col("y1") + h * t1)).otherwise(F.col("y2")).alias("_y2"),
+    )
+    has = set(tokens.columns)
+    measures = [c for c in ("char_boxes", "length", "fx", "fy", "tx", "ty", "start", "total") if c in has] if has & {"char_boxes", "fx"} else []
+    kept = ["page_id", "item", "token_no", "token", "known", "dir", "_x1", "_y1", "_x2", "_y2", *measures]
+    # a known token is one row, and an empty unknown one none
+    last = F.when(F.col("known"), F.lit(0)).when(n > 0, n - 1)
+    rows = rows.select(*kept, F.explode(F.sequence(F.lit(0), last)).alias("char_no"))
+    known, at = F.col("known"), F.col("char_no")
+    word = F.when(known, F.col("token")).otherwise(F.substring("token", at + 1, F.lit(1)))
+    step = (F.col("_x2") - F.col("_x1")) / n
+    cut1 = F.when(known, F.col("_x1")).otherwise(half_up(F.col("_x1") + step * at))
+    cut2 = F.when(known, F.col("_x2")).otherwise(half_up(F.col("_x1") + step * (at + 1)))
+    boxes = {"x1": cut1, "y1": F.col("_y1"), "x2": cut2, "y2": F.col("_y2")}
+    begin, size = F.col("start") + at, F.when(known, n).otherwise(F.lit(1))
+    none = F.lit(True) if "char_boxes" not in has else F.col("char_boxes").isNull()
+    picked = {c: F.when(none, box) for c, box in boxes.items()}
+
+    if "fx" in has:
+        vx, vy = F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy")
+        raw = F.sqrt(vx * vx + vy * vy)
+        length = F.coalesce("length", raw) if "length" in has else raw
+        mid = (begin + size / 2) / F.col("total") * length
+        cx, cy, half = F.col("fx") + vx / raw * mid, F.col("fy") + vy / raw * mid, size / F.col("total") * length / 2
+        along = {"x1": cx - half, "y1": cy - half, "x2": cx + half, "y2": cy + half}
+        picked = {c: F.when(F.col("fx").isNotNull() & none, half_up(along[c])).otherwise(v) for c, v in picked.items()}
+
+    if "char_boxes" in has:
+        slice_ = F.slice("char_boxes", begin + 1, size)
+        measured = F.col("char_boxes").isNotNull() & (F.size(slice_) > 0) & ~F.exists(slice_, lambda b: b.isNull())
+
+        def edge(c: str) -> Column:
+            return (F.array_min if c in ("x1", "y1") else F.array_max)(F.transform(slice_, lambda b: b[c]))
+
+        picked = {c: F.when(measured, edge(c)).otherwise(v) for c, v in picked.items()}
 
     return rows.select(
-        "page_id", "item", "token_no", "char_no", "word", "known", "dir",
-        pick("x1", cut1, cx - half), pick("y1", ty1, cy - half), pick("x2", cut2, cx + half), pick("y2", ty2, cy + half),
+        "page_id", "item", "token_no", "char_no", word.alias("word"), "known", "dir",
+        *[v.cast("long").alias(f"w{c}") for c, v in picked.items()],
     )

@@ -321,10 +321,9 @@ def tile_gap_text(spark: SparkSession, sf: str) -> DataFrame:
            cast(case when known then bx2 else floor(bx1 + (bx2 - bx1) / length(token) * (char_no + 1) + 0.5) end as bigint) as wx2, cast(by2 as bigint) as wy2 from c""",
 )
 def word_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("double")
     lines = page_items(spark, sf).select(
         "page_id", "item", F.split("name", " ").alias("tokens"), "x1", "y1", "x2", "y2",
-        F.when(F.col("l_partkey") % 2 == 0, "v").otherwise("h").alias("dir"), none.alias("fx"), none.alias("fy"), none.alias("tx"), none.alias("ty"),
+        F.when(F.col("l_partkey") % 2 == 0, "v").otherwise("h").alias("dir"),
     )
     tokens = ln.token_offsets(lines).withColumn("known", F.length("token") % 2 == 0)
     return ln.word_boxes(tokens).select("page_id", "item", "token_no", "char_no", "word", "wx1", "wy1", "wx2", "wy2")

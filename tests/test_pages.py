@@ -369,3 +369,33 @@ def test_quads_kept_in_rows_equal_those_of_crowded_pages(spark):
     found, crowded = (bx.dedupe_quads(df, limit=n) for n in (512, 0))
     assert found.columns == crowded.columns
     assert sorted(map(str, found.collect())) == sorted(map(str, crowded.collect())) and 4 < found.count() < len(rows)
+
+
+def _boxes_of(df):
+    return [tuple(r) for r in ln.word_boxes(df).orderBy("item", "token_no", "char_no").select("item", "token_no", "char_no", "word", "wx1", "wy1", "wx2", "wy2").collect()]
+
+
+def test_tokens_of_long_and_short_lines_get_their_places(spark):
+    rng = random.Random(3)
+    lines = [["ab", "", "c"], [], ["𠀀天"], [rng.choice(["a", "bc", "", "天地玄"]) for _ in range(300)]]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "page_id int, item int, tokens array<string>")
+    found = {(r.item, r.token_no): (r.token, r.start, r.total) for r in ln.token_offsets(df).collect()}
+    assert found == {(i, k): (w, len("".join(t[:k])), max(1, len("".join(t)))) for i, t in enumerate(lines) for k, w in enumerate(t)}
+
+
+def test_word_boxes_with_and_without_vectors_and_measured_characters(spark):
+    rows = [(1, 0, ["ab", "天地玄", ""], 0, 0, 50, 10, "h"), (1, 1, ["abc"], 0, 0, 10, 31, "v")]
+    df = spark.createDataFrame(rows, "page_id int, item int, tokens array<string>, x1 int, y1 int, x2 int, y2 int, dir string")
+    tokens = ln.token_offsets(df).withColumn("known", F.length("token") == 2)
+    plain = [(0, 0, 0, "ab", 0, 0, 20, 10)] + [(0, 1, k, c, 20 + 10 * k, 0, 30 + 10 * k, 10) for k, c in enumerate("天地玄")] + [(1, 0, k, c, *b) for k, (c, b) in enumerate(zip("abc", [(0, 0, 3, 31), (3, 0, 7, 31), (7, 0, 10, 31)]))]
+    assert _boxes_of(tokens) == plain
+    # lines without a vector or measured characters need none of their arithmetic
+    assert "char_boxes" not in ln.word_boxes(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    none = F.lit(None).cast("double")
+    empty = tokens.select("*", *[none.alias(c) for c in ("fx", "fy", "tx", "ty")])
+    assert _boxes_of(empty) == plain
+    vector = tokens.select("*", *[F.lit(v).alias(c) for c, v in (("fx", 0.0), ("fy", 5.0), ("tx", 50.0), ("ty", 5.0))])
+    assert _boxes_of(vector)[:2] == [(0, 0, 0, "ab", 0, -5, 20, 15), (0, 1, 0, "天", 20, 0, 30, 10)]
+    box = F.struct(F.lit(1).cast("long").alias("x1"), F.lit(2).cast("long").alias("y1"), F.lit(3).cast("long").alias("x2"), F.lit(4).cast("long").alias("y2"))
+    measured = vector.withColumn("char_boxes", F.array(box, box, box))
+    assert [r[4:] for r in _boxes_of(measured)[:3]] == [(1, 2, 3, 4), (1, 2, 3, 4), (None, None, None, None)]
