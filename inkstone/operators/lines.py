@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.geometry import (
@@ -21,7 +23,7 @@ from inkstone.functions.geometry import (
 )
 from inkstone.functions.text import char_overlap, characters, has_han, no_space
 from inkstone.operators.common import PAGE_ROWS, connected_components, split_by_size, top_per_key
-from inkstone.operators.greedy import greedy_keep
+from inkstone.operators.greedy import greedy_keep, kept_by_iou
 from inkstone.session import cut_lineage
 
 BOX = ["x1", "y1", "x2", "y2"]
@@ -90,18 +92,87 @@ def vector_lines(raw: DataFrame) -> DataFrame:
 
 # ---- repeats ------------------------------------------------------------
 
-def drop_rereads(lines: DataFrame, floor: float = 0.8) -> DataFrame:
-    """Same text at nearly the same box: the first stays. Lines without a box stay."""
+def _rereads(x1: list, y1: list, x2: list, y2: list, at: list[int], floor: float) -> list[int]:
+    """Places of ``at`` without boxes that repeat an earlier one; those without a box (NaN) stay."""
+    kept = set(kept_by_iou(x1, y1, x2, y2, [i for i in at if x1[i] == x1[i]], floor))
+    return [i for i in at if i in kept or x1[i] != x1[i]]
+
+
+def _marching(x1: list, y1: list, at: list[int], tolerance: float) -> bool:
+    """Whether three boxes in a row step by one offset; only where every line has a box."""
+    if len(at) < 3 or any(x1[i] != x1[i] for i in at):
+        return False
+    for i, j, k in zip(at, at[1:], at[2:]):
+        dx, dy = x1[j] - x1[i], y1[j] - y1[i]
+        near = abs(dx - (x1[k] - x1[j])) <= tolerance and abs(dy - (y1[k] - y1[j])) <= tolerance
+        if near and (abs(dx) > 0 or abs(dy) > 0):
+            return True
+    return False
+
+
+def _healed_in_rows(lines: DataFrame, group: str, floor: float | None, tolerance: float | None, keep: int | None) -> DataFrame:
+    """Lines whose ``group`` (of one page and text) fits a row, after the steps that have a limit: one exchange of the lines.
+
+    Boxes alone go to the kernel, and only those of texts that a page has more than once.
+    """
+    rest = ["item"] + [c for c in lines.columns if c not in ("item", group)]
+    texts = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
+    first = F.get("rows", F.lit(0))
+
+    def stay(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, named: pa.Array) -> pa.Array:
+        numbers = [c.flatten().to_numpy(zero_copy_only=False).tolist() for c in (x1, y1, x2, y2)]
+        found, i = [], 0
+        for n, whole in zip(pc.list_value_length(x1).to_pylist(), named.to_pylist()):
+            if n is None:
+                found.append(None)
+                continue
+            box, at = [c[i : i + n] for c in numbers], list(range(n))
+            i += n
+            if floor is not None:
+                at = _rereads(*box, at, floor)
+            # a line without text is no repeat of another
+            if whole and tolerance is not None and _marching(box[0], box[1], at, tolerance):
+                at = at[:1]
+            if whole and keep is not None and len(at) > keep and 0 < sum(box[0][k] != box[0][k] for k in at):
+                at = at[:keep]
+            found.append(at)
+        return pa.array(found, type=pa.list_(pa.int32()))
+
+    numbers = [F.when(F.size("rows") > 1, F.col("rows")[c].cast("array<double>")) for c in BOX]
+    texts = texts.withColumn("_at", F.arrow_udf(stay, "array<int>")(*numbers, first["text"].isNotNull() & first["page_id"].isNotNull()))
+    # a text that its page has once stays; what stays is picked before the group is taken apart, so that no row carries its group
+    picked = F.when(F.col("_at").isNull(), F.col("rows")).otherwise(F.transform("_at", lambda i: F.get("rows", i)))
+    return texts.select(F.explode(picked).alias("_r")).select("_r.*")
+
+
+def _healed(
+    lines: DataFrame, crowded: Callable[[DataFrame], DataFrame], limit: int, floor: float | None = None, tolerance: float | None = None, keep: int | None = None
+) -> DataFrame:
+    """Lines after the steps that have a limit. A text with up to ``limit`` lines on its page is one row, others go to ``crowded``."""
+    columns, steps = lines.columns, (floor, tolerance, keep)
+    rows = lines.withColumn("_same", F.struct("page_id", "text"))
+    # most pages have fewer lines than one text may have; only on others texts are counted
+    small, large = split_by_size(rows, "page_id", limit)
+    out = _healed_in_rows(small, "_same", *steps).select(*columns)
+    if large is None:
+        return out
+    few, many = split_by_size(large, "_same", limit)
+    out = out.unionByName(_healed_in_rows(few, "_same", *steps).select(*columns))
+    return out if many is None else out.unionByName(crowded(many.select(*columns)).select(*columns))
+
+
+def _rereads_of_crowded(lines: DataFrame, floor: float) -> DataFrame:
     boxed = lines.filter("x1 is not null").withColumn("_same", F.struct("page_id", "text"))
     kept = greedy_keep(boxed, "_same", ["item"], lambda k, x: struct_iou(k, x) >= floor, BOX)
     return kept.drop("_same").unionByName(lines.filter("x1 is null"))
 
 
-def marching_clones(lines: DataFrame, tolerance: int = 15) -> DataFrame:
-    """Same text stepping by a constant offset three times in a row: the first stays.
+def drop_rereads(lines: DataFrame, floor: float = 0.8, limit: int = PAGE_ROWS) -> DataFrame:
+    """Same text at nearly the same box: the first stays. Lines without a box stay."""
+    return _healed(lines, lambda many: _rereads_of_crowded(many, floor), limit, floor=floor)
 
-    Only texts with three or more boxed lines and no boxless one are looked at.
-    """
+
+def _marching_of_crowded(lines: DataFrame, tolerance: int) -> DataFrame:
     key = ["page_id", "text"]
     groups = lines.groupBy(*key).agg(F.count("*").alias("n"), F.count("x1").alias("boxed"), F.min("item").alias("first"))
     chains = lines.join(groups.filter("n >= 3 and boxed = n"), key)
@@ -117,8 +188,15 @@ def marching_clones(lines: DataFrame, tolerance: int = 15) -> DataFrame:
     return out.filter(F.col("_m").isNull() | (F.col("item") == F.col("_first"))).drop("_m", "_first")
 
 
-def boxless_flood_cap(lines: DataFrame, keep: int = 3) -> DataFrame:
-    """More than three lines of one text, some boxless: the first three stay."""
+def marching_clones(lines: DataFrame, tolerance: int = 15, limit: int = PAGE_ROWS) -> DataFrame:
+    """Same text stepping by a constant offset three times in a row: the first stays.
+
+    Only texts with three or more boxed lines and no boxless one are looked at.
+    """
+    return _healed(lines, lambda many: _marching_of_crowded(many, tolerance), limit, tolerance=tolerance)
+
+
+def _flood_of_crowded(lines: DataFrame, keep: int) -> DataFrame:
     key = ["page_id", "text"]
     groups = lines.groupBy(*key).agg(F.count("*").alias("_n"), F.count("x1").alias("_boxed"))
     flooded = groups.filter((F.col("_n") > keep) & (F.col("_boxed") < F.col("_n"))).select(*key)
@@ -126,9 +204,18 @@ def boxless_flood_cap(lines: DataFrame, keep: int = 3) -> DataFrame:
     return lines.join(flooded, key, "left_anti").unionByName(capped.select(*lines.columns))
 
 
-def heal_repetition(lines: DataFrame) -> DataFrame:
-    """Re-reads and decoding loops out, genuine repeats in."""
-    return boxless_flood_cap(marching_clones(drop_rereads(lines)))
+def boxless_flood_cap(lines: DataFrame, keep: int = 3, limit: int = PAGE_ROWS) -> DataFrame:
+    """More than three lines of one text, some boxless: the first three stay."""
+    return _healed(lines, lambda many: _flood_of_crowded(many, keep), limit, keep=keep)
+
+
+def heal_repetition(lines: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+    """Re-reads and decoding loops out, genuine repeats in. All steps are taken where the lines of a text meet once."""
+
+    def crowded(many: DataFrame) -> DataFrame:
+        return _flood_of_crowded(_marching_of_crowded(_rereads_of_crowded(many, 0.8), 15), 3)
+
+    return _healed(lines, crowded, limit, floor=0.8, tolerance=15, keep=3)
 
 
 def drop_duplicate_lines(lines: DataFrame, similar: float = 0.85, overlap: float = 0.3) -> DataFrame:

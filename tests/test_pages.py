@@ -399,3 +399,21 @@ def test_word_boxes_with_and_without_vectors_and_measured_characters(spark):
     box = F.struct(F.lit(1).cast("long").alias("x1"), F.lit(2).cast("long").alias("y1"), F.lit(3).cast("long").alias("x2"), F.lit(4).cast("long").alias("y2"))
     measured = vector.withColumn("char_boxes", F.array(box, box, box))
     assert [r[4:] for r in _boxes_of(measured)[:3]] == [(1, 2, 3, 4), (1, 2, 3, 4), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("heal", [ln.drop_rereads, ln.marching_clones, ln.boxless_flood_cap, ln.heal_repetition])
+def test_repeats_in_rows_equal_those_of_crowded_pages(spark, heal):
+    rng = random.Random(8)
+    rows = []
+    for page in range(14):
+        for i in range(rng.randrange(1, 30)):
+            x, y = rng.choice([(0, 40 * i), (rng.randrange(4), 0), (50 * (i % 3), 2 * i)])
+            boxed = page % 3 > 0 or rng.random() < 0.9
+            box = (x, y, x + rng.choice([40, 44]), y + 20) if boxed else (None, None, None, None)
+            rows.append((page, i, rng.choice(["a", "b", None, "rare %d" % i]), *box))
+    df = spark.createDataFrame(rows, "page_id int, item int, text string, x1 int, y1 int, x2 int, y2 int")
+    found, mixed, crowded = (sorted(map(str, heal(df, limit=n).collect())) for n in (512, 5, 0))
+    assert found == mixed == crowded and 0 < len(found) < len(rows)
+    assert heal(df).columns == df.columns
+    # the lines travel once
+    assert heal(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
