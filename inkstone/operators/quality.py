@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.alignment import global_agreement
 from inkstone.functions.text import char_overlap, characters, count_han, han_only, no_space
+from inkstone.operators.common import PAGE_ROWS, measured_side, split_by_size
 from inkstone.operators.overlap import PAGE_PAIRS, crowded_pages, phrase_hits, similar_on_page
 
 # Characters that mark colloquial Cantonese, and those never written formally.
@@ -187,26 +188,44 @@ def ordered_truth_diff(served: DataFrame, truth: DataFrame, similar: float = 0.6
     return walked.select("page_id", "r.truth_no", "r.hit", "r.span")
 
 
-def overlap_score_gate(lines: DataFrame, truth: DataFrame) -> DataFrame:
-    """Character overlap of a page's text with its truth, against floor and line count.
+def _page_units(have: DataFrame, want: DataFrame, limit: int) -> DataFrame:
+    """(page_id, lines, hits, have, want) of two tables of texts (page_id, text): rows and characters of ``have``, those of ``want``, and what both share.
 
-    ``truth`` has page_id, text, floor and min_lines. Counts per character are
-    aggregated first, so no page text is ever put together.
+    Texts of pages with up to ``limit`` rows travel to their page and are taken apart there. Characters of larger pages are counted before
+    they travel, so that such a page is no single task's work. No page's text is ever put together.
     """
+    sides = have.select("page_id", "text", F.lit(True).alias("_have")).unionByName(want.select("page_id", "text", F.lit(False).alias("_have")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        # an empty text is one empty unit, so each row has exactly one in the first place
+        units = rows.select("page_id", "_have", F.posexplode(F.split(F.coalesce("text", F.lit("")), "")).alias("_at", "unit"))
+        mine, real = F.col("_have"), F.col("unit") != ""
+        sums = units.groupBy("page_id", "unit").agg(
+            F.count(F.when(mine & (F.col("_at") == 0), 1)).alias("lines"),
+            F.count(F.when(mine & real, 1)).alias("have"),
+            F.count(F.when(~mine & real, 1)).alias("want"),
+        )
+        return sums.groupBy("page_id").agg(
+            F.sum("lines").alias("lines"), F.sum(F.least("have", "want")).alias("hits"), F.sum("have").alias("have"), F.sum("want").alias("want")
+        )
 
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        units = df.select("page_id", F.explode(F.split(no_space(F.col("text")), "")).alias("unit")).filter("unit <> ''")
-        return units.groupBy("page_id", "unit").agg(F.count("*").alias(name))
+    small, large = split_by_size(sides, "page_id", limit)
+    out = counted(small.repartition("page_id"))
+    return out if large is None else out.unionByName(counted(large))
 
-    have, want = counts(lines, "have"), counts(truth, "want")
-    hits = want.join(have, ["page_id", "unit"], "left").groupBy("page_id").agg(
-        F.sum(F.least("want", F.coalesce("have", F.lit(0)))).alias("hits"), F.sum("want").alias("total")
-    )
-    n = lines.groupBy("page_id").agg(F.count("*").alias("lines"))
-    rows = truth.select("page_id", "floor", "min_lines").distinct().join(hits, "page_id", "left").join(n, "page_id", "left")
-    score = F.coalesce(F.col("hits"), F.lit(0)) / F.greatest(F.lit(1), F.coalesce("total", F.lit(0)))
-    enough = F.coalesce("lines", F.lit(0)) >= F.col("min_lines")
-    return rows.select("page_id", F.coalesce("lines", F.lit(0)).alias("lines"), F.round(score, 6).alias("overlap"), ((score >= F.col("floor")) & enough).alias("passes"))
+
+def overlap_score_gate(lines: DataFrame, truth: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
+    """Character overlap of a page's text with its truth, against floor and line count.
+
+    ``truth`` has page_id, text, floor and min_lines.
+    """
+    have, want = (df.select("page_id", no_space(F.col("text")).alias("text")) for df in (lines, truth))
+    sums = _page_units(have, want, limit)
+    rows = truth.select("page_id", "floor", "min_lines").distinct().join(sums, "page_id", "left")
+    score = F.coalesce(F.col("hits"), F.lit(0)) / F.greatest(F.lit(1), F.coalesce("want", F.lit(0)))
+    n = F.coalesce("lines", F.lit(0))
+    enough = n >= F.col("min_lines")
+    return rows.select("page_id", n.alias("lines"), F.round(score, 6).alias("overlap"), ((score >= F.col("floor")) & enough).alias("passes"))
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,24 +235,19 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def char_agreement(reads: DataFrame) -> DataFrame:
-    """Two reads (a, b) of one line to agreeing and flagged characters; equal pairs are aligned once."""
+    """Two reads (a, b) of one line to agreeing and flagged characters; equal pairs are aligned once and looked up."""
     unique = reads.select("a", "b").distinct()
-    done = unique.mapInPandas(_agree, "a string, b string, confident string, flagged string")
+    done = measured_side(unique.mapInPandas(_agree, "a string, b string, confident string, flagged string"))
     return reads.join(done, ["a", "b"]).withColumn("agree", F.length("confident"))
 
 
-def precision_coverage(agreed: DataFrame, truth: DataFrame) -> DataFrame:
+def precision_coverage(agreed: DataFrame, truth: DataFrame, limit: int = PAGE_ROWS) -> DataFrame:
     """Per page: share of truth characters the confident ones hit, and their share of the truth length."""
-    have = agreed.select("page_id", F.explode(F.split("confident", "")).alias("unit")).filter("unit <> ''").groupBy("page_id", "unit").agg(F.count("*").alias("have"))
-    want = truth.select("page_id", F.explode(F.split("text", "")).alias("unit")).filter("unit <> ''").groupBy("page_id", "unit").agg(F.count("*").alias("want"))
-    both = want.join(have, ["page_id", "unit"], "full")
-    sums = both.groupBy("page_id").agg(
-        F.sum(F.least(F.coalesce("have", F.lit(0)), F.coalesce("want", F.lit(0)))).alias("hits"),
-        F.sum(F.coalesce("want", F.lit(0))).alias("total"),
-        F.sum(F.coalesce("have", F.lit(0))).alias("confident"),
-    )
-    n = F.greatest(F.lit(1), F.col("total"))
-    return sums.select("page_id", F.round(F.col("hits") / n, 6).alias("precision"), F.round(F.col("confident") / n, 6).alias("coverage"))
+    sums = _page_units(agreed.select("page_id", F.col("confident").alias("text")), truth, limit)
+    # a page whose texts are all empty has no characters to tell of
+    sums = sums.filter((F.col("have") > 0) | (F.col("want") > 0))
+    n = F.greatest(F.lit(1), F.col("want"))
+    return sums.select("page_id", F.round(F.col("hits") / n, 6).alias("precision"), F.round(F.col("have") / n, 6).alias("coverage"))
 
 
 def battery_mismatch(df: DataFrame) -> DataFrame:

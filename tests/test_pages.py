@@ -417,3 +417,45 @@ def test_repeats_in_rows_equal_those_of_crowded_pages(spark, heal):
     assert heal(df).columns == df.columns
     # the lines travel once
     assert heal(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def _counted(have, want):
+    from collections import Counter
+
+    a, b = Counter(c for t in have for c in t or ""), Counter(c for t in want for c in t or "")
+    return sum((a & b).values()), sum(a.values()), sum(b.values())
+
+
+@pytest.mark.parametrize("limit", [512, 4, 0])
+def test_characters_of_pages_are_counted_on_the_page_or_before(spark, limit):
+    from inkstone.operators import quality as ql
+
+    rng = random.Random(9)
+    texts = ["a b", "bca", "", None, "天地 天", "𠀀𠀀", "  "]
+    have = [(p, rng.choice(texts)) for p in range(8) for _ in range(p)]
+    want = [(p, rng.choice(texts)) for p in range(1, 9) for _ in range(3)]
+    lines, truth = (spark.createDataFrame(rows, "page_id long, text string") for rows in (have, want))
+    passed = ql.overlap_score_gate(lines, truth.select("*", F.lit(0.5).alias("floor"), F.lit(2).alias("min_lines")), limit=limit)
+    expected, shares = {}, {}
+    for p in range(1, 9):
+        a, b = ([t for q, t in rows if q == p] for rows in (have, want))
+        hits, _, total = _counted([(t or "").replace(" ", "") for t in a], [(t or "").replace(" ", "") for t in b])
+        expected[p] = (len(a), round(hits / max(1, total), 6), hits / max(1, total) >= 0.5 and len(a) >= 2)
+        hits, confident, total = _counted(a, b)
+        if confident or total:
+            shares[p] = (round(hits / max(1, total), 6), round(confident / max(1, total), 6))
+    assert {r.page_id: (r.lines, r.overlap, r.passes) for r in passed.collect()} == expected
+    found = ql.precision_coverage(lines.withColumnRenamed("text", "confident"), truth, limit=limit)
+    assert {r.page_id: (r.precision, r.coverage) for r in found.collect()} == shares
+
+
+def test_texts_of_ordinary_pages_travel_once_and_equal_pairs_are_looked_up(spark):
+    from inkstone.operators import quality as ql
+
+    reads = spark.createDataFrame([(1, 0, "abc", "ab"), (1, 1, "abc", "ab")], "page_id long, item int, a string, b string")
+    agreed = ql.char_agreement(reads)
+    assert "hashpartitioning(a" not in agreed._jdf.queryExecution().executedPlan().toString()
+    shares = ql.precision_coverage(agreed, reads.select("page_id", F.col("a").alias("text")))
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(page_id") == plan.count("Exchange hashpartitioning") == 1
+    assert shares.collect() == [(1, 0.666667, 0.666667)]
