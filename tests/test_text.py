@@ -198,3 +198,24 @@ def test_structure_tokens_of_a_long_text_take_no_time_of_its_square(spark):
     # the fold that copied its list at each piece has no place in the plan
     assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.filter("id = 'a'").selectExpr("count(*)", "max(chars_before)").collect()[0] == (100000, 60000)
+
+
+def test_error_rates_of_whole_texts_need_no_cell_for_each_pair_of_characters(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from inkstone.functions.alignment import edit_distance
+    from inkstone.operators import quality as ql
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("天地玄黃𠀀") for _ in range(rng.choice([0, 1, 7, 40, 130]))) for _ in range(80)]
+    pairs = list(zip(texts, texts[1:])) + [(None, "天"), ("天", None), ("天地", "天地")]
+    df = spark.createDataFrame(pairs, "got string, truth string")
+    found = ql.cer(df, han=False)
+    plain = F.when(F.length("truth") > 0, F.levenshtein("got", "truth") / F.length("truth")).otherwise(F.lit(1.0))
+    assert found.filter(~F.col("cer").eqNullSafe(F.round(plain, 6))).count() == 0
+    assert found.columns == ["got", "truth", "cer"]
+    # two texts of 20,000 characters took 400,000,000 cells
+    a = "".join(rng.choice("天地玄黃") for _ in range(20_000))
+    assert edit_distance(a, a[:5000] + "x" + a[5000:].replace("玄", "", 3)) == 4
