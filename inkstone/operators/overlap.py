@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inkstone.functions.text import characters
+from inkstone.operators.common import measured_side
 from inkstone.session import cut_lineage
 
 #: Rows of the smaller side up to which it is broadcast; beyond that both sides are shuffled.
@@ -78,19 +79,27 @@ def phrase_hits(phrases: DataFrame, texts: DataFrame, words: str = "words", keys
 
 
 def text_classes(texts: DataFrame, key: str, words: str = "words") -> DataFrame:
-    """One row for each distinct sequence of words: the least key, the number of its copies, and the words."""
+    """One row for each distinct sequence of words: the least key, the number of its copies, and the words.
+
+    Copies are counted once, however often the rows are read.
+    """
     copies = texts.groupBy(F.md5(F.array_join(words, " ")).alias("_digest")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
-    return texts.select(key, words).join(copies.select(key, "copies"), key)
+    return texts.select(key, words).join(measured_side(copies.select(key, "copies")), key)
 
 
-def bags(texts: DataFrame, key: str, words: str) -> DataFrame:
-    """(key, unit, n, total): how often each unit occurs in each text, and the text's number of units."""
+def bags(texts: DataFrame, key: str, words: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, unit, n, total): how often each unit (of ``wanted``, if given) occurs in each text, and the text's number of all units."""
     sized = texts.select(key, F.size(words).cast("bigint").alias("total"), F.explode(words).alias("unit"))
+    if wanted is not None:
+        sized = sized.join(wanted, "unit", "left_semi")
     return sized.groupBy(key, "total", "unit").agg(F.count("*").alias("n"))
 
 
 def _prefixes(own: DataFrame, key: str, rarity: DataFrame, threshold: float) -> DataFrame:
-    """(key, total, unit) of the rarest units of each text, so many that what is left can't reach the threshold by itself."""
+    """(key, total, unit) of the rarest units of each text, so many that what is left can't reach the threshold by itself.
+
+    ``own`` need only have units of both sides: those of one side are never shared, so what is left is made of the others.
+    """
     order = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("unit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = own.join(rarity.select("unit", "df"), "unit").withColumn("_reach", F.sum("n").over(order))
     return ranked.filter(F.col("_reach") >= F.ceil(F.lit(threshold) * F.col("total") - 1e-9)).select(key, "total", "unit")
@@ -126,26 +135,25 @@ def similar_bags(
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a share above zero")
-    a, b = cut_lineage(bags(left, left_key, words)), cut_lineage(bags(right, right_key, words))
-    sides = a.select("unit", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select("unit", F.lit(0).alias("l"), F.lit(1).alias("r")))
-    rarity = cut_lineage(sides.groupBy("unit").agg(F.sum("l").alias("left_df"), F.sum("r").alias("right_df")).filter("left_df > 0 and right_df > 0").withColumn("df", F.col("left_df") + F.col("right_df")))
-    # units of one side alone are never shared, but count for what a text has left
-    every = sides.groupBy("unit").agg(F.count("*").alias("df"))
-    shared_a, shared_b = a.join(rarity.select("unit"), "unit", "left_semi"), b.join(rarity.select("unit"), "unit", "left_semi")
+    b = cut_lineage(bags(right, right_key, words))
+    # units of one side alone are never shared; a text's own total counts them
+    a = cut_lineage(bags(left, left_key, words, measured_side(b.select("unit").distinct())))
+    count_a, count_b = (df.groupBy("unit").agg(F.count("*").alias(name)) for df, name in ((a, "left_df"), (b, "right_df")))
+    rarity = measured_side(count_a.join(count_b, "unit").withColumn("df", F.col("left_df") + F.col("right_df")))
+    shared_b = b.join(rarity.select("unit"), "unit", "left_semi")
     swapped = rarity.select("unit", F.col("right_df").alias("left_df"), F.col("left_df").alias("right_df"))
     la, lb = F.col(f"_{left_key}_total"), F.col(f"_{right_key}_total")
     either = F.lit(of == "left")
-    pairs = _meet(_prefixes(a, left_key, every, threshold), shared_b, left_key, right_key, rarity, either | (la <= lb))
+    pairs = _meet(_prefixes(a, left_key, rarity, threshold), shared_b, left_key, right_key, rarity, either | (la <= lb))
     if of != "left":
-        second = _meet(_prefixes(b, right_key, every, threshold), shared_a, right_key, left_key, swapped, lb < la)
+        second = _meet(_prefixes(shared_b, right_key, rarity, threshold), a, right_key, left_key, swapped, lb < la)
         pairs = pairs.unionByName(second.select(left_key, right_key))
-    pairs = cut_lineage(pairs)
     # a pair is in one of the two alone, since one text is the shorter
-    own = pairs.join(shared_a.select(left_key, "unit", F.col("n").alias("_ln")), left_key)
-    both = own.join(shared_b.select(right_key, "unit", F.col("n").alias("_rn")), [right_key, "unit"])
-    counted = both.groupBy(left_key, right_key).agg(F.sum(F.least("_ln", "_rn")).alias("shared"))
-    sizes_a, sizes_b = a.groupBy(left_key).agg(F.first("total").alias("left_total")), b.groupBy(right_key).agg(F.first("total").alias("right_total"))
-    rows = counted.join(sizes_a, left_key).join(sizes_b, right_key)
+    pairs = measured_side(pairs)
+    own = a.select(left_key, "unit", F.col("n").alias("_ln"), F.col("total").alias("left_total")).join(pairs, left_key)
+    other = shared_b.select(right_key, "unit", F.col("n").alias("_rn"), F.col("total").alias("right_total"))
+    both = own.join(other, [right_key, "unit"])
+    rows = both.groupBy(left_key, right_key, "left_total", "right_total").agg(F.sum(F.least("_ln", "_rn")).alias("shared"))
     score = F.col("shared") / (F.col("left_total") if of == "left" else F.least("left_total", "right_total"))
     return rows.select(left_key, right_key, "shared", "left_total", "right_total", score.alias("score")).filter(F.col("score") >= threshold - 1e-12)
 

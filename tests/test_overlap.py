@@ -91,3 +91,14 @@ def test_phrases_by_key_are_substrings_of_the_keys_text(spark):
     phrases = spark.createDataFrame([(1, "心地"), (1, "地上"), (2, "心地"), (3, "小")], "k int, phrase string")
     rows = {r.k: (r.phrases, r.found) for r in known_phrase_recall(texts, phrases, "k").collect()}
     assert rows == {1: (2, 1), 2: (1, 0), 3: (1, 0)}
+
+
+def test_units_of_one_side_are_left_out_where_texts_are_cut(spark, monkeypatch):
+    a = spark.createDataFrame([(i, ["own%d" % k for k in range(50)] + ["x"] * 2) for i in range(9)] + [(9, ["x", "x", "y", "own0"])], "l long, words array<string>")
+    b = spark.createDataFrame([(0, ["x", "y"]), (1, ["z"])], "r long, words array<string>")
+    rows = {}
+    held = overlap.cut_lineage
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: (lambda out: rows.update({tuple(out.columns): out.count()}) or out)(held(df)))
+    found = {(r.l, r.r, r.shared, r.left_total, r.right_total) for r in overlap.similar_bags(a, b, "l", "r", 0.7).collect()}
+    assert found == {(9, 0, 2, 4, 2)}
+    assert rows[("l", "total", "unit", "n")] == 11
