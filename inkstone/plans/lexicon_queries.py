@@ -18,6 +18,7 @@ from inkstone.plans.views import (
     SQL_WORDS,
     benchmark_words,
     document_words,
+    each_word,
     latin_words,
     lexicon,
     spelled,
@@ -359,7 +360,7 @@ UNKNOWN = f"""unknown as (
     where syllable not in (select near from inv)""",
 )
 def fuzzy_join(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(latin_words("text")).alias("syllable"))
+    words = each_word(table(spark, sf, "documents")).withColumnRenamed("w", "syllable")
     inventory = table(spark, sf, "benchmark").select(F.explode(latin_words("text")).alias("syllable")).distinct()
     unknown = words.distinct().join(inventory, "syllable", "left_anti")
     return ph.fuzzy_syllable_join(unknown, inventory)

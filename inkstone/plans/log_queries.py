@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inkstone.operators import log, reviews as rv, rules
 from inkstone.plans.registry import query
 from inkstone.plans.text_queries import TURNS, turns
-from inkstone.plans.views import SQL_REPLAY, SQL_WORDS, latin_words, reviews, sql_han, table, to_han
+from inkstone.plans.views import SQL_REPLAY, SQL_WORDS, each_word, latin_words, reviews, sql_han, table, to_han
 
 NOW = "2024-01-20 00:00:00"
 
@@ -252,7 +252,7 @@ work as (select keyed.*, c.key is not null as hit from keyed left join cached c
 
 def _worklist(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("w")
-    requests = turns(spark, sf).select(F.explode(latin_words("text")).alias("w")).select(
+    requests = each_word(turns(spark, sf)).select(
         F.col("w").alias("text"), F.when(n % 2 == 0, "1").otherwise("0.75").alias("speed"), F.when(n % 3 == 0, "zh-HK").otherwise("zh-Hant").alias("voice")
     )
     cached = table(spark, sf, "benchmark").select(F.explode(latin_words("text")).alias("w")).select(

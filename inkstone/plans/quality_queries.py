@@ -9,7 +9,7 @@ from inkstone.plans.log_queries import MIXED, mixed
 from inkstone.plans.page_queries import sql_similar
 from inkstone.plans.registry import query
 from inkstone.plans.text_queries import turns
-from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, SQL_LOWER, SQL_WORDS, latin_words, lowered, page_items, page_lines, spelled, table, to_han
+from inkstone.plans.views import SQL_PAGE_ITEMS, SQL_PAGE_LINES, SQL_LOWER, SQL_WORDS, each_word, latin_words, lowered, page_items, page_lines, spelled, table, to_han
 
 # Two engines read each turn: one swaps letters, one drops them.
 def _rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def cer_report(spark: SparkSession, sf: str) -> DataFrame:
     select w, round(levenshtein(g, w) / length(w), 6) as error from p""",
 )
 def syllable_error(spark: SparkSession, sf: str) -> DataFrame:
-    words = turns(spark, sf).select(F.explode(latin_words("text")).alias("w")).distinct()
+    words = each_word(turns(spark, sf)).distinct()
     # one syllable per letter: the distance over syllables is the one over letters
     rows = words.select(
         "w",
@@ -60,7 +60,7 @@ def syllable_error(spark: SparkSession, sf: str) -> DataFrame:
 )
 def reading_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("w")
-    rows = turns(spark, sf).select(F.explode(latin_words("text")).alias("w")).select(
+    rows = each_word(turns(spark, sf)).select(
         spelled(F.col("w"), F.lit(0)).alias("got"),
         F.array(F.when(n % 3 == 0, spelled(F.col("w"), F.lit(0))).otherwise(""), F.when(n % 5 == 1, spelled(F.col("w"), F.lit(0))).otherwise("")).alias("accepted"),
     )

@@ -19,6 +19,7 @@ from inkstone.plans.views import (
     SQL_SENSES,
     SQL_WORDS,
     TRADITIONAL,
+    each_word,
     latin_words,
     lexicon,
     lowered,
@@ -68,7 +69,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def turn_words(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct Latin words of all conversations."""
-    return turns(spark, sf).select(F.explode(latin_words("text")).alias("w")).distinct()
+    return each_word(turns(spark, sf)).distinct()
 
 
 TURNS = "turns as (select concat_ws('-', conv_id, turn) as id, conv_id, turn, role, text from conversations)"
@@ -182,7 +183,7 @@ def word_cards(spark: SparkSession, sf: str) -> DataFrame:
     select c, char_no, coalesce(s.traditional, c), coalesce(s.py_num, ''), s.key is not null from apart left join senses s on s.key = c""",
 )
 def word_cards_apart(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(latin_words("text")).alias("w")).distinct()
+    words = each_word(table(spark, sf, "documents")).distinct()
     tokens = words.select("w", to_han(F.col("w")).alias("token"))
     return sg.word_cards(tokens, lexicon(spark, sf)).select("token", "char_no", "traditional", "py_num", "known")
 

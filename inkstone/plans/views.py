@@ -31,12 +31,18 @@ SQL_SYLLABLES = "[" + ",".join(f"'{s}'" for s in SYLLABLES) + "]"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. Texts are much work a byte, so a scan of fewer parts than there are cores is dealt out first."""
+    """A driver table. Texts are much work a byte, so a scan whose rows come in fewer parts than there are cores is dealt out first.
+
+    A row group is read by one part whatever the number of splits, so parts that have rows are counted; that reads no column.
+    """
     rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "conversations") and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
-    return rows
+    if name not in ("documents", "conversations"):
+        return rows
+    cores, splits = spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    if splits >= cores and rows.select(F.spark_partition_id().alias("part")).distinct().count() >= cores:
+        return rows
+    # by number, since dealing in turns would sort whole texts first
+    return rows.withColumn("_row", F.monotonically_increasing_id()).repartition(max(cores, splits), "_row").drop("_row")
 
 
 def to_han(col: Column, script: str = TRADITIONAL) -> Column:
@@ -55,6 +61,13 @@ def latin_words(col: str) -> Column:
     return F.regexp_extract_all(lowered(col), F.lit("[a-z]+"), F.lit(0))
 
 
+def each_word(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(w): every word of :func:`latin_words`, one row each; accents are taken off words that have some, not letter by letter off whole texts."""
+    found = F.regexp_extract_all(F.lower(column), F.lit(f"[a-z{ACCENTED}]+"), F.lit(0))
+    plain = F.when(F.octet_length("w") == F.length("w"), F.col("w")).otherwise(F.translate("w", ACCENTED, UNACCENTED))
+    return texts.select(F.explode(found).alias("w")).select(plain.alias("w"))
+
+
 def spelled(word: Column, shift: Column) -> Column:
     """Numbered reading of a Latin word; ``shift`` turns the tones of its senses apart."""
     names = F.array(*[F.lit(s) for s in SYLLABLES])

@@ -219,3 +219,41 @@ def test_error_rates_of_whole_texts_need_no_cell_for_each_pair_of_characters(spa
     # two texts of 20,000 characters took 400,000,000 cells
     a = "".join(rng.choice("天地玄黃") for _ in range(20_000))
     assert edit_distance(a, a[:5000] + "x" + a[5000:].replace("玄", "", 3)) == 4
+
+
+def test_texts_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from inkstone.plans.views import table
+
+    rows = 4000
+    texts = pa.array([f"{i} {random.Random(i).random()} " * 20 for i in range(rows)])
+    pq.write_table(pa.table({"doc_id": pa.array(range(rows)), "text": texts}), f"{tmp_path}/documents.parquet")
+    assert pq.ParquetFile(f"{tmp_path}/documents.parquet").metadata.num_row_groups == 1
+    setting = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(setting, "32k")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        # more splits than cores, but one row group is read by one of them
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() >= cores
+        read = table(spark, str(tmp_path), "documents")
+        sizes = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == rows and len(sizes) >= cores and max(sizes) < 2 * rows / cores
+        assert read.columns == ["doc_id", "text"] and read.distinct().count() == rows
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_each_word_takes_accents_off_words_and_not_off_whole_texts(spark):
+    from inkstone.plans.views import each_word, latin_words
+
+    texts = ["Mañana, MANANA ça-va?", "\u212aelvin \u0130stanbul \u212bngström Stra\u1e9ee Straße", "x1y\u03a3z \u00ffq æon œuf 你好abc", "naïve e\u0301te\u0301 𠀀é", "", None, "...", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = sorted(r.w for r in df.select(F.explode(latin_words("text")).alias("w")).collect())
+    assert sorted(r.w for r in each_word(df).collect()) == want
+    assert want.count("manana") == 2 and {"ca", "kelvin", "strase", "naive", "on", "e"} <= set(want)
+    words = spark.createDataFrame([("é",), ("É",), ("e",)], "text string")
+    assert [r.w for r in each_word(words).distinct().collect()] == ["e"]
+    plan = QUERIES["word_cards_apart"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(lower(text" not in plan
