@@ -19,6 +19,8 @@ BORDER, END = b"\n", b"\r"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 _TABLE, _SECOND = np.random.default_rng(2024).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of tokens that are hashed together.
+PIECE = 1 << 15
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -70,9 +72,18 @@ class Tokens:
 
     def hashed(self, table: np.ndarray) -> np.ndarray:
         """A hash of every token, from differences of one running sum over the bytes."""
-        power, inverse = _powers(len(self.raw) + 1)
-        total = np.append(np.uint64(0), np.cumsum(table[self.raw] * power[: len(self.raw)]))
-        return mixed((total[self.end] - total[self.start]) * inverse[self.start])
+        out = np.empty(len(self), dtype=np.uint64)
+        # in pieces that stay in a core's cache; a hash does not depend on where its token stands
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.raw), PIECE))).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(self)]):
+            at, end = self.start[a:b], self.end[a:b]
+            raw = self.raw[at[0] : end[-1]]
+            power, inverse = _powers(len(raw) + 1)
+            total = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum(table[raw] * power[: len(raw)], out=total[1:])
+            at, end = at - at[0], end - at[0]
+            out[a:b] = (total[end] - total[at]) * inverse[at]
+        return mixed(out)
 
     def second(self) -> np.ndarray:
         """Hashes independent of ``hash``; tokens equal in both are taken for equal."""

@@ -5,8 +5,9 @@ of their occurrences, and everything after that reads the chunks. Phrases are co
 can be frequent only if both its parts one word shorter are. Frequent words get numbers, chunks are rewritten in
 these, and a phrase is the pair of its first words' number and its last word's number, which is exact; frequent pairs get numbers in turn.
 
-The tables of numbers are broadcast up to ``NUMBERED`` rows. Where a level has more, phrases are counted as
-texts, thinned by bitmaps of the frequent shorter ones as far as those fit their bound. Both ways give the same counts.
+Words are counted by two hashes, and only frequent ones are spelled out. The tables of numbers are broadcast up to ``NUMBERED``
+words and twice as many phrases of a length. Where a level has more, phrases are counted as texts, thinned by bitmaps of the
+frequent shorter ones, which get coarser at their bound. Both ways give the same counts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,11 +29,13 @@ from inkstone.session import cut_lineage, use_checkpoints
 LONGEST = OVERLAP + 1
 #: Bytes of chunks that a task looks at together.
 STEP = 2 << 20
-#: Bitmaps of up to so many bytes are broadcast; where frequent phrases need a larger one, the level is not thinned by it.
-BITMAP_BYTES = 16 << 20
+#: Bitmaps of up to so many bytes are broadcast; more frequent phrases share the same bits and thin less.
+BITMAP_BYTES = 32 << 20
 BITS_PER_KEY, PROBES = 32, 3
-#: Frequent words or phrases of one length up to which they are numbered in broadcast tables of some 20 bytes a row.
-NUMBERED = 2_000_000
+#: Bits of a part of a bitmap, which one task fills.
+PART_BITS = 20
+#: Frequent words up to which they are numbered in a broadcast table of 16 bytes a row; phrases of one length take 8 bytes and go up to twice that.
+NUMBERED = 8_000_000
 #: Distinct phrases that a task counts before it hands its counts on.
 HELD = 200_000
 
@@ -111,43 +115,60 @@ class Block:
 
 
 class Bitmap:
-    """A Bloom filter of the hashes of frequent phrases of one length; it lets some one in a thousand others through."""
+    """A Bloom filter of the hashes of frequent phrases of one length; with 32 bits a key it lets some one in a thousand others through.
 
-    def __init__(self, hashes: np.ndarray):
-        self.width = max(10, math.ceil(math.log2(max(1, len(hashes)) * BITS_PER_KEY)))
-        bits = np.zeros(1 << self.width, dtype=bool)
-        for probe in range(PROBES):
-            bits[self.place(hashes, probe)] = True
-        self.bits = np.packbits(bits)
+    The first bits of a hash choose the part that holds all its bits, so that parts are filled apart from each other.
+    """
+
+    def __init__(self, keys: int):
+        self.width = max(10, min(math.ceil(math.log2(max(1, keys) * BITS_PER_KEY)), int(math.log2(BITMAP_BYTES * 8))))
+        self.inner = min(self.width, PART_BITS)
+        self.bits = np.zeros(1 << self.width - 3, dtype=np.uint8)
+
+    def part(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(1) >> np.uint64(63 - self.width + self.inner)).astype(np.int64)
 
     def place(self, h: np.ndarray, probe: int) -> np.ndarray:
-        turned = h if probe == 0 else mixed(h + np.uint64(probe))
-        return (turned >> np.uint64(64 - self.width)).astype(np.int64)
+        """Of the bit in its part."""
+        return (mixed(h + np.uint64(probe)) >> np.uint64(64 - self.inner)).astype(np.int64)
+
+    def filled(self, h: np.ndarray) -> bytes:
+        """A part with the bits of hashes that belong to it."""
+        bits = np.zeros(1 << self.inner, dtype=bool)
+        for probe in range(PROBES):
+            bits[self.place(h, probe)] = True
+        return np.packbits(bits).tobytes()
+
+    def add(self, part: int, filled: bytes) -> None:
+        own = np.frombuffer(filled, dtype=np.uint8)
+        self.bits[part * len(own) : (part + 1) * len(own)] |= own
 
     def has(self, h: np.ndarray) -> np.ndarray:
         held = np.arange(len(h))
         for probe in range(PROBES):
-            at = self.place(h[held], probe)
+            at = (self.part(h[held]) << self.inner) + self.place(h[held], probe)
             held = held[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0]
         out = np.zeros(len(h), dtype=bool)
         out[held] = True
         return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Chunks in steps of about ``STEP`` bytes, whatever the size of the batches."""
-    langs, texts, weights, size = [], [], [], 0
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, chunk, n) in steps of about ``STEP`` bytes, whatever the size of the batches."""
+    held, size = [], 0
     for batch in slices(batches):
-        own = batch.column(1).to_pylist()
-        langs += batch.column(0).to_pylist()
-        texts += own
-        weights += batch.column(2).to_pylist()
-        size += sum(map(len, own))
+        held.append(batch)
+        size += batch.column(1).nbytes
         if size >= STEP:
-            yield Block(langs, texts, weights)
-            langs, texts, weights, size = [], [], [], 0
-    if texts:
-        yield Block(langs, texts, weights)
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for step in steps(batches):
+        yield Block(*(c.to_pylist() for c in step.columns))
 
 
 def hash_counts(parsed: DataFrame, size: int, allowed: list) -> DataFrame:
@@ -168,14 +189,41 @@ def hash_counts(parsed: DataFrame, size: int, allowed: list) -> DataFrame:
 
 
 def bitmap_of(parsed: DataFrame, size: int, allowed: list, least: int):
-    """A broadcast bitmap of the frequent hashes of a length; None if it would pass the bound."""
-    found = cut_lineage(hash_counts(parsed, size, allowed).filter(F.col("n") >= least).select("h"))
-    n = found.count()
-    if n * BITS_PER_KEY * 2 > BITMAP_BYTES * 8:
+    """A broadcast bitmap of the frequent hashes of a length; None if there is no room for any."""
+    if BITMAP_BYTES < 128:
         return None
-    # at most BITMAP_BYTES / 4 rows of one number
-    hashes = np.asarray(found.toArrow().column("h").combine_chunks().to_numpy(), dtype=np.int64).view(np.uint64)
-    return parsed.sparkSession.sparkContext.broadcast(Bitmap(hashes))
+    found = cut_lineage(hash_counts(parsed, size, allowed).filter(F.col("n") >= least).select("h"))
+    bitmap = Bitmap(found.count())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = Bitmap(0)
+        empty.width, empty.inner = width, inner
+        own, held = -1, []
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own], type=pa.int64()), pa.array([empty.filled(np.concatenate(held))], type=pa.binary())], names=["part", "bits"])
+
+        # rows come by part
+        for batch in batches:
+            part, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and part[a] != own:
+                    if held:
+                        yield full()
+                    own, held = int(part[a]), []
+                held.append(h[a:b])
+        if held:
+            yield full()
+
+    width, inner = bitmap.width, bitmap.inner
+    part = F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - width + inner)
+    dealt = found.select(part.alias("part"), "h").repartition("part").sortWithinPartitions("part")
+    # at most BITMAP_BYTES
+    rows = dealt.mapInArrow(fill, "part bigint, bits binary").toArrow()
+    for own, bits in zip(rows.column("part").to_pylist(), rows.column("bits").to_pylist()):
+        bitmap.add(own, bits)
+    return parsed.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def distinct_phrases(block: Block, k: int, allowed: Bitmap | None, second: np.ndarray) -> Iterator[tuple[str, bytes, int]]:
@@ -241,62 +289,127 @@ def counted(parsed: DataFrame, allowed: list, least: int) -> DataFrame:
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
 
 
+def sorted_places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, place): the order of ``keys``, where each distinct one begins in it, and its place in the sorted ``table`` or -1.
+
+    Distinct keys are looked up in their order, so large tables are walked and not jumped about in.
+    """
+    order = np.argsort(keys)
+    held = keys[order]
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.empty(0, dtype=np.int64)
+    distinct = held[first]
+    if not len(table):
+        return order, first, np.full(len(first), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
+    return order, first, np.where(table[at] == distinct, at, -1)
+
+
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of every key in the sorted ``table``, -1 for those that are not in it."""
+    order, first, found = sorted_places(table, keys)
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.repeat(found, np.diff(np.append(first, len(keys))))
+    return out
+
+
 class Numbers:
-    """Frequent words of all languages by two independent hashes; a word's number is its place among them."""
+    """Frequent words of all languages by two independent hashes, of which the first has the language in it; a word's number is its place among them."""
 
-    def __init__(self, langs: list[str], words: list[str]):
-        tokens = Tokens(" ".join(words).encode()) if words else None
-        salt = np.array([xxhash.xxh64_intdigest(x) for x in langs], dtype=np.uint64)
-        h = mixed(tokens.hash ^ salt) if words else salt
-        self.order = np.argsort(h).astype(np.int32)
-        self.h, self.second = h[self.order], (tokens.second() if words else salt)[self.order]
+    def __init__(self, h: np.ndarray, second: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.second = h[order], second[order]
 
     def apart(self) -> bool:
         return bool((self.h[1:] != self.h[:-1]).all())
 
-    def find(self, tokens: Tokens, salt: np.ndarray) -> np.ndarray:
-        """The number of every token, -1 for what is no frequent word."""
-        if not len(self.h):
-            return np.full(len(tokens), -1, dtype=np.int32)
-        h = mixed(tokens.hash ^ salt)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where((self.h[at] == h) & (self.second[at] == tokens.second()) & tokens.word, self.order[at], np.int32(-1))
+    def find(self, h: np.ndarray, second: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every token, -1 for what is no frequent word; and a token of each number that occurs."""
+        order, first, found = sorted_places(self.h, h)
+        sizes = np.diff(np.append(first, len(h)))
+        number = np.repeat(found, sizes)
+        same = number >= 0
+        if len(self.h):
+            same &= np.repeat(self.second[found], sizes) == second[order]
+        same &= word[order]
+        ids = np.empty(len(h), dtype=np.int32)
+        ids[order] = np.where(same, number, -1)
+        if (same[first] != (found >= 0)).any():
+            held = np.flatnonzero(ids >= 0)
+            return ids, held[np.unique(ids[held], return_index=True)[1]]
+        return ids, order[first[found >= 0]]
+
+
+class Words:
+    """The tokens of some chunks with hashes that have the chunk's language in them."""
+
+    def __init__(self, step: pa.RecordBatch):
+        langs, texts, n = step.columns
+        self.tokens = Tokens(pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), " ")[0].as_buffer())
+        sizes = pc.count_substring(texts, " ").to_numpy().astype(np.int64) + 1
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.n = n.to_numpy()
+        langs = langs.dictionary_encode()
+        self.names = langs.dictionary.to_pylist()
+        self.lang = np.repeat(langs.indices.to_numpy(), sizes)
+        salt = np.array([xxhash.xxh64_intdigest(x) for x in self.names], dtype=np.uint64)
+        self.hash, self.second = mixed(self.tokens.hash ^ salt[self.lang]), self.tokens.second()
 
 
 def word_counts(parsed: DataFrame) -> DataFrame:
-    """(lang, phrase, f): occurrences of every word; those of all words of a language under the empty word."""
+    """(lang, h, second, f): occurrences of every word by its hashes, without a language; with one, those of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            found = list(distinct_phrases(block, 0, None, block.tokens.second()))
-            at = block.starts[0]
-            totals = np.bincount(block.lang[at], weights=block.weight[at], minlength=len(block.names)).astype(np.int64)
-            found += [(name, b"", n) for name, n in zip(block.names, totals.tolist())]
+        for step in steps(batches):
+            words = Words(step)
+            weight = np.repeat(words.n, words.ends - words.starts)
+            own = words.tokens.word.copy()
+            for back in range(1, OVERLAP + 1):
+                own[words.ends - back] = False
+            at = np.flatnonzero(own)
+            totals = np.bincount(words.lang[at], weights=weight[at], minlength=len(words.names)).astype(np.int64)
+            at = at[np.argsort(words.hash[at])]
+            h, second = words.hash[at], words.second[at]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (second[1:] != second[:-1]))) if len(at) else at
+            n = np.add.reduceat(weight[at], first) if len(at) else weight[at]
+            none = np.zeros(len(totals), dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _, _ in found], type=pa.string()), pa.array([w for _, w, _ in found], type=pa.binary()).cast(pa.string()), pa.array([n for _, _, n in found], type=pa.int64())],
-                names=["lang", "phrase", "f"],
+                [
+                    pa.array([None] * len(first) + words.names, type=pa.string()), pa.array(np.append(h[first].view(np.int64), none)),
+                    pa.array(np.append(second[first].view(np.int64), none)), pa.array(np.append(n, totals)),
+                ],
+                names=["lang", "h", "second", "f"],
             )
 
-    return parsed.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return parsed.mapInArrow(run, "lang string, h bigint, second bigint, f bigint").groupBy("lang", "h", "second").agg(F.sum("f").alias("f"))
 
 
 def numbered(parsed: DataFrame, shared) -> DataFrame:
-    """(ids, n): the chunks with a word's number for every token, -1 where it has none."""
+    """(ids, n, id, lang, word): the chunks with a word's number for every token, -1 where it has none; and the numbers' words, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            texts = batch.column(1).to_pylist()
-            tokens = Tokens(" ".join(texts).encode())
-            sizes = np.fromiter((t.count(" ") + 1 for t in texts), dtype=np.int64, count=len(texts))
-            salt = np.repeat(np.fromiter((xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()), dtype=np.uint64, count=len(texts)), sizes)
-            ids = shared.value.find(tokens, salt)
-            ends = np.cumsum(sizes)
+        told = np.zeros(len(shared.value.h), dtype=bool)
+        for step in steps(batches):
+            words = Words(step)
+            ids, at = shared.value.find(words.hash, words.second, words.tokens.word)
             # a chunk without two frequent words in a row has no phrase
-            keep = np.flatnonzero(np.logical_or.reduceat((ids[:-1] >= 0) & (ids[1:] >= 0), ends - sizes))
-            cut = [ids[a:b].tobytes() for a, b in zip((ends - sizes)[keep].tolist(), ends[keep].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, type=pa.binary()), batch.column(2).take(pa.array(keep))], names=["ids", "n"])
+            keep = np.flatnonzero(np.logical_or.reduceat((ids[:-1] >= 0) & (ids[1:] >= 0), words.starts))
+            cut = [ids[a:b].tobytes() for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist())]
+            at = at[~told[ids[at]]]
+            told[ids[at]] = True
+            data = words.tokens.data
+            spelled = [data[a:b].to_pybytes() for a, b in zip(words.tokens.start[at].tolist(), words.tokens.end[at].tolist())]
+            chunk, name = [None] * len(cut), [None] * len(spelled)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cut + name, type=pa.binary()), pa.array(words.n[keep].tolist() + name, type=pa.int64()),
+                    pa.array(chunk + ids[at].tolist(), type=pa.int32()), pa.array(chunk + [words.names[k] for k in words.lang[at].tolist()], type=pa.string()),
+                    pa.array(chunk + spelled, type=pa.binary()).cast(pa.string()),
+                ],
+                names=["ids", "n", "id", "lang", "word"],
+            )
 
-    return parsed.mapInArrow(run, "ids binary, n bigint")
+    return parsed.mapInArrow(run, "ids binary, n bigint, id int, lang string, word string")
 
 
 def pair_counts(chunks_: DataFrame, size: int, levels: list) -> DataFrame:
@@ -315,12 +428,8 @@ def pair_counts(chunks_: DataFrame, size: int, levels: list) -> DataFrame:
             at = np.flatnonzero((number[: len(ids) - k + 1] >= 0) & (number[1 : len(ids) - k + 2] >= 0))
             key = (number[at] << 32) | ids[at + k - 1]
             if k < size:
-                table = levels[k - 2].value
                 number = np.full(len(ids), -1, dtype=np.int64)
-                if len(table):
-                    place = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                    held = table[place] == key
-                    number[at[held]] = place[held]
+                number[at] = places(levels[k - 2].value, key)
         held = own[at]
         key, weight = key[held], weight[at[held]]
         order = np.argsort(key)
@@ -335,25 +444,25 @@ def pair_counts(chunks_: DataFrame, size: int, levels: list) -> DataFrame:
             parts += own
             weights += batch.column(1).to_pylist()
             held += sum(map(len, own))
-            if held >= STEP:
+            if held >= 2 * STEP:
                 yield counts(parts, weights)
                 parts, weights, held = [], [], 0
         if parts:
             yield counts(parts, weights)
 
-    return chunks_.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return chunks_.filter("ids is not null").select("ids", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def counted_by_number(parsed: DataFrame, least: int) -> DataFrame | None:
     """What ``counted`` gives, by numbers; None if a level has more frequent phrases than may be broadcast."""
     spark = parsed.sparkSession
-    words = cut_lineage(word_counts(parsed).filter((F.col("f") >= least) | (F.col("phrase") == "")))
-    found = words.filter("phrase <> ''")
+    words = cut_lineage(word_counts(parsed).filter((F.col("f") >= least) | F.col("lang").isNotNull()))
+    found = words.filter("lang is null").select("h", "second", "f")
     if found.count() > NUMBERED:
         return None
     # at most NUMBERED words
-    rows = found.select("lang", "phrase").toArrow()
-    numbers = Numbers(rows.column("lang").to_pylist(), rows.column("phrase").to_pylist())
+    rows = found.select("h", "second").toArrow()
+    numbers = Numbers(*(np.asarray(rows.column(c).combine_chunks().to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64) for c in ("h", "second")))
     if not numbers.apart():
         return None
     shared = spark.sparkContext.broadcast(numbers)
@@ -361,31 +470,34 @@ def counted_by_number(parsed: DataFrame, least: int) -> DataFrame | None:
 
     def with_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                salt = np.array([xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
-                own = shared.value.find(Tokens(" ".join(batch.column(1).to_pylist()).encode()), salt)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["lang", "phrase", "f", "id"])
+            own = places(shared.value.h, batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(2)], names=["id", "f"])
 
     def with_parts(table):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 key = batch.column(0).to_numpy()
-                parts = [np.searchsorted(table.value, key), key >> 32, key & 0xFFFFFFFF]
+                own = np.searchsorted(table.value, key) if table else np.full(len(key), -1)
+                parts = [own, key >> 32, key & 0xFFFFFFFF]
                 yield pa.RecordBatch.from_arrays([*(pa.array(p.astype(np.int32)) for p in parts), batch.column(1)], names=["id", "prefix", "word", "f"])
 
         return run
 
-    named = found.mapInArrow(with_number, "lang string, phrase string, f bigint, id int")
+    names = chunks_.filter("id is not null").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("phrase"))
+    named = cut_lineage(names.join(found.mapInArrow(with_number, "id int, f bigint"), "id"))
     one = named.select(F.col("id").alias("word"), F.col("phrase").alias("last"))
-    out = words.select("lang", (F.col("phrase") != "").cast("int").alias("words"), "phrase", "f")
+    out = words.filter("lang is not null").select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), "f")
+    out = out.unionByName(named.select("lang", F.lit(1).alias("words"), "phrase", "f"))
     levels: list = []
     for size in range(2, LONGEST + 1):
         pairs = cut_lineage(pair_counts(chunks_, size, levels).filter(F.col("n") >= least))
-        if pairs.count() > NUMBERED:
-            return None
-        keys = np.sort(np.asarray(pairs.select("key").toArrow().column("key").combine_chunks().to_numpy(), dtype=np.int64))
-        table = spark.sparkContext.broadcast(keys)
-        levels.append(table)
+        table = None
+        if size < LONGEST:
+            if pairs.count() > 2 * NUMBERED:
+                return None
+            keys = np.sort(np.asarray(pairs.select("key").toArrow().column("key").combine_chunks().to_numpy(zero_copy_only=False), dtype=np.int64))
+            table = spark.sparkContext.broadcast(keys)
+            levels.append(table)
         split = pairs.mapInArrow(with_parts(table), "id int, prefix int, word int, f bigint")
         before = named.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"))
         named = split.join(before, "prefix").join(one, "word").select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f", "id")

@@ -95,3 +95,26 @@ def test_chunks_depend_on_content_alone():
     for before in ("", "x y z ", "some other words in front. "):
         found.append({c for _, c in chunks([stream(before + shared)], 8)})
     assert len(found[0] & found[1] & found[2]) > 0.8 * len(found[0])
+
+
+def test_more_frequent_words_than_bits_still_thin(spark, monkeypatch):
+    """A bitmap at its bound gets coarser; no level is counted as texts without one."""
+    monkeypatch.setattr(phrases, "NUMBERED", 0)
+    monkeypatch.setattr(phrases, "BITMAP_BYTES", 1024)
+    monkeypatch.setattr(phrases, "PART_BITS", 10)
+    made, make = [], phrases.bitmap_of
+    monkeypatch.setattr(phrases, "bitmap_of", lambda *a: made.append(make(*a)) or made[-1])
+    rnd = random.Random(3)
+    rows = [(" ".join(f"w{rnd.randint(0, 399)} x{k % 7}" for _ in range(300)), "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = sorted(map(tuple, phrases.collocations(docs, least=5, top=50).collect()))
+    assert found == plain(rows, 5, 50) and found
+    assert len(made) == 4 and None not in made and all(b.value.bits.nbytes <= 1024 for b in made)
+
+
+def test_words_are_counted_without_being_spelled_out(spark):
+    parsed = phrases.dictionary(spark.createDataFrame([("a b a. a", "en"), ("a", "de")], "text string, lang string"), 32)
+    counts = phrases.word_counts(parsed)
+    assert {r.lang: r.f for r in counts.filter("lang is not null").collect()} == {"en": 4, "de": 1}
+    assert sorted(r.f for r in counts.filter("lang is null").collect()) == [1, 1, 3]
+    assert "phrase" not in counts.columns
