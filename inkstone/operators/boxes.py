@@ -637,31 +637,50 @@ def _alike(norms: list, a: np.ndarray, b: np.ndarray, similar: float) -> np.ndar
     return out
 
 
-def _reads_that_stay(box: np.ndarray, norms: list, size: list, score: np.ndarray, overlap: float, similar: float) -> list[int]:
-    """Places of the reads of one page that a pass in order keeps; a missing number is NaN and counts as Spark counts null."""
+#: Reads whose pages are looked at together.
+TOGETHER = 2048
+
+
+def _pairs_within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of rows of one page, the earlier first, for pages of so many rows one behind the other."""
+    rows = int(counts.sum())
+    behind = np.repeat(np.cumsum(counts), counts) - 1 - np.arange(rows)
+    a = np.repeat(np.arange(rows), behind)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(behind) - behind, behind)
+
+
+def _reads_that_stay(
+    counts: np.ndarray, box: np.ndarray, norms: list, size: list, score: np.ndarray, overlap: float, similar: float
+) -> list[list[int]]:
+    """For pages of so many reads, the places of those that a pass in order keeps; a missing number is NaN and counts as Spark counts null."""
+    a, b = _pairs_within(counts)
     x1, y1, x2, y2 = box
-    ix = np.fmax(np.fmin(x2[:, None], x2) - np.fmax(x1[:, None], x1), 0.0)
-    iy = np.fmax(np.fmin(y2[:, None], y2) - np.fmax(y1[:, None], y1), 0.0)
+    ix = np.fmax(np.fmin(x2[a], x2[b]) - np.fmax(x1[a], x1[b]), 0.0)
+    iy = np.fmax(np.fmin(y2[a], y2[b]) - np.fmax(y1[a], y1[b]), 0.0)
     area = np.fmax((x2 - x1) * (y2 - y1), 1.0)
-    a, b = np.nonzero(np.triu(ix * iy / np.minimum(area[:, None], area) >= overlap, 1))
+    met = ix * iy / np.minimum(area[a], area[b]) >= overlap
+    a, b = a[met], b[met]
     hit = _alike(norms, a, b, similar)
-    same = np.zeros((len(norms), len(norms)), bool)
-    same[a[hit], b[hit]] = same[b[hit], a[hit]] = True
+    same: dict[int, set[int]] = {}
     later = set(b[hit].tolist())
-    kept = np.empty(len(norms), np.int64)
-    n = 0
-    for x in range(len(norms)):
-        if x in later:
-            met = same[x, kept[:n]]
-            at = int(met.argmax())
-            if met[at]:
-                k = kept[at]
-                if size[x] > size[k] or (size[x] == size[k] and score[x] > score[k]):
-                    kept[at] = x
-                continue
-        kept[n] = x
-        n += 1
-    return kept[:n].tolist()
+    for i, j in zip(a[hit].tolist(), b[hit].tolist()):
+        same.setdefault(i, set()).add(j)
+        same.setdefault(j, set()).add(i)
+    out, ends = [], np.cumsum(counts).tolist()
+    crowded = set(np.searchsorted(ends, sorted(later), side="right").tolist())
+    for page, (first, end) in enumerate(zip([0, *ends], ends)):
+        if page not in crowded:
+            out.append(list(range(end - first)))
+            continue
+        kept: list[int] = []
+        for x in range(first, end):
+            at = next((at for at, k in enumerate(kept) if k in same[x]), None) if x in later else None
+            if at is None:
+                kept.append(x)
+            elif size[x] > size[kept[at]] or (size[x] == size[kept[at]] and score[x] > score[kept[at]]):
+                kept[at] = x
+        out.append([k - first for k in kept])
+    return out
 
 
 def _dedupe_in_rows(rows: DataFrame, overlap: float, similar: float) -> DataFrame:
@@ -672,10 +691,15 @@ def _dedupe_in_rows(rows: DataFrame, overlap: float, similar: float) -> DataFram
     def stay(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, score: pa.Array, norm: pa.Array, size: pa.Array) -> pa.Array:
         numbers = [c.flatten().to_numpy(zero_copy_only=False) for c in (x1, y1, x2, y2, score)]
         norms, sizes = norm.flatten().to_pylist(), size.flatten().to_pylist()
-        ends = np.cumsum([len(n) for n in norm]).tolist()
-        found = []
-        for i, j in zip([0, *ends], ends):
-            found.append(_reads_that_stay(np.array([c[i:j] for c in numbers[:4]]), norms[i:j], sizes[i:j], numbers[4][i:j], overlap, similar))
+        counts = norm.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        found, first, at = [], 0, 0
+        while first < len(counts):
+            last = max(first + 1, int(np.searchsorted(ends, at + TOGETHER, side="right")))
+            end = int(ends[last - 1])
+            box, score_ = np.array([c[at:end] for c in numbers[:4]]), numbers[4][at:end]
+            found += _reads_that_stay(counts[first:last], box, norms[at:end], sizes[at:end], score_, overlap, similar)
+            first, at = last, end
         return pa.array(found, type=pa.list_(pa.int32()))
 
     def each(name: str) -> Column:
@@ -715,24 +739,37 @@ def dedupe_items(items: DataFrame, overlap: float = 0.6, similar: float = 0.5, l
     return out.unionByName(greedy_replace(large, "page_id", ["item"], same, better, limit))
 
 
-def reading_order_items(items: DataFrame, single_tall: bool = False) -> DataFrame:
+def reading_order_items(items: DataFrame, single_tall: bool = False, limit: int = PAGE_ROWS) -> DataFrame:
     """``position``: rows by centre band, then columns right to left.
 
     Bands are a fraction of the median extent per page and shape. Unless
-    ``single_tall``, one-character boxes count as rows.
+    ``single_tall``, one-character boxes count as rows. Pages up to ``limit`` items are exchanged once, larger ones are sorted band by band.
     """
     tall = is_tall() if single_tall else is_tall() & (F.length("text") > 1)
     rows = items.withColumn("tall", tall)
     rows = rows.withColumn("_extent", F.when(F.col("tall"), F.col("x2") - F.col("x1")).otherwise(F.col("y2") - F.col("y1")))
-    medians = rows.groupBy("page_id", "tall").agg(upper_median("_extent").alias("_median"))
-    rows = rows.join(medians, ["page_id", "tall"])
+    small, large = split_by_size(rows, "page_id", limit)
+    # neither a page nor a shape that is null has a median
+    own = small.filter("page_id is not null and tall is not null").repartition("page_id")
+    shape = Window.partitionBy("page_id", "tall")
+    own = own.withColumn("_turn", F.row_number().over(shape.orderBy(F.desc("_extent")))).withColumn("_half", F.ceil(F.count("_extent").over(shape) / 2))
+    own = _banded(own.withColumn("_median", F.max(F.when(F.col("_turn") == F.col("_half"), F.col("_extent"))).over(shape)).drop("_turn", "_half"))
+    turns = Window.partitionBy("page_id").orderBy("tall", "band", "_along", "item")
+    placed = own.withColumn("position", F.row_number().over(turns).cast("bigint"))
+    if large is not None:
+        medians = large.groupBy("page_id", "tall").agg(upper_median("_extent").alias("_median"))
+        crowded = _banded(large.join(medians, ["page_id", "tall"]))
+        crowded = position_by_bucket(crowded, ["page_id"], ["tall", "band"], [F.col("_along"), F.col("item")], "position")
+        placed = placed.unionByName(crowded)
+    return placed.select("page_id", "tall", *[c for c in items.columns if c != "page_id"], "band", "position")
+
+
+def _banded(rows: DataFrame) -> DataFrame:
     tol = F.greatest(F.lit(4.0), 0.3 * F.col("_median"))
     centre = F.when(F.col("tall"), F.col("x1") + F.col("x2")).otherwise(F.col("y1") + F.col("y2")) / 2
     band = half_up(centre / tol)
     rows = rows.withColumn("band", F.when(F.col("tall"), -band).otherwise(band))
-    rows = rows.withColumn("_along", F.when(F.col("tall"), F.col("y1")).otherwise(F.col("x1")))
-    placed = position_by_bucket(rows, ["page_id"], ["tall", "band"], [F.col("_along"), F.col("item")], "position")
-    return placed.drop("_extent", "_median", "_along")
+    return rows.withColumn("_along", F.when(F.col("tall"), F.col("y1")).otherwise(F.col("x1")))
 
 
 def heal_coordinates(lines: DataFrame) -> DataFrame:

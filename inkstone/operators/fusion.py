@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from inkstone.functions.alignment import local_alignment, local_alignments
-from inkstone.functions.geometry import half_up, is_tall, let, upper_median
-from inkstone.functions.text import char_overlap, characters, no_space, shared_units
+from inkstone.functions.alignment import local_alignment, local_alignments, shared_characters
+from inkstone.functions.geometry import half_up, is_tall, upper_median
+from inkstone.functions.text import char_overlap, no_space
 from inkstone.operators.boxes import dedupe_items, lattice_degenerate, page_gate, page_serve_gate, reading_order_items
 from inkstone.operators.common import first_per_key, top_per_key
 from inkstone.operators.greedy import greedy_keep
@@ -25,33 +25,23 @@ from inkstone.session import cut_lineage
 
 GAP_MARK = "⟪[0-9]+(?:[.][0-9]+)?⟫"
 BOX_TYPE = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
+GAP_TYPE = "array<struct<at_char:int,widths:double>>"
 CHAR_TYPE = f"array<struct<char:string,box:{BOX_TYPE},anchored:boolean>>"
 
 
 def read_answers(answers: DataFrame) -> DataFrame:
     """Answer lines with gap markers taken out: clean text and gaps as (at_char, widths)."""
     clean = F.replace(F.regexp_replace("text", GAP_MARK, ""), F.lit("⟪"), F.lit(""))
-    pieces = F.regexp_extract_all("text", F.lit(f"({GAP_MARK}|[^⟪])"), F.lit(1))
-    gaps = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at_char:int,widths:double>>").alias("gaps")),
-        lambda s, p: F.when(
-            p.startswith("⟪") & (F.length(p) > 1),
-            F.struct(
-                s.at.alias("at"),
-                F.when(
-                    s.at > 0,
-                    F.concat(
-                        s.gaps,
-                        F.array(
-                            F.struct(s.at.alias("at_char"), F.regexp_extract(p, "([0-9.]+)", 1).cast("double").alias("widths"))
-                        ),
-                    ),
-                ).otherwise(s.gaps).alias("gaps"),
-            ),
-        ).otherwise(F.struct((s.at + 1).cast("int").alias("at"), s.gaps.alias("gaps"))),
-        lambda s: s.gaps,
-    )
+    # a step for each marker and not for each character; characters before a marker are counted without lone brackets
+    widths = F.regexp_extract_all("text", F.lit(GAP_MARK.replace("⟪", "⟪(").replace("⟫", ")⟫")), F.lit(1))
+    pieces = F.split("text", GAP_MARK, -1)
+
+    def gap(width: Column, i: Column) -> Column:
+        before = F.replace(F.array_join(F.slice(pieces, 1, i + 1), ""), F.lit("⟪"), F.lit(""))
+        return F.struct(F.length(before).alias("at_char"), width.cast("double").alias("widths"))
+
+    found = F.filter(F.transform(widths, gap), lambda g: g.at_char > 0).cast(GAP_TYPE)
+    gaps = F.when(F.contains("text", F.lit("⟪")), found).when(F.col("text").isNotNull(), F.array().cast(GAP_TYPE))
     return answers.withColumn("clean", clean).withColumn("gaps", gaps)
 
 
@@ -95,18 +85,25 @@ def _aligned(fragments: list[str], readings: list[str]) -> list[np.ndarray]:
 FIELDS = [("f_start", "int32"), ("f_end", "int32"), ("c_start", "int32"), ("c_end", "int32"), ("score", "float64"), ("matched", "int32")]
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = _aligned(batch.column("fragment").to_pylist(), batch.column("reading").to_pylist())
-        hit = pa.array(columns[4] > 0)
-        names = batch.schema.names + [name for name, _ in FIELDS]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=names).filter(hit)
+def align_texts(pairs: DataFrame, share: float = 0.0) -> DataFrame:
+    """Local alignment of each row's texts (fragment, reading); pairs without a common chunk vanish.
 
+    So do, before they are aligned, pairs that share no character or less than ``share`` of the fragment's characters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fragments, readings = batch.column("fragment").to_pylist(), batch.column("reading").to_pylist()
+            shared = shared_characters(fragments, readings)
+            sizes = np.fromiter((len(t or "") for t in fragments), np.int64, len(fragments))
+            near = np.flatnonzero((shared > 0) & (shared >= share * sizes - 1e-9))
+            columns = _aligned([fragments[i] for i in near], [readings[i] for i in near])
+            hit = pa.array(columns[4] > 0)
+            names = batch.schema.names + [name for name, _ in FIELDS]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(near)).columns, *map(pa.array, columns)], names=names).filter(hit)
 
-def align_texts(pairs: DataFrame) -> DataFrame:
-    """Local alignment of each row's texts (fragment, reading); pairs without a common chunk vanish."""
     fields = "f_start int, f_end int, c_start int, c_end int, score double, matched int"
-    return pairs.mapInArrow(_align, StructType([*pairs.schema, *StructType.fromDDL(fields)]))
+    return pairs.mapInArrow(run, StructType([*pairs.schema, *StructType.fromDDL(fields)]))
 
 
 def align_pairs(fragments: DataFrame, lines: DataFrame, accepted_only: bool = False, page_pairs: int = PAGE_PAIRS) -> DataFrame:
@@ -120,16 +117,14 @@ def align_pairs(fragments: DataFrame, lines: DataFrame, accepted_only: bool = Fa
     c = lines.select("page_id", "line", F.col("norm").alias("reading"))
     crowded = crowded_pages(f, c, "page_id", page_pairs)
     near = f if crowded is None else f.join(crowded, "page_id", "left_anti")
-    pairs = near.join(c, "page_id").filter(F.arrays_overlap(characters(F.col("fragment")), characters(F.col("reading"))))
-    if accepted_only:
-        pairs = pairs.filter(shared_units(F.col("fragment"), F.col("reading")) >= SHARED * F.length("fragment") - 1e-9)
+    pairs = near.join(c, "page_id")
     if crowded is not None:
         many, with_lines = f.join(crowded, "page_id", "left_semi"), c.join(crowded, "page_id", "left_semi")
         # a share of next to nothing is one character
         met = similar_on_page(many, with_lines, "page_id", "item", "line", "fragment", "reading", SHARED if accepted_only else 1e-9, of="left")
         met = met.select("page_id", "item", "line").join(many, ["page_id", "item"]).join(with_lines, ["page_id", "line"])
         pairs = pairs.unionByName(met.select(*pairs.columns))
-    found = align_texts(pairs)
+    found = align_texts(pairs, SHARED if accepted_only else 0.0)
     m, n = F.length("fragment"), F.length("reading")
     accepted = (
         (((F.col("f_end") - F.col("f_start")) / m >= 0.9) | (F.col("matched") >= 0.55 * m))
@@ -216,52 +211,84 @@ def fragment_chars(items: DataFrame, dir_: Column | None = None) -> DataFrame:
     mm = F.greatest(F.lit(2), m)
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
 
-    def shaped(g: Column) -> Column:
-        lean = F.least(F.lit(0.999), F.greatest(F.lit(0.05), (h - g) / (mm * g)))
-        column = h / mm >= w / mm * 1.3
-        clean = column & (w <= h / mm * 1.8)
-        leans = column | ((h > w / mm * 2.5) & (dir_ == "v"))
-        return F.struct(F.when(clean, "down").when(leans, "lean").otherwise("row").alias("shape"), lean.alias("lean"))
-
-    def axes(v: Column) -> Column:
-        ux = F.when(v.shape == "down", 0.0).when(v.shape == "lean", F.sqrt(1 - v.lean * v.lean)).otherwise(1.0)
-        uy = F.when(v.shape == "down", 1.0).when(v.shape == "lean", v.lean).otherwise(0.0)
-        return F.struct(ux.alias("ux"), uy.alias("uy"))
-
-    def pitched(v: Column) -> Column:
-        return F.struct(v.ux.alias("ux"), v.uy.alias("uy"), ((w * v.ux + h * v.uy) / m).alias("pitch"))
-
-    def placed(v: Column) -> Column:
-        def cell(c: Column, k: Column) -> Column:
-            off = (k - (m - 1) / 2) * v.pitch
-            box = _square(cx + v.ux * off, cy + v.uy * off, v.pitch / 2)
-            return F.struct(c.alias("char"), box.alias("box"), F.lit(True).alias("anchored"))
-
-        return F.struct(
-            F.transform(characters(F.col("text")), cell).cast(CHAR_TYPE).alias("chars"),
-            half_up(F.degrees(F.atan2(v.uy, v.ux))).cast("int").alias("angle"),
+    # each step is a column of its own, compiled where functions over arrays are interpreted
+    out = items.withColumn("_g", F.sqrt(w * w + h * h) / (mm + F.sqrt(F.lit(2.0))))
+    out = out.withColumn("_lean", F.least(F.lit(0.999), F.greatest(F.lit(0.05), (h - F.col("_g")) / (mm * F.col("_g")))))
+    column = h / mm >= w / mm * 1.3
+    clean = column & (w <= h / mm * 1.8)
+    leans = column | ((h > w / mm * 2.5) & (dir_ == "v"))
+    out = out.withColumn("_shape", F.when(clean, "down").when(leans, "lean").otherwise("row"))
+    shape, lean = F.col("_shape"), F.col("_lean")
+    ux = F.when(shape == "down", 0.0).when(shape == "lean", F.sqrt(1 - lean * lean)).otherwise(1.0)
+    uy = F.when(shape == "down", 1.0).when(shape == "lean", lean).otherwise(0.0)
+    out = out.withColumn("_ux", ux).withColumn("_uy", uy).withColumn("_pitch", (w * F.col("_ux") + h * F.col("_uy")) / m)
+    chars = F.arrow_udf(_fragment_cells, CHAR_TYPE)(F.col("text"), cx, cy, F.col("_ux"), F.col("_uy"), F.col("_pitch"))
+    angle = half_up(F.degrees(F.atan2("_uy", "_ux"))).cast("int")
+    return out.withColumn("chars", chars).withColumn("angle", angle).drop("_g", "_lean", "_shape", "_ux", "_uy", "_pitch")
+
+
+BOX_ARROW = pa.struct([(name, pa.int64()) for name in ("x1", "y1", "x2", "y2")])
+CHARS_ARROW = pa.list_(pa.struct([("char", pa.string()), ("box", BOX_ARROW), ("anchored", pa.bool_())]))
+
+
+class _Cells:
+    """The characters of a column of texts, one behind the other: ``row`` each belongs to and its place ``k`` there."""
+
+    def __init__(self, texts: pa.Array):
+        own = [t or "" for t in texts.to_pylist()]
+        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.row = np.repeat(np.arange(len(own)), self.sizes)
+        self.k = np.arange(len(self.row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        letters, at = np.unique(np.frombuffer("".join(own).encode("utf-32-le"), np.int32), return_inverse=True)
+        self.chars = pa.array([chr(c) for c in letters.tolist()], type=pa.string()).take(pa.array(at))
+
+    def each(self, values: pa.Array) -> np.ndarray:
+        """The value of each character's row; NaN where there is none."""
+        return values.to_numpy(zero_copy_only=False).astype(np.float64)[self.row]
+
+    def listed(self, px: np.ndarray, py: np.ndarray, half: np.ndarray, anchored: bool, without: np.ndarray | None = None) -> pa.Array:
+        """Characters with squares around their points, rounded half up; ``without`` tells those that have no square."""
+
+        def side(v: np.ndarray) -> pa.Array:
+            none = np.isnan(v)
+            return pa.array(np.floor(np.where(none, 0.0, v) + 0.5).astype(np.int64), mask=none)
+
+        box = pa.StructArray.from_arrays(
+            [side(px - half), side(py - half), side(px + half), side(py + half)], fields=list(BOX_ARROW), mask=None if without is None else pa.array(without)
         )
+        cells = pa.StructArray.from_arrays([self.chars, box, pa.array(np.full(len(self.k), anchored))], fields=list(CHARS_ARROW.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.sizes)).astype(np.int32)), cells)
 
-    value = F.sqrt(w * w + h * h) / (mm + F.sqrt(F.lit(2.0)))
-    for stage in (shaped, axes, pitched, placed):
-        value = let(value, stage)
-    return items.withColumn("_f", value).select("*", "_f.chars", "_f.angle").drop("_f")
 
+def _fragment_cells(text: pa.Array, cx: pa.Array, cy: pa.Array, ux: pa.Array, uy: pa.Array, pitch: pa.Array) -> pa.Array:
+    """Equal squares along the axis of each text, around its centre."""
+    cells = _Cells(text)
+    p = cells.each(pitch)
+    off = (cells.k - (cells.sizes[cells.row] - 1) / 2) * p
+    return cells.listed(cells.each(cx) + cells.each(ux) * off, cells.each(cy) + cells.each(uy) * off, p / 2, True)
 
-def _square(px: Column, py: Column, half: Column) -> Column:
-    return F.struct(
-        half_up(px - half).cast("bigint").alias("x1"),
-        half_up(py - half).cast("bigint").alias("y1"),
-        half_up(px + half).cast("bigint").alias("x2"),
-        half_up(py + half).cast("bigint").alias("y2"),
-    )
+
+def _seated_cells(
+    text: pa.Array, slot: pa.Array, ax: pa.Array, ay: pa.Array, base: pa.Array, pitch: pa.Array, w: pa.Array, h: pa.Array, sx: pa.Array
+) -> pa.Array:
+    """Squares from the start of the seat's column on, kept within 40 px of the image; a line without a seat has none."""
+    cells = _Cells(text)
+    p, s, x, y = (cells.each(c) for c in (pitch, slot, ax, ay))
+    half = p / 2
+    along = cells.each(base) + (cells.k + 0.5) * p
+
+    def clamp(v: np.ndarray, side: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(side), v, np.fmax(half - 40, np.fmin(side - half + 40, v)))
+
+    px, py = clamp(x * along - y * s, cells.each(w)), clamp(y * along + x * s, cells.each(h))
+    return cells.listed(px, py, half, False, np.isnan(cells.each(sx)))
 
 
 # ---- seating ------------------------------------------------------------
 
 def page_lattice(fused: DataFrame, pages: DataFrame) -> DataFrame:
     """Angle, axes, pitch, column gap and start of the columns that the fragment lines of ``pages`` form."""
-    boxes = F.transform("chars", lambda c: c.box)
+    boxes = F.col("chars")["box"]
     mid, head = F.get(boxes, F.floor(F.size(boxes) / 2).cast("int")), F.get(boxes, F.lit(0))
     sizes = F.array_sort(F.transform(boxes, lambda b: F.greatest(b.x2 - b.x1, b.y2 - b.y1)))
     # characters are many: what travels is seven numbers a line
@@ -306,7 +333,7 @@ def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFr
     gaps = gaps.withColumn("gap", F.col("cross") - F.col("before"))
     columns = gaps.groupBy("page_id").agg(upper_median("gap").alias("column_gap"))
     page = page.join(columns, "page_id", "left").withColumn("column_gap", F.coalesce("column_gap", F.col("pitch") * 1.2))
-    page = page.join(wanted, "page_id").join(dims.select("page_id", "w", "h"), "page_id", "left")
+    page = cut_lineage(page.join(wanted, "page_id").join(dims.select("page_id", "w", "h"), "page_id", "left"))
     wide = 1.8 * F.least(F.col("column_gap"), F.col("pitch") * 1.5)
     inner = gaps.join(page, "page_id").filter(F.col("gap") >= wide).withColumn("at", (F.col("cross") + F.col("before")) / 2)
     inner = inner.withColumn("turn", F.lit(0)).drop("cross", "before", "gap")
@@ -324,6 +351,8 @@ def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFr
         | ((F.col("sx") > -p) & (F.col("sx") < F.col("w") + p) & (F.col("sy") > -p) & (F.col("sy") < F.col("h") + p))
     )
 
+    seats = cut_lineage(seats)
+
     # fragments 0.9 pitch around a seat block it: look at the cells of four pitches that a pitch around it touches, mostly one or two
     def cells(c: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(c) - p) / (4 * p)), F.floor((F.col(c) + p) / (4 * p))))
@@ -347,7 +376,8 @@ def seat_in_gaps(fused: DataFrame, groups: DataFrame, dims: DataFrame) -> DataFr
     def close(k: Column, x: Column) -> Column:
         return F.sqrt((k.sx - x.sx) * (k.sx - x.sx) + (k.sy - x.sy) * (k.sy - x.sy)) < 0.9 * x.pitch
 
-    kept = greedy_keep(free, "page_id", ["order_at", "turn", "at"], close, ["sx", "sy", "pitch"])
+    # read twice: pages are counted before they are decided
+    kept = greedy_keep(cut_lineage(free), "page_id", ["order_at", "turn", "at"], close, ["sx", "sy", "pitch"])
     w = Window.partitionBy("page_id").orderBy("order_at", "turn", "at")
     numbered = kept.withColumn("seat", F.row_number().over(w)).filter(F.col("seat") <= F.col("wanted"))
     return numbered.select("page_id", "seat", "sx", "sy", "page_angle", "ax", "ay", "pitch", "base", "w", "h")
@@ -357,24 +387,14 @@ def place_lines(groups: DataFrame, seats: DataFrame) -> DataFrame:
     """Seated lines with inferred character boxes; lines without a seat keep their text only."""
     rows = groups.join(seats.withColumnRenamed("seat", "group"), ["page_id", "group"], "left")
     slot = -F.col("sx") * F.col("ay") + F.col("sy") * F.col("ax")
-    half = F.col("pitch") / 2
-
-    def clamp(v: Column, side: str) -> Column:
-        return F.when(F.col(side).isNull(), v).otherwise(F.greatest(half - 40, F.least(F.col(side) - half + 40, v)))
-
-    def cell(c: Column, k: Column) -> Column:
-        along = F.col("base") + (k + 0.5) * F.col("pitch")
-        px = clamp(F.col("ax") * along - F.col("ay") * slot, "w")
-        py = clamp(F.col("ay") * along + F.col("ax") * slot, "h")
-        return F.struct(c.alias("char"), F.when(F.col("sx").isNotNull(), _square(px, py, half)).alias("box"), F.lit(False).alias("anchored"))
-
+    chars = F.arrow_udf(_seated_cells, CHAR_TYPE)(F.col("clean"), slot, *map(F.col, ("ax", "ay", "base", "pitch", "w", "h", "sx")))
     return rows.select(
         "page_id",
         F.lit(None).cast("int").alias("position"),
         "line",
         "dir",
         F.col("clean").alias("text"),
-        F.transform(characters(F.col("clean")), cell).cast(CHAR_TYPE).alias("chars"),
+        chars.alias("chars"),
         F.col("page_angle").cast("int").alias("angle"),
         F.lit(False).alias("improved"),
         F.col("sx").isNotNull().alias("inferred"),
@@ -423,11 +443,11 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
 
 def lines_contract(fused: DataFrame) -> DataFrame:
     """Served form: box is the union of the character boxes, direction follows the angle."""
-    boxes = F.transform("chars", lambda c: c.box)
-    anchored = (F.size("chars") > 0) & ~F.exists("chars", lambda c: c.box.isNull())
+    boxes = F.col("chars")["box"]
+    anchored = (F.size("chars") > 0) & ~F.exists(boxes, lambda b: b.isNull())
 
     def edge(name: str, f) -> Column:
-        return F.when(anchored, f(F.transform(boxes, lambda b: b[name]))).alias(name)
+        return F.when(anchored, f(boxes[name])).alias(name)
 
     return fused.select(
         "page_id",

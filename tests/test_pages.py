@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +460,67 @@ def test_texts_of_ordinary_pages_travel_once_and_equal_pairs_are_looked_up(spark
     plan = shares._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(page_id") == plan.count("Exchange hashpartitioning") == 1
     assert shares.collect() == [(1, 0.666667, 0.666667)]
+
+
+def test_reading_order_is_the_same_on_crowded_pages(spark):
+    from inkstone.operators.boxes import reading_order_items
+
+    rnd = random.Random(8)
+
+    def some(low, high):
+        return rnd.randint(low, high) if rnd.random() < 0.95 else None
+
+    rows = [(rnd.choice([1, 1, 2, 3, None]), i, some(0, 300), some(0, 300), some(20, 400), some(20, 400), "甲" * rnd.randint(0, 3)) for i in range(240)]
+    df = spark.createDataFrame(rows, "page_id int, item int, x1 int, y1 int, x2 int, y2 int, text string")
+    for single in (True, False):
+        plain, split = (reading_order_items(df, single, limit) for limit in (512, 0))
+        assert plain.columns == split.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect())) and plain.count()
+
+
+def test_reads_of_many_pages_are_decided_as_those_of_one():
+    from inkstone.operators.boxes import _reads_that_stay
+
+    rnd = random.Random(2)
+    counts = np.array([rnd.choice([0, 1, 2, 7]) for _ in range(60)])
+    n = int(counts.sum())
+    box = np.array([[rnd.randint(0, 30) + (60 if side > 1 else 0) for _ in range(n)] for side in range(4)], float)
+    norms = [rnd.choice(["天地玄黃", "天地玄", "宇宙洪荒", None, ""]) for _ in range(n)]
+    size, score = [rnd.choice([None, 2, 3]) or 0 for _ in range(n)], np.array([rnd.random() for _ in range(n)])
+    found = _reads_that_stay(counts, box, norms, size, score, 0.6, 0.5)
+    ends = np.cumsum(counts).tolist()
+    one = [_reads_that_stay(np.array([j - i]), box[:, i:j], norms[i:j], size[i:j], score[i:j], 0.6, 0.5)[0] for i, j in zip([0, *ends], ends)]
+    assert found == one and sum(map(len, found)) < n
+
+
+def test_shared_characters_are_counted_for_all_pairs_at_once(monkeypatch):
+    from collections import Counter
+
+    from inkstone.functions import alignment
+
+    monkeypatch.setattr(alignment, "COUNTED", 7)
+    a, b = _texts(1, 60) + [None], _texts(2, 60) + ["天"]
+    want = [sum((Counter(x or "") & Counter(y or "")).values()) for x, y in zip(a, b)]
+    assert alignment.shared_characters(a, b).tolist() == want and any(want)
+
+
+def test_markers_become_gaps(spark):
+    texts = ["⟪1⟫ab⟪2.5⟫c⟪d⟪3⟫", "a😀⟪2⟫⟪4⟫", "⟪⟪2⟫x", "plain", "a⟪b", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: (r.clean, r.gaps and [tuple(g) for g in r.gaps]) for r in fs.read_answers(df).collect()}
+    assert got == {
+        texts[0]: ("abcd", [(2, 2.5), (4, 3.0)]), texts[1]: ("a😀", [(2, 2.0), (2, 4.0)]), texts[2]: ("x", []), "plain": ("plain", []), "a⟪b": ("ab", []), "": ("", []),
+        None: (None, None),
+    }
+    # one step for each marker, none for each character
+    assert "aggregate(" not in fs.read_answers(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_characters_of_fragments_without_a_box(spark):
+    rows = [(1, "甲😀", 0, 0, 10, 20), (2, "a", None, 0, 10, 20), (3, "", 0, 0, 10, 20), (4, None, 0, 0, 10, 20), (5, "ab", 0, 0, 40, 10)]
+    df = spark.createDataFrame(rows, "item int, text string, x1 int, y1 int, x2 int, y2 int")
+    got = {r.item: ([(c.char, c.box and tuple(c.box), c.anchored) for c in r.chars], r.angle) for r in fs.fragment_chars(df).collect()}
+    assert got[1] == ([("甲", (0, 0, 10, 10), True), ("😀", (0, 10, 10, 20), True)], 90)
+    assert got[2][0][0][0] == "a" and got[2][0][0][1][:1] == (None,)
+    assert got[3][0] == got[4][0] == []
+    assert got[5] == ([("a", (0, -5, 20, 15), True), ("b", (20, -5, 40, 15), True)], 0)
