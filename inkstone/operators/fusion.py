@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -199,11 +200,11 @@ def group_variant_lines(lines: DataFrame, similar: float = 0.55, page_pairs: int
 
 # ---- geometry of characters ---------------------------------------------
 
-def fragment_chars(items: DataFrame, dir_: Column | None = None) -> DataFrame:
+def fragment_chars(items: DataFrame, dir_: Column | None = None, with_outline: bool = False) -> DataFrame:
     """``chars`` (char, box, anchored) and ``angle`` of each item from its own box.
 
     The axis follows characters per extent: a clean column runs down, a box too
-    wide for its column leans, everything else is a row.
+    wide for its column leans, everything else is a row. With ``with_outline``, ``outline`` has what :func:`outlined` adds.
     """
     dir_ = dir_ if dir_ is not None else F.when(is_tall(), "v").otherwise("h")
     w, h = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
@@ -222,9 +223,12 @@ def fragment_chars(items: DataFrame, dir_: Column | None = None) -> DataFrame:
     ux = F.when(shape == "down", 0.0).when(shape == "lean", F.sqrt(1 - lean * lean)).otherwise(1.0)
     uy = F.when(shape == "down", 1.0).when(shape == "lean", lean).otherwise(0.0)
     out = out.withColumn("_ux", ux).withColumn("_uy", uy).withColumn("_pitch", (w * F.col("_ux") + h * F.col("_uy")) / m)
-    chars = F.arrow_udf(_fragment_cells, CHAR_TYPE)(F.col("text"), cx, cy, F.col("_ux"), F.col("_uy"), F.col("_pitch"))
+    inputs = [F.col("text"), cx, cy, F.col("_ux"), F.col("_uy"), F.col("_pitch")]
     angle = half_up(F.degrees(F.atan2("_uy", "_ux"))).cast("int")
-    return out.withColumn("chars", chars).withColumn("angle", angle).drop("_g", "_lean", "_shape", "_ux", "_uy", "_pitch")
+    out = out.withColumn("chars", F.arrow_udf(_fragment_cells, CHAR_TYPE)(*inputs)).withColumn("angle", angle)
+    if with_outline:
+        out = out.withColumn("outline", F.arrow_udf(_fragment_outline, OUTLINE_TYPE)(*inputs))
+    return out.drop("_g", "_lean", "_shape", "_ux", "_uy", "_pitch")
 
 
 BOX_ARROW = pa.struct([(name, pa.int64()) for name in ("x1", "y1", "x2", "y2")])
@@ -235,12 +239,15 @@ class _Cells:
     """The characters of a column of texts, one behind the other: ``row`` each belongs to and its place ``k`` there."""
 
     def __init__(self, texts: pa.Array):
-        own = [t or "" for t in texts.to_pylist()]
-        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
-        self.row = np.repeat(np.arange(len(own)), self.sizes)
+        self.texts = texts
+        self.sizes = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
         self.k = np.arange(len(self.row)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        letters, at = np.unique(np.frombuffer("".join(own).encode("utf-32-le"), np.int32), return_inverse=True)
-        self.chars = pa.array([chr(c) for c in letters.tolist()], type=pa.string()).take(pa.array(at))
+
+    def chars(self) -> pa.Array:
+        joined = "".join(t or "" for t in self.texts.to_pylist())
+        letters, at = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.int32), return_inverse=True)
+        return pa.array([chr(c) for c in letters.tolist()], type=pa.string()).take(pa.array(at))
 
     def each(self, values: pa.Array) -> np.ndarray:
         """The value of each character's row; NaN where there is none."""
@@ -248,29 +255,74 @@ class _Cells:
 
     def listed(self, px: np.ndarray, py: np.ndarray, half: np.ndarray, anchored: bool, without: np.ndarray | None = None) -> pa.Array:
         """Characters with squares around their points, rounded half up; ``without`` tells those that have no square."""
-
-        def side(v: np.ndarray) -> pa.Array:
-            none = np.isnan(v)
-            return pa.array(np.floor(np.where(none, 0.0, v) + 0.5).astype(np.int64), mask=none)
-
-        box = pa.StructArray.from_arrays(
-            [side(px - half), side(py - half), side(px + half), side(py + half)], fields=list(BOX_ARROW), mask=None if without is None else pa.array(without)
-        )
-        cells = pa.StructArray.from_arrays([self.chars, box, pa.array(np.full(len(self.k), anchored))], fields=list(CHARS_ARROW.value_type))
+        sides = [_whole(np.floor(v + 0.5)) for v in (px - half, py - half, px + half, py + half)]
+        box = pa.StructArray.from_arrays(sides, fields=list(BOX_ARROW), mask=None if without is None else pa.array(without))
+        cells = pa.StructArray.from_arrays([self.chars(), box, pa.array(np.full(len(self.k), anchored))], fields=list(CHARS_ARROW.value_type))
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(self.sizes)).astype(np.int32)), cells)
 
-
-def _fragment_cells(text: pa.Array, cx: pa.Array, cy: pa.Array, ux: pa.Array, uy: pa.Array, pitch: pa.Array) -> pa.Array:
+    def outlines(self, px: np.ndarray, py: np.ndarray, half: np.ndarray, without: np.ndarray | None = None) -> pa.Array:
+        """What :func:`outlined` finds in the characters, for each text, without handing them on."""
+        some = np.flatnonzero(self.sizes)
+        first, n = (np.cumsum(self.sizes) - self.sizes)[some], self.sizes[some]
+        boxes = [np.floor(v + 0.5) for v in (px - half, py - half, px + half, py + half)]
+        if without is not None:
+            boxes = [np.where(without, np.nan, v) for v in boxes]
+        x1, y1, x2, y2 = boxes
+
+        def filled(values: np.ndarray, none: float = np.nan) -> np.ndarray:
+            out = np.full(len(self.sizes), none)
+            out[some] = values
+            return out
+
+        def least(v: np.ndarray, f: np.ufunc) -> np.ndarray:
+            return f.reduceat(v, first) if len(some) else np.empty(0)
+
+        boxed = np.ones(len(some), bool) if without is None or not len(some) else ~np.logical_or.reduceat(without, first)
+        mid = first + n // 2
+        # no size comes first, as in Spark
+        size = np.fmax(x2 - x1, y2 - y1)
+        order = np.lexsort((np.where(np.isnan(size), -np.inf, size), self.row))
+        fields = [
+            pa.array(self.sizes.astype(np.int32)), pa.array(filled(boxed, 0).astype(bool)),
+            *(_whole(filled(least(v, f))) for v, f in ((x1, np.fmin), (y1, np.fmin), (x2, np.fmax), (y2, np.fmax))),
+            *(_some(filled((u[at] + v[at]) / 2)) for at, u, v in ((mid, x1, x2), (mid, y1, y2))),
+            _whole(filled(size[order][mid])), *(_some(filled((u[first] + v[first]) / 2)) for u, v in ((x1, x2), (y1, y2))),
+        ]
+        return pa.StructArray.from_arrays(fields, names=OUTLINE)
+
+
+def _some(v: np.ndarray) -> pa.Array:
+    return pa.array(v, mask=np.isnan(v))
+
+
+def _whole(v: np.ndarray) -> pa.Array:
+    none = np.isnan(v)
+    return pa.array(np.where(none, 0.0, v).astype(np.int64), mask=none)
+
+
+def _fragment_points(
+    text: pa.Array, cx: pa.Array, cy: pa.Array, ux: pa.Array, uy: pa.Array, pitch: pa.Array
+) -> tuple[_Cells, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Equal squares along the axis of each text, around its centre."""
     cells = _Cells(text)
     p = cells.each(pitch)
     off = (cells.k - (cells.sizes[cells.row] - 1) / 2) * p
-    return cells.listed(cells.each(cx) + cells.each(ux) * off, cells.each(cy) + cells.each(uy) * off, p / 2, True)
+    return cells, (cells.each(cx) + cells.each(ux) * off, cells.each(cy) + cells.each(uy) * off, p / 2)
 
 
-def _seated_cells(
+def _fragment_cells(text: pa.Array, cx: pa.Array, cy: pa.Array, ux: pa.Array, uy: pa.Array, pitch: pa.Array) -> pa.Array:
+    cells, squares = _fragment_points(text, cx, cy, ux, uy, pitch)
+    return cells.listed(*squares, True)
+
+
+def _fragment_outline(text: pa.Array, cx: pa.Array, cy: pa.Array, ux: pa.Array, uy: pa.Array, pitch: pa.Array) -> pa.Array:
+    cells, squares = _fragment_points(text, cx, cy, ux, uy, pitch)
+    return cells.outlines(*squares)
+
+
+def _seated_points(
     text: pa.Array, slot: pa.Array, ax: pa.Array, ay: pa.Array, base: pa.Array, pitch: pa.Array, w: pa.Array, h: pa.Array, sx: pa.Array
-) -> pa.Array:
+) -> tuple[_Cells, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """Squares from the start of the seat's column on, kept within 40 px of the image; a line without a seat has none."""
     cells = _Cells(text)
     p, s, x, y = (cells.each(c) for c in (pitch, slot, ax, ay))
@@ -281,25 +333,52 @@ def _seated_cells(
         return np.where(np.isnan(side), v, np.fmax(half - 40, np.fmin(side - half + 40, v)))
 
     px, py = clamp(x * along - y * s, cells.each(w)), clamp(y * along + x * s, cells.each(h))
-    return cells.listed(px, py, half, False, np.isnan(cells.each(sx)))
+    return cells, (px, py, half), np.isnan(cells.each(sx))
 
 
-# ---- seating ------------------------------------------------------------
+def _seated_cells(
+    text: pa.Array, slot: pa.Array, ax: pa.Array, ay: pa.Array, base: pa.Array, pitch: pa.Array, w: pa.Array, h: pa.Array, sx: pa.Array
+) -> pa.Array:
+    cells, squares, without = _seated_points(text, slot, ax, ay, base, pitch, w, h, sx)
+    return cells.listed(*squares, False, without)
 
-def page_lattice(fused: DataFrame, pages: DataFrame) -> DataFrame:
-    """Angle, axes, pitch, column gap and start of the columns that the fragment lines of ``pages`` form."""
+
+def _seated_outline(
+    text: pa.Array, slot: pa.Array, ax: pa.Array, ay: pa.Array, base: pa.Array, pitch: pa.Array, w: pa.Array, h: pa.Array, sx: pa.Array
+) -> pa.Array:
+    cells, squares, without = _seated_points(text, slot, ax, ay, base, pitch, w, h, sx)
+    return cells.outlines(*squares, without)
+
+
+OUTLINE_TYPE = "struct<n:int,boxed:boolean,x1:bigint,y1:bigint,x2:bigint,y2:bigint,px:double,py:double,pitch:bigint,hx:double,hy:double>"
+OUTLINE = ["n", "boxed", "x1", "y1", "x2", "y2", "px", "py", "pitch", "hx", "hy"]
+
+
+def outlined(lines: DataFrame) -> DataFrame:
+    """``outline`` of each line's characters: their number, whether all have a box, the box around them, the centres of the
+    middle (px, py) and the first one (hx, hy), and the upper middle of their sizes.
+
+    Lines that were made with it have it from the kernel that made the characters, so these need not travel.
+    """
+    if "outline" in lines.columns:
+        return lines
     boxes = F.col("chars")["box"]
     mid, head = F.get(boxes, F.floor(F.size(boxes) / 2).cast("int")), F.get(boxes, F.lit(0))
     sizes = F.array_sort(F.transform(boxes, lambda b: F.greatest(b.x2 - b.x1, b.y2 - b.y1)))
+    boxed = (F.size("chars") > 0) & ~F.exists(boxes, lambda b: b.isNull())
+    values = [
+        F.size("chars"), boxed, F.array_min(boxes["x1"]), F.array_min(boxes["y1"]), F.array_max(boxes["x2"]), F.array_max(boxes["y2"]),
+        (mid.x1 + mid.x2) / 2, (mid.y1 + mid.y2) / 2, F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), (head.x1 + head.x2) / 2, (head.y1 + head.y2) / 2,
+    ]
+    return lines.withColumn("outline", F.struct(*[v.alias(name) for v, name in zip(values, OUTLINE)]))
+
+
+# ---- seating ------------------------------------------------------------
+
+def page_lattice(fused: DataFrame, pages: DataFrame) -> DataFrame:
+    """Angle, axes, pitch, column gap and start of the columns that the fragment lines of ``pages`` form."""
     # characters are many: what travels is seven numbers a line
-    rows = fused.select(
-        "page_id", "angle",
-        ((mid.x1 + mid.x2) / 2).alias("px"),
-        ((mid.y1 + mid.y2) / 2).alias("py"),
-        F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")).alias("pitch"),
-        ((head.x1 + head.x2) / 2).alias("hx"),
-        ((head.y1 + head.y2) / 2).alias("hy"),
-    )
+    rows = outlined(fused).select("page_id", "angle", *[f"outline.{name}" for name in ("px", "py", "pitch", "hx", "hy")])
     rows = cut_lineage(rows.join(pages, "page_id", "left_semi"))
     medians = rows.groupBy("page_id").agg(upper_median("angle").alias("page_angle"))
     a = F.radians("page_angle")
@@ -387,18 +466,19 @@ def place_lines(groups: DataFrame, seats: DataFrame) -> DataFrame:
     """Seated lines with inferred character boxes; lines without a seat keep their text only."""
     rows = groups.join(seats.withColumnRenamed("seat", "group"), ["page_id", "group"], "left")
     slot = -F.col("sx") * F.col("ay") + F.col("sy") * F.col("ax")
-    chars = F.arrow_udf(_seated_cells, CHAR_TYPE)(F.col("clean"), slot, *map(F.col, ("ax", "ay", "base", "pitch", "w", "h", "sx")))
+    inputs = [F.col("clean"), slot, *map(F.col, ("ax", "ay", "base", "pitch", "w", "h", "sx"))]
     return rows.select(
         "page_id",
         F.lit(None).cast("int").alias("position"),
         "line",
         "dir",
         F.col("clean").alias("text"),
-        chars.alias("chars"),
+        F.arrow_udf(_seated_cells, CHAR_TYPE)(*inputs).alias("chars"),
         F.col("page_angle").cast("int").alias("angle"),
         F.lit(False).alias("improved"),
         F.col("sx").isNotNull().alias("inferred"),
         "gaps",
+        F.arrow_udf(_seated_outline, OUTLINE_TYPE)(*inputs).alias("outline"),
     )
 
 
@@ -415,7 +495,7 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
     ordered = cut_lineage(
         ordered.select("page_id", "position", "tall", "x1", "y1", "x2", "y2", F.coalesce("improved", "text").alias("text"), "improved")
     )
-    fragments = fragment_chars(ordered).select(
+    fragments = fragment_chars(ordered, with_outline=True).select(
         "page_id",
         F.col("position").cast("int").alias("position"),
         F.lit(None).cast("int").alias("line"),
@@ -425,7 +505,8 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
         "angle",
         F.col("improved").isNotNull().alias("improved"),
         F.lit(False).alias("inferred"),
-        F.array().cast("array<struct<at_char:int,widths:double>>").alias("gaps"),
+        F.array().cast(GAP_TYPE).alias("gaps"),
+        "outline",
     )
     missing = cut_lineage(unmatched_lines(lines, windows))
     lattice = cut_lineage(lattice_degenerate(keep, missing, verdict_only=True))
@@ -443,26 +524,23 @@ def fuse_pages(items: DataFrame, answers: DataFrame, dims: DataFrame, script_map
 
 def lines_contract(fused: DataFrame) -> DataFrame:
     """Served form: box is the union of the character boxes, direction follows the angle."""
-    boxes = F.col("chars")["box"]
-    anchored = (F.size("chars") > 0) & ~F.exists(boxes, lambda b: b.isNull())
+    anchored = F.col("outline.boxed")
 
-    def edge(name: str, f) -> Column:
-        return F.when(anchored, f(boxes[name])).alias(name)
+    def edge(name: str) -> Column:
+        return F.when(anchored, F.col(f"outline.{name}")).alias(name)
 
-    return fused.select(
+    return outlined(fused).select(
         "page_id",
         "position",
         "line",
         "text",
-        edge("x1", F.array_min),
-        edge("y1", F.array_min),
-        edge("x2", F.array_max),
-        edge("y2", F.array_max),
+        *map(edge, ("x1", "y1", "x2", "y2")),
         F.when(anchored, F.when(F.abs("angle") > 45, "v").otherwise("h")).otherwise(F.col("dir")).alias("dir"),
         F.when(anchored, F.col("angle")).alias("angle"),
-        F.when(anchored, boxes).alias("char_boxes"),
-        F.size("chars").alias("n"),
+        F.when(anchored, F.col("chars")["box"]).alias("char_boxes"),
+        F.col("outline.n").alias("n"),
         F.col("inferred"),
+        anchored.alias("boxed"),
     )
 
 
@@ -473,8 +551,8 @@ def serve_decision(items: DataFrame, fusion: dict[str, DataFrame], use_fusion: b
         "page_id",
         F.col("n").alias("chars"),
         (~F.col("inferred")).alias("anchored"),
-        F.col("char_boxes").isNotNull().alias("boxed"),
-        F.col("char_boxes").isNotNull().alias("has_char_boxes"),
+        "boxed",
+        F.col("boxed").alias("has_char_boxes"),
     )
     gate = page_serve_gate(rows, fusion["degenerate"])
     classical = page_gate(items).select("page_id", F.col("passes").alias("classical"))

@@ -524,3 +524,24 @@ def test_characters_of_fragments_without_a_box(spark):
     assert got[2][0][0][0] == "a" and got[2][0][0][1][:1] == (None,)
     assert got[3][0] == got[4][0] == []
     assert got[5] == ([("a", (0, -5, 20, 15), True), ("b", (20, -5, 40, 15), True)], 0)
+
+
+def test_outlines_of_the_kernel_are_those_of_the_characters(spark):
+    rnd = random.Random(6)
+    rows = [(i, "天😀a"[: rnd.randint(0, 3)] * rnd.randint(1, 3), *(rnd.randint(0, 90) for _ in range(2)), *(rnd.randint(95, 300) for _ in range(2))) for i in range(80)]
+    rows += [(80, None, 0, 0, 9, 9), (81, "ab", None, 0, 9, 9)]
+    lines = fs.fragment_chars(spark.createDataFrame(rows, "item int, text string, x1 int, y1 int, x2 int, y2 int"), with_outline=True)
+    again = fs.outlined(lines.drop("outline")).select("item", F.col("outline").alias("own"))
+    both = lines.join(again, "item").select("item", "outline", "own", "text", "x1").collect()
+    # without letters there is nothing to be boxed; a box without numbers still is one
+    assert all(r.outline == r.own or not r.text for r in both) and len(both) == 82
+    assert all(not r.outline.boxed and not r.own.boxed and r.outline.n == 0 for r in both if not r.text)
+    seats = spark.createDataFrame(
+        [(1, 1, 50.0, 60.0, 3.0, 0.6, 0.8, 20.0, 5.0, 100, None), (1, 2, 10.0, 90.0, 3.0, 1.0, 0.0, 21.0, 5.0, 200, 300)],
+        "page_id int, seat int, sx double, sy double, page_angle double, ax double, ay double, pitch double, base double, w int, h int",
+    )
+    groups = spark.createDataFrame([(1, k, k, "h", t) for k, t in enumerate(["x", "甲乙丙", "😀b", ""])], "page_id int, group int, line int, dir string, clean string")
+    placed = fs.place_lines(groups.withColumn("gaps", F.lit(None).cast(fs.GAP_TYPE)), seats)
+    own = fs.outlined(placed.drop("outline")).select("line", F.col("outline").alias("own"))
+    both = placed.join(own, "line").collect()
+    assert all(r.outline == r.own or not r.text for r in both) and [r.outline.boxed for r in sorted(both, key=lambda r: r.line)] == [False, True, True, False]
